@@ -18,16 +18,18 @@ import hashlib
 import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from convoweave.llm.rows import slices
 from convoweave.session import table
 
 SPACE = "▁"  # what the model has for a space
-CACHED_WORDS = 600_000  # of a task; the cache is emptied when it is full
+CACHED_WORDS = 600_000  # of a Python worker; the cache is emptied when it is full
 FAR = np.iinfo(np.int64).max
 
 
@@ -57,8 +59,12 @@ class PieceModel:
         # Characters of pieces that are no pieces themselves get ids from n on.
         self.symbols = words | {c: n + k for k, c in enumerate(sorted({c for p in words for c in p} - words.keys()))}
         rank = {p: r for r, (_, _, p) in enumerate(sorted((-library.get_score(i), i, p) for p, i in words.items()))}
-        self.beside = {p[k : k + 2] for p in words for k in range(len(p) - 1)}
-        apart = not any(b[0] != SPACE and b[1] == SPACE or "\n" in b for b in self.beside)
+        beside = {p[k : k + 2] for p in words for k in range(len(p) - 1)}
+        self.symbol_of = np.full(0x110000, -1, np.int64)
+        for c in (c for c in self.symbols if len(c) == 1):
+            self.symbol_of[ord(c)] = self.symbols[c]
+        self.beside_keys = np.array(sorted(self.symbols[b[0]] << 32 | self.symbols[b[1]] for b in beside), np.int64)
+        apart = not any(b[0] != SPACE and b[1] == SPACE or "\n" in b for b in beside)
         self.word_of = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n|[^{SPACE}\n]+" if apart else "(?s).+")
         pairs, unsafe = [], set()
         for p, i in words.items():
@@ -74,6 +80,7 @@ class PieceModel:
         self.id_of_rank = np.zeros(len(words), np.int64)
         self.id_of_rank[list(rank.values())] = [words[p] for p in rank]
         self.n = n
+        self.known: dict[str, bytes] = {}  # words that a worker has met, up to CACHED_WORDS
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each pair's joined piece; FAR where there is none."""
@@ -81,86 +88,71 @@ class PieceModel:
         at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
         return np.where(self.pair_keys[at] == key, self.pair_ranks[at], FAR)
 
-    def merge(self, words: list[str]) -> list[np.ndarray]:
-        """The ids of each word, by merge rounds over all words at once."""
-        if not words:
-            return []
-        known = self.symbols
-        flat = np.fromiter((known.get(c, -1) for w in words for c in w), np.int64)
+    def merge(self, words: list[str]) -> list[bytes]:
+        """The ids of each word as little-endian unsigned 32-bit integers, by merge rounds over all words at once."""
         chars = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
-        symbol, word = flat.copy(), np.repeat(np.arange(len(words)), lengths)
-        first = np.arange(len(flat))  # the character at which a symbol starts
-        done_symbol, done_word, done_first = [], [], []
+        symbol = self.symbol_of[chars]
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+        apart = ~found_in(self.beside_keys, symbol[:-1] << 32 | symbol[1:])
+        apart[ends[:-1] - 1] = True
+        segment = np.cumsum(np.r_[False, apart])  # merges stay inside words, and inside what a piece can span
+        first = np.arange(len(chars))  # the character at which a symbol starts
+        pair = np.r_[self.ranks(symbol[:-1], symbol[1:]), FAR]
+        pair[:-1][apart] = FAR
+        done = []
         while len(symbol):
-            pair = np.full(len(symbol), FAR)
-            inside = word[:-1] == word[1:]
-            pair[:-1][inside] = self.ranks(symbol[:-1][inside], symbol[1:][inside])
-            starts = np.flatnonzero(np.r_[True, ~inside])
-            best = np.minimum.reduceat(pair, starts)
-            sizes = np.diff(np.r_[starts, len(symbol)])
-            best_here = np.repeat(best, sizes)
-            ended = best_here == FAR
+            starts = np.flatnonzero(np.r_[True, segment[1:] != segment[:-1]])
+            best = np.repeat(np.minimum.reduceat(pair, starts), np.diff(np.r_[starts, len(symbol)]))
+            ended = best == FAR
             if ended.any():
-                done_symbol.append(symbol[ended])
-                done_word.append(word[ended])
-                done_first.append(first[ended])
-                going = ~ended
-                symbol, word, first, pair, best_here = symbol[going], word[going], first[going], pair[going], best_here[going]
+                done.append((first[ended], symbol[ended]))
+                symbol, segment, first, pair, best = (x[~ended] for x in (symbol, segment, first, pair, best))
                 if not len(symbol):
                     break
-            hit = np.flatnonzero(pair == best_here)
-            # Of touching hits every second one counts, from the left; of unsafe ones a word's first only.
-            run = np.flatnonzero(np.r_[True, (np.diff(hit) != 1) | (word[hit[1:]] != word[hit[:-1]])])
+            hit = np.flatnonzero(pair == best)
+            # Of touching hits every second one counts, from the left; of unsafe ones a segment's first only.
+            new = np.r_[True, segment[hit[1:]] != segment[hit[:-1]]]
+            run = np.flatnonzero(new | np.r_[True, np.diff(hit) != 1])
             place = np.arange(len(hit)) - np.repeat(run, np.diff(np.r_[run, len(hit)]))
-            in_word = np.r_[True, word[hit[1:]] != word[hit[:-1]]]
-            hit = hit[np.where(self.safe[best_here[hit]], place % 2 == 0, in_word)]
-            symbol[hit] = self.id_of_rank[best_here[hit]]
+            hit = hit[np.where(self.safe[best[hit]], place % 2 == 0, new)]
+            symbol[hit] = self.id_of_rank[best[hit]]
             stays = np.ones(len(symbol), bool)
             stays[hit + 1] = False
-            symbol, word, first = symbol[stays], word[stays], first[stays]
-        symbol, word, first = (np.concatenate(x) for x in (done_symbol, done_word, done_first))
-        order = np.argsort(first, kind="stable")
-        symbol, word, first = symbol[order], word[order], first[order]
-        bounds = np.searchsorted(word, np.arange(len(words) + 1))
-        strange = (symbol < 0) | (symbol >= self.n)
-        if not strange.any():
-            return np.split(symbol.astype(np.uint32), bounds[1:-1])
-        out = []
-        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-            if strange[a:b].any():
-                out.append(np.concatenate([self.byte_ids[list(chr(chars[first[k]]).encode())] if strange[k] else symbol[k : k + 1].astype(np.uint32) for k in range(a, b)]))
-            else:
-                out.append(symbol[a:b].astype(np.uint32))
-        return out
+            hit -= np.arange(len(hit))  # one symbol has gone for each hit before
+            symbol, segment, first, pair = symbol[stays], segment[stays], first[stays], pair[stays]
+            for at in (hit, hit[hit > 0] - 1):  # only pairs beside a join change
+                after = np.minimum(at + 1, len(symbol) - 1)
+                pair[at] = np.where((after > at) & (segment[at] == segment[after]), self.ranks(symbol[at], symbol[after]), FAR)
+        first, symbol = (np.concatenate(x) for x in zip(*done, strict=True))
+        order = np.argsort(first)
+        first, symbol = first[order], symbol[order]
+        strange = np.flatnonzero((symbol < 0) | (symbol >= self.n))
+        if len(strange):  # characters that the vocabulary lacks become their bytes
+            raw = [self.byte_ids[list(chr(c).encode())] for c in chars[first[strange]].tolist()]
+            size = np.ones(len(symbol), np.int64)
+            size[strange] = list(map(len, raw))
+            first, symbol = np.repeat(first, size), np.repeat(symbol, size)
+            symbol[(symbol < 0) | (symbol >= self.n)] = np.concatenate(raw)
+        ids = symbol.astype("<u4").tobytes()
+        at = [0, *(4 * np.searchsorted(first, ends)).tolist()]
+        return [ids[a:z] for a, z in zip(at, at[1:], strict=False)]
 
     def split(self, text: str) -> list[str]:
         """Words of a text that has no spaces but SPACE, cut where no piece can lie across; joined they are the text."""
         return self.word_of.findall(text)
 
-    def cut(self, word: str) -> list[str]:
-        """Parts of a word between which no piece can lie."""
-        at = [0, *(k for k in range(1, len(word)) if word[k - 1 : k + 1] not in self.beside), len(word)]
-        return [word[a:b] for a, b in zip(at, at[1:], strict=False)] if len(at) > 2 else [word]
-
-    def encode_words(self, words: Iterable[str]) -> dict[str, bytes]:
-        """Each word's ids as little-endian unsigned 32-bit integers."""
-        words = list(words)
-        parts = [self.cut(w) for w in words]
-        distinct = list(dict.fromkeys(p for x in parts for p in x))
-        ids = {p: x.astype("<u4").tobytes() for p, x in zip(distinct, self.merge(distinct), strict=True)}
-        return {w: b"".join(map(ids.__getitem__, x)) for w, x in zip(words, parts, strict=True)}
-
-    def encode_batch(self, texts: Iterable[str | None], known: dict[str, bytes]) -> Iterator[bytes]:
-        """The ids of each text with begin and end ids; `known` keeps what words have given so far."""
+    def encode_batch(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        """The ids of each text with begin and end ids."""
         begin, end = (np.array([x], "<u4").tobytes() for x in (self.bos, self.eos))
-        split = [self.split(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        if len(known) > CACHED_WORDS:
-            known.clear()
-        new = {w for x in split for w in x} - known.keys()
-        known.update(self.encode_words(sorted(new)))
-        for x in split:
-            yield b"".join([begin, *map(known.__getitem__, x), end])
+        words = [self.split(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
+        if len(self.known) > CACHED_WORDS:
+            self.known.clear()
+        known = self.known
+        new = list(set(chain.from_iterable(words)).difference(known))
+        if new:
+            known.update(zip(new, self.merge(new), strict=True))
+        for x in words:
+            yield begin + b"".join(map(known.__getitem__, x)) + end
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of ids: byte pieces join to UTF-8, each byte that fits nowhere gives U+FFFD, the dummy prefix goes."""
@@ -180,6 +172,10 @@ class PieceModel:
         return text.removeprefix(SPACE).replace(SPACE, " ")
 
 
+def found_in(keys: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return keys[np.minimum(np.searchsorted(keys, x), len(keys) - 1)] == x
+
+
 def from_bytes(raw: bytes) -> str:
     """UTF-8 with one U+FFFD for every byte that belongs to no character."""
     try:
@@ -197,9 +193,9 @@ def encode(docs: DataFrame, model_path: str, text: str = "text", ids: str = "ids
     """`keep` columns and the ids of each row's text, as binary little-endian unsigned 32-bit integers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, known = load(model_path), {}
-        for b in batches:
-            column = pa.array(model.encode_batch(b.column("_text").to_pylist(), known), pa.binary())
+        model = load(model_path)
+        for b in slices(batches):
+            column = pa.array(model.encode_batch(b.column("_text").to_pylist()), pa.binary())
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), column], [*keep, ids])
 
     source = docs.select(*keep, F.col(text).alias("_text"))
@@ -212,7 +208,7 @@ def decode(rows: DataFrame, model_path: str, ids: str = "ids", text: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(model_path)
-        for b in batches:
+        for b in slices(batches):
             column = pa.array((model.decode(np.frombuffer(x or b"", "<u4").tolist()) for x in b.column(ids).to_pylist()), pa.string())
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), column], [*keep, text])
 
@@ -224,10 +220,10 @@ def token_digests(docs: DataFrame, model_path: str, text: str = "text", keep: tu
     """`keep`, n_tokens, ids_sha256 and decoded_sha256: the round trip of every whole text, in one pass without a shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, known = load(model_path), {}
-        for b in batches:
+        model = load(model_path)
+        for b in slices(batches):
             n, encoded, decoded = [], [], []
-            for x in model.encode_batch(b.column("_text").to_pylist(), known):
+            for x in model.encode_batch(b.column("_text").to_pylist()):
                 n.append(len(x) // 4)
                 encoded.append(hashlib.sha256(x).hexdigest())
                 decoded.append(hashlib.sha256(model.decode(np.frombuffer(x, "<u4").tolist()).encode()).hexdigest())
