@@ -1,6 +1,7 @@
 """Toxicity by a chain of linear classifiers.
 
-Features are the words of a text and their beginnings of 4 and 5 letters (inflected and compounded forms share them).
+Features are how often a text has a word, or words with a beginning of 4 or 5 letters (inflected and compounded forms
+share it), as log(1 + count): some beginnings are telling only where they abound.
 The categories are predicted one after another: `word` (a toxic text with a telling whole word), `stem` (with a telling
 beginning), `heavy` (with three or more telling words), and last `toxic`, the label itself. Each model is a logistic
 regression on the features and the probabilities of the categories before; it is trained with out-of-fold
@@ -35,7 +36,7 @@ FOLDS = 5
 BEGINNINGS = (4, 5)
 LEAST_TEXTS = 3  # toxic texts that a feature must be in
 CATEGORIES = ("word", "stem", "heavy", "toxic")
-REJECT = 0.5
+REJECT = 0.4
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -54,7 +55,7 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 12) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, rounds: int = 12) -> np.ndarray:
     """Weights of a ridge logistic regression by Newton steps; the last column of x, all ones, is not shrunk."""
     w, shrink = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
     shrink[-1] = 1e-6
@@ -74,23 +75,18 @@ class Chain:
     index: dict[str, int] = field(default_factory=dict)
     weights: list[np.ndarray] = field(default_factory=list)
 
-    def row(self, found: Counter) -> np.ndarray:
-        x = np.zeros(len(self.index) + 1)
-        for name in found.keys() & self.index.keys():
-            x[self.index[name]] = 1.0
-        return x
-
     def score(self, text: str | None) -> list[float]:
         if not self.weights:
             return [0.0] * len(CATEGORIES)
-        index = self.index
-        words = set(LETTERS.findall((text or "").lower()))
-        at = {index[w] for w in words & index.keys()}
-        for k in BEGINNINGS:
-            at |= {index[b] for b in {w[:k] + "*" for w in words if len(w) > k} & index.keys()}
-        at, out = sorted(at), []
+        index, counts = self.index, Counter()
+        for w, n in Counter(LETTERS.findall((text or "").lower())).items():
+            for name in (w, *(w[:k] + "*" for k in BEGINNINGS if len(w) > k)):
+                if name in index:
+                    counts[index[name]] += n
+        at, out = sorted(counts), []
+        x = np.log1p([counts[k] for k in at])
         for w in self.weights:
-            z = w[at].sum() + np.dot(w[len(index) : -1], out) + w[-1]
+            z = np.dot(w[at], x) + np.dot(w[len(index) : -1], out) + w[-1]
             out.append(float(sigmoid(z)))
         return out
 
@@ -129,7 +125,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, size: int =
     for k, r in enumerate(collected):
         whole = stem = 0
         for name, count in r["pairs"]:
-            x[k, index[name]] = 1
+            x[k, index[name]] = np.log1p(count)
             if name in telling:
                 stem, whole = (stem + count, whole) if name.endswith("*") else (stem, whole + count)
         y[k] = [whole > 0, stem > 0, max(whole, stem) > 2, True]

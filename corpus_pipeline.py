@@ -1,8 +1,59 @@
-"""The corpus pipeline: stages over `documents`, each written as Parquet and reread as the next one's input."""
+"""The corpus pipeline: stages over `documents`, each written as Parquet and reread as the next one's input.
 
-STAGES: list = []
-ORACLE_SQL = None
+toxicity drops rejected documents; exact dedup keeps the smallest doc_id of equal texts; SimHash keeps the smallest of each
+component; mixing repeats or cuts documents to the target weights; the last stage gives token counts and digests.
+"""
 
+from __future__ import annotations
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from convoweave.llm import exact_dedup, mixing, piece_bpe, simhash, toxicity
+from convoweave.llm.rows import small_or_shuffled
+from convoweave.session import cut, new_path, table
+
+
+def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """`docs` without the doc_ids in `dropped`; their table is broadcast only if its counted rows are few."""
+    dropped = cut(dropped.select(F.col("doc_id").alias("_dropped")).distinct())
+    return docs.join(small_or_shuffled(dropped, dropped.count(), 32), F.col("doc_id") == F.col("_dropped"), "left_anti")
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier chain, trained on a bounded sample of `labels`, does not reject."""
+    return toxicity.clean(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
+    return without(docs, exact_dedup.exact_groups(docs).where("NOT kept"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash component."""
+    return without(docs, simhash.near_groups(docs).where("doc_id <> component_id"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of sources: a row for each time that a document, or a part of it, is taken."""
+    return mixing.mixed(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and the digests of ids and decoded text of every row."""
+    return piece_bpe.token_digests(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+STAGES = [("toxicity", reject_toxic), ("exact dedup", drop_copies), ("SimHash near-dedup", drop_near_copies), ("mixing sources", mix_sources), ("SentencePiece", tokens)]
+ORACLE_SQL = None  # the classifier and the tokenizer are not SQL
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over `documents`."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        path = new_path(spark, f"stage-{k}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs
