@@ -1,4 +1,6 @@
 """All named queries of the engine and their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from convoweave.plans import finding, listing
+
+QUERIES = listing.QUERIES | finding.QUERIES
+ORACLE_SQL = listing.ORACLE_SQL | finding.ORACLE_SQL
