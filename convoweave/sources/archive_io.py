@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from convoweave.functions.ordering import running_sum
 
 KINDS = ("t", "title", "fold", "folder", "fitem", "folder_x", "fitem_x")
 CELLS = {"title": 3, "fold": 3, "folder": 5, "fitem": 6, "folder_x": 2, "fitem_x": 4}
@@ -62,5 +64,5 @@ def markdown(turns: DataFrame, hidden: DataFrame, title: Column | None = None) -
 
 def quota_victims(files: DataFrame, most: int) -> DataFrame:
     """Files (path, size, modified) to delete, oldest first, so that the newest fit in `most` bytes."""
-    kept = F.sum("size").over(Window.orderBy(F.desc("modified"), F.desc("path")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return files.withColumn("total", kept).where(F.col("total") > most).select("path", "size", "modified")
+    kept = running_sum(files, [F.desc("modified"), F.desc("path")], "size")
+    return kept.where(F.col("total") > most).select("path", "size", "modified")

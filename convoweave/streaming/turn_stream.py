@@ -50,12 +50,20 @@ def stream_turns(records: DataFrame, idle_ms: int = IDLE_MS) -> DataFrame:
     return light.groupBy("file").applyInPandasWithState(step, TURN, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def keep_latest(turns: DataFrame, path: str, checkpoint: str, upsert: Callable[[DataFrame, DataFrame], DataFrame]) -> StreamingQuery:
-    """Runs a stream of turns to its end into versioned tables below `path`: each batch makes the next version by `upsert`."""
+def keep_latest(turns: DataFrame, path: str, checkpoint: str, upsert: Callable[[DataFrame, DataFrame], DataFrame], every: str | None = None) -> StreamingQuery:
+    """Writes a stream of turns into versioned tables below `path`: each batch makes the next version by `upsert`.
+
+    every: a trigger interval, at which idle turns come out too; without it the stream reads what is there and ends
+    (then batches without data are off, since pending timeouts would go on for ever).
+    """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         before = spark.read.schema(batch.schema).parquet(f"{path}/{number - 1}") if number else batch.limit(0)
         upsert(before, batch).write.mode("overwrite").parquet(f"{path}/{number}")
 
-    return turns.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    writer = turns.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    if every:
+        return writer.trigger(processingTime=every).start()
+    turns.sparkSession.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    return writer.trigger(availableNow=True).start()
