@@ -55,9 +55,9 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, rounds: int = 12) -> np.ndarray:
-    """Weights of a ridge logistic regression by Newton steps; the last column of x, all ones, is not shrunk."""
-    w, shrink = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
+def logistic(x: np.ndarray, y: np.ndarray, start: np.ndarray | None = None, ridge: float = 0.3, rounds: int = 12) -> np.ndarray:
+    """Weights of a ridge logistic regression by Newton steps from `start`; the last column of x, all ones, is not shrunk."""
+    w, shrink = np.zeros(x.shape[1]) if start is None else start.copy(), np.full(x.shape[1], ridge)
     shrink[-1] = 1e-6
     for _ in range(rounds):
         p = sigmoid(x @ w)
@@ -117,14 +117,19 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, size: int =
         return Chain()
     index = {r["name"]: k for k, r in enumerate(best)}
     telling = {r["name"] for r in best if r["rate"] > (1 + share) / 2}
-    wanted = F.array(*map(F.lit, index))
-    pairs = F.filter(F.arrays_zip("names", "counts"), lambda x: F.array_contains(wanted, x["names"]))
-    collected = sorted(listed_rows.select("doc_id", "toxic", pairs.alias("pairs")).collect(), key=lambda r: (r["doc_id"], r["toxic"]))
+
+    def those(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            pairs = [[(n, c) for n, c in zip(names, counts, strict=True) if n in index] for names, counts in zip(b.column("names").to_pylist(), b.column("counts").to_pylist(), strict=True)]
+            lists = pa.array([[n for n, _ in p] for p in pairs], pa.list_(pa.string())), pa.array([[c for _, c in p] for p in pairs], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), *lists], ["doc_id", "toxic", "names", "counts"])
+
+    collected = sorted(listed_rows.mapInArrow(those, listed_rows.schema).collect(), key=lambda r: (r["doc_id"], r["toxic"], r["names"]))
     x, y = np.zeros((len(collected), len(index) + 1), np.float64), np.zeros((len(collected), len(CATEGORIES)))
     x[:, -1] = 1
     for k, r in enumerate(collected):
         whole = stem = 0
-        for name, count in r["pairs"]:
+        for name, count in zip(r["names"], r["counts"], strict=True):
             x[k, index[name]] = np.log1p(count)
             if name in telling:
                 stem, whole = (stem + count, whole) if name.endswith("*") else (stem, whole + count)
@@ -137,7 +142,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, size: int =
         chain.weights.append(logistic(inputs, y[:, c]))
         out = np.zeros(len(y))
         for f in range(FOLDS):
-            out[fold == f] = sigmoid(inputs[fold == f] @ logistic(inputs[fold != f], y[fold != f, c]))
+            out[fold == f] = sigmoid(inputs[fold == f] @ logistic(inputs[fold != f], y[fold != f, c], chain.weights[-1]))
         before = np.hstack([before, out[:, None]])
     return chain
 
