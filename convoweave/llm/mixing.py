@@ -27,7 +27,7 @@ from convoweave.session import cut, table
 WEIGHTS = (5, 2, 1)
 REPEATS = 3
 BLOCK = 128
-SHARD = 4_000_000
+SHARD = 1_000_000
 SEED = "mix"
 WORD = r"[^\x20\x09-\x0D]+"
 
