@@ -30,7 +30,7 @@ from convoweave.session import cut, table
 
 THRESHOLD = 0.95
 TABLES, HASHES, WIDTH = 24, 16, 6.0
-TILE = 1024
+TILE = 512
 SEED = 20240229
 
 
