@@ -18,9 +18,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from convoweave.session import cut, table
+from convoweave.session import cut, settings, table
 
 PREFIX = 32  # characters of the text that the splitters see
+BUFFERED = "128"
 PIECES = 400  # a text with over 1/400 of all rows is dealt over pieces
 
 
@@ -44,7 +45,9 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pi
         "doc_id", "text_sha256", F.col("_pieces").isNotNull().alias("_hot"),
         F.min("doc_id").over(whole_run).alias("_keep"), F.count("*").over(whole_run).alias("_size"), F.row_number().over(same).alias("_place"),
     )
-    found = cut(found)
+    # Beyond some rows, a group's texts go from plain buffers to memory that Spark manages and spills.
+    with settings(docs.sparkSession, spark__sql__windowExec__buffer__in__memory__threshold=BUFFERED):
+        found = cut(found)
     whole = found.where("_hot AND _place = 1").groupBy("text_sha256").agg(F.min("_keep").alias("_all_keep"), F.sum("_size").alias("_all_size"))
     put = found.join(F.broadcast(whole), "text_sha256", "left")
     keep = F.coalesce("_all_keep", "_keep")
