@@ -106,3 +106,30 @@ def deleted(folders: DataFrame, items: DataFrame, folder_id: int) -> tuple[DataF
     """folders and items without a folder and all below it, and the tombstones (id) of what went."""
     gone = cut(paths(folders, folders.where(F.col("id") == folder_id)).select("id"))
     return folders.join(gone, "id", "left_anti"), items.join(gone.withColumnRenamed("id", "folder_id"), "folder_id", "left_anti"), gone
+
+
+def added(items: DataFrame, new: DataFrame, at: float) -> DataFrame:
+    """`items` with those of `new` (folder_id, kind, ref, place) that are not there, behind the last of their folder, by place."""
+    key = ["folder_id", "kind", "ref"]
+    last = items.groupBy("folder_id").agg(F.max("position").alias("_last"))
+    fresh = new.dropDuplicates(key).join(items.select(*key), key, "left_anti").join(last, "folder_id", "left")
+    nth = F.row_number().over(Window.partitionBy("folder_id").orderBy("place", "kind", "ref"))
+    rows = fresh.select(*key, F.lit(None).cast("string").alias("alias"), (F.coalesce("_last", F.lit(-1.0)) + nth).cast("double").alias("position"), F.lit(at).alias("at"))
+    return items.select(*key, "alias", "position", "at").unionByName(rows)
+
+
+def removed(items: DataFrame, gone: DataFrame, at: float) -> tuple[DataFrame, DataFrame]:
+    """`items` without those of `gone` (folder_id, kind, ref), and tombstones for those that were there."""
+    key = ["folder_id", "kind", "ref"]
+    return items.join(gone, key, "left_anti"), items.join(gone, key, "left_semi").select(*key, F.lit(at).alias("removed_at"))
+
+
+def aliased(items: DataFrame, names: DataFrame) -> DataFrame:
+    """`items` with the aliases of `names` (folder_id, kind, ref, new_alias); an empty one takes the alias away."""
+    rows = items.join(names, ["folder_id", "kind", "ref"], "left")
+    return rows.withColumn("alias", F.when(F.col("new_alias").isNotNull(), filled(F.col("new_alias"))).otherwise(F.col("alias"))).drop("new_alias")
+
+
+def renamed(folders: DataFrame, names: DataFrame) -> DataFrame:
+    """`folders` with the names of `names` (id, new_name); empty names change nothing."""
+    return folders.join(names, "id", "left").withColumn("name", F.coalesce(filled(F.trim("new_name")), F.col("name"))).drop("new_name")

@@ -104,3 +104,15 @@ def active(age_seconds: Column, limit: int = 300) -> Column:
 def roll_up(shares: DataFrame) -> DataFrame:
     """device and percent: the least completion of its folders, between 0 and 100."""
     return shares.groupBy("device").agg(F.least(F.greatest(F.min("percent"), F.lit(0.0)), F.lit(100.0)).alias("percent"))
+
+
+def unhidden(hidden: DataFrame, unfolded: DataFrame, turns: DataFrame, session_id: str, at: float) -> tuple[DataFrame, DataFrame]:
+    """hidden without a session's turns and its sub-sessions', and unfolded with the time at which they came back."""
+    back = hide_scope(turns, session_id, at).select("turn_id", F.lit(at).alias("at"))
+    return hidden.join(back, "turn_id", "left_anti"), unfolded.join(back, "turn_id", "left_anti").unionByName(back.join(hidden, "turn_id", "left_semi"))
+
+
+def folded_state(hidden: DataFrame, unfolded: DataFrame) -> DataFrame:
+    """turn_id and hidden_at of turns whose last change was to hide them. unfolded: turn_id, at."""
+    rows = hidden.join(unfolded.withColumnRenamed("at", "_back"), "turn_id", "left")
+    return rows.where("_back IS NULL OR _back < hidden_at").drop("_back")

@@ -105,3 +105,8 @@ def related(hits: DataFrame, turns: DataFrame, session_id: str, k: int) -> DataF
     """The first min(k, 10) of `hits` that are in other sessions."""
     rows = F.broadcast(hits).join(turns.select("id", "session_id"), "id").where(F.col("session_id") != session_id)
     return rows.orderBy("place").limit(min(k, 10))
+
+
+def in_cluster(hits: DataFrame, points: DataFrame, cluster: int) -> DataFrame:
+    """`hits` on turns that have a point in a cluster of the map. points: cluster, turn_id."""
+    return hits.join(points.where(F.col("cluster") == cluster).select(F.col("turn_id").alias("id")), "id", "left_semi")

@@ -64,3 +64,24 @@ def slices(turns: DataFrame, most_bytes: int) -> DataFrame:
     """`turns` (file, offset) with slice: bounded reads that are cut where a turn starts."""
     first = F.min("offset").over(Window.partitionBy("file"))
     return turns.withColumn("slice", F.floor((F.col("offset") - first) / most_bytes).cast("long"))
+
+
+LIVE, HEAD = 5 << 20, 1 << 20
+
+
+def live_tail(files: DataFrame, cursors: DataFrame, most: int = LIVE) -> DataFrame:
+    """`changed` files with start moved on so that at most `most` bytes are read, and the bytes that this skips."""
+    rows = changed(files, cursors)
+    start = F.greatest(F.col("start"), F.col("length") - most)
+    return rows.withColumn("skipped", start - F.col("start")).withColumn("start", start)
+
+
+def unindexed(files: DataFrame, cursors: DataFrame, head: int = HEAD) -> DataFrame:
+    """Files that no cursor knows, cut to their first bytes: enough for a provisional row in the list of sessions."""
+    return files.join(cursors.select("path"), "path", "left_anti").withColumn("content", F.substring("content", 1, head))
+
+
+def adopted(found: DataFrame) -> DataFrame:
+    """session_id, count, started, ended and headline of provisional turns."""
+    order = F.struct("timestamp", "id")
+    return found.groupBy("session_id").agg(F.count("*").alias("count"), F.min("timestamp").alias("started"), F.max("timestamp").alias("ended"), F.min_by("question", order).alias("headline"))

@@ -171,3 +171,60 @@ def test_turn_stream(spark, tmp_path):
     versions = sorted(int(p.name) for p in (tmp_path / "out").iterdir() if p.name.isdigit())
     rows = spark.read.parquet(str(tmp_path / "out" / str(versions[-1]))).collect()
     assert {(r["id"], r["question"], r["answer"]) for r in rows} >= {("s:0", "q0", "a\nb"), ("s:3", "q3", "late")}
+
+
+def test_folder_items_come_and_go(spark):
+    items = spark.createDataFrame([(1, "turn", "a", None, 4.0, 1.0)], "folder_id long, kind string, ref string, alias string, position double, at double")
+    new = spark.createDataFrame([(1, "turn", "a", 0), (1, "turn", "c", 2), (1, "turn", "b", 1), (2, "session", "s", 0)], "folder_id long, kind string, ref string, place int")
+    more = fo.added(items, new, 9.0)
+    assert {(r["folder_id"], r["ref"]): r["position"] for r in more.collect()} == {(1, "a"): 4.0, (1, "b"): 5.0, (1, "c"): 6.0, (2, "s"): 0.0}
+    left, tombs = fo.removed(more, new.where("ref = 'b'").drop("place"), 10.0)
+    assert (left.count(), tombs.first()["removed_at"]) == (3, 10.0)
+    names = spark.createDataFrame([(1, "turn", "a", "mine")], "folder_id long, kind string, ref string, new_alias string")
+    assert {r["ref"]: r["alias"] for r in fo.aliased(left, names).collect()}["a"] == "mine"
+
+
+def test_folding_clocks(spark):
+    turns = spark.createDataFrame([("t1", "s", None), ("t2", "x", "/logs/s/subagents/agent-1.jsonl"), ("t3", "y", None)], "id string, session_id string, source_file string")
+    hidden = merge.hide_scope(turns, "s", 5.0)
+    assert {r["turn_id"] for r in hidden.collect()} == {"t1", "t2"}
+    none = spark.createDataFrame([], "turn_id string, at double")
+    left, back = merge.unhidden(hidden, none, turns, "s", 7.0)
+    assert (left.count(), back.count()) == (0, 2)
+    again = spark.createDataFrame([("t1", 8.0), ("t2", 6.0)], "turn_id string, hidden_at double")
+    assert [r["turn_id"] for r in merge.folded_state(again, back).collect()] == ["t1"]
+
+
+def test_mirror_grows_and_restores(spark):
+    from convoweave.sources import mirror
+
+    files = lambda *rows: spark.createDataFrame([(p, len(c), bytearray(c)) for p, c in rows], "path string, length long, content binary")
+    none = spark.createDataFrame([], "path string, mirrored long, generation int")
+    one = mirror.new_parts(files(("a", b"12345"), ("a.sync-conflict-20260101-010101-X", b"1")), none)
+    two = mirror.new_parts(files(("a", b"1234567")), mirror.cursors_of(one))
+    assert [(r["start"], r["end"], bytes(r["bytes"])) for r in two.collect()] == [(5, 7, b"67")]
+    both = one.union(two)
+    assert [(r["path"], bytes(r["content"]), r["intact"]) for r in mirror.restored(both).collect()] == [("a", b"1234567", True)]
+    assert not mirror.restored(two).first()["intact"]
+    shrunk = mirror.new_parts(files(("a", b"xy")), mirror.cursors_of(both))
+    assert bytes(mirror.restored(both.union(shrunk)).first()["content"]) == b"xy"
+    assert mirror.restored(both, files(("a", b""))).count() == 0
+
+
+def test_live_tails_and_unknown_files(spark):
+    from convoweave.streaming import incremental as inc
+
+    files = spark.createDataFrame([("a", 100, bytearray(b"x" * 100)), ("b", 50, bytearray(b"y" * 50))], "path string, length long, content binary")
+    cursors = spark.createDataFrame([("a", 20, 10)], "path string, offset long, hold_offset long")
+    assert {(r["path"], r["start"], r["skipped"]) for r in inc.live_tail(files, cursors, 40).collect()} == {("a", 60, 50), ("b", 10, 10)}
+    assert [(r["path"], len(r["content"])) for r in inc.unindexed(files, cursors, 8).collect()] == [("b", 8)]
+
+
+def test_quota_over_many_partitions(spark):
+    files = spark.createDataFrame([(f"f{k:03}", k % 7 + 1, (k * 37) % 101) for k in range(100)], "path string, size long, modified long").repartition(7)
+    rows = sorted(files.collect(), key=lambda r: (r["modified"], r["path"]), reverse=True)
+    want, total = set(), 0
+    for r in rows:
+        total += r["size"]
+        want |= {r["path"]} if total > 150 else set()
+    assert {r["path"] for r in archive_io.quota_victims(files, 150).collect()} == want
