@@ -169,7 +169,7 @@ def peer(spark, sf):
 PEER = """state AS (SELECT id, session_id, turn, question, answer, parser_version AS v, length(question) + length(answer) + 2 AS n FROM turns),
 peer0 AS (SELECT id || CASE WHEN turn % 5 = 0 THEN 'x' ELSE '' END AS id, 'elsewhere' AS session_id, question, CASE turn % 3 WHEN 0 THEN substr(answer, 1, 5) WHEN 1 THEN answer || ' and more' ELSE 'z' || substr(answer, 2) END AS answer, v FROM state),
 peer AS (SELECT *, length(question) + length(answer) + 2 AS n FROM peer0),
-met AS (SELECT coalesce(s.id, p.id) AS id, coalesce(s.session_id, p.session_id) AS session_id, s.answer AS sa, p.answer AS pa, s.id IS NULL AS fresh, p.id IS NULL AS alone, (p.v, p.n) {} (s.v, s.n) AS better FROM state s FULL JOIN peer p ON s.id = p.id)"""
+met AS (SELECT coalesce(s.id, p.id) AS id, coalesce(s.session_id, p.session_id) AS session_id, s.answer AS sa, p.answer AS pa, s.id IS NULL AS fresh, p.id IS NULL AS alone, p.id IS NOT NULL AND (p.v, p.n) {} (s.v, s.n) AS better FROM state s FULL JOIN peer p ON s.id = p.id)"""
 UPSERTED = "SELECT id, session_id, CASE WHEN fresh OR better THEN pa ELSE sa END AS answer, CASE WHEN alone THEN 'kept' WHEN fresh THEN 'inserted' WHEN better THEN 'replaced' ELSE 'rejected' END AS outcome FROM met"
 
 
