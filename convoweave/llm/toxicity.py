@@ -8,6 +8,8 @@ regression on the features and the probabilities of the categories before; it is
 probabilities of those, so that it sees earlier predictions as good as they will be, and applied with the models
 that all rows trained.
 
+Texts are rejected from the probability on that parts toxic from clean texts best, by the out-of-fold probabilities.
+
 Only training is bounded: SAMPLE labelled documents, those with the smallest hash of their identifier, and the
 FEATURES features that tell most. Candidate features are counted by Spark, and what comes to the driver is the sample's
 rows over those features. Scoring reads every whole text in tasks, without a shuffle.
@@ -36,7 +38,7 @@ FOLDS = 5
 BEGINNINGS = (4, 5)
 LEAST_TEXTS = 3  # toxic texts that a feature must be in
 CATEGORIES = ("word", "stem", "heavy", "toxic")
-REJECT = 0.4
+FALSE_ALARM = 20.0  # what rejecting a share of the clean texts costs against missing that share of the toxic ones
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -68,12 +70,23 @@ def logistic(x: np.ndarray, y: np.ndarray, start: np.ndarray | None = None, ridg
     return w
 
 
+def threshold(p: np.ndarray, y: np.ndarray) -> float:
+    """The probability in the middle of the gap that parts toxic from clean texts best, by out-of-fold probabilities."""
+    order = np.argsort(-p, kind="stable")
+    hits, alarms = np.cumsum(y[order]) / y.sum(), np.cumsum(1 - y[order]) / (1 - y).sum()
+    gain = np.where(np.r_[np.diff(p[order]) < 0, True], hits - FALSE_ALARM * alarms, -np.inf)
+    best = int(gain.argmax())
+    return float(p[order][best] + (p[order][best + 1] if best + 1 < len(p) else 0)) / 2
+
+
 @dataclass
 class Chain:
     """The trained models; weights[k] is over the features, the k earlier probabilities and one."""
 
     index: dict[str, int] = field(default_factory=dict)
     weights: list[np.ndarray] = field(default_factory=list)
+    reject: float = 1.0  # from this probability of the last category on, a text is rejected
+
 
     def score(self, text: str | None) -> list[float]:
         if not self.weights:
@@ -144,6 +157,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, size: int =
         for f in range(FOLDS):
             out[fold == f] = sigmoid(inputs[fold == f] @ logistic(inputs[fold != f], y[fold != f, c], chain.weights[-1]))
         before = np.hstack([before, out[:, None]])
+    chain.reject = threshold(before[:, -1], y[:, -1])
     return chain
 
 
@@ -154,7 +168,7 @@ def score(docs: DataFrame, chain: Chain, doc_id: str = "doc_id", text: str = "te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             p = np.round(np.array([chain.score(t) for t in b.column("t").to_pylist()]).reshape(-1, len(CATEGORIES)), 6)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(x) for x in p.T), pa.array(p[:, -1] >= REJECT)], ["doc_id", *names, "rejected"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(x) for x in p.T), pa.array(p[:, -1] >= chain.reject)], ["doc_id", *names, "rejected"])
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t"))
     schema = rows.select("doc_id").schema
@@ -169,7 +183,7 @@ def clean(docs: DataFrame, chain: Chain) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            yield b.filter(pa.array([chain.score(t)[-1] < REJECT for t in b.column(names.index("text")).to_pylist()], pa.bool_()))
+            yield b.filter(pa.array([chain.score(t)[-1] < chain.reject for t in b.column(names.index("text")).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
