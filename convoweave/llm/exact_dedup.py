@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from convoweave.llm.rows import kept_rows
 from convoweave.session import cut, settings, table
 
 PREFIX = 32  # characters of the text that the splitters see
@@ -57,6 +58,12 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pi
     )
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """`docs` (doc_id, text and others) with one row of each group of equal texts, the one with the smallest doc_id."""
+    told = exact_groups(docs).select("doc_id", F.col("text_sha256").alias("digest"), "kept")
+    return kept_rows(docs, F.sha2(normalised(), 256), told)
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of equal texts over all of `documents`."""
     return exact_groups(table(spark, sf_dir, "documents"))

@@ -13,8 +13,8 @@ Selection: a shard's documents, in the order of a seeded hash, make one line of
 spread over the blocks from a seeded start, so that two blocks differ by one repeat at most; a document takes the
 words of its blocks. No text is moved to decide any of this, and a rerun decides alike.
 
-Defined results: null texts have size 0 and take nothing; repeated rows count each; empty tables give empty
-results; extra columns are ignored (`mixed` keeps them).
+Defined results: null texts have size 0 and take nothing; rows without an identifier are dealt and taken like others;
+repeated rows count each; empty tables give empty results; extra columns are ignored (`mixed` keeps them).
 """
 
 from __future__ import annotations
@@ -87,27 +87,30 @@ def shard_quotas(cells: DataFrame) -> DataFrame:
     return placed.groupBy("rank", "shard").agg(F.first("words").alias("words"), (F.first("_sure") + won).alias("shard_quota"))
 
 
-def plan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", block: int = BLOCK, shard: int = SHARD) -> DataFrame:
+def plan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", block: int = BLOCK, shard: int = SHARD, carry: bool = False) -> DataFrame:
     """For every row of `docs`: doc_id, size, source_size, target, taken, and how its words are repeated.
 
     start, blocks, shard_quota, first: the row's first word in its shard's line, the line's blocks, the shard's quota
-    and the seeded start; `repeats` tells from these how often a word is taken.
+    and the seeded start; `repeats` tells from these how often a word is taken. With `carry`, the whole row comes along
+    as `row`, so that repeated rows and rows without an identifier each have a plan of their own.
     """
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
-    sizes = cut(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size.alias("size")))
+    sized = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size.alias("size"), *([F.struct(*names(docs)).alias("row")] if carry else []))
+    sizes = cut(sized.select("doc_id", "source", "size"))
     sources = ranked(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), [F.col("source").asc_nulls_last()])
     sources = cut(source_quotas(targets(sources), block))
     n = sources.count()
-    placed = sizes.alias("d").join(small_or_shuffled(sources.select(F.col("source").alias("_source"), "rank", "source_size", "target", "quota"), n, 128), F.col("source").eqNullSafe(F.col("_source")))
+    placed = (sized if carry else sizes).join(small_or_shuffled(sources.select(F.col("source").alias("_source"), "rank", "source_size", "target", "quota"), n, 128), F.col("source").eqNullSafe(F.col("_source")))
     shards = F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard))
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     placed = placed.withColumn("shard", F.pmod(drawn(F.lit("shard"), key), shards)).drop("_source")
     cells = placed.groupBy("rank", "shard").agg(F.sum("size").alias("words"), F.first("source_size").alias("source_size"), F.first("quota").alias("quota"))
     quotas = cut(shard_quotas(cells))
     blocks = F.ceil(F.col("words") / block).cast("long")
-    line = Window.partitionBy("rank", "shard").orderBy(drawn(F.lit("order"), key), "doc_id", "size")
+    tie = [F.xxhash64(F.col("row").getField(text))] if carry else []
+    line = Window.partitionBy("rank", "shard").orderBy(drawn(F.lit("order"), key), "doc_id", "size", *tie).rowsBetween(Window.unboundedPreceding, 0)
     rows = placed.join(quotas, ["rank", "shard"]).select(
-        "doc_id", "source", "size", "source_size", "target", blocks.alias("blocks"), F.least("shard_quota", blocks * REPEATS).alias("shard_quota"),
+        "doc_id", "source", "size", "source_size", "target", *(["row"] if carry else []), blocks.alias("blocks"), F.least("shard_quota", blocks * REPEATS).alias("shard_quota"),
         (F.sum("size").over(line) - F.col("size")).alias("start"), F.pmod(drawn(F.lit("first"), F.col("rank"), F.col("shard")), F.greatest(blocks, F.lit(1))).alias("first"),
     )
     return rows.withColumn("taken", F.when(F.col("size") > 0, taken_before(F.col("start") + F.col("size"), block) - taken_before(F.col("start"), block)).otherwise(F.lit(0)).cast("long"))
@@ -129,20 +132,25 @@ def taken_before(at: Column, block: int) -> Column:
     return repeats_before(F.floor(at / block)) * block + at % block * repeats(at, block)
 
 
+def names(docs: DataFrame) -> list[Column]:
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
 def mixed(docs: DataFrame, block: int = BLOCK, shard: int = SHARD) -> DataFrame:
     """The mix itself, with the columns of `docs` (doc_id, text, source, n_chars and others).
 
     A document comes once for each repeat, with the words that are taken as often; words that the mix leaves out are
-    left out of the text. doc_id tells documents apart.
+    left out of the text. Texts are shuffled once, to their shards.
     """
-    plans = plan(docs, block=block, shard=shard).where("taken > 0").select(F.col("doc_id").alias("_id"), "size", "start", "blocks", "shard_quota", "first")
-    joined = docs.join(plans, F.col("doc_id") == F.col("_id"))
     whole = F.floor(F.col("shard_quota") / F.col("blocks"))
-    levels = joined.select("*", F.explode(F.sequence(F.lit(1).cast("long"), whole + 1)).alias("_level"))
-    words = F.regexp_extract_all(F.col("text"), F.lit(r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]*)"), 1)
+    plans = plan(docs, block=block, shard=shard, carry=True).where("taken > 0")
+    levels = plans.select("*", F.explode(F.sequence(F.lit(1).cast("long"), whole + 1)).alias("_level"))
+    words = F.regexp_extract_all(F.col("row.text"), F.lit(r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]*)"), 1)
     some = F.array_join(F.filter(words, lambda _, i: repeats(F.col("start") + i, block) > whole), "")
-    text = F.when(F.col("_level") <= whole, F.col("text")).otherwise(some)
-    return levels.withColumn("text", text).where("text <> ''").withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    text = F.when(F.col("_level") <= whole, F.col("row.text")).otherwise(some)
+    put = {"text": F.col("_text"), "n_chars": F.char_length("_text").cast("long")}
+    found = levels.withColumn("_text", text).where("_text <> ''")
+    return found.select(*((put[c] if c in put else F.col("row").getField(c)).alias(c) for c in docs.columns))
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

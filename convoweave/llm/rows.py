@@ -25,6 +25,24 @@ def small_or_shuffled(df: DataFrame, rows: int, bytes_per_row: int = 64) -> Data
     return F.broadcast(df) if rows * bytes_per_row <= BROADCAST_BYTES else df
 
 
+def kept_rows(docs: DataFrame, digest: Column, told: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """The rows of `docs`, with their own columns, that `told` (doc_id, digest, kept) keeps; of repeated rows one.
+
+    A row is told by its identifier and the digest of its text. Only rows that go, or stand there again, are joined;
+    their table is broadcast if it is small.
+    """
+    marks = told.groupBy("doc_id", "digest").agg(F.max("kept").alias("kept"), F.count("*").alias("n")).where("NOT kept OR n > 1")
+    marks = cut(marks.select(F.col("doc_id").alias("_mark_id"), F.col("digest").alias("_mark_digest"), "kept"))
+    n, again = marks.agg(F.count("*"), F.count(F.when(F.col("kept"), 1))).first()
+    rows = docs.withColumn("_row_digest", digest)
+    same = F.col(f"`{doc_id}`").eqNullSafe(F.col("_mark_id")) & (F.col("_row_digest") == F.col("_mark_digest"))
+    left = rows.join(small_or_shuffled(marks.drop("kept"), n, 128), same, "left_anti")
+    if again:
+        repeated = rows.join(small_or_shuffled(marks.where("kept").drop("kept"), again, 128), same, "left_semi")
+        left = left.union(repeated.dropDuplicates([doc_id, "_row_digest"]))
+    return left.drop("_row_digest")
+
+
 def ranked(df: DataFrame, order: Sequence[Column], name: str = "rank") -> DataFrame:
     """`df` with each row's place, from 0, in a total order, by one distributed sort.
 

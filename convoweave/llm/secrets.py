@@ -24,6 +24,8 @@ from convoweave.session import table
 KINDS = ("assign", "access", "hex", "guess")
 LEAST = {"assign": 6, "access": 20, "hex": 24}  # characters; of an assignment's value
 LEAST_COST = 8.0  # log10 of guesses from which a value in context counts
+UNIT = 4  # characters at most that a repeat repeats
+LONGEST_WALK = 32  # keys at most of one walk; a longer one is several segments
 SPANS = T.ArrayType(T.StructType().add("kind", "string").add("start", "integer").add("end", "integer").add("cost", "double"))
 
 #: Common passwords and words in them, the most common first.
@@ -59,12 +61,24 @@ def alphabet(c: str) -> float:
     return log10(10 if c.isdigit() else 26 if c.isascii() and c.isalpha() else 33 if c.isascii() else 1000)
 
 
+def key_step(a: str, b: str) -> tuple | None:
+    """How a walk goes from one key to the next, on the keyboard or in the alphabet; None if it does not."""
+    if (a, b) in NEAR:
+        return PLACE[b][0] - PLACE[a][0], PLACE[b][1] > PLACE[a][1]
+    return (ord(b) - ord(a),) if abs(ord(b) - ord(a)) == 1 else None
+
+
 def guess_cost(value: str) -> float:
     """log10 of the guesses that the cheapest segmentation of `value` takes."""
     n, low = len(value), value.lower()
     plain = low.translate(LEET)
     brute = [alphabet(c) for c in value]
     best = [0.0] + [float("inf")] * n
+    alike = [[0] * (n + 1) for _ in range(UNIT + 1)]  # how far, from a place on, each character is the one `unit` places later
+    for unit in range(1, UNIT + 1):
+        row = alike[unit]
+        for i in range(n - unit - 1, -1, -1):
+            row[i] = row[i + 1] + 1 if value[i] == value[i + unit] else 0
 
     def offer(start: int, end: int, cost: float) -> None:
         best[end] = min(best[end], best[start] + cost + (0.3 if start else 0.0))  # each further segment: where it is cut
@@ -79,17 +93,12 @@ def guess_cost(value: str) -> float:
                 offer(i, i + k, log10(rank + 1) + 0.5 * cased + 0.7 * leet)
         if date := DATE.match(value, i):
             offer(i, date.end(), 4.7 if date.end() - i > 4 else 2.2)
-        if i == 0 or value[i - 1] != value[i] or value[i : i + 2] != value[i - 1 : i + 1]:
-            for unit in range(1, 5):  # a unit of up to four characters again and again
-                end = i + unit
-                while end < n and value[end] == value[end - unit]:
-                    end += 1
-                times = (end - i) // unit
-                if times > 2 or unit > 1 and times > 1:
-                    offer(i, i + times * unit, sum(brute[i : i + unit]) + log10(times))
+        for unit in range(1, UNIT + 1):  # a unit of up to four characters again and again
+            times = (alike[unit][i] + unit) // unit
+            if times > 2 or unit > 1 and times > 1:
+                offer(i, i + times * unit, sum(brute[i : i + unit]) + log10(times))
         end, turns, step = i + 1, 0, None
-        while end < n and ((low[end - 1], low[end]) in NEAR or abs(ord(low[end]) - ord(low[end - 1])) == 1):
-            now = ord(low[end]) - ord(low[end - 1]) if (low[end - 1], low[end]) not in NEAR else (PLACE[low[end]][0] - PLACE[low[end - 1]][0], PLACE[low[end]][1] > PLACE[low[end - 1]][1])
+        while end < min(n, i + LONGEST_WALK) and (now := key_step(low[end - 1], low[end])):
             turns += step is not None and now != step
             step = now
             end += 1

@@ -25,10 +25,10 @@ from itertools import accumulate, product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from xxhash import xxh64_intdigest
 
-from convoweave.llm.rows import Forest, components, slices, small_or_shuffled
+from convoweave.llm.rows import Forest, components, kept_rows, slices, small_or_shuffled
 from convoweave.session import cut, table
 
 WORDS, SEED, BITS = 3, 42, 64
@@ -54,15 +54,20 @@ def fingerprint(raw: bytes | None) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def text_digest(text: str = "text") -> Column:
+    return F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
+
+
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of every row."""
+    """doc_id, fp (the fingerprint as a signed long) and digest (SHA-256 of the text) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             found = np.array([fingerprint(x) for x in b.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found.view(np.int64)), b.column(2)], ["doc_id", "fp", "digest"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("t")).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("t"), text_digest(text).alias("digest"))
+    return rows.mapInArrow(run, "doc_id long, fp long, digest string")
 
 
 def half_offsets(segments: int, radius: int) -> np.ndarray:
@@ -140,18 +145,30 @@ def links(classes: DataFrame, radius: int = 2, segments: int = 8, tile: int = TI
 
 
 def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = 2, segments: int = 8, tile: int = TILE) -> DataFrame:
-    """doc_id, fingerprint (16 hexadecimal digits) and component_id (the smallest doc_id that links reach) of every row."""
+    """doc_id, fingerprint (16 hexadecimal digits), component_id (the smallest doc_id that links reach) and digest of every row."""
     rows = cut(fingerprints(docs, doc_id, text))
     classes = cut(rows.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("id")))
     roots = components(links(classes, radius, segments, tile))
     label = cut(classes.join(roots, F.col("id") == F.col("node"), "left").select("fp", F.coalesce("root", "id").alias("component_id")))
     found = rows.join(label, "fp", "left")
-    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"), "digest")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """`docs` (doc_id, text and others) with one row of each component, and all rows without an identifier.
+
+    The component's smallest doc_id stays; of several texts with that doc_id, the one with the smallest digest.
+    """
+    rows = near_groups(docs)
+    first = cut(rows.where("doc_id = component_id").groupBy("component_id").agg(F.min("digest").alias("first"), F.count_distinct("digest").alias("n")).where("n > 1"))
+    told = rows.join(small_or_shuffled(first.select("component_id", "first"), first.count(), 128), "component_id", "left")
+    kept = F.col("doc_id").isNull() | ((F.col("doc_id") == F.col("component_id")) & (F.col("digest") == F.coalesce("first", "digest")))
+    return kept_rows(docs, text_digest(), told.select("doc_id", "digest", kept.alias("kept")).where("doc_id IS NOT NULL"))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components over all of `documents`."""
-    return near_groups(table(spark, sf_dir, "documents"))
+    return near_groups(table(spark, sf_dir, "documents")).drop("digest")
 
 
 QUERIES = {"op3_simhash": op3_simhash}

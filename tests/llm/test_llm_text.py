@@ -78,6 +78,23 @@ def test_secret_details():
         assert secrets.guess_cost(value) <= sum(map(secrets.alphabet, value)) + 0.3 * len(value) + 1e-9
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="aabbc123qwe-", max_size=14))
+def test_repeats_cost_what_the_cheapest_segmentation_costs(value):
+    """Of repeats and single characters alone, a plain search over all cuts finds nothing cheaper."""
+    whole = [(times, unit) for unit in range(1, 5) for times in range(2, 15) if times > (2 if unit == 1 else 1)]
+    for i in range(len(value)):
+        for times, unit in whole:
+            if value[i : i + unit] * times == value[i : i + unit * times] and len(value[i : i + unit * times]) == unit * times:
+                rest = sum(map(secrets.alphabet, value[:i])) + sum(map(secrets.alphabet, value[i + unit * times :]))
+                here = sum(map(secrets.alphabet, value[i : i + unit])) + np.log10(times) + (0.3 if i else 0)
+                assert secrets.guess_cost(value) <= rest + here + 1e-9
+
+
+def test_guess_cost_of_very_long_values():
+    assert secrets.guess_cost("ab" * 20_000) < secrets.LEAST_COST < secrets.guess_cost("qwertyuiop7Zk!" * 20 + "x9#")
+
+
 def test_secrets_odd_rows(spark):
     docs = spark.createDataFrame([(1, None, 0), (None, "token=abcdefgh", 0), (2, "", 0), (2, "", 0)], "doc_id long, text string, spans int")
     assert sorted((r["doc_id"] or 0, len(r["spans"])) for r in secrets.secret_spans(docs).collect()) == [(0, 1), (1, 0), (2, 0), (2, 0)]

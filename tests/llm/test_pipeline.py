@@ -32,6 +32,27 @@ def test_each_stage_keeps_the_columns_and_does_its_work(spark, tmp_path):
     assert {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"} == set(docs.columns)
 
 
+def test_stages_on_repeated_rows_and_null_identifiers(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, digest string"
+    long_text = " ".join(f"w{k}" for k in range(300))
+    data = [(1, "same  text here", "en", "a"), (1, "same text here", "en", "a"), (2, "same text here", "en", "b"), (2, "other words stand here", "en", "b"), (3, long_text, "en", None), (3, long_text, "en", None),
+            (None, "same text here", "en", "a"), (None, "no id at all", None, "b"), (4, None, "en", "a"), (5, "", "en", "a")]
+    docs = spark.createDataFrame([(*r, 0, "clash") for r in data], schema).repartition(3)
+    once = exact_dedup.one_of_each(docs)
+    assert once.columns == docs.columns
+    kept = sorted((r["doc_id"] or 0, " ".join((r["text"] or "").split())) for r in once.collect())
+    assert kept == [(0, "no id at all"), (1, "same text here"), (2, "other words stand here"), (3, long_text), (4, "")]
+    near = sorted((r["doc_id"] or 0, " ".join((r["text"] or "").split())) for r in simhash.one_of_each(docs.where("text <> ''")).collect())
+    assert [x for x in near if x[0]] == [(1, "same text here"), (2, "other words stand here"), (3, long_text)]
+    assert [x for x in near if not x[0]] == [(0, "no id at all"), (0, "same text here")]
+    for mix in (mixing.mixed(docs, block=2, shard=100), mixing.mixed(docs)):
+        assert mix.columns == docs.columns
+        got = sum(len(r["text"].split()) for r in mix.collect())
+        assert 0 < got <= 3 * sum(len((t or "").split()) for _, t, _, _ in data)
+    plan = mixing.plan(docs, block=2, shard=100)
+    assert sum(len(r["text"].split()) for r in mixing.mixed(docs, block=2, shard=100).collect()) == plan.groupBy().sum("taken").first()[0]
+
+
 def test_reruns_agree(spark):
     one, two = (sorted(map(tuple, cp.run(spark, "/root/testdata/sf0.001").collect())) for _ in range(2))
     assert one == two
