@@ -7,17 +7,10 @@ component; mixing repeats or cuts documents to the target weights; the last stag
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from convoweave.llm import exact_dedup, mixing, piece_bpe, simhash, toxicity
-from convoweave.llm.rows import small_or_shuffled
-from convoweave.session import cut, new_path, table
-
-
-def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """`docs` without the doc_ids in `dropped`; their table is broadcast only if its counted rows are few."""
-    dropped = cut(dropped.select(F.col("doc_id").alias("_dropped")).distinct())
-    return docs.join(small_or_shuffled(dropped, dropped.count(), 32), F.col("doc_id") == F.col("_dropped"), "left_anti")
+from convoweave.session import new_path, table
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,12 +20,12 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
-    return without(docs, exact_dedup.exact_groups(docs).where("NOT kept"))
+    return exact_dedup.one_of_each(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash component."""
-    return without(docs, simhash.near_groups(docs).where("doc_id <> component_id"))
+    return simhash.one_of_each(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
