@@ -29,7 +29,7 @@ from convoweave.llm.rows import slices
 from convoweave.session import table
 
 SPACE = "▁"  # what the model has for a space
-CACHED_WORDS = 600_000  # of a Python worker; the cache is emptied when it is full
+CACHED_WORDS = 100_000  # of a task; its cache is emptied when it is full
 FAR = np.iinfo(np.int64).max
 
 
@@ -80,7 +80,6 @@ class PieceModel:
         self.id_of_rank = np.zeros(len(words), np.int64)
         self.id_of_rank[list(rank.values())] = [words[p] for p in rank]
         self.n = n
-        self.known: dict[str, bytes] = {}  # words that a worker has met, up to CACHED_WORDS
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each pair's joined piece; FAR where there is none."""
@@ -141,13 +140,13 @@ class PieceModel:
         """Words of a text that has no spaces but SPACE, cut where no piece can lie across; joined they are the text."""
         return self.word_of.findall(text)
 
-    def encode_batch(self, texts: Iterable[str | None]) -> Iterator[bytes]:
-        """The ids of each text with begin and end ids."""
+    def encode_batch(self, texts: Iterable[str | None], known: dict[str, bytes] | None = None) -> Iterator[bytes]:
+        """The ids of each text with begin and end ids. known: the words that a task has met, with their ids."""
         begin, end = (np.array([x], "<u4").tobytes() for x in (self.bos, self.eos))
         words = [self.split(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        if len(self.known) > CACHED_WORDS:
-            self.known.clear()
-        known = self.known
+        known = {} if known is None else known
+        if len(known) > CACHED_WORDS:
+            known.clear()
         new = list(set(chain.from_iterable(words)).difference(known))
         if new:
             known.update(zip(new, self.merge(new), strict=True))
@@ -193,9 +192,9 @@ def encode(docs: DataFrame, model_path: str, text: str = "text", ids: str = "ids
     """`keep` columns and the ids of each row's text, as binary little-endian unsigned 32-bit integers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = load(model_path)
+        model, known = load(model_path), {}
         for b in slices(batches):
-            column = pa.array(model.encode_batch(b.column("_text").to_pylist()), pa.binary())
+            column = pa.array(model.encode_batch(b.column("_text").to_pylist(), known), pa.binary())
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), column], [*keep, ids])
 
     source = docs.select(*keep, F.col(text).alias("_text"))
@@ -220,10 +219,10 @@ def token_digests(docs: DataFrame, model_path: str, text: str = "text", keep: tu
     """`keep`, n_tokens, ids_sha256 and decoded_sha256: the round trip of every whole text, in one pass without a shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = load(model_path)
+        model, known = load(model_path), {}
         for b in slices(batches):
             n, encoded, decoded = [], [], []
-            for x in model.encode_batch(b.column("_text").to_pylist()):
+            for x in model.encode_batch(b.column("_text").to_pylist(), known):
                 n.append(len(x) // 4)
                 encoded.append(hashlib.sha256(x).hexdigest())
                 decoded.append(hashlib.sha256(model.decode(np.frombuffer(x, "<u4").tolist()).encode()).hexdigest())
