@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from html import unescape
 
@@ -33,7 +33,6 @@ from convoweave.llm.url_filter import host_of
 from convoweave.session import cut, table
 
 REFERENCES, LEAST_REFERENCES, CONSTANT = 8, 4, 0.8
-DEEPEST = 150  # elements nested deeper are read as siblings
 
 #: HTML elements by how they are read.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -66,7 +65,7 @@ class Node:
 
     @property
     def key(self) -> tuple[str, str]:
-        return self.tag, re.sub(r"\d+", "0", self.marks)
+        return self.tag, self.marks and re.sub(r"\d+", "0", self.marks)
 
     def own_text(self) -> str:
         return squeeze(" ".join(c for c in self.children if isinstance(c, str)))
@@ -80,27 +79,35 @@ def parse(html: str | None) -> Node:
     """The DOM tree of a page, as a browser would roughly build it."""
     root = Node("#page")
     stack = [root]
+    blocks: list[int] = []  # places in the stack of blocks
+    opened: dict[str, list[int]] = {}  # and of each tag
+
+    def close(k: int) -> None:
+        while len(stack) > k:
+            tag = stack.pop().tag
+            opened[tag].pop()
+            if tag in BLOCKS:
+                blocks.pop()
+
     for m in TOKEN.finditer(html or ""):
         raw, closing, tag, rest = m.groups()
         if tag:
             tag = tag.lower()
             if closing:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag == tag:
-                        del stack[k:]
-                        break
+                if opened.get(tag):
+                    close(opened[tag][-1])
                 continue
             marks = " ".join(f"{n.lower()}={a or b or c}" for n, a, b, c in ATTRIBUTE.findall(rest)) if rest.strip(" /") else ""
-            if tag in BLOCKS:  # a block ends an open paragraph, and some blocks end their like
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag == "p" or stack[k].tag in CLOSES.get(tag, ()):
-                        del stack[k:]
-                        break
-                    if stack[k].tag in BLOCKS:
-                        break
+            if tag in BLOCKS and blocks:  # a block ends an open paragraph, and some blocks end their like
+                nearest = stack[blocks[-1]].tag
+                if nearest == "p" or nearest in CLOSES.get(tag, ()):
+                    close(blocks[-1])
             node = Node(tag, marks)
             stack[-1].children.append(node)
-            if tag not in VOID and not rest.endswith("/") and len(stack) < DEEPEST:
+            if tag not in VOID and not rest.endswith("/"):
+                opened.setdefault(tag, []).append(len(stack))
+                if tag in BLOCKS:
+                    blocks.append(len(stack))
                 stack.append(node)
         elif raw:
             stack[-1].children.append(Node(raw.lower()))
@@ -113,37 +120,74 @@ def matched(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
     """Simple tree matching: the size of the largest order-keeping match of two trees with the same root, and its pairs."""
     if a.key != b.key:
         return 0, []
-    left, right = a.elements, b.elements
-    best = [[0] * (len(right) + 1) for _ in range(len(left) + 1)]
-    sub = {}
-    for i, x in enumerate(left, 1):
-        row, above = best[i], best[i - 1]
-        for j, y in enumerate(right, 1):
-            w = 0
-            if x.tag == y.tag and x.key == y.key:
-                w, _ = sub[i, j] = matched(x, y) if x.elements or y.elements else (1, [(x, y)])
-            row[j] = max(row[j - 1], above[j], above[j - 1] + w)
-    pairs, i, j = [(a, b)], len(left), len(right)
-    while i and j:
-        if (i, j) in sub and best[i][j] == best[i - 1][j - 1] + sub[i, j][0]:
-            pairs += sub[i, j][1]
-            i, j = i - 1, j - 1
-        elif best[i][j] == best[i - 1][j]:
-            i -= 1
-        else:
-            j -= 1
-    return best[-1][-1] + 1, pairs
-
-
-def packed(node: Node, constant: dict[int, str]) -> list:
-    """A wrapper node: tag, marks, constant text or null, children; alike varying siblings in a row are one slot."""
-    children, before = [], None
-    for c in node.elements:
-        slot = packed(c, constant)
-        if slot != before or slot[2] is not None:
-            children.append(slot)
-        before = slot
-    return [node.tag, node.marks, constant.get(id(node)), children]
+    done: dict[tuple[int, int], tuple[int, list]] = {}  # of a pair of nodes: its size, and its pairs of children with theirs
+    todo: list[tuple] = [(a, b, None)]
+    while todo:
+        x, y, known = todo.pop()
+        if known is None:
+            left, right = x.elements, y.elements
+            keys = [d.key for d in right]
+            alike = [[key == other for other in keys] for key in [c.key for c in left]]
+            todo.append((x, y, (left, right, alike)))
+            todo += [(c, d, None) for c, row in zip(left, alike, strict=True) for d, same in zip(right, row, strict=True) if same and (c.elements or d.elements)]
+            continue
+        left, right, alike = known
+        best = [[0] * (len(right) + 1) for _ in range(len(left) + 1)]
+        sub = {}
+        for i, row_alike in enumerate(alike, 1):
+            row, above = best[i], best[i - 1]
+            for j, same in enumerate(row_alike, 1):
+                w = 0
+                if same:
+                    sub[i, j] = done.pop((id(left[i - 1]), id(right[j - 1])), (1, []))
+                    w = sub[i, j][0]
+                row[j] = max(row[j - 1], above[j], above[j - 1] + w)
+        kids, i, j = [], len(left), len(right)
+        while i and j:
+            if (i, j) in sub and best[i][j] == best[i - 1][j - 1] + sub[i, j][0]:
+                kids.append((left[i - 1], right[j - 1], sub[i, j][1]))
+                i, j = i - 1, j - 1
+            elif best[i][j] == best[i - 1][j]:
+                i -= 1
+            else:
+                j -= 1
+        done[id(x), id(y)] = best[-1][-1] + 1, kids
+    size, kids = done[id(a), id(b)]
+    pairs, rest = [], [(a, b, kids)]
+    while rest:
+        x, y, kids = rest.pop()
+        pairs.append((x, y))
+        rest += reversed(kids)
+    return size, pairs
+
+
+def below(node: Node) -> Iterator[Node]:
+    """A node and the elements in it, in page order."""
+    todo = [node]
+    while todo:
+        node = todo.pop()
+        yield node
+        todo += reversed(node.elements)
+
+
+def packed(tree: Node, constant: dict[int, str]) -> list[list]:
+    """A wrapper: its different nodes, each behind those in it, with tag, marks, constant text or null, and children by
+    their places; alike varying siblings in a row are one slot."""
+    nodes: list[list] = []
+    known: dict[tuple, int] = {}
+    place: dict[int, int] = {}
+    for node in reversed(list(below(tree))):
+        children: list[int] = []
+        for c in node.elements:
+            slot = place.pop(id(c))
+            if not children or slot != children[-1] or nodes[slot][2] is not None:
+                children.append(slot)
+        key = node.tag, node.marks, constant.get(id(node)), tuple(children)
+        if key not in known:
+            known[key] = len(nodes)
+            nodes.append([*key[:3], children])
+        place[id(node)] = known[key]
+    return nodes
 
 
 def induce(pages: list[str]) -> str:
@@ -155,27 +199,25 @@ def induce(pages: list[str]) -> str:
     for other in trees[1:]:
         for x, y in matched(trees[0], other)[1]:
             same[id(x)] = same.get(id(x), 0) + (x.own_text() == y.own_text())
-    constant = {}
-
-    def look(node: Node) -> None:
-        if node.own_text() and same.get(id(node), 0) >= CONSTANT * (len(trees) - 1):
-            constant[id(node)] = node.own_text()
-        for c in node.elements:
-            look(c)
-
-    look(trees[0])
+    constant = {id(n): n.own_text() for n in below(trees[0]) if n.own_text() and same.get(id(n), 0) >= CONSTANT * (len(trees) - 1)}
     return json.dumps(packed(trees[0], constant), ensure_ascii=False)
 
 
 @lru_cache(maxsize=512)
 def unpacked(wrapper: str) -> Node:
-    def build(x: list) -> Node:
-        node = Node(x[0], x[1])
-        node.children = [*([x[2]] if x[2] is not None else []), *map(build, x[3])]
-        node.template = x[2] is not None
-        return node
-
-    return build(json.loads(wrapper))
+    nodes = json.loads(wrapper)
+    top = Node("")
+    todo = [(top, len(nodes) - 1)]
+    while todo:
+        parent, k = todo.pop()
+        tag, marks, constant, children = nodes[k]
+        node = Node(tag, marks)
+        node.template = constant is not None
+        if node.template:
+            node.children.append(constant)
+        parent.children.append(node)
+        todo += [(node, c) for c in reversed(children)]
+    return top.children[0]
 
 
 def unwanted(node: Node) -> bool:
@@ -192,17 +234,8 @@ def main_text(html: str | None, wrapper: str = "") -> str:
     if wrapper:
         for x, y in matched(page, unpacked(wrapper))[1]:
             x.template = y.template and x.own_text() == y.own_text()
-    articles: list[Node] = []
-
-    def find(node: Node) -> None:
-        for c in node.elements:
-            if c.tag in ("article", "main") or "role=main" in c.marks:
-                articles.append(c)
-            elif not unwanted(c):
-                find(c)
-
-    find(page)
-    inner = [a for x in articles if x.tag == "main" for a in nested(x)]  # an article says more than main
+    articles = inside(page, lambda c: c.tag in ("article", "main") or "role=main" in c.marks)
+    inner = [a for x in articles if x.tag == "main" for a in inside(x, lambda c: c.tag == "article")]  # an article says more than main
     blocks, line = [], []
 
     def end() -> None:
@@ -211,20 +244,21 @@ def main_text(html: str | None, wrapper: str = "") -> str:
         if text:
             blocks.append(text)
 
-    def walk(node: Node, in_article: bool) -> None:
-        block = node.tag in BLOCKS
-        if block:
-            end()
-        for c in node.children:
-            if isinstance(c, str):
-                if not node.template:
-                    line.append(c)
-            elif c.tag == "br":
+    def walk(top: Node, in_article: bool) -> None:
+        todo: list[Node | str | None] = [top]  # None: a block ends
+        while todo:
+            c = todo.pop()
+            if c is None:
+                end()
+            elif isinstance(c, str):
+                line.append(c)
+            elif c.tag == "br" and c is not top:
                 line.append(" ")
-            elif not unwanted(c) and (in_article or c.tag != "header"):
-                walk(c, in_article)
-        if block:
-            end()
+            elif c is top or not unwanted(c) and (in_article or c.tag != "header"):
+                if c.tag in BLOCKS:
+                    end()
+                    todo.append(None)
+                todo += [k for k in reversed(c.children) if not (c.template and isinstance(k, str))]
 
     for top in inner or articles or [page]:
         walk(top, top is not page)
@@ -232,13 +266,15 @@ def main_text(html: str | None, wrapper: str = "") -> str:
     return "\n\n".join(blocks)
 
 
-def nested(node: Node) -> list[Node]:
-    found = []
-    for c in node.elements:
-        if c.tag == "article":
+def inside(top: Node, wanted: Callable[[Node], bool]) -> list[Node]:
+    """The outermost wanted elements in an element, without those in unwanted ones."""
+    found, todo = [], top.elements[::-1]
+    while todo:
+        c = todo.pop()
+        if wanted(c):
             found.append(c)
         elif not unwanted(c):
-            found += nested(c)
+            todo += reversed(c.elements)
     return found
 
 

@@ -22,6 +22,15 @@ def test_parse_and_landmarks():
     assert mt.main_text("<div>" * 5000 + "deep") == "deep"
 
 
+def test_deep_nests_keep_their_place():
+    deep = "<div>" * 200 + "text" + "</div>" * 200
+    assert mt.main_text(f"<div id=page><article>{deep}<p>rest</p></article></div>") == "text\n\nrest"
+    menu = "<div>" * 200 + "<nav><a>Menu</a></nav><form>Name</form>text" + "</div>" * 200
+    assert mt.main_text(f"<article>{menu}</article>") == "text"
+    pages = [f"<body>{'<div>' * 3000}<b>Shop</b>{'<span>' * 3000}word {k}{'</div>' * 3000}<p>rest {k}</p></body>" for k in range(4)]
+    assert mt.main_text(pages[0], mt.induce(pages)) == "word 0\n\nrest 0"
+
+
 def site(k, words):
     return f"<html><head><title>Title {k}</title></head><body><div>Shop of things</div><div>About | Contact</div><h1>Title {k}</h1><p>{words}</p><div>All rights reserved</div></body></html>"
 
