@@ -1,19 +1,21 @@
 """Main text of web pages by wrapper induction.
 
-Pages of one host share a template. Up to REFERENCES pages of a host with different titles are parsed to DOM trees and
-aligned, by simple tree matching, with the first of them; nodes whose text stays the same in most of them become the
-wrapper's constant nodes, and runs of alike varying siblings become one slot. Every page is then aligned with its host's
-wrapper: nodes that match a constant node with the same text are template, all others are varying slots, and those in the
-article (or in the body, where no article is marked) are content. Elements that say by tag, role or class that they are
-menus, headers, footers, sidebars, notices, adverts, forms or comments are no content, however much they vary.
-
-The references are chosen from all pages by the smallest hash for each of REFERENCES residues of the title's hash, which
-aggregates before it shuffles; a host gives REFERENCES rows at most, however many pages it has. Wrappers are small
-texts; they are broadcast if their measured size allows, else joined by host.
+Pages of one host share templates. Every page is parsed to a DOM tree; the set of paths of its frames (elements that lay
+a page out) is its layout, and each text of an element is told by its path and itself. Over all different pages of a
+host and layout, texts that stand on most of them are the layout's constants. Its smallest page, with these as constant
+nodes and runs of alike varying siblings as one slot, is its wrapper. Every page is then aligned, by simple tree matching,
+with the wrapper of its own layout: nodes that match a constant node with the same text, and those with a constant that
+the smallest page lacks, are template, all others are varying slots, and those in the article (or in the body, where no
+article is marked) are content. Elements that say by tag, role or class that they are menus, headers, footers, sidebars,
+notices, adverts, forms or comments are no content, however much they vary.
+
+Texts are counted by 64-bit digests, which aggregate before they shuffle; pages with the same texts count once, so copies
+of a page do not make it a template. Layouts of fewer than LEAST_PAGES different pages take the wrapper that all pages of
+their host give. Wrappers are small texts; they are broadcast if their measured size allows, else joined.
 
 Defined results: null and empty html give an empty text; broken, unclosed or nested markup is read as far as it
-goes; hosts of fewer than LEAST_REFERENCES distinct titles have no wrapper and rely on tags; repeated rows give
-repeated results; extra columns are ignored.
+goes; hosts of fewer than LEAST_PAGES different pages have no wrapper and rely on tags; near copies count as different
+pages; repeated rows give repeated results; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,17 +24,17 @@ import json
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from hashlib import blake2b
 from html import unescape
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from convoweave.llm.rows import slices, small_or_shuffled
 from convoweave.llm.url_filter import host_of
 from convoweave.session import cut, table
 
-REFERENCES, LEAST_REFERENCES, CONSTANT = 8, 4, 0.8
+LEAST_PAGES, CONSTANT = 4, 0.8
 
 #: HTML elements by how they are read.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -41,6 +43,7 @@ BLOCKS = set("""address article aside blockquote body caption center dd details
 h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul""".split())
 DROPPED = set("""head title script style noscript template iframe object svg canvas audio video math nav menu aside footer form button
 select textarea input label dialog datalist""".split())
+FRAMES = set("html body div section article main header".split())  # others are unwanted, or texts, lists and tables
 #: Words in class, id or role that mark what is not main text.
 MARKS = set("""ad ads adv advert adverts advertisement advertising adsense banner banners sponsor sponsored promo promotion cookie cookies consent gdpr
 notice notices alert popup modal overlay newsletter subscribe subscription signup login sidebar aside widget menu nav navbar navigation
@@ -190,22 +193,45 @@ def packed(tree: Node, constant: dict[int, str]) -> list[list]:
     return nodes
 
 
-def induce(pages: list[str]) -> str:
-    """The wrapper of some pages of a host, as JSON; empty if they are too few."""
-    trees = [parse(p) for p in pages]
-    if len(trees) < LEAST_REFERENCES:
-        return ""
-    same: dict[int, int] = {}
-    for other in trees[1:]:
-        for x, y in matched(trees[0], other)[1]:
-            same[id(x)] = same.get(id(x), 0) + (x.own_text() == y.own_text())
-    constant = {id(n): n.own_text() for n in below(trees[0]) if n.own_text() and same.get(id(n), 0) >= CONSTANT * (len(trees) - 1)}
-    return json.dumps(packed(trees[0], constant), ensure_ascii=False)
+@lru_cache(maxsize=1 << 16)
+def path_below(path: bytes, tag: str) -> bytes:
+    return blake2b(path + tag.encode("utf-8", "surrogatepass"), digest_size=8).digest()
+
+
+def number(data: bytes) -> int:
+    return int.from_bytes(blake2b(data, digest_size=8).digest(), "little", signed=True)
+
+
+def readable(page: Node) -> Iterator[tuple[Node, bytes, int | None]]:
+    """The elements of a page that can be content, each with its path and a digest of path and own text (null if none)."""
+    todo = [(page, b"")]
+    while todo:
+        node, above = todo.pop()
+        path, text = path_below(above, node.tag), node.own_text()
+        yield node, path, number(path + text.encode("utf-8", "surrogatepass")) if text else None
+        todo += [(c, path) for c in reversed(node.elements) if not unwanted(c)]
+
+
+def described(html: str | None) -> tuple[int, bytes, set[int]]:
+    """The layout of a page, a digest of all its texts in order, and the digests of each."""
+    found = list(readable(parse(html)))
+    texts = [t for _, _, t in found if t is not None]
+    whole = blake2b(b"".join(t.to_bytes(8, "little", signed=True) for t in texts), digest_size=16).digest()
+    return number(b"".join(sorted({path for node, path, _ in found if node.tag in FRAMES}))), whole, set(texts)
+
+
+def induce(page: str | None, constants: set[int]) -> str:
+    """The wrapper of a layout, as JSON, of one of its pages and the digests of its constant texts."""
+    tree = parse(page)
+    constant = {id(node): node.own_text() for node, _, text in readable(tree) if text in constants}
+    lacking = constants.difference(text for _, _, text in readable(tree))
+    return json.dumps([packed(tree, constant), sorted(lacking)], ensure_ascii=False) if constants else ""
 
 
 @lru_cache(maxsize=512)
-def unpacked(wrapper: str) -> Node:
-    nodes = json.loads(wrapper)
+def unpacked(wrapper: str) -> tuple[Node, frozenset[int]]:
+    """The tree of a wrapper, and the constants that it lacks."""
+    nodes, lacking = json.loads(wrapper)
     top = Node("")
     todo = [(top, len(nodes) - 1)]
     while todo:
@@ -217,7 +243,7 @@ def unpacked(wrapper: str) -> Node:
             node.children.append(constant)
         parent.children.append(node)
         todo += [(node, c) for c in reversed(children)]
-    return top.children[0]
+    return top.children[0], frozenset(lacking)
 
 
 def unwanted(node: Node) -> bool:
@@ -232,8 +258,12 @@ def main_text(html: str | None, wrapper: str = "") -> str:
     """The content blocks of a page, joined by two line ends."""
     page = parse(html)
     if wrapper:
-        for x, y in matched(page, unpacked(wrapper))[1]:
+        tree, lacking = unpacked(wrapper)
+        for x, y in matched(page, tree)[1]:
             x.template = y.template and x.own_text() == y.own_text()
+        if lacking:
+            for x, _, text in readable(page):
+                x.template = x.template or text in lacking
     articles = inside(page, lambda c: c.tag in ("article", "main") or "role=main" in c.marks)
     inner = [a for x in articles if x.tag == "main" for a in inside(x, lambda c: c.tag == "article")]  # an article says more than main
     blocks, line = [], []
@@ -279,26 +309,65 @@ def inside(top: Node, wanted: Callable[[Node], bool]) -> list[Node]:
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """host and wrapper of the hosts of `pages` (page_id, url, html)."""
-    title = F.regexp_extract(F.coalesce("html", F.lit("")), r"(?is)<title[^>]*>(.{0,400}?)</title", 1)
-    light = pages.where("html <> ''").select(host_of(F.col("url")).alias("host"), "page_id", F.pmod(F.xxhash64(title), F.lit(REFERENCES)).alias("r"))
-    chosen = cut(light.where("host <> '' AND page_id IS NOT NULL").groupBy("host", "r").agg(F.min(F.struct(F.xxhash64("page_id").alias("h"), F.col("page_id"))).alias("x")))
-    ids = chosen.select(F.col("x.page_id").alias("page_id"), F.col("host").alias("of")).distinct()
-    pages_of = pages.select("page_id", "html").join(small_or_shuffled(ids, chosen.count(), 96), "page_id").select("of", "page_id", "html")
+    """host, layout (null: the other layouts of the host) and wrapper of the hosts of `pages` (page_id, url, html)."""
+    rows = pages.where("html <> ''").select(host_of(F.col("url")).alias("host"), "page_id", "html").where("host <> ''")
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            found = [described(h) for h in b.column("html").to_pylist()]
+            layout, whole, texts = ([f[k] for f in found] for k in range(3))
+            sizes = [len(h) for h in b.column("html").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [b.column("host"), b.column("page_id"), pa.array(layout, pa.int64()), pa.array(whole, pa.binary()), pa.array(sizes, pa.int64()), pa.array([sorted(t) for t in texts], pa.list_(pa.int64()))],
+                ["host", "page_id", "layout", "whole", "size", "texts"],
+            )
+
+    told = rows.mapInArrow(describe, rows.select("host", "page_id").schema.add("layout", "long").add("whole", "binary").add("size", "long").add("texts", T.ArrayType(T.LongType())))
+    smallest = F.min(F.when(F.col("page_id").isNotNull(), F.struct("size", F.xxhash64("page_id").alias("h"), "page_id"))).alias("x")
+    different = cut(told.groupBy("host", "layout", "whole").agg(smallest, F.first("texts").alias("texts")))
+    layouts = cut(different.groupBy("host", "layout").agg(F.count("*").alias("n"), F.min("x").alias("x")))
+    hosts = layouts.groupBy("host").agg(F.sum("n").alias("n"), F.min("x").alias("x"), F.min("n").alias("least")).where(f"least < {LEAST_PAGES}")
+    groups = cut(layouts.union(hosts.select("host", F.lit(None).cast("long"), "n", "x")).where(f"n >= {LEAST_PAGES}"))
+    n_groups = groups.count()
+    one = different.select("host", "layout", F.explode("texts").alias("text"))
+    other = one.select("host", F.lit(None).cast("long").alias("layout"), "text").join(small_or_shuffled(groups.where("layout IS NULL").select("host"), n_groups), "host", "left_semi")
+    counts = one.union(other.select("host", "layout", "text")).groupBy("host", "layout", "text").agg(F.count("*").alias("c")).where(f"c >= {CONSTANT * LEAST_PAGES}")
+    sizes = groups.select(F.col("host").alias("_host"), F.col("layout").alias("_layout"), "n")
+    same = (F.col("host") == F.col("_host")) & F.col("layout").eqNullSafe(F.col("_layout"))
+    constant = counts.join(small_or_shuffled(sizes, n_groups), same).where(F.col("c") >= F.col("n") * CONSTANT)
+    constants = constant.groupBy("host", "layout").agg(F.collect_list("text").alias("texts")).withColumnsRenamed({"host": "_host", "layout": "_layout"})
+    groups = cut(groups.join(constants, same, "left").select("host", "layout", F.col("x.page_id").alias("page_id"), "texts"))
+    chosen = groups.where("texts IS NOT NULL AND page_id IS NOT NULL").select("page_id").distinct()
+    examples = pages.select("page_id", "html").where("html <> ''").join(small_or_shuffled(chosen, n_groups, 96), "page_id", "left_semi")
+    examples = examples.groupBy("page_id").agg(F.min(F.struct(F.length("html").alias("size"), "html")).alias("e")).select("page_id", F.col("e.html").alias("html"))
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            made = [induce(h, set(t or ())) for h, t in zip(b.column("html").to_pylist(), b.column("texts").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("host"), b.column("layout"), pa.array(made, pa.string())], ["host", "layout", "wrapper"])
+
+    return cut(groups.join(examples, "page_id", "left").select("host", "layout", "html", "texts").mapInArrow(make, "host string, layout long, wrapper string"))
 
-    def make(key, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop_duplicates("page_id").sort_values("page_id")
-        return pd.DataFrame({"host": [key[0]], "wrapper": [induce(list(rows["html"]))]})
 
-    return cut(pages_of.groupBy("of").applyInPandas(make, "host string, wrapper string").where("wrapper <> ''"))
+def with_layouts(pages: DataFrame) -> DataFrame:
+    """`pages` (with html) and the layout of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            yield b.append_column("layout", pa.array([described(h)[0] for h in b.column("html").to_pylist()], pa.int64()))
+
+    return pages.mapInArrow(run, pages.select("*").schema.add("layout", "long"))
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
     """page_id, url and text of every row of `pages`."""
     rules = wrappers(pages)
     n, size = rules.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("wrapper")), F.lit(0))).first()
-    rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
-    joined = rows.join(small_or_shuffled(rules, n, size // max(1, n) + 64), "host", "left").select("page_id", "url", "html", "wrapper")
+    own, other = rules.where("layout IS NOT NULL"), rules.where("layout IS NULL").select("host", F.col("wrapper").alias("other"))
+    rows = with_layouts(pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host")))
+    for rule, on in ((own, ["host", "layout"]), (other, ["host"])):
+        rows = rows.join(small_or_shuffled(rule, n, size // max(1, n) + 64), on, "left")
+    joined = rows.select("page_id", "url", "html", F.coalesce("wrapper", "other").alias("wrapper"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):

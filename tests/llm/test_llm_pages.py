@@ -28,7 +28,7 @@ def test_deep_nests_keep_their_place():
     menu = "<div>" * 200 + "<nav><a>Menu</a></nav><form>Name</form>text" + "</div>" * 200
     assert mt.main_text(f"<article>{menu}</article>") == "text"
     pages = [f"<body>{'<div>' * 3000}<b>Shop</b>{'<span>' * 3000}word {k}{'</div>' * 3000}<p>rest {k}</p></body>" for k in range(4)]
-    assert mt.main_text(pages[0], mt.induce(pages)) == "word 0\n\nrest 0"
+    assert mt.main_text(pages[0], mt.induce(pages[0], mt.described(pages[0])[2] & mt.described(pages[1])[2])) == "word 0\n\nrest 0"
 
 
 def site(k, words):
@@ -52,6 +52,20 @@ def test_wrapper_drops_what_is_constant_on_a_host(spark):
     assert mt.main_texts(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_wrappers_of_all_layouts_without_titles(spark):
+    rows = [(k, f"http://one.example/{k}", f"<body><div>Shop</div><p>words {k}</p></body>") for k in range(40)]  # no titles
+    rows += [(100 + k, f"http://one.example/{k}", f"<body><section><div>Wiki</div><div>Terms</div><p>entry {k}</p></section></body>") for k in range(6)]
+    rows += [(200 + k, f"http://one.example/{k}", "<title>Same</title><body><section><section><p>copied</p></section></section></body>") for k in range(9)]  # one page
+    rows += [(300, "http://one.example/a", "<body><div>Shop</div><div><div><p>odd</p></div></div></body>")]  # a layout of its own
+    rows += [(400 + k, "http://two.example/", f"<title>Same</title><body><div>{'Top' if k else ''}</div><p>text {k}</p></body>") for k in range(5)]
+    got = {r["page_id"]: r["text"] for r in mt.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[k] for k in range(40)] == [f"words {k}" for k in range(40)]
+    assert [got[100 + k] for k in range(6)] == [f"entry {k}" for k in range(6)]
+    assert [got[200 + k] for k in range(9)] == ["copied"] * 9
+    assert got[300] == "odd"
+    assert [got[400 + k] for k in range(5)] == [f"text {k}" for k in range(5)]
+
+
 def test_simple_tree_matching():
     a, b = mt.parse("<div><p>1</p><span>x</span><p>2</p></div>"), mt.parse("<div><span>y</span><p>1</p><p>3</p></div>")
     size, pairs = mt.matched(a, b)
