@@ -2,14 +2,14 @@
 
 Equal vectors are one class, whose size counts in the links. A class is hashed into TABLES tables: each takes HASHES
 random projections of the normalised vector, quantised with WIDTH, so vectors at a small Euclidean distance often
-share all of them. Buckets of one class are dropped before any vector moves; the classes of the other buckets meet with
-their vectors, and every pair's cosine is computed in double precision. A pair that shares several buckets counts in the
+share all of them. Buckets of one class, and of the classes of which another bucket consists, are dropped before any
+vector moves; the classes of the other buckets meet with their vectors, and every pair's cosine is computed in double precision. A pair that shares several buckets counts in the
 first table that both share, so links need no removal of doubles and no list of pairs: tasks give sums of links and a
 star for each tree of a spanning forest.
 
 Buckets of over TILE classes are dealt over parts by hash, and each pair of parts meets in a cell of its own; nothing is
-capped. At cosine 0.95 a pair shares a bucket with probability 0.92, at 0.98 with 0.999 (16 hashes, width 6 times the
-distance at the threshold, 24 tables); every link that is found is exact.
+capped. At cosine 0.95 a pair shares a bucket with probability 0.995 (22 hashes, width 6 times the distance at the
+threshold, 120 tables), above it with more; every link that is found is exact.
 
 Defined results: vectors that are null, empty, zero or hold a null or non-finite number link with nothing and are
 kept; vectors of other lengths never meet; rows without vec_id have no component; repeated rows link to each other;
@@ -29,7 +29,7 @@ from convoweave.llm.rows import components, slices
 from convoweave.session import cut, table
 
 THRESHOLD = 0.95
-TABLES, HASHES, WIDTH = 24, 16, 6.0
+TABLES, HASHES, WIDTH = 120, 22, 6.0
 TILE = 512
 SEED = 20240229
 
@@ -68,7 +68,7 @@ def signed(classes: DataFrame, threshold: float, tables: int, hashes: int, width
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        for b in slices(batches, 2048):
+        for b in slices(batches, 512):
             keys: list = [None] * b.num_rows
             vectors = [np.frombuffer(v) for v in b.column("vec").to_pylist()]
             for d in {len(v) for v in vectors}:
@@ -120,8 +120,8 @@ def compared(b: pa.RecordBatch, starts: np.ndarray, threshold: float) -> Iterato
         if not len(i):
             continue
         counts = np.zeros((2, e - s), np.int64)
-        for c in range(0, len(i), 1 << 16):
-            p, q = rows[i[c : c + (1 << 16)]], columns[j[c : c + (1 << 16)]]
+        for c in range(0, len(i), 1 << 14):
+            p, q = rows[i[c : c + (1 << 14)]], columns[j[c : c + (1 << 14)]]
             here = (k[p] == k[q]).argmax(axis=1) == at[s]
             np.add.at(counts[0], p[here], n[s + q[here]])
             np.add.at(counts[1], q[here], n[s + p[here]])
@@ -153,7 +153,10 @@ def near_vectors(
     classes = cut(sound_rows.groupBy("digest").agg(F.min("vec_id").alias("id"), F.count("*").alias("n"), F.first("vec").alias("vec")))
     marked = cut(signed(classes, threshold, tables, hashes, width))
     entries = marked.select("id", F.posexplode("keys").alias("at", "bucket"))
-    shared = cut(entries.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1"))
+    members = [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"_{k}") for k in range(2)]
+    shared = entries.groupBy("bucket").agg(F.count("*").alias("m"), F.min("at").alias("at"), *members).where("m > 1")
+    first = F.min(F.struct("at", "bucket"))  # a pair counts in the first table that it shares, so of buckets with the same members the first does
+    shared = cut(shared.groupBy("m", "_0", "_1").agg(first.alias("x")).select("x.bucket", "m"))
     live = entries.join(shared, "bucket").withColumn("parts", F.ceil(F.col("m") / tile))
     live = live.withColumn("part", F.pmod(F.xxhash64("id"), "parts")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     cells = live.select("bucket", "at", "part", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"), "id").join(marked, "id").where(F.element_at("keys", F.col("at") + 1) == F.col("bucket"))

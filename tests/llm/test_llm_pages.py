@@ -128,6 +128,29 @@ def test_recall_at_the_threshold_and_split_buckets(spark):
     assert all(got[i] == want[i] for i in range(300, 420))
 
 
+def planted(pairs, seed, low=0.95, high=0.955):
+    """Rows of pairs of vectors with cosines from `low` to `high`."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for k in range(pairs):
+        a, b = rng.normal(size=(2, 64))
+        a /= np.linalg.norm(a)
+        b -= (a @ b) * a
+        b /= np.linalg.norm(b)
+        c = rng.uniform(low, high)
+        rows += [(2 * k, a.tolist()), (2 * k + 1, (c * a + np.sqrt(1 - c * c) * b).tolist())]
+    return rows
+
+
+def test_recall_of_pairs_right_above_the_threshold(spark):
+    rows = planted(2000, 6)
+    want, links = brute(rows)
+    assert links >= 3990
+    got = {r["vec_id"]: r["n_links"] for r in vd.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert all(got[i] <= want[i][0] for i in want)
+    assert sum(got.values()) >= 0.99 * links
+
+
 def test_vectors_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [1.0, nan]), (6, [inf, 0.0]), (7, [1.0, None]), (8, []), (9, [1.0, 0.0, 0.0]), (None, [1.0, 0.0]), (1, [1.0, 0.0]), (10, [-1.0, 0.0]), (11, [1e38, 0.0])]
