@@ -96,7 +96,7 @@ class Archive:
         acts = F.from_json("actions", ACTIONS)
         texts = changed.where(worth_embedding(F.col("question"), F.col("answer"), acts)).select("id", embed_text(F.col("question"), F.col("answer"), acts).alias("embed_text"))
         old = self.table("chunks")
-        chunks = cut(merge.stale_chunks(old, changed).select(*old.columns).unionByName(chunking.chunks(texts).select(*old.columns)))
+        chunks = cut(merge.stale_chunks(old, changed).select(*old.columns).unionByName(chunking.chunks(texts, limit=None).select(*old.columns)))
         self.save("turns", turns)
         self.save("chunks", chunks)
         self.embed(turns, chunks)

@@ -56,9 +56,10 @@ def hard_cut(text: Column, most: int = CHUNK) -> Column:
     return F.when(count > 0, F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), lambda i: F.substr(text, i * most + 1, F.lit(most)))).otherwise(F.array().cast("array<string>"))
 
 
-def chunks(turns: DataFrame, text: str = "embed_text", turn_id: str = "id") -> DataFrame:
-    """chunk_key, turn_id, idx and text; only texts that are too long for one chunk pass through Python."""
-    rows = turns.select(F.col(turn_id).alias("turn_id"), F.substring(text, 1, WHOLE).alias("_text")).where(F.trim("_text") != "")
+def chunks(turns: DataFrame, text: str = "embed_text", turn_id: str = "id", limit: int | None = WHOLE) -> DataFrame:
+    """chunk_key, turn_id, idx and text of the first `limit` characters of texts, or of whole texts without a limit; only texts that are too long for one chunk pass through Python."""
+    whole = F.col(text) if limit is None else F.substring(text, 1, limit)
+    rows = turns.select(F.col(turn_id).alias("turn_id"), whole.alias("_text")).where(F.trim("_text") != "")
     long = F.char_length("_text") > CHUNK
     short = rows.where(~long).select("turn_id", F.lit(0).alias("idx"), F.col("_text").alias("text"))
     cut = rows.where(long).withColumn("_parts", split(F.col("_text")))

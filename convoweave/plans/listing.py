@@ -280,7 +280,7 @@ def chunk_overlap(spark, sf):
 @query("chunk_recursive")
 def chunk_recursive(spark, sf):
     rows = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("embed_text"))
-    return chunking.chunks(rows)
+    return chunking.chunks(rows, limit=None)
 
 
 @query("export_ndjson")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from convoweave.functions import text, times, vectors
 from convoweave.operators import chunking, enrich, folders as fo, keyword, merge, quality, search, semantic_map as sm, turns as tu
+from convoweave.plans import listing
 from convoweave.sources import archive_io
 from convoweave.streaming.turn_stream import keep_latest, stream_turns
 
@@ -21,6 +22,22 @@ def test_chunk_pieces():
     assert chunking.pieces("a" * 25, 10) == ["a" * 10, "a" * 10, "a" * 5]
 
 
+def test_chunks_hold_whole_long_texts(spark):
+    text = " ".join(f"w{k:04d}" for k in range(4000))
+    rows = spark.createDataFrame([("a", text)], "id string, embed_text string")
+    found = "\n".join(r["text"] for r in chunking.chunks(rows, limit=None).collect())
+    assert all(word in found for word in text.split())
+    assert sum(len(r["text"]) for r in chunking.chunks(rows, limit=1000).collect()) <= 1000 + chunking.OVERLAP
+
+
+def test_query_chunks_whole_documents(spark):
+    sf = "/root/testdata/sf0.01"
+    last = {r["turn_id"]: r["text"] for r in listing.chunk_recursive(spark, sf).orderBy("idx").collect()}
+    long = spark.read.parquet(f"{sf}/documents.parquet").where("char_length(text) > 12000").collect()
+    assert long
+    assert all(r["text"].rstrip().endswith(last[str(r["doc_id"])].rstrip()[-40:]) for r in long)
+
+
 def test_chunks_of_turns(spark):
     rows = spark.createDataFrame([("a", "x" * 950), ("b", "  "), ("c", "y"), ("d", "z " * 10_000)], "id string, embed_text string")
     got = chunking.chunks(rows).groupBy("turn_id").agg(F.count("*").alias("n"), F.max(F.length("text")).alias("m")).collect()
