@@ -1,74 +1,86 @@
 """Main text of web pages by wrapper induction.
 
-Pages of one host share templates. Every page is parsed to a DOM tree; the set of paths of its frames (elements that lay
-a page out) is its layout, and each text of an element is told by its path and itself. Over all different pages of a
-host and layout, texts that stand on most of them are the layout's constants. Its smallest page, with these as constant
-nodes and runs of alike varying siblings as one slot, is its wrapper. Every page is then aligned, by simple tree matching,
-with the wrapper of its own layout: nodes that match a constant node with the same text, and those with a constant that
-the smallest page lacks, are template, all others are varying slots, and those in the article (or in the body, where no
-article is marked) are content. Elements that say by tag, role or class that they are menus, headers, footers, sidebars,
-notices, adverts, forms or comments are no content, however much they vary.
-
-Texts are counted by 64-bit digests, which aggregate before they shuffle; pages with the same texts count once, so copies
-of a page do not make it a template. Layouts of fewer than LEAST_PAGES different pages take the wrapper that all pages of
-their host give. Wrappers are small texts; they are broadcast if their measured size allows, else joined.
+Pages of one host and layout (the frame tags that a page uses) share a template. The smallest of them is the reference:
+its DOM tree, in which alike siblings in a row are one repeated node. Every page is aligned with its reference by simple
+tree matching, the largest order-keeping match of two trees with the same root. A text stands at the reference node its
+element is matched with, or at the path below the nearest matched one. Over all different pages of the group, texts that
+stand at the same place on CONSTANT of the pages are template; all others are what varies. The wrapper is the reference
+with its template texts, and with the region that holds what varies: from the root down, while one frame holds SHARE of
+the varying text that is no link, the frame that does; varying headings before it belong to it. A page's content is what
+varies in its nodes that the region is matched with, without repeated nodes that vary in links alone.
+
+Tags and marks (class, id, role) serve where varying slots alone cannot tell: scripts, styles, forms and other elements
+that hold no text; elements that say that they are menus, adverts, comments or the like count as no text of the
+region; and `<article>` or `<main>` is the region where no frame holds SHARE of the varying text, or no wrapper is known.
+
+Hosts with fewer than OWN_PAGES different pages of a layout are taken together with all such hosts of that layout; where
+even these are fewer, no wrapper is known. Only digests and lengths of texts are shuffled, and aggregated first. Equal
+pages count once. Wrappers are small; they are broadcast if their measured size allows, else joined by salted keys.
+
+Matching takes time by the product of the different subtrees of page and reference (equal subtrees match as they are,
+whole rows of a node's children are matched by numpy), so long lists are cheap and only pages of many unlike parts are dear.
 
 Defined results: null and empty html give an empty text; broken, unclosed or nested markup is read as far as it
-goes; hosts of fewer than LEAST_PAGES different pages have no wrapper and rely on tags; near copies count as different
-pages; repeated rows give repeated results; extra columns are ignored.
+goes, at any depth; near copies count as different pages; repeated rows give repeated results; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import blake2b
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from convoweave.llm.rows import slices, small_or_shuffled
+from convoweave.llm.rows import salted_join, slices, small_or_shuffled
 from convoweave.llm.url_filter import host_of
 from convoweave.session import cut, table
 
-LEAST_PAGES, CONSTANT = 4, 0.8
+OWN_PAGES, CONSTANT, SHARE, LINKS = 4, 0.8, 0.6, 0.8
+CELLS = 1 << 22  # of a matrix that is held whole; larger ones are halved
 
 #: HTML elements by how they are read.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = "script|style|textarea|title|noscript|iframe|template|xmp"
 BLOCKS = set("""address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form
 h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul""".split())
-DROPPED = set("""head title script style noscript template iframe object svg canvas audio video math nav menu aside footer form button
-select textarea input label dialog datalist""".split())
-FRAMES = set("html body div section article main header".split())  # others are unwanted, or texts, lists and tables
+SILENT = set("""head title script style noscript template iframe object svg canvas audio video math button select textarea input label dialog
+datalist form""".split())
+ASIDE = set("nav menu aside footer".split())
+FRAMES = set("html body div section article main header footer aside nav center table tbody tr td".split())
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 #: Words in class, id or role that mark what is not main text.
 MARKS = set("""ad ads adv advert adverts advertisement advertising adsense banner banners sponsor sponsored promo promotion cookie cookies consent gdpr
 notice notices alert popup modal overlay newsletter subscribe subscription signup login sidebar aside widget menu nav navbar navigation
 breadcrumb breadcrumbs header masthead topbar toolbar footer bottombar share sharing social related recommended comment comments commentlist
 disqus reply replies search form pagination pager skip complementary contentinfo dialog""".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>(?:.*?</\1\s*>|.*\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|[^<]+|<", re.S | re.I)
+#: A token never reaches over the next `<` outside quotes, and never goes back, so broken markup costs no more than sound.
+INSIDE = r"""((?:[^<>"']|"[^"]*+"|'[^']*+')*+)"""
+TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})(?=[\s/>]){INSIDE}>(?:.*?</\1\s*>|.*\Z)|<(/?)([a-zA-Z][^\s/<>]*+){INSIDE}>|<[!?][^<>]*+>|[^<]+|<", re.S | re.I)
 ATTRIBUTE = re.compile(r"""(?:\A|\s)(class|id|role|hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=\s|/|\Z)""", re.I)
+LAYOUT = "<(div|section|article|main|header|nav|aside|footer)[\\s/>]"
 
 
 class Node:
-    """An element: its tag, its marks (class, id and role), and its children, elements and texts in page order."""
+    """An element: its tag, its marks (class, id and role), and its children, elements and texts in page order.
 
-    __slots__ = ("children", "marks", "tag", "template")
+    `shape` tells apart subtrees of different keys, and `runs` are the children, alike ones in a row being one run.
+    """
+
+    __slots__ = ("children", "height", "key", "marks", "runs", "shape", "size", "tag")
 
     def __init__(self, tag: str, marks: str = ""):
-        self.tag, self.marks, self.children, self.template = tag, marks, [], False
+        self.tag, self.marks, self.children = tag, marks, []
 
     @property
     def elements(self) -> list[Node]:
-        return [c for c in self.children if isinstance(c, Node)]
-
-    @property
-    def key(self) -> tuple[str, str]:
-        return self.tag, self.marks and re.sub(r"\d+", "0", self.marks)
+        return [c for c in self.children if not isinstance(c, str) and c.tag not in SILENT]
 
     def own_text(self) -> str:
         return squeeze(" ".join(c for c in self.children if isinstance(c, str)))
@@ -93,7 +105,7 @@ def parse(html: str | None) -> Node:
                 blocks.pop()
 
     for m in TOKEN.finditer(html or ""):
-        raw, closing, tag, rest = m.groups()
+        raw, _, closing, tag, rest = m.groups()
         if tag:
             tag = tag.lower()
             if closing:
@@ -119,51 +131,6 @@ def parse(html: str | None) -> Node:
     return root
 
 
-def matched(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
-    """Simple tree matching: the size of the largest order-keeping match of two trees with the same root, and its pairs."""
-    if a.key != b.key:
-        return 0, []
-    done: dict[tuple[int, int], tuple[int, list]] = {}  # of a pair of nodes: its size, and its pairs of children with theirs
-    todo: list[tuple] = [(a, b, None)]
-    while todo:
-        x, y, known = todo.pop()
-        if known is None:
-            left, right = x.elements, y.elements
-            keys = [d.key for d in right]
-            alike = [[key == other for other in keys] for key in [c.key for c in left]]
-            todo.append((x, y, (left, right, alike)))
-            todo += [(c, d, None) for c, row in zip(left, alike, strict=True) for d, same in zip(right, row, strict=True) if same and (c.elements or d.elements)]
-            continue
-        left, right, alike = known
-        best = [[0] * (len(right) + 1) for _ in range(len(left) + 1)]
-        sub = {}
-        for i, row_alike in enumerate(alike, 1):
-            row, above = best[i], best[i - 1]
-            for j, same in enumerate(row_alike, 1):
-                w = 0
-                if same:
-                    sub[i, j] = done.pop((id(left[i - 1]), id(right[j - 1])), (1, []))
-                    w = sub[i, j][0]
-                row[j] = max(row[j - 1], above[j], above[j - 1] + w)
-        kids, i, j = [], len(left), len(right)
-        while i and j:
-            if (i, j) in sub and best[i][j] == best[i - 1][j - 1] + sub[i, j][0]:
-                kids.append((left[i - 1], right[j - 1], sub[i, j][1]))
-                i, j = i - 1, j - 1
-            elif best[i][j] == best[i - 1][j]:
-                i -= 1
-            else:
-                j -= 1
-        done[id(x), id(y)] = best[-1][-1] + 1, kids
-    size, kids = done[id(a), id(b)]
-    pairs, rest = [], [(a, b, kids)]
-    while rest:
-        x, y, kids = rest.pop()
-        pairs.append((x, y))
-        rest += reversed(kids)
-    return size, pairs
-
-
 def below(node: Node) -> Iterator[Node]:
     """A node and the elements in it, in page order."""
     todo = [node]
@@ -173,99 +140,230 @@ def below(node: Node) -> Iterator[Node]:
         todo += reversed(node.elements)
 
 
-def packed(tree: Node, constant: dict[int, str]) -> list[list]:
-    """A wrapper: its different nodes, each behind those in it, with tag, marks, constant text or null, and children by
-    their places; alike varying siblings in a row are one slot."""
-    nodes: list[list] = []
-    known: dict[tuple, int] = {}
-    place: dict[int, int] = {}
+def shaped(tree: Node) -> Node:
+    """The tree, with key, shape, runs, size and height of every element."""
     for node in reversed(list(below(tree))):
-        children: list[int] = []
+        node.runs = []
         for c in node.elements:
-            slot = place.pop(id(c))
-            if not children or slot != children[-1] or nodes[slot][2] is not None:
-                children.append(slot)
-        key = node.tag, node.marks, constant.get(id(node)), tuple(children)
-        if key not in known:
-            known[key] = len(nodes)
-            nodes.append([*key[:3], children])
-        place[id(node)] = known[key]
-    return nodes
+            if node.runs and node.runs[-1][0].shape == c.shape:
+                node.runs[-1].append(c)
+            else:
+                node.runs.append([c])
+        node.key = node.tag, node.marks and re.sub(r"\d+", "0", node.marks)
+        node.shape = hash((node.key, *(r[0].shape for r in node.runs)))
+        node.size = 1 + sum(r[0].size for r in node.runs)
+        node.height = 1 + max((r[0].height for r in node.runs), default=0)
+    return tree
 
 
-@lru_cache(maxsize=1 << 16)
-def path_below(path: bytes, tag: str) -> bytes:
-    return blake2b(path + tag.encode("utf-8", "surrogatepass"), digest_size=8).digest()
+def aligned(weights: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """The order-keeping pairs of places of a and b of the largest total weight; weights[x, y] is that of a kind x with a kind y."""
+    pairs, todo = [], [(0, len(a), 0, len(b))]
+    while todo:
+        i, k, j, m = todo.pop()
+        if i == k or j == m:
+            continue
+        left, right = weights[a[i:k]], b[j:m]
+        if k - i > 1 and (k - i) * (m - j) > CELLS:  # halve the rows where both halves together weigh most
+            half = (k - i) // 2
+            up, down = totals(left[:half], right), totals(left[: half - 1 : -1], right[::-1])[::-1]
+            at = int((up + down).argmax())
+            todo += [(i, i + half, j, j + at), (i + half, k, j + at, m)]
+            continue
+        best = np.zeros((k - i + 1, m - j + 1), np.int64)
+        for r, row in enumerate(left):
+            best[r + 1, 1:] = np.maximum.accumulate(np.maximum(best[r, 1:], best[r, :-1] + row[right]))
+        r, c = k - i, m - j
+        while r and c:
+            w = left[r - 1, right[c - 1]]
+            if w and best[r, c] == best[r - 1, c - 1] + w:
+                pairs.append((i + r - 1, j + c - 1))
+                r, c = r - 1, c - 1
+            elif best[r, c] == best[r - 1, c]:
+                r -= 1
+            else:
+                c -= 1
+    return sorted(pairs)
 
 
-def number(data: bytes) -> int:
-    return int.from_bytes(blake2b(data, digest_size=8).digest(), "little", signed=True)
+def totals(rows: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The largest total weight of all rows with each beginning of `right`."""
+    best = np.zeros(len(right) + 1, np.int64)
+    for row in rows:
+        best[1:] = np.maximum.accumulate(np.maximum(best[1:], best[:-1] + row[right]))
+    return best
 
 
-def readable(page: Node) -> Iterator[tuple[Node, bytes, int | None]]:
-    """The elements of a page that can be content, each with its path and a digest of path and own text (null if none)."""
-    todo = [(page, b"")]
+def matched(a: Node, b: Node) -> dict[tuple[int, int], tuple[int, list[tuple[int, int]]]]:
+    """Simple tree matching of two shaped trees with the same key: of each pair of shapes that it needs, the size of the
+    largest match and the pairs of runs in it."""
+    need, todo = {(a.shape, b.shape): (a, b)}, [(a, b)]
     while todo:
-        node, above = todo.pop()
-        path, text = path_below(above, node.tag), node.own_text()
-        yield node, path, number(path + text.encode("utf-8", "surrogatepass")) if text else None
-        todo += [(c, path) for c in reversed(node.elements) if not unwanted(c)]
-
-
-def described(html: str | None) -> tuple[int, bytes, set[int]]:
-    """The layout of a page, a digest of all its texts in order, and the digests of each."""
-    found = list(readable(parse(html)))
-    texts = [t for _, _, t in found if t is not None]
-    whole = blake2b(b"".join(t.to_bytes(8, "little", signed=True) for t in texts), digest_size=16).digest()
-    return number(b"".join(sorted({path for node, path, _ in found if node.tag in FRAMES}))), whole, set(texts)
+        x, y = todo.pop()
+        if x.shape == y.shape:
+            continue
+        kinds: dict = {}
+        for r in y.runs:
+            kinds.setdefault(r[0].key, {})[r[0].shape] = r[0]
+        for p in {r[0].shape: r[0] for r in x.runs}.values():
+            for q in kinds.get(p.key, {}).values():
+                if (p.shape, q.shape) not in need:
+                    need[p.shape, q.shape] = p, q
+                    todo.append((p, q))
+    known: dict[tuple[int, int], tuple[int, list[tuple[int, int]]]] = {}
+    for (s, t), (x, y) in sorted(need.items(), key=lambda item: item[1][0].height):
+        if s == t:
+            known[s, t] = x.size, []  # as they are
+            continue
+        left, right = ([r[0].shape for r in n.runs] for n in (x, y))
+        start = end = 0
+        while start < min(len(left), len(right)) and left[start] == right[start]:
+            start += 1
+        while end < min(len(left), len(right)) - start and left[-1 - end] == right[-1 - end]:
+            end += 1
+        pairs = [(k, k) for k in range(start)]
+        inner, other = left[start : len(left) - end], right[start : len(right) - end]
+        if inner and other:
+            rows, columns = ({s: k for k, s in enumerate(dict.fromkeys(side))} for side in (inner, other))
+            weights = np.zeros((len(rows), len(columns)), np.int64)
+            for p, k in rows.items():
+                for q, m in columns.items():
+                    weights[k, m] = known[p, q][0] if (p, q) in known else 0
+            found = aligned(weights, np.array([rows[p] for p in inner]), np.array([columns[q] for q in other]))
+            pairs += [(start + k, start + m) for k, m in found]
+        pairs += [(len(left) - end + k, len(right) - end + k) for k in range(end)]
+        known[s, t] = 1 + sum(known[left[k], right[m]][0] for k, m in pairs), pairs
+    return known
+
+
+def places(page: Node, reference: Node, order: dict[int, int]) -> dict[int, int]:
+    """By id of each element of a page that is matched: the place of its reference node."""
+    if shaped(page).key != reference.key:
+        return {}
+    known, found, todo = matched(page, reference), {}, [(page, reference)]
+    while todo:
+        x, y = todo.pop()
+        found[id(x)] = order[id(y)]
+        pairs = known[x.shape, y.shape][1] if x.shape != y.shape else [(k, k) for k in range(len(x.runs))]
+        todo += [(c, y.runs[m][0]) for k, m in pairs for c in x.runs[k]]
+    return found
 
 
-def induce(page: str | None, constants: set[int]) -> str:
-    """The wrapper of a layout, as JSON, of one of its pages and the digests of its constant texts."""
-    tree = parse(page)
-    constant = {id(node): node.own_text() for node, _, text in readable(tree) if text in constants}
-    lacking = constants.difference(text for _, _, text in readable(tree))
-    return json.dumps([packed(tree, constant), sorted(lacking)], ensure_ascii=False) if constants else ""
+def number(data: bytes) -> int:
+    return int.from_bytes(blake2b(data, digest_size=8).digest(), "little", signed=True)
 
 
-@lru_cache(maxsize=512)
-def unpacked(wrapper: str) -> tuple[Node, frozenset[int]]:
-    """The tree of a wrapper, and the constants that it lacks."""
-    nodes, lacking = json.loads(wrapper)
-    top = Node("")
-    todo = [(top, len(nodes) - 1)]
+def standing(page: Node, found: dict[int, int]) -> Iterator[tuple[Node, int, bool, int | None]]:
+    """Elements in page order: each with the place of the nearest matched one, whether it stands in a link, and a digest
+    of where it stands and its own text (null if it has none)."""
+    todo = [(page, 0, b"", False)]
     while todo:
-        parent, k = todo.pop()
-        tag, marks, constant, children = nodes[k]
-        node = Node(tag, marks)
-        node.template = constant is not None
-        if node.template:
-            node.children.append(constant)
-        parent.children.append(node)
-        todo += [(node, c) for c in reversed(children)]
-    return top.children[0], frozenset(lacking)
+        node, place, path, link = todo.pop()
+        here = found.get(id(node))
+        place, path = (place, path + b"/" + node.tag.encode("utf-8", "surrogatepass")) if here is None else (here, b"")
+        if len(path) > 64:
+            path = blake2b(path, digest_size=8).digest()
+        link = link or node.tag == "a"
+        text = node.own_text()
+        yield node, place, link, number(b"%d%b\n%b" % (place, path, text.encode("utf-8", "surrogatepass"))) if text else None
+        todo += [(c, place, path, link) for c in reversed(node.elements)]
 
 
 def unwanted(node: Node) -> bool:
-    if node.tag in DROPPED:
+    if node.tag in SILENT or node.tag in ASIDE:
         return True
     if not node.marks or node.tag in ("html", "body", "article", "main"):
         return False
     return not MARKS.isdisjoint(re.split(r"[^a-z0-9]+", node.marks.lower())) or "hidden=" in node.marks
 
 
-def main_text(html: str | None, wrapper: str = "") -> str:
-    """The content blocks of a page, joined by two line ends."""
+def packed(html: str | None) -> str:
+    """A page as reference, as JSON: the tag, marks and parent of each node in page order, of a run the first alone."""
+    nodes, todo = [], [(shaped(parse(html)), -1)]
+    while todo:
+        node, parent = todo.pop()
+        todo += [(r[0], len(nodes)) for r in reversed(node.runs)]
+        nodes.append([node.tag, node.marks, parent])
+    return json.dumps(nodes, ensure_ascii=False)
+
+
+@lru_cache(maxsize=512)
+def unpacked(reference: str) -> tuple[list[Node], dict[int, int], list[int]]:
+    """The nodes of a reference in page order, their places by id, and their parents."""
+    nodes, parents = [], []
+    for tag, marks, parent in json.loads(reference):
+        nodes.append(Node(tag, marks))
+        parents.append(parent)
+        if parent >= 0:
+            nodes[parent].children.append(nodes[-1])
+    shaped(nodes[0])
+    return nodes, {id(n): k for k, n in enumerate(nodes)}, parents
+
+
+def told(html: str | None, reference: str) -> tuple[bytes, list[tuple[int, int, int, int]]]:
+    """A digest of all texts of a page, and of each different one that stands somewhere: its digest, the place, its length outside
+    and inside links."""
+    page = parse(html)
+    nodes, order, _ = unpacked(reference)
+    texts = {}
+    for node, place, link, digest in standing(page, places(page, nodes[0], order)):
+        if digest is not None:
+            n = len(node.own_text())
+            texts[digest] = (digest, place, 0, n) if link else (digest, place, n, 0)
+    return blake2b(b"".join(d.to_bytes(8, "little", signed=True) for d in sorted(texts)), digest_size=16).digest(), list(texts.values())
+
+
+def wrapper(reference: str, constants: list[int], varying: dict[int, tuple[int, int]]) -> str:
+    """The wrapper, as JSON: the reference, digests of the template's texts, the places of the region and of slots that vary in links alone.
+
+    varying: by place the lengths of varying texts outside and inside links, summed over pages.
+    """
+    nodes, _, parents = unpacked(reference)
+    plain, link = ([varying.get(k, (0, 0))[j] for k in range(len(nodes))] for j in range(2))
+    mute = [unwanted(n) for n in nodes]
+    children: list[list[int]] = [[] for _ in nodes]
+    for k in range(1, len(nodes)):
+        mute[k] = mute[k] or mute[parents[k]]
+        children[parents[k]].append(k)
+    for k in range(len(nodes) - 1, 0, -1):
+        if mute[k]:
+            plain[k] = 0
+        plain[parents[k]] += plain[k]
+        link[parents[k]] += link[k]
+    region, heads = 0, []
+    while True:
+        frames = [k for k in children[region] if nodes[k].tag in FRAMES]
+        best = max(frames, key=plain.__getitem__, default=None)
+        if best is None or not plain[best] or plain[best] < SHARE * plain[region]:
+            break
+        heads += [k for k in children[region] if k < best and nodes[k].tag in HEADINGS and plain[k]]
+        region = best
+    top = [] if nodes[region].tag in ("#page", "html", "body") and any(n.tag in ("article", "main") for n in nodes) else [*heads, region]
+    menus = [k for k in range(1, len(nodes)) if nodes[k].tag in BLOCKS and link[k] and link[k] >= LINKS * (link[k] + plain[k]) and children[k] and k not in top]
+    return json.dumps([reference, sorted(constants), top if plain[0] else [], menus], ensure_ascii=False)
+
+
+@lru_cache(maxsize=512)
+def known_wrapper(text: str) -> tuple[str, frozenset[int], frozenset[int], frozenset[int]]:
+    reference, *sets = json.loads(text)
+    return reference, *map(frozenset, sets)
+
+
+def main_text(html: str | None, rule: str = "") -> str:
+    """The content blocks of a page, joined by two line ends. rule: the wrapper of its group, if one is known."""
     page = parse(html)
-    if wrapper:
-        tree, lacking = unpacked(wrapper)
-        for x, y in matched(page, tree)[1]:
-            x.template = y.template and x.own_text() == y.own_text()
-        if lacking:
-            for x, _, text in readable(page):
-                x.template = x.template or text in lacking
-    articles = inside(page, lambda c: c.tag in ("article", "main") or "role=main" in c.marks)
-    inner = [a for x in articles if x.tag == "main" for a in inside(x, lambda c: c.tag == "article")]  # an article says more than main
+    region, template, menus = [], set(), set()
+    if rule:
+        reference, constants, top, links = known_wrapper(rule)
+        nodes, order, _ = unpacked(reference)
+        found = places(page, nodes[0], order)
+        template = {id(node) for node, _, _, digest in standing(page, found) if digest in constants}
+        menus = {k for k, place in found.items() if place in links}
+        region = outermost(page, lambda c: found.get(id(c)) in top, lambda c: False)
+    if not region:
+        articles = outermost(page, lambda c: c.tag in ("article", "main") or "role=main" in c.marks, unwanted)
+        inner = [a for x in articles if x.tag == "main" for a in outermost(x, lambda c: c.tag == "article", unwanted)]  # an article says more than main
+        region = inner or articles or [page]
     blocks, line = [], []
 
     def end() -> None:
@@ -274,7 +372,7 @@ def main_text(html: str | None, wrapper: str = "") -> str:
         if text:
             blocks.append(text)
 
-    def walk(top: Node, in_article: bool) -> None:
+    for top in region:
         todo: list[Node | str | None] = [top]  # None: a block ends
         while todo:
             c = todo.pop()
@@ -284,94 +382,112 @@ def main_text(html: str | None, wrapper: str = "") -> str:
                 line.append(c)
             elif c.tag == "br" and c is not top:
                 line.append(" ")
-            elif c is top or not unwanted(c) and (in_article or c.tag != "header"):
+            elif c is top or not unwanted(c) and id(c) not in menus and (top is not page or c.tag != "header"):
                 if c.tag in BLOCKS:
                     end()
                     todo.append(None)
-                todo += [k for k in reversed(c.children) if not (c.template and isinstance(k, str))]
-
-    for top in inner or articles or [page]:
-        walk(top, top is not page)
+                todo += [k for k in reversed(c.children) if not (isinstance(k, str) and id(c) in template)]
         end()
     return "\n\n".join(blocks)
 
 
-def inside(top: Node, wanted: Callable[[Node], bool]) -> list[Node]:
-    """The outermost wanted elements in an element, without those in unwanted ones."""
+def outermost(top: Node, wanted, closed) -> list[Node]:
+    """The outermost wanted elements in an element, in page order, without those in closed ones."""
     found, todo = [], top.elements[::-1]
     while todo:
         c = todo.pop()
         if wanted(c):
             found.append(c)
-        elif not unwanted(c):
+        elif not closed(c):
             todo += reversed(c.elements)
     return found
 
 
-def wrappers(pages: DataFrame) -> DataFrame:
-    """host, layout (null: the other layouts of the host) and wrapper of the hosts of `pages` (page_id, url, html)."""
-    rows = pages.where("html <> ''").select(host_of(F.col("url")).alias("host"), "page_id", "html").where("host <> ''")
-
-    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def layout_of(html: Column) -> Column:
+    """The frame tags that a page uses."""
+    return F.array_join(F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(html, F.lit("(?i)" + LAYOUT), 1), F.lower))), " ")
+
+
+def grouped(pages: DataFrame) -> DataFrame:
+    """page_id, url and html of `pages` with `own` and `shared`: its group by host and layout, and by layout alone."""
+    rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"), layout_of(F.coalesce("html", F.lit(""))).alias("layout"))
+    own = F.when((F.col("host") != "") & (F.col("html") != ""), F.xxhash64("host", "layout"))
+    return rows.select("page_id", "url", "html", own.alias("own"), F.xxhash64("layout", F.lit(1)).alias("shared"))
+
+
+def with_rules(rows: DataFrame, rules: DataFrame) -> DataFrame:
+    """`rows` of `grouped` with gid and rule of their own group, or else of the shared one."""
+    n, size = rules.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("rule")), F.lit(0))).first()
+    for name in ("own", "shared"):
+        side = rules.select(F.col("gid").alias(f"_{name}"), F.col("rule").alias(f"_rule_{name}"))
+        rows = salted_join(rows, side, F.col(name) == F.col(f"_{name}"), F.xxhash64("page_id", "html"), n, size // max(1, n) + 64)
+    known = F.col("own").isNotNull()
+    return rows.select("page_id", "url", "html", F.when(known, F.coalesce("_own", "_shared")).alias("gid"), F.when(known, F.coalesce("_rule_own", "_rule_shared")).alias("rule"))
+
+
+def references(rows: DataFrame) -> DataFrame:
+    """gid and rule (the reference) of every group of `rows` (of `grouped`)."""
+    smallest = F.min(F.when(F.col("page_id").isNotNull(), F.struct("size", "digest", "page_id"))).alias("x")
+    digested = rows.where("own IS NOT NULL").select("page_id", "own", "shared", F.length("html").alias("size"), F.xxhash64("html").alias("digest"))
+    different = cut(digested.groupBy("own", "shared", "digest").agg(smallest))
+    hosts = cut(different.groupBy("own", "shared").agg(F.count("*").alias("n"), F.min("x").alias("x")))
+    few = hosts.where(f"n < {OWN_PAGES}").groupBy(F.col("shared").alias("gid")).agg(F.min("x").alias("x"), F.sum("n").alias("n"))
+    groups = hosts.where(f"n >= {OWN_PAGES}").select(F.col("own").alias("gid"), "x").union(few.where(f"n >= {OWN_PAGES}").select("gid", "x"))
+    groups = cut(groups.where("x IS NOT NULL").select("gid", "x.page_id", "x.digest"))
+    n = groups.count()
+    chosen = groups.select(F.col("page_id").alias("_id"), F.col("digest").alias("_digest")).distinct()
+    examples = rows.where("own IS NOT NULL").select("page_id", "html").withColumn("digest", F.xxhash64("html"))
+    examples = examples.join(small_or_shuffled(chosen, n, 96), (F.col("page_id") == F.col("_id")) & (F.col("digest") == F.col("_digest")), "left_semi")
+    examples = examples.groupBy("page_id", "digest").agg(F.first("html").alias("html"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            found = [described(h) for h in b.column("html").to_pylist()]
-            layout, whole, texts = ([f[k] for f in found] for k in range(3))
-            sizes = [len(h) for h in b.column("html").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [b.column("host"), b.column("page_id"), pa.array(layout, pa.int64()), pa.array(whole, pa.binary()), pa.array(sizes, pa.int64()), pa.array([sorted(t) for t in texts], pa.list_(pa.int64()))],
-                ["host", "page_id", "layout", "whole", "size", "texts"],
-            )
-
-    told = rows.mapInArrow(describe, rows.select("host", "page_id").schema.add("layout", "long").add("whole", "binary").add("size", "long").add("texts", T.ArrayType(T.LongType())))
-    smallest = F.min(F.when(F.col("page_id").isNotNull(), F.struct("size", F.xxhash64("page_id").alias("h"), "page_id"))).alias("x")
-    different = cut(told.groupBy("host", "layout", "whole").agg(smallest, F.first("texts").alias("texts")))
-    layouts = cut(different.groupBy("host", "layout").agg(F.count("*").alias("n"), F.min("x").alias("x")))
-    hosts = layouts.groupBy("host").agg(F.sum("n").alias("n"), F.min("x").alias("x"), F.min("n").alias("least")).where(f"least < {LEAST_PAGES}")
-    groups = cut(layouts.union(hosts.select("host", F.lit(None).cast("long"), "n", "x")).where(f"n >= {LEAST_PAGES}"))
-    n_groups = groups.count()
-    one = different.select("host", "layout", F.explode("texts").alias("text"))
-    other = one.select("host", F.lit(None).cast("long").alias("layout"), "text").join(small_or_shuffled(groups.where("layout IS NULL").select("host"), n_groups), "host", "left_semi")
-    counts = one.union(other.select("host", "layout", "text")).groupBy("host", "layout", "text").agg(F.count("*").alias("c")).where(f"c >= {CONSTANT * LEAST_PAGES}")
-    sizes = groups.select(F.col("host").alias("_host"), F.col("layout").alias("_layout"), "n")
-    same = (F.col("host") == F.col("_host")) & F.col("layout").eqNullSafe(F.col("_layout"))
-    constant = counts.join(small_or_shuffled(sizes, n_groups), same).where(F.col("c") >= F.col("n") * CONSTANT)
-    constants = constant.groupBy("host", "layout").agg(F.collect_list("text").alias("texts")).withColumnsRenamed({"host": "_host", "layout": "_layout"})
-    groups = cut(groups.join(constants, same, "left").select("host", "layout", F.col("x.page_id").alias("page_id"), "texts"))
-    chosen = groups.where("texts IS NOT NULL AND page_id IS NOT NULL").select("page_id").distinct()
-    examples = pages.select("page_id", "html").where("html <> ''").join(small_or_shuffled(chosen, n_groups, 96), "page_id", "left_semi")
-    examples = examples.groupBy("page_id").agg(F.min(F.struct(F.length("html").alias("size"), "html")).alias("e")).select("page_id", F.col("e.html").alias("html"))
+            yield pa.RecordBatch.from_arrays([b.column("gid"), pa.array([packed(h) for h in b.column("html").to_pylist()], pa.string())], ["gid", "rule"])
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            made = [induce(h, set(t or ())) for h, t in zip(b.column("html").to_pylist(), b.column("texts").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("host"), b.column("layout"), pa.array(made, pa.string())], ["host", "layout", "wrapper"])
+    return cut(groups.join(examples, ["page_id", "digest"]).select("gid", "html").mapInArrow(pack, "gid long, rule string"))
 
-    return cut(groups.join(examples, "page_id", "left").select("host", "layout", "html", "texts").mapInArrow(make, "host string, layout long, wrapper string"))
 
+def wrappers(rows: DataFrame) -> DataFrame:
+    """gid and rule (the wrapper) of every group of `rows` (of `grouped`)."""
+    chosen = references(rows)
+    joined = with_rules(rows, chosen).where("rule IS NOT NULL").select("gid", "html", "rule")
+    kind = pa.list_(pa.struct([("digest", pa.int64()), ("place", pa.int32()), ("plain", pa.int64()), ("link", pa.int64())]))
 
-def with_layouts(pages: DataFrame) -> DataFrame:
-    """`pages` (with html) and the layout of each."""
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            found = [told(h, r) for h, r in zip(b.column("html").to_pylist(), b.column("rule").to_pylist(), strict=True)]
+            texts = [[dict(zip(("digest", "place", "plain", "link"), t, strict=True)) for t in f[1]] for f in found]
+            yield pa.RecordBatch.from_arrays([b.column("gid"), pa.array([f[0] for f in found], pa.binary()), pa.array(texts, kind)], ["gid", "whole", "texts"])
+
+    listed = joined.mapInArrow(tell, "gid long, whole binary, texts array<struct<digest:long,place:int,plain:long,link:long>>")
+    different = cut(listed.groupBy("gid", "whole").agg(F.first("texts").alias("texts")))
+    pages = different.groupBy("gid").agg(F.count("*").alias("n"))
+    one = different.select("gid", F.explode("texts").alias("t")).select("gid", "t.*")
+    counts = one.groupBy("gid", "digest").agg(F.count("*").alias("c"), F.first("place").alias("place"), F.first("plain").alias("plain"), F.first("link").alias("link"))
+    counts = counts.join(small_or_shuffled(pages.withColumnRenamed("gid", "_gid"), chosen.count()), F.col("gid") == F.col("_gid")).drop("_gid")
+    constant = (F.col("c") >= F.col("n") * CONSTANT) & (F.col("n") >= OWN_PAGES)
+    # Constants are at most 1 / CONSTANT of a page's texts, and places those of one page.
+    slots = counts.groupBy("gid", F.when(~constant, F.col("place")).alias("place")).agg(
+        F.sum(F.col("c") * F.col("plain")).alias("plain"), F.sum(F.col("c") * F.col("link")).alias("link"), F.collect_list(F.when(constant, F.col("digest"))).alias("constants")
+    )
+    by_group = slots.groupBy("gid").agg(F.flatten(F.collect_list("constants")).alias("constants"), F.collect_list(F.when(F.col("place").isNotNull(), F.struct("place", "plain", "link"))).alias("slots"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            yield b.append_column("layout", pa.array([described(h)[0] for h in b.column("html").to_pylist()], pa.int64()))
+            made = [wrapper(r["rule"], r["constants"], {s["place"]: (s["plain"], s["link"]) for s in r["slots"]}) for r in b.to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("gid"), pa.array(made, pa.string())], ["gid", "rule"])
 
-    return pages.mapInArrow(run, pages.select("*").schema.add("layout", "long"))
+    return cut(chosen.join(by_group, "gid").mapInArrow(make, "gid long, rule string"))
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
     """page_id, url and text of every row of `pages`."""
-    rules = wrappers(pages)
-    n, size = rules.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("wrapper")), F.lit(0))).first()
-    own, other = rules.where("layout IS NOT NULL"), rules.where("layout IS NULL").select("host", F.col("wrapper").alias("other"))
-    rows = with_layouts(pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host")))
-    for rule, on in ((own, ["host", "layout"]), (other, ["host"])):
-        rows = rows.join(small_or_shuffled(rule, n, size // max(1, n) + 64), on, "left")
-    joined = rows.select("page_id", "url", "html", F.coalesce("wrapper", "other").alias("wrapper"))
+    rows = grouped(pages)
+    joined = with_rules(rows, wrappers(rows)).select("page_id", "url", "html", "rule")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            texts = [main_text(h, w or "") for h, w in zip(b.column("html").to_pylist(), b.column("wrapper").to_pylist(), strict=True)]
+            texts = [main_text(h, r or "") for h, r in zip(b.column("html").to_pylist(), b.column("rule").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
     return joined.mapInArrow(run, joined.select("page_id", "url").schema.add("text", "string"))

@@ -11,6 +11,7 @@ from convoweave.session import cut
 
 BROADCAST_BYTES = 32 << 20
 SLICE = 256
+SALTS = 32
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
@@ -25,6 +26,16 @@ def small_or_shuffled(df: DataFrame, rows: int, bytes_per_row: int = 64) -> Data
     return F.broadcast(df) if rows * bytes_per_row <= BROADCAST_BYTES else df
 
 
+def salted_join(rows: DataFrame, side: DataFrame, on: Column, spread: Column, n: int, bytes_per_row: int = 64, salts: int = SALTS) -> DataFrame:
+    """`rows` left-joined with `side`, of `n` rows: broadcast if small; else each of its rows is copied to `salts` cells, and a
+    row of `rows` goes to the cell that `spread` (a long) names, so that a key's rows fill no single task."""
+    if n * bytes_per_row <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(side), on, "left")
+    copies = side.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salted = rows.withColumn("_cell", F.pmod(spread, F.lit(salts)).cast("int"))
+    return salted.join(copies, on & (F.col("_cell") == F.col("_salt")), "left").drop("_salt", "_cell")
+
+
 def kept_rows(docs: DataFrame, digest: Column, told: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """The rows of `docs`, with their own columns, that `told` (doc_id, digest, kept) keeps; of repeated rows one.
 

@@ -2,12 +2,15 @@
 
 import random
 import re
+import time
+from collections import Counter
 from html import unescape
 
 import numpy as np
+from hypothesis import given, settings, strategies as st
 from parity import SF_DIR
 
-from convoweave.llm import main_text as mt, vector_dedup as vd
+from convoweave.llm import main_text as mt, rows as rows_module, vector_dedup as vd
 
 
 def test_parse_and_landmarks():
@@ -28,7 +31,22 @@ def test_deep_nests_keep_their_place():
     menu = "<div>" * 200 + "<nav><a>Menu</a></nav><form>Name</form>text" + "</div>" * 200
     assert mt.main_text(f"<article>{menu}</article>") == "text"
     pages = [f"<body>{'<div>' * 3000}<b>Shop</b>{'<span>' * 3000}word {k}{'</div>' * 3000}<p>rest {k}</p></body>" for k in range(4)]
-    assert mt.main_text(pages[0], mt.induce(pages[0], mt.described(pages[0])[2] & mt.described(pages[1])[2])) == "word 0\n\nrest 0"
+    assert mt.main_text(pages[0], rule_of(pages)) == "word 0\n\nrest 0"
+
+
+def rule_of(pages):
+    """The wrapper that all of `pages` give."""
+    reference = mt.packed(min(pages, key=len))
+    counts, slots = Counter(), {}
+    for digest, *rest in (t for p in pages for t in mt.told(p, reference)[1]):
+        counts[digest] += 1
+        slots[digest] = rest
+    varying = {}
+    for digest, (place, plain, link) in slots.items():
+        if counts[digest] < 0.8 * len(pages):
+            a, b = varying.get(place, (0, 0))
+            varying[place] = a + counts[digest] * plain, b + counts[digest] * link
+    return mt.wrapper(reference, [d for d, c in counts.items() if c >= 0.8 * len(pages)], varying)
 
 
 def site(k, words):
@@ -66,19 +84,83 @@ def test_wrappers_of_all_layouts_without_titles(spark):
     assert [got[400 + k] for k in range(5)] == [f"text {k}" for k in range(5)]
 
 
-def test_simple_tree_matching():
-    a, b = mt.parse("<div><p>1</p><span>x</span><p>2</p></div>"), mt.parse("<div><span>y</span><p>1</p><p>3</p></div>")
-    size, pairs = mt.matched(a, b)
-    assert size == len(pairs) == 4
-    assert [(x.own_text(), y.own_text()) for x, y in pairs if x.tag == "p"] == [("2", "3"), ("1", "1")]
+def plain_matching(a, b):
+    """Simple tree matching as in the textbook, over collapsed trees."""
+    if a.key != b.key:
+        return 0
+    m = [[0] * (len(b.runs) + 1) for _ in range(len(a.runs) + 1)]
+    for i, x in enumerate(a.runs):
+        for j, y in enumerate(b.runs):
+            m[i + 1][j + 1] = max(m[i][j + 1], m[i + 1][j], m[i][j] + plain_matching(x[0], y[0]))
+    return m[-1][-1] + 1
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["<div>", "</div>", "<p>x", "</p>", "<b>", "</b>", "<ul><li>y", "</ul>"]), max_size=40), st.lists(st.sampled_from(["<div>", "</div>", "<p>x", "</p>", "<b>", "</b>", "<ul><li>y", "</ul>"]), max_size=40))
+def test_simple_tree_matching(one, two):
+    a, b = (mt.shaped(mt.parse("".join(x))) for x in (one, two))
+    size, pairs = mt.matched(a, b)[a.shape, b.shape]
+    assert size == plain_matching(a, b)
+    assert pairs == sorted(pairs)
+    order = {id(n): k for k, n in enumerate(mt.below(b))}
+    found = mt.places(a, b, order)
+    assert len({v for v in found.values()}) <= size <= len(found)
+
+
+def test_long_rows_are_halved(monkeypatch):
+    rng = np.random.default_rng(5)
+    weights = rng.integers(0, 4, (5, 6))
+    a, b = rng.integers(0, 5, 40), rng.integers(0, 6, 50)
+    weigh = lambda pairs: sum(weights[a[i], b[j]] for i, j in pairs)
+    whole = mt.aligned(weights, a, b)
+    monkeypatch.setattr(mt, "CELLS", 30)
+    halved = mt.aligned(weights, a, b)
+    assert weigh(whole) == weigh(halved) == mt.totals(weights[a], b)[-1]
+    assert all(x[0] < y[0] and x[1] < y[1] for x, y in zip(halved, halved[1:], strict=False))
+
+
+def test_wide_and_broken_pages_take_seconds():
+    row = lambda k: "".join(f"<p>w{k}</p><ul><li>{i}</ul>" for i in range(10_000))
+    pages = [f"<body><div>Shop</div><div>{row(k)}</div></body>" for k in range(4)]
+    began = time.monotonic()
+    assert mt.main_text(pages[1], rule_of(pages)).count("w1") == 10_000
+    for junk in ("<a ", "<a '", "<script ", "<!x", "<div '\"", "<p class"):
+        mt.main_text(junk * (1_000_000 // len(junk)))
+    assert time.monotonic() - began < 60
+
+
+def unmarked(html):
+    return re.sub(r"<(/?)(article|nav|footer)>", r"<\1div>", html).replace(' class="ad"', "")
+
+
+def test_wrappers_decide_where_nothing_is_marked(spark):
+    """Menus, adverts and footers that differ from page to page, in elements that say nothing."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    rows = pages.collect()
+    bare = spark.createDataFrame([(r["page_id"], r["url"], unmarked(r["html"])) for r in rows], pages.select("page_id", "url", "html").schema)
+    got = {r["page_id"]: r["text"] for r in mt.main_texts(bare).collect()}
+    for r in rows:
+        assert got[r["page_id"]] == article_of(r["html"])
+        assert mt.main_text(unmarked(r["html"])) != article_of(r["html"])
+
+
+def article_of(html):
+    article = re.search(r"<article>(.*?)(?:</article>|\Z)", html, re.S)[1]
+    blocks = (" ".join(unescape(re.sub(r"<[^>]*>", " ", x)).split()) for x in re.split(r"</?(?:p|h1)>", article))
+    return "\n\n".join(x for x in blocks if x)
+
+
+def test_large_wrappers_are_joined_by_salted_keys(spark, monkeypatch):
+    pages = spark.read.parquet(f"{SF_DIR}/pages.parquet")
+    want = sorted(map(tuple, mt.main_texts(pages).collect()))
+    monkeypatch.setattr(rows_module, "BROADCAST_BYTES", 0)
+    assert sorted(map(tuple, mt.main_texts(pages).collect())) == want
 
 
 def test_articles_of_the_table(spark):
     pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{SF_DIR}/pages.parquet").collect()}
     for r in mt.op4_html_extraction(spark, SF_DIR).collect():
-        article = re.search(r"<article>(.*?)(?:</article>|\Z)", pages[r["page_id"]], re.S)[1]
-        blocks = (" ".join(unescape(re.sub(r"<[^>]*>", " ", x)).split()) for x in re.split(r"</?(?:p|h1)>", article))
-        assert r["text"] == "\n\n".join(x for x in blocks if x)
+        assert r["text"] == article_of(pages[r["page_id"]])
         assert r["n_chars"] == len(r["text"])
 
 
