@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -112,12 +113,105 @@ def test_toxicity_on_held_out_labels(spark):
     assert 0 < kept.count() < docs.count()
 
 
+def plain_logistic(x, y):
+    """The ridge regression of dense rows by full Newton steps; the last column is not shrunk."""
+    shrink = np.r_[np.full(x.shape[1] - 1, toxicity.RIDGE), 1e-4]
+    w = np.zeros(x.shape[1])
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        w += np.linalg.solve((x * (p * (1 - p) + 1e-12)[:, None]).T @ x + np.diag(shrink), x.T @ (y - p) - shrink * w)
+    return w
+
+
+def plain_scale(x, y):
+    texts, hits = (x > 0).sum(axis=0), (x[y > 0] > 0).sum(axis=0)
+    share = y.mean()
+    return np.maximum((hits - texts * share) / np.sqrt(texts * share * (1 - share) + 0.25), 0) / toxicity.KEEN
+
+
+def plain_kinds(x, y):
+    rows = x[y > 0] * plain_scale(x, y)
+    rows = rows / np.maximum(np.linalg.norm(rows, axis=1), 1e-12)[:, None]
+    near, centres = rows @ rows.sum(axis=0), []
+    for _ in range(toxicity.KINDS):
+        centres.append(rows[np.where(rows.any(axis=1), near, np.inf).argmin() if centres else near.argmax()])
+        near = (rows @ np.array(centres).T).max(axis=1)
+    centres = np.array(centres)
+    for _ in range(20):
+        label = (rows @ centres.T).argmax(axis=1)
+        for k in set(label):
+            c = rows[label == k].sum(axis=0)
+            centres[k] = c / max(np.linalg.norm(c), 1e-12)
+    found = np.full(len(y), -1)
+    found[y > 0] = label
+    return found
+
+
+def plain_chain(texts, y):
+    """The whole chain over dense rows: the out-of-fold and final probabilities of every category."""
+    rows = [Counter(toxicity.LETTERS.findall(t.lower())) for t in texts]
+    names = sorted({c for r in rows for w in r for c in toxicity.columns_of(w)})
+    x = np.zeros((len(rows), len(names)))
+    for k, r in enumerate(rows):
+        for w, n in r.items():
+            for c in toxicity.columns_of(w):
+                x[k, names.index(c)] += n
+    x = np.log1p(x)
+    fold = np.array([int(hashlib.sha256(t.encode()).hexdigest()[:8], 16) % toxicity.FOLDS for t in texts])
+    label = plain_kinds(x, y)
+    within = {f: toxicity.named_like(plain_kinds(x[fold != f], y[fold != f]), label[fold != f]) for f in range(toxicity.FOLDS)}
+    before, final = np.zeros((len(y), 0)), np.zeros((len(y), 0))
+    one = np.ones((len(y), 1))
+    for c in range(len(toxicity.CATEGORIES)):
+        goal = lambda kind, toxic: (kind == c).astype(float) if c < toxicity.KINDS else toxic  # noqa: B023, E731
+        hit = goal(label, y)
+        scale = plain_scale(x, hit)
+        w = plain_logistic(np.hstack([x * scale, before, one]), hit)
+        final = np.hstack([final, 1 / (1 + np.exp(-np.hstack([x * scale, final, one]) @ w))[:, None]])
+        out = np.zeros(len(y))
+        for f in range(toxicity.FOLDS):
+            seen = fold != f
+            hit = goal(within[f], y[seen])
+            scale = plain_scale(x[seen], hit)
+            w = plain_logistic(np.hstack([x[seen] * scale, before[seen], one[seen]]), hit)
+            out[~seen] = 1 / (1 + np.exp(-np.hstack([x[~seen] * scale, before[~seen], one[~seen]]) @ w))
+        before = np.hstack([before, out[:, None]])
+    return before, final
+
+
+def test_toxicity_against_a_plain_chain(spark):
+    rng = np.random.default_rng(8)
+    bad = [["scum", "trash", "idiot"], ["vilely", "vilest", "vilerone"], ["foul", "rotten"], ["cursed", "cursing"]]
+    rows = []
+    for k in range(160):
+        words = [f"w{chr(97 + int(x))}" for x in rng.integers(0, 20, 12)]
+        toxic = k % 3 == 0
+        if toxic:
+            words += list(rng.choice(bad[k // 3 % 4], 3))
+        rows.append((k, " ".join(rng.permutation(words)), int(toxic)))
+    rows += [(200 + k, rows[k][1], rows[k][2]) for k in range(20)]  # equal texts
+    data = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(5)
+    chain = toxicity.train(data.select("doc_id", "text"), data.select("doc_id", "toxic"))
+    rows.sort(key=lambda r: (hashlib.sha256(r[1].encode()).hexdigest(), r[0]))
+    before, final = plain_chain([r[1] for r in rows], np.array([float(r[2]) for r in rows]))
+    assert abs(chain.scores([r[1] for r in rows]) - final).max() < 2e-3
+    assert abs(chain.reject - toxicity.threshold(before[:, -1], np.array([float(r[2]) for r in rows]))) < 2e-3
+    assert all(chain.scores([t])[0, -1] == chain.scores([t, "x"])[0, -1] for t in (rows[0][1], "", None))
+
+
 def test_toxicity_odd_rows(spark):
     docs = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (2, "", "x"), (None, "you scum", "x")], "doc_id long, text string, toxic string")
     labels = spark.createDataFrame([(1, None), (2, 0), (9, 1)], "doc_id long, toxic int")
     chain = toxicity.train(docs, labels)
     assert [r["p_toxic"] for r in toxicity.score(docs, chain).collect()] == [0.0] * 4
     assert toxicity.clean(docs, chain).count() == 4
+    assert toxicity.train(docs.limit(0), labels).weights == toxicity.train(docs, labels.limit(0)).weights == []
+    assert toxicity.score(docs.limit(0), chain).count() == 0
+    named = spark.createDataFrame([(f"d{k}", f"plain words {k}" if k % 2 else f"scum words {k}", "x") for k in range(40)] + [("d1", "again", "x")], "doc_id string, text string, digest string")
+    chain = toxicity.train(named, spark.createDataFrame([(f"d{k}", 1 - k % 2) for k in range(40)], "doc_id string, toxic int"))
+    told = {(r["doc_id"], r["rejected"]) for r in toxicity.score(named, chain).collect()}
+    assert told == {(f"d{k}", k % 2 == 0) for k in range(40)}
+    assert toxicity.clean(named, chain).columns == named.columns
 
 
 def test_archive_round_trip(spark, tmp_path):
