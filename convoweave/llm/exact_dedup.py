@@ -1,29 +1,30 @@
 """Exact deduplication by a content sort, with DataFrame operations alone.
 
-Splitters sampled by Spark range-partition the normalised texts, each partition is sorted externally, and the
-window over equal texts compares neighbouring rows in full and keeps the smallest identifier. The range keys are
-the first bytes of the text and its SHA-256, so that the sample the driver takes stays small however long the
-texts are; the sort and the comparison go over the whole text.
+Splitters sampled by Spark range-partition the normalised texts, each partition is sorted externally by the whole text,
+and the window over equal texts compares neighbouring rows in full and keeps the smallest identifier. The splitters are
+the first PREFIX characters of the text, then its SHA-256, so that the sample the driver takes stays small however long
+the texts are, and texts that begin alike spread over ranges; the sort and the comparison go over the whole text.
 
-A text with very many copies would fill one range. Such texts are counted first (partial sums, so a group reaches
-the shuffle as one row per task), and their copies are dealt by identifier over pieces of at most `share` rows.
-There are at most `1 / share` of them, so the table of them is broadcast with a proven bound. The pieces of one
-text, each a run of full comparisons, are put together by its digest.
+A text with many copies would fill one range. Such texts are counted first (partial sums, so a group reaches the shuffle
+as one row per task), and their copies are dealt over pieces of about PIECE rows. The pieces of one text
+are put together by a comparison of their whole texts: the least and the greatest must be equal. The table of such texts
+is broadcast if its counted rows are few, else joined by salted keys.
 
 Defined results: null counts as empty; of repeated rows with the kept identifier one is kept; null identifiers
-come last in a group; an empty table gives an empty result; extra columns are ignored.
+come last in a group; an empty table gives an empty result; extra columns are ignored, whatever their names. Two different
+texts of one SHA-256 and over PIECE copies would stop the run.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from convoweave.llm.rows import kept_rows
+from convoweave.llm.rows import kept_rows, salted_join
 from convoweave.session import cut, settings, table
 
-PREFIX = 32  # characters of the text that the splitters see
+PREFIX = 128  # characters of the text that the splitters see
 BUFFERED = "128"
-PIECES = 400  # a text with over 1/400 of all rows is dealt over pieces
+PIECE = 1000  # a text with more copies is dealt over pieces of about so many
 
 
 def normalised(text: str = "text"):
@@ -31,30 +32,34 @@ def normalised(text: str = "text"):
     return F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+", " ")
 
 
-def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pieces: int = PIECES) -> DataFrame:
+def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", piece: int = PIECE) -> DataFrame:
     """doc_id, keep_id, group_size, kept and text_sha256 of every row of `docs`."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), normalised(text).alias("_text")).withColumn("text_sha256", F.sha2("_text", 256))
-    counts = cut(rows.groupBy("text_sha256").agg(F.count("*").alias("_n")).where("_n > 1"))
-    limit = F.greatest(F.lit(64), F.ceil(F.lit(docs.count() / pieces)))
-    hot = counts.where(F.col("_n") > limit).select("text_sha256", F.ceil(F.col("_n") / limit).alias("_pieces"))
-    dealt = rows.join(F.broadcast(hot), "text_sha256", "left").withColumn("_piece", F.coalesce(F.pmod(F.xxhash64("doc_id"), "_pieces"), F.lit(0)))
+    rows = rows.withColumn("_deal", F.xxhash64("doc_id", F.monotonically_increasing_id()))
+    hot = rows.groupBy("text_sha256").agg(F.count("*").alias("_n")).where(F.col("_n") > piece)
+    hot = cut(hot.select(F.col("text_sha256").alias("_hot"), F.ceil(F.col("_n") / piece).alias("_pieces")))
+    dealt = salted_join(rows, hot, F.col("text_sha256") == F.col("_hot"), F.col("_deal"), hot.count(), 128)
+    dealt = dealt.withColumn("_piece", F.coalesce(F.pmod("_deal", "_pieces"), F.lit(0)))
     key = [F.substring("_text", 1, PREFIX), F.col("text_sha256"), F.col("_piece")]
-    same = Window.partitionBy(*key, "_text").orderBy(F.col("doc_id").asc_nulls_last())
+    same = Window.partitionBy("_text", *key).orderBy(F.col("doc_id").asc_nulls_last())
     whole_run = same.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    sorted_rows = dealt.repartitionByRange(*key)
-    found = sorted_rows.select(
-        "doc_id", "text_sha256", F.col("_pieces").isNotNull().alias("_hot"),
-        F.min("doc_id").over(whole_run).alias("_keep"), F.count("*").over(whole_run).alias("_size"), F.row_number().over(same).alias("_place"),
+    place = F.row_number().over(same)
+    found = dealt.repartitionByRange(*key).select(
+        "doc_id", "text_sha256", "_piece", F.min("doc_id").over(whole_run).alias("_keep"), F.count("*").over(whole_run).alias("_size"), place.alias("_place"),
+        F.when(F.col("_hot").isNotNull() & (place == 1), F.col("_text")).alias("_head"),
     )
     # Beyond some rows, a group's texts go from plain buffers to memory that Spark manages and spills.
     with settings(docs.sparkSession, spark__sql__windowExec__buffer__in__memory__threshold=BUFFERED):
         found = cut(found)
-    whole = found.where("_hot AND _place = 1").groupBy("text_sha256").agg(F.min("_keep").alias("_all_keep"), F.sum("_size").alias("_all_size"))
-    put = found.join(F.broadcast(whole), "text_sha256", "left")
-    keep = F.coalesce("_all_keep", "_keep")
+    whole = found.where("_head IS NOT NULL").groupBy(F.col("text_sha256").alias("_hot")).agg(
+        F.min(F.struct(F.col("_keep").isNull().alias("none"), "_keep", "_piece")).alias("_first"), F.sum("_size").alias("_all_size"), (F.min("_head") == F.max("_head")).alias("_alike")
+    )
+    whole = whole.withColumn("_all_size", F.when(F.col("_alike"), F.col("_all_size")).otherwise(F.raise_error(F.lit("two texts of one SHA-256")).cast("long"))).drop("_alike")
+    put = salted_join(found.drop("_head"), cut(whole), F.col("text_sha256") == F.col("_hot"), F.xxhash64("doc_id", "_place"), hot.count(), 128)
+    keep = F.coalesce("_first._keep", "_keep")
     return put.select(
         "doc_id", keep.alias("keep_id"), F.coalesce("_all_size", "_size").alias("group_size"),
-        (F.col("doc_id").eqNullSafe(keep) & (F.col("_place") == 1)).alias("kept"), "text_sha256",
+        (F.col("doc_id").eqNullSafe(keep) & (F.col("_place") == 1) & (F.col("_piece") == F.coalesce("_first._piece", "_piece"))).alias("kept"), "text_sha256",
     )
 
 

@@ -36,22 +36,31 @@ def salted_join(rows: DataFrame, side: DataFrame, on: Column, spread: Column, n:
     return salted.join(copies, on & (F.col("_cell") == F.col("_salt")), "left").drop("_salt", "_cell")
 
 
+def free(columns: Sequence[str], name: str) -> str:
+    """`name`, with as many underscores before it as it takes to clash with no column."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def kept_rows(docs: DataFrame, digest: Column, told: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """The rows of `docs`, with their own columns, that `told` (doc_id, digest, kept) keeps; of repeated rows one.
 
     A row is told by its identifier and the digest of its text. Only rows that go, or stand there again, are joined;
-    their table is broadcast if it is small.
+    their table is broadcast if it is small, else joined by a shuffle that moves each text once.
     """
+    row_digest, mark_id, mark_digest, mark_kept = (free(docs.columns, x) for x in ("_row_digest", "_mark_id", "_mark_digest", "_mark_kept"))
     marks = told.groupBy("doc_id", "digest").agg(F.max("kept").alias("kept"), F.count("*").alias("n")).where("NOT kept OR n > 1")
-    marks = cut(marks.select(F.col("doc_id").alias("_mark_id"), F.col("digest").alias("_mark_digest"), "kept"))
-    n, again = marks.agg(F.count("*"), F.count(F.when(F.col("kept"), 1))).first()
-    rows = docs.withColumn("_row_digest", digest)
-    same = F.col(f"`{doc_id}`").eqNullSafe(F.col("_mark_id")) & (F.col("_row_digest") == F.col("_mark_digest"))
-    left = rows.join(small_or_shuffled(marks.drop("kept"), n, 128), same, "left_anti")
+    marks = cut(marks.select(F.col("doc_id").alias(mark_id), F.col("digest").alias(mark_digest), F.col("kept").alias(mark_kept)))
+    n, again = marks.agg(F.count("*"), F.count(F.when(F.col(mark_kept), 1))).first()
+    rows = docs.withColumn(row_digest, digest)
+    same = F.col(f"`{doc_id}`").eqNullSafe(F.col(mark_id)) & (F.col(row_digest) == F.col(mark_digest))
+    left = rows.join(small_or_shuffled(marks.drop(mark_kept), n, 128), same, "left_anti")
     if again:
-        repeated = rows.join(small_or_shuffled(marks.where("kept").drop("kept"), again, 128), same, "left_semi")
-        left = left.union(repeated.dropDuplicates([doc_id, "_row_digest"]))
-    return left.drop("_row_digest")
+        repeated = rows.join(small_or_shuffled(marks.where(mark_kept).drop(mark_kept), again, 128), same, "left_semi")
+        left = left.union(repeated.dropDuplicates([doc_id, row_digest]))
+    return left.drop(row_digest)
 
 
 def ranked(df: DataFrame, order: Sequence[Column], name: str = "rank") -> DataFrame:
