@@ -2,7 +2,7 @@
 
 Targets: sources in code-point order (null last) weigh 5, 2, 1, repeating, and share all words of the corpus by
 weight; a target stops at REPEATS times its source's words, and the excess is shared again by weight. That is
-`least(weight * x, REPEATS * size)` for one x, found by a few sums over the table of sources.
+`least(weight * x, REPEATS * size)` for one x, found by running sums over the table of sources.
 
 Quotas: all words make blocks of `block` words. The blocks go to sources, and a source's blocks to its shards
 (documents dealt by hash, about `shard` words each), one by one to the highest quotient target / (2 k + 1), k being
@@ -13,21 +13,23 @@ Selection: a shard's documents, in the order of a seeded hash, make one line of
 spread over the blocks from a seeded start, so that two blocks differ by one repeat at most; a document takes the
 words of its blocks. No text is moved to decide any of this, and a rerun decides alike.
 
-Defined results: null texts have size 0 and take nothing; rows without an identifier are dealt and taken like others;
-repeated rows count each; empty tables give empty results; extra columns are ignored (`mixed` keeps them).
+Defined results: null texts have size 0 and take nothing; rows without an identifier, and rows whose identifier stands
+there again, are dealt by their place among such rows and taken like others; repeated rows count each; empty tables give empty results; extra columns are ignored (`mixed` keeps them).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from convoweave.llm.rows import ranked, small_or_shuffled
+from convoweave.functions.ordering import running_sum
+from convoweave.llm.rows import ranked, salted_join, small_or_shuffled
 from convoweave.session import cut, table
 
 WEIGHTS = (5, 2, 1)
 REPEATS = 3
 BLOCK = 128
 SHARD = 1_000_000
+SPARE = 8
 SEED = "mix"
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -38,18 +40,21 @@ def drawn(*parts: Column) -> Column:
 
 
 def targets(sources: DataFrame) -> DataFrame:
-    """`sources` (rank, source_size) with weight and target."""
-    weighed = cut(sources.withColumn("weight", F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.col("rank") % len(WEIGHTS) + 1).cast("int"))))
-    cap = F.col("source_size") * REPEATS
-    total = weighed.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
-    x, full = 0.0, None
-    while True:
-        at = F.lit(x) * F.col("weight") >= cap if full is not None else F.lit(False)
-        above, weight = weighed.agg(F.coalesce(F.sum(F.when(at, cap)), F.lit(0)), F.coalesce(F.sum(F.when(~at, F.col("weight"))), F.lit(0))).first()
-        if (above, weight) == full or not weight:
-            break
-        x, full = (total - above) / weight, (above, weight)
-    return weighed.withColumn("target", F.least(F.lit(x) * F.col("weight"), cap.cast("double")) if total else F.lit(0.0))
+    """`sources` (rank, source_size) with weight and target.
+
+    Sources reach their limit in the order of limit / weight; the x at which all words are shared is the greatest of
+    (words less the limits reached) / (weights of the others), over the places in that order.
+    """
+    weighed = sources.withColumn("weight", F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.col("rank") % len(WEIGHTS) + 1).cast("int")))
+    weighed = weighed.withColumn("_limit", F.col("source_size") * REPEATS)
+    total, weight = weighed.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0))).first()
+    if not total:
+        return weighed.withColumn("target", F.lit(0.0)).drop("_limit")
+    order = [F.col("_limit") / F.col("weight"), F.col("rank")]
+    summed = running_sum(running_sum(weighed, order, "_limit", "_above"), order, "weight", "_gone")
+    left = F.lit(total) - (F.col("_above") - F.col("_limit"))
+    x = summed.agg(F.max(left.cast("double") / (F.lit(weight) - (F.col("_gone") - F.col("weight"))).cast("double"))).first()[0]
+    return weighed.withColumn("target", F.least(F.lit(x) * F.col("weight"), F.col("_limit").cast("double"))).drop("_limit")
 
 
 def open_quotients(share: Column, seats: Column, rivals: Column, size: Column) -> tuple[Column, Column]:
@@ -74,17 +79,39 @@ def source_quotas(sources: DataFrame, block: int) -> DataFrame:
     return sure.join(won, "rank", "left").withColumn("quota", F.col("_sure") + F.coalesce("count", F.lit(0))).drop("_sure", "count")
 
 
-def shard_quotas(cells: DataFrame) -> DataFrame:
-    """`cells` (rank, shard, words, source_size, quota of the source) with the shard's own quota."""
-    rivals = F.count(F.when(F.col("words") > 0, 1)).over(Window.partitionBy("rank"))
-    counted = cells.withColumn("_n", rivals)
-    low, ks = open_quotients(F.col("words") / F.col("source_size"), F.col("quota"), F.col("_n"), F.col("words"))
-    tried = counted.withColumn("_sure", F.when(F.col("words") > 0, low).otherwise(0)).select("*", F.explode_outer(ks).alias("k"))
-    sure = F.sum(F.when(F.col("k").isNull() | (F.col("k") == F.col("_sure")), F.col("_sure"))).over(Window.partitionBy("rank"))
-    place = F.row_number().over(Window.partitionBy("rank").orderBy((F.col("words") / (2 * F.col("k") + 1)).desc_nulls_last(), "shard", "k"))
-    placed = tried.select("*", sure.alias("_all"), place.alias("_place"))
-    won = F.count(F.when(F.col("k").isNotNull() & (F.col("_place") <= F.col("quota") - F.col("_all")), 1))
-    return placed.groupBy("rank", "shard").agg(F.first("words").alias("words"), (F.first("_sure") + won).alias("shard_quota"))
+def shard_quotas(cells: DataFrame, n_sources: int, block: int) -> DataFrame:
+    """`cells` (rank, shard, words, source_size, quota of the source) with the shard's own quota.
+
+    A shard takes REPEATS times its blocks at most; its further quotients do not stand, so the blocks go to others. Limits
+    are the shards' fair shares or more, so SPARE indexes beyond those of an apportionment without limits are enough.
+    """
+    rivals = small_or_shuffled(cells.groupBy(F.col("rank").alias("_rank")).agg(F.count(F.when(F.col("words") > 0, 1)).alias("_n")), n_sources)
+    counted = cells.join(rivals, F.col("rank") == F.col("_rank")).drop("_rank")
+    share, limit = F.col("words") / F.col("source_size"), F.ceil(F.col("words") / block) * REPEATS
+    low, ks = open_quotients(share, F.col("quota"), F.col("_n"), F.col("words"))
+    low, last = F.least(low, limit), F.least(F.element_at(ks, -1) + SPARE, limit - 1)
+    counted = cut(counted.withColumn("_sure", F.when(F.col("words") > 0, low).otherwise(0)).withColumn("_last", F.when(F.col("words") > 0, last)))
+    sure = counted.groupBy(F.col("rank").alias("_rank")).agg(F.sum("_sure").alias("_all"))
+    tried = counted.where("_last >= _sure").select("rank", "shard", "words", "quota", F.explode(F.sequence("_sure", "_last")).alias("k"))
+    placed = cut(ranked(tried, [F.col("rank"), (F.col("words") / (2 * F.col("k") + 1)).desc(), F.col("shard"), F.col("k")], "_place"))
+    starts = placed.groupBy(F.col("rank").alias("_rank")).agg(F.min("_place").alias("_start"))
+    told = small_or_shuffled(sure.join(starts, "_rank"), n_sources)
+    won = placed.join(told, F.col("rank") == F.col("_rank")).where(F.col("_place") - F.col("_start") < F.col("quota") - F.col("_all")).groupBy("rank", "shard").count()
+    return counted.join(won, ["rank", "shard"], "left").select("rank", "shard", "words", (F.col("_sure") + F.coalesce("count", F.lit(0))).alias("shard_quota"))
+
+
+def keyed(sized: DataFrame) -> DataFrame:
+    """`sized` (doc_id, source, size, mark) with `key`, by which rows are dealt and ordered: the identifier, and of rows
+    without one or with one that stands there again also their place among all such rows, so that they spread like others."""
+    again = cut(sized.groupBy(F.col("doc_id").alias("_id")).count().where("count > 1 OR _id IS NULL").select("_id"))
+    n = again.count()
+    plain = sized.withColumn("key", F.col("doc_id").cast("string"))
+    if not n:
+        return plain
+    side, same = small_or_shuffled(again, n), F.col("doc_id").eqNullSafe(F.col("_id"))
+    repeated = ranked(sized.join(side, same, "left_semi"), [F.col(c).asc_nulls_first() for c in ("doc_id", "source", "size", "mark")], "_place")
+    key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "_place")
+    return plain.join(side, same, "left_anti").unionByName(repeated.withColumn("key", key).drop("_place"))
 
 
 def plan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", block: int = BLOCK, shard: int = SHARD, carry: bool = False) -> DataFrame:
@@ -95,22 +122,21 @@ def plan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: st
     as `row`, so that repeated rows and rows without an identifier each have a plan of their own.
     """
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
-    sized = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size.alias("size"), *([F.struct(*names(docs)).alias("row")] if carry else []))
-    sizes = cut(sized.select("doc_id", "source", "size"))
+    sized = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size.alias("size"), F.xxhash64(text).alias("mark"), *([F.struct(*names(docs)).alias("row")] if carry else []))
+    sizes = cut(sized.select("doc_id", "source", "size", "mark"))
     sources = ranked(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), [F.col("source").asc_nulls_last()])
-    sources = cut(source_quotas(targets(sources), block))
+    sources = cut(source_quotas(targets(cut(sources)), block))
     n = sources.count()
-    placed = (sized if carry else sizes).join(small_or_shuffled(sources.select(F.col("source").alias("_source"), "rank", "source_size", "target", "quota"), n, 128), F.col("source").eqNullSafe(F.col("_source")))
+    side = sources.select(F.col("source").alias("_source"), "rank", "source_size", "target", "quota")
+    placed = salted_join(keyed(sized if carry else sizes), side, F.col("source").eqNullSafe(F.col("_source")), F.xxhash64("doc_id", "mark"), n, 128)
     shards = F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard))
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    placed = placed.withColumn("shard", F.pmod(drawn(F.lit("shard"), key), shards)).drop("_source")
+    placed = placed.withColumn("shard", F.pmod(drawn(F.lit("shard"), F.col("key")), shards)).drop("_source")
     cells = placed.groupBy("rank", "shard").agg(F.sum("size").alias("words"), F.first("source_size").alias("source_size"), F.first("quota").alias("quota"))
-    quotas = cut(shard_quotas(cells))
+    quotas = cut(shard_quotas(cells, n, block))
     blocks = F.ceil(F.col("words") / block).cast("long")
-    tie = [F.xxhash64(F.col("row").getField(text))] if carry else []
-    line = Window.partitionBy("rank", "shard").orderBy(drawn(F.lit("order"), key), "doc_id", "size", *tie).rowsBetween(Window.unboundedPreceding, 0)
+    line = Window.partitionBy("rank", "shard").orderBy(drawn(F.lit("order"), F.col("key")), "doc_id", "size", "mark", "key").rowsBetween(Window.unboundedPreceding, 0)
     rows = placed.join(quotas, ["rank", "shard"]).select(
-        "doc_id", "source", "size", "source_size", "target", *(["row"] if carry else []), blocks.alias("blocks"), F.least("shard_quota", blocks * REPEATS).alias("shard_quota"),
+        "doc_id", "source", "size", "source_size", "target", *(["row"] if carry else []), blocks.alias("blocks"), "shard_quota",
         (F.sum("size").over(line) - F.col("size")).alias("start"), F.pmod(drawn(F.lit("first"), F.col("rank"), F.col("shard")), F.greatest(blocks, F.lit(1))).alias("first"),
     )
     return rows.withColumn("taken", F.when(F.col("size") > 0, taken_before(F.col("start") + F.col("size"), block) - taken_before(F.col("start"), block)).otherwise(F.lit(0)).cast("long"))
@@ -175,9 +201,9 @@ p AS (SELECT d.*, t.r, source_size, target, coalesce(quota, 0) AS quota,
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN q ON q.r = t.r),
 cell AS (SELECT r, shard, sum(size)::BIGINT AS words, any_value(quota) AS quota FROM p GROUP BY r, shard),
 seat AS (SELECT r, shard, row_number() OVER (PARTITION BY r ORDER BY words / (2 * k + 1) DESC, shard, k) AS place, quota
-         FROM (SELECT *, unnest(range(0, 4 * words // {BLOCK} + 3)) AS k FROM cell WHERE words > 0)),
+         FROM (SELECT *, unnest(range(0, 3 * ceil(words / {BLOCK})::BIGINT)) AS k FROM cell WHERE words > 0)),
 got AS (SELECT r, shard, count(*) AS n FROM seat WHERE place <= quota GROUP BY r, shard),
-line AS (SELECT p.*, ceil(words / {BLOCK})::BIGINT AS blocks, least(coalesce(n, 0), 3 * ceil(words / {BLOCK})::BIGINT) AS b,
+line AS (SELECT p.*, ceil(words / {BLOCK})::BIGINT AS blocks, coalesce(n, 0) AS b,
          (sum(size) OVER (PARTITION BY p.r, p.shard ORDER BY {DRAWN.format("'order:' || coalesce(doc_id::VARCHAR, '')")}, doc_id, size ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS start,
          {DRAWN.format("'first:' || p.r || ':' || p.shard")} % greatest(ceil(words / {BLOCK})::BIGINT, 1) AS first
          FROM p JOIN cell ON cell.r = p.r AND cell.shard = p.shard LEFT JOIN got ON got.r = p.r AND got.shard = p.shard),
