@@ -4,8 +4,8 @@ Each URL is expanded into its expressions: every suffix of its host at a dot, wi
 as long as some rule's path. A rule fits exactly the URLs that have its own text among their expressions. The
 expressions join the rules on the first bytes of a SHA-256 digest; the full digest confirms, and the longest rule wins.
 
-Rules are a list that the user states, so their table is broadcast up to BROADCAST_RULES rows and joined by a
-shuffle beyond. Only page_id and url are read.
+Rules are a list that the user states, so their table is broadcast up to BROADCAST_RULES rows and BROADCAST_BYTES, and joined
+by a shuffle beyond. Only page_id and url are read, once; a page's expressions are put together where they were made.
 
 Defined results: null URLs and URLs without "://" have an empty host and path and no rule; without a rule the
 verdict is `default`; of equally long rules the first as text wins; repeated rows each get their verdict.
@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from convoweave.session import table
 
 SHORT = 8  # hexadecimal digits of the digest that the join uses
-BROADCAST_RULES = 100_000
+BROADCAST_RULES, BROADCAST_BYTES = 100_000, 8 << 20
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -48,16 +48,20 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, defau
     if not rules:
         return rows.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     lengths = sorted({len(p) for _, _, p in rules})
-    listed = spark.createDataFrame(sorted({(h + p, v) for v, h, p in rules}), "rule string, verdict string")
-    listed = listed.select("rule", "verdict", F.sha2("rule", 256).alias("_digest")).withColumn("_short", F.substring("_digest", 1, SHORT))
-    listed = F.broadcast(listed) if len(rules) <= BROADCAST_RULES else listed
-    # Equal URLs are judged once, and never meet in one group: a group is one page.
-    asked = rows.where(F.col("_url").contains("://")).select("page_id", "_url", F.explode(expressions(F.col("host"), F.col("path"), lengths)).alias("_text"))
+    order = sorted({(h + p, v) for v, h, p in rules}, key=lambda r: (-len(r[0]), *r))  # the first that fits wins
+    listed = spark.createDataFrame([(k, *r) for k, r in enumerate(order)], "place int, rule string, verdict string")
+    digests = listed.select("place", F.sha2("rule", 256).alias("_digest")).withColumn("_short", F.substring("_digest", 1, SHORT))
+    few = len(rules) <= BROADCAST_RULES and sum(len(h) + len(p) for _, h, p in rules) <= BROADCAST_BYTES
+    small = F.broadcast if few else (lambda df: df)
+    # Every row keeps a number of its own, so that equal URLs and pages never meet in one group.
+    asked = rows.withColumn("_row", F.monotonically_increasing_id())
+    asked = asked.select("_row", "page_id", "host", "path", F.explode_outer(F.when(F.col("_url").contains("://"), expressions(F.col("host"), F.col("path"), lengths))).alias("_text"))
     asked = asked.withColumn("_asked", F.sha2("_text", 256)).withColumn("_short", F.substring("_asked", 1, SHORT))
-    hits = asked.join(listed, "_short").where(F.col("_asked") == F.col("_digest"))
-    best = hits.groupBy("page_id", "_url").agg(F.min(F.struct((-F.char_length("rule")).alias("n"), "rule", "verdict")).alias("_best"))
-    found = rows.alias("r").join(best.alias("b"), F.col("r.page_id").eqNullSafe(F.col("b.page_id")) & (F.col("r._url") == F.col("b._url")), "left")
-    return found.select("r.page_id", "host", "path", F.col("_best.rule").alias("rule"), F.coalesce("_best.verdict", F.lit(default)).alias("verdict"))
+    hits = asked.join(small(digests), "_short", "left")
+    place = F.min(F.when(F.col("_asked") == F.col("_digest"), F.col("place")))
+    best = hits.groupBy("_row", "page_id", "host", "path").agg(place.alias("place"))
+    found = best.join(small(listed), "place", "left")
+    return found.select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
 
 
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import sentencepiece
 from hypothesis import given, settings, strategies as st
 from parity import SF_DIR, assert_same
 
-from convoweave.llm import archive, exact_dedup, mixing, piece_bpe, secrets, toxicity, url_filter
+from convoweave.llm import archive, exact_dedup, mixing, piece_bpe, rows as rows_module, secrets, toxicity, url_filter
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 LIBRARY = sentencepiece.SentencePieceProcessor(model_file=MODEL)
@@ -222,9 +222,15 @@ def test_archive_round_trip(spark, tmp_path):
     got = {(r["page_id"], r["record_type"], r["refers_to"], r["payload_bytes"]) for r in archive.read(spark, str(tmp_path / "a")).collect()}
     assert got == {(1, "response", None, 4), (3, "revisit", 1, 4), (None, "revisit", 1, 4), (2, "response", None, 0), (4, "revisit", 2, 0), (5, "response", None, 18000), (6, "response", None, 3)}
     records = {r["page_id"]: bytes(r["record"]) for r in archive.records(spark, str(tmp_path / "a")).collect()}
-    assert records[1].endswith(b"Content-Length: 4\r\n\r\nsame\r\n\r\n")
-    assert b"WARC-Refers-To: <urn:page:1>" in records[3]
+    head = archive.HEAD.encode()
+    assert records[1].endswith(b"Content-Length: %d\r\n\r\n%bsame\r\n\r\n" % (4 + len(head), head))
+    assert b"WARC-Date: 2000-01-01T00:00:00Z\r\n" in records[1]
+    assert re.search(rb"WARC-Record-ID: (<urn:uuid:[0-9a-f-]{36}>)", records[1])[1] in records[3].split(b"WARC-Refers-To: ")[1]
     assert b"http://a/%0D%0Ax\r\n" in records[3]
+    named = [("b\r\n%", None, "one"), ("a%0D\n", "u", "one"), ("c", "u", "\r\n\r\nWARC-Type: revisit\r\n\r\n")]
+    archive.write(spark.createDataFrame(named, "page_id string, url string, html string"), str(tmp_path / "c"))
+    got = {(r["page_id"], r["record_type"], r["refers_to"], r["payload_bytes"]) for r in archive.read(spark, str(tmp_path / "c")).collect()}
+    assert got == {("a%0D\n", "response", None, 3), ("b\r\n%", "revisit", "a%0D\n", 3), ("c", "response", None, 26)}
     archive.write(pages.limit(0), str(tmp_path / "b"))
     assert archive.read(spark, str(tmp_path / "b")).count() == 0
 
@@ -238,6 +244,8 @@ def test_url_rules(spark):
         (None, "allow"), ("net/fr/", "block"), (None, "allow"), ("com/", "allow"), (None, "allow"),
     ]
     assert url_filter.judge(pages).count() == 11
+    long = "http://" + "a." * 3000 + "net/fr/" + "x" * 100_000
+    assert url_filter.judge(spark.createDataFrame([(1, long)] * 3, "page_id long, url string")).groupBy("rule").count().collect() == [("net/fr/", 3)]
     assert url_filter.judge(pages, rules=()).count() == 11
     assert url_filter.judge(pages.limit(0)).count() == 0
 
@@ -245,7 +253,7 @@ def test_url_rules(spark):
 def test_exact_dedup_with_hot_groups_and_odd_rows(spark):
     data = [(k, "copy  text") for k in range(500)] + [(1000 + k, f"own {k}") for k in range(300)] + [(900, None), (901, ""), (902, " "), (903, "\t"), (5, "copy\ntext"), (None, "own 1"), (None, "alone")]
     docs = spark.createDataFrame([(*r, "clash") for r in data], "doc_id long, text string, kept string")
-    found = exact_dedup.exact_groups(docs, pieces=10).collect()
+    found = exact_dedup.exact_groups(docs, piece=40).collect()
     assert len(found) == len(data)
     groups = {}
     for i, t in data:
@@ -257,3 +265,55 @@ def test_exact_dedup_with_hot_groups_and_odd_rows(spark):
         assert r["keep_id"] == min((i for i in ids if i is not None), default=None)
     assert sum(r["kept"] for r in found) == len(groups)
     assert exact_dedup.exact_groups(docs.limit(0)).count() == 0
+
+
+def test_exact_dedup_of_hot_groups_in_pieces(spark, monkeypatch):
+    """Pieces of a few rows, repeated and missing identifiers, clashing names, and joins by salted keys."""
+    data = [(k, "hot  text") for k in range(90)] + [(0, "hot text")] * 5 + [(None, "hot text")] * 40 + [(None, "none")] * 30 + [(7, "one")]
+    docs = spark.createDataFrame([(*r, 1, "x", "y") for r in data], "doc_id long, text string, _mark_id int, _row_digest string, _mark_kept string").repartition(6)
+    for small in (1 << 20, 0):
+        monkeypatch.setattr(rows_module, "BROADCAST_BYTES", small)
+        found = exact_dedup.exact_groups(docs, piece=8).collect()
+        assert sorted((r["group_size"], r["keep_id"] if r["keep_id"] is not None else -1) for r in found if r["kept"]) == [(1, 7), (30, -1), (135, 0)]
+        assert len(found) == len(data)
+        assert {r["group_size"] for r in found} == {135, 30, 1}
+        once = exact_dedup.one_of_each(docs)
+        assert once.columns == docs.columns
+        assert sorted((-1 if r["doc_id"] is None else r["doc_id"], " ".join(r["text"].split())) for r in once.collect()) == [(-1, "none"), (0, "hot text"), (7, "one")]
+
+
+def plain_quotas(words, quota):
+    """Blocks to shards one by one, by the highest quotient, none over three times its blocks."""
+    got = [0] * len(words)
+    for _ in range(quota):
+        open_ones = [k for k, w in enumerate(words) if w and got[k] < 3 * -(-w // 4)]
+        got[max(open_ones, key=lambda k: (words[k] / (2 * got[k] + 1), -k))] += 1
+    return got
+
+
+@pytest.mark.parametrize("share", [0.3, 1, 2.9, 3])
+def test_shards_get_their_quotas_one_by_one(spark, share):
+    rng = np.random.default_rng(3)
+    cells, want = [], {}
+    for rank in range(3):
+        words = [int(x) for x in rng.integers(0, 60, 9)] + [1, 1, 2]
+        quota = min(round(sum(words) * share / 4), sum(3 * -(-w // 4) for w in words))
+        cells += [(rank, k, w, sum(words), quota) for k, w in enumerate(words)]
+        want |= {(rank, k): q for k, q in enumerate(plain_quotas(words, quota))}
+    data = spark.createDataFrame(cells, "rank long, shard long, words long, source_size long, quota long")
+    assert {(r["rank"], r["shard"]): r["shard_quota"] for r in mixing.shard_quotas(data, 3, 4).collect()} == want
+
+
+def test_rows_without_identifier_spread_over_shards(spark):
+    data = [(None, f"a b c d {k % 7}", "s") for k in range(600)] + [(5, "x y z", "s")] * 300 + [(k, "w " * 10, "t") for k in range(10, 60)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string").repartition(4)
+    plan = mixing.plan(docs, block=4, shard=100).collect()
+    assert len(plan) == len(data)
+    assert max(r["blocks"] for r in plan) * 4 < 400
+    assert all(r["taken"] <= 3 * r["size"] for r in plan)
+    for source in "st":
+        rows = [r for r in plan if r["source"] == source]
+        assert abs(sum(r["taken"] for r in rows) - rows[0]["target"]) <= 4 * len({r["start"] for r in rows})
+    again = mixing.plan(docs.repartition(7), block=4, shard=100).collect()
+    assert sorted((r["doc_id"] or 0, r["size"], r["taken"]) for r in again) == sorted((r["doc_id"] or 0, r["size"], r["taken"]) for r in plan)
+    assert mixing.plan(docs.limit(0)).count() == mixing.mixed(docs.limit(0)).count() == 0
