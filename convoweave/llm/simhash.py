@@ -14,7 +14,7 @@ quadratic list), and alternating stars give the component of every class.
 More `segments` mean fewer comparisons and more guests: 8 (73 rows a class) suit up to some 10^9 classes, 16 (274)
 more. Either gives the same links.
 
-Defined results: null and blank texts have fingerprint zero and link like any other; rows without an identifier
+Identifiers may be of any type that has an order. Defined results: null and blank texts have fingerprint zero and link like any other; rows without an identifier
 have a fingerprint and no component; repeated rows link to each other; extra columns are ignored.
 """
 
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from xxhash import xxh64_intdigest
 
-from convoweave.llm.rows import Forest, components, kept_rows, slices, small_or_shuffled
+from convoweave.llm.rows import Forest, components, kept_rows, salted_join, slices, small_or_shuffled
 from convoweave.session import cut, table
 
 WORDS, SEED, BITS = 3, 42, 64
@@ -66,8 +66,8 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
             found = np.array([fingerprint(x) for x in b.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found.view(np.int64)), b.column(2)], ["doc_id", "fp", "digest"])
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("t"), text_digest(text).alias("digest"))
-    return rows.mapInArrow(run, "doc_id long, fp long, digest string")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("t"), text_digest(text).alias("digest"))
+    return rows.mapInArrow(run, rows.select("doc_id").schema.add("fp", "long").add("digest", "string"))
 
 
 def half_offsets(segments: int, radius: int) -> np.ndarray:
@@ -85,7 +85,7 @@ def half_offsets(segments: int, radius: int) -> np.ndarray:
 
 
 def tile_rows(classes: DataFrame, segments: int, radius: int) -> DataFrame:
-    """key, fp, id, home: each class once in its own tile, and as a guest in the tiles that it has to meet."""
+    """key, fp, home: each class once in its own tile, and as a guest in the tiles that it has to meet."""
     width, step = BITS // segments, (BITS // segments).bit_length()
     if segments * step > 63:
         step = 0
@@ -94,53 +94,54 @@ def tile_rows(classes: DataFrame, segments: int, radius: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 2048):
-            fp, ids = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
+            fp = b.column(0).to_numpy(zero_copy_only=False)
             bits = np.unpackbits(fp.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             counts = bits.reshape(len(fp), segments, width).sum(axis=2, dtype=np.int64)
             near = counts[:, None, :] + offsets[None]
             row, at = np.nonzero(((near >= 0) & (near <= width)).all(axis=2))
             keys = np.r_[counts @ weights, near[row, at] @ weights]
             home = np.r_[np.ones(len(fp), bool), np.zeros(len(row), bool)]
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.r_[fp, fp[row]]), pa.array(np.r_[ids, ids[row]]), pa.array(home)], ["key", "fp", "id", "home"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.r_[fp, fp[row]]), pa.array(home)], ["key", "fp", "home"])
 
-    return classes.select("fp", "id").mapInArrow(run, "key long, fp long, id long, home boolean")
+    return classes.select("fp").mapInArrow(run, "key long, fp long, home boolean")
 
 
 def compare(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
     """Links of a partition sorted by key and sub, members first, as stars of a spanning forest."""
     forest, held = Forest(), None
     for b in batches:
-        key, sub, fp, ids, home = (b.column(k).to_numpy(zero_copy_only=False) for k in ("key", "sub", "fp", "id", "home"))
+        key, sub, fp, home = (b.column(k).to_numpy(zero_copy_only=False) for k in ("key", "sub", "fp", "home"))
         if held is not None and (held[0][0], held[1][0]) == (key[0], sub[0]):
-            key, sub, fp, ids = (np.r_[x, y] for x, y in zip(held, (key, sub, fp, ids), strict=True))
+            key, sub, fp = (np.r_[x, y] for x, y in zip(held, (key, sub, fp), strict=True))
             home = np.r_[np.ones(len(held[0]), bool), home]
         group = np.cumsum(np.r_[True, (key[1:] != key[:-1]) | (sub[1:] != sub[:-1])]) - 1
         members = np.flatnonzero(home)
         n = np.bincount(group[members], minlength=group[-1] + 1)
         first = np.cumsum(n) - n  # of each group's members, among `members`
+        # A class is also a guest of its own tile, whose members it meets.
         guests = np.flatnonzero(~home & (n[group] > 0))
         many = n[group[guests]]
         last = members[group[members] == group[-1]]
-        held = (key[last], sub[last], fp[last], ids[last]) if len(last) else None
+        held = (key[last], sub[last], fp[last]) if len(last) else None
         bounds = np.searchsorted(np.cumsum(many), np.arange(0, many.sum() + PAIRS, PAIRS))
         for a, z in zip(bounds[:-1], bounds[1:], strict=True):
             g, m = guests[a : z + 1], many[a : z + 1]
             left = np.repeat(g, m)
             right = members[np.repeat(first[group[g]], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)]
-            near = np.flatnonzero((np.bitwise_count((fp[left] ^ fp[right]).view(np.uint64)) <= radius) & (ids[left] != ids[right]))
-            for x, y in zip(ids[left[near]].tolist(), ids[right[near]].tolist(), strict=True):
+            near = np.flatnonzero((np.bitwise_count((fp[left] ^ fp[right]).view(np.uint64)) <= radius) & (fp[left] != fp[right]))
+            for x, y in zip(fp[left[near]].tolist(), fp[right[near]].tolist(), strict=True):
                 forest.link(x, y)
     a, z = forest.links()
     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(z, pa.int64())], ["a", "b"])
 
 
 def links(classes: DataFrame, radius: int = 2, segments: int = 8, tile: int = TILE) -> DataFrame:
-    """a, b (ids): links between classes (fp, id) that join all classes which links within the radius join."""
+    """a, b (fingerprints): links between classes (fp) that join all classes which links within the radius join."""
     rows = tile_rows(classes, segments, radius)
-    large = cut(rows.where("home").groupBy("key").count().where(F.col("count") > tile).select("key", F.ceil(F.col("count") / tile).alias("n")))
-    rows = rows.join(small_or_shuffled(large, large.count()), "key", "left").withColumn("n", F.coalesce("n", F.lit(1)))
+    large = cut(rows.where("home").groupBy("key").count().where(F.col("count") > tile).select(F.col("key").alias("_key"), F.ceil(F.col("count") / tile).alias("n")))
+    rows = salted_join(rows, large, F.col("key") == F.col("_key"), F.xxhash64("fp"), large.count()).withColumn("n", F.coalesce("n", F.lit(1)))
     subs = F.when(F.col("home"), F.array(F.pmod(F.xxhash64("fp"), "n"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))
-    dealt = rows.select("key", "fp", "id", "home", F.explode(subs).alias("sub")).repartition("key", "sub").sortWithinPartitions("key", "sub", F.desc("home"))
+    dealt = rows.select("key", "fp", "home", F.explode(subs).alias("sub")).repartition("key", "sub").sortWithinPartitions("key", "sub", F.desc("home"))
     return dealt.mapInArrow(lambda batches: compare(batches, radius), "a long, b long")
 
 
@@ -149,8 +150,10 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rad
     rows = cut(fingerprints(docs, doc_id, text))
     classes = cut(rows.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("id")))
     roots = components(links(classes, radius, segments, tile))
-    label = cut(classes.join(roots, F.col("id") == F.col("node"), "left").select("fp", F.coalesce("root", "id").alias("component_id")))
-    found = rows.join(label, "fp", "left")
+    label = cut(classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "id", F.coalesce("root", "fp").alias("root")))
+    joined = label.groupBy("root").agg(F.min("id").alias("component_id"), F.count("*").alias("n")).where("n > 1").drop("n")
+    label = label.join(joined, "root", "left").select(F.col("fp").alias("_fp"), F.coalesce("component_id", "id").alias("component_id"))
+    found = salted_join(rows, label, F.col("fp") == F.col("_fp"), F.xxhash64("doc_id", "digest"), classes.count())
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"), "digest")
 
 

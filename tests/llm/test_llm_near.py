@@ -58,10 +58,12 @@ def test_links_of_planted_fingerprints(spark, segments, tile):
         for _ in range(3):
             fps.append(fps[-1] ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 3))))
     fps = list(dict.fromkeys(fps))
-    classes = spark.createDataFrame([(int(np.uint64(f).view(np.int64)), k) for k, f in enumerate(fps)], "fp long, id long")
-    got = {r["node"]: r["root"] for r in rows.components(simhash.links(classes, segments=segments, tile=tile)).collect()}
+    signed = [int(np.uint64(f).view(np.int64)) for f in fps]
+    found = rows.components(simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long"), segments=segments, tile=tile))
+    got = {r["node"]: r["root"] for r in found.collect()}
     want = brute_components(dict(enumerate(fps)))
-    assert {k: got.get(k, k) for k in want} == want
+    root = {k: min(signed[j] for j in want if want[j] == want[k]) for k in want}
+    assert {k: got.get(signed[k], signed[k]) for k in want} == root
 
 
 def test_simhash_odd_rows(spark):
@@ -106,3 +108,14 @@ def test_mix_of_many_shards_and_odd_rows(spark):
     empty = docs.limit(0)
     assert mixing.plan(empty).count() == 0
     assert mixing.mixed(empty).count() == 0
+
+
+def test_textual_identifiers_and_hot_fingerprints(spark, monkeypatch):
+    data = [(f"d{k:03d}", "") for k in range(60)] + [("e1", "one two three four"), ("a9", "ONE two three  four"), (None, "one two three four")]
+    docs = spark.createDataFrame([(*r, 1) for r in data], "doc_id string, text string, fp int").repartition(3)
+    for small in (1 << 20, 0):
+        monkeypatch.setattr(rows, "BROADCAST_BYTES", small)
+        got = {(r["doc_id"], r["component_id"]) for r in simhash.near_groups(docs).collect()}
+        assert got == {(i, "d000") for i, t in data if not t} | {("e1", "a9"), ("a9", "a9"), (None, None)}
+    assert simhash.one_of_each(docs).columns == docs.columns
+    assert simhash.near_groups(docs.limit(0)).count() == simhash.one_of_each(docs.limit(0)).count() == 0
