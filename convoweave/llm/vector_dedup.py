@@ -102,48 +102,58 @@ def meet(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.Rec
 
 
 def compared(b: pa.RecordBatch, starts: np.ndarray, threshold: float) -> Iterator[pa.RecordBatch]:
-    """The cells of `b` between `starts`."""
+    """The cells of `b` between `starts`; vectors of other lengths whose hashes happen to be equal are told apart."""
     part, first, last, at, ids, n = (b.column(k).to_numpy(zero_copy_only=False) for k in ("part", "a", "b", "at", "id", "n"))
     vec, keys = b.column("vec"), b.column("keys")
     out_a, out_b, out_n = [], [], []
     for s, e in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
         raw = vec.slice(s, e - s).to_pylist()
-        if e - s < 2 or len({len(r) for r in raw}) > 1:
-            continue  # other lengths in one bucket: hashes of other planes that happen to be equal
-        x = unit(np.frombuffer(b"".join(raw)).reshape(e - s, -1))
         k = keys.slice(s, e - s).flatten().to_numpy().reshape(e - s, -1)
-        rows = np.flatnonzero(part[s:e] == first[s])
-        columns = np.flatnonzero(part[s:e] == last[s]) if first[s] != last[s] else rows
-        near = (x[rows] @ x[columns].T) >= threshold
-        near &= ids[s:e][rows][:, None] != ids[s:e][columns][None]
-        i, j = np.nonzero(near)
-        if not len(i):
-            continue
-        counts = np.zeros((2, e - s), np.int64)
-        for c in range(0, len(i), 1 << 14):
-            p, q = rows[i[c : c + (1 << 14)]], columns[j[c : c + (1 << 14)]]
-            here = (k[p] == k[q]).argmax(axis=1) == at[s]
-            np.add.at(counts[0], p[here], n[s + q[here]])
-            np.add.at(counts[1], q[here], n[s + p[here]])
-        total = counts[0] if first[s] == last[s] else counts[0] + counts[1]
-        some = np.flatnonzero(total)
-        out_a.append(ids[s + some]), out_b.append(np.full(len(some), -1)), out_n.append(total[some])
-        label = np.arange(e - s)
-        while True:  # the smallest row that links reach
-            new = label.copy()
-            np.minimum.at(new, rows[i], label[columns[j]])
-            np.minimum.at(new, columns[j], label[rows[i]])
-            new = new[new]
-            if (new == label).all():
-                break
-            label = new
-        joined = np.flatnonzero(label != np.arange(e - s))
-        out_a.append(ids[s + joined]), out_b.append(ids[s + label[joined]]), out_n.append(np.full(len(joined), -1))
+        for size in sorted({len(r) for r in raw}):
+            here = np.array([j for j, r in enumerate(raw) if len(r) == size])
+            if len(here) < 2:
+                continue
+            x = unit(np.frombuffer(b"".join(raw[j] for j in here)).reshape(len(here), -1))
+            found = cell_links(x, k[here], part[s + here], first[s], last[s], at[s], ids[s + here], n[s + here], threshold)
+            for out, new in zip((out_a, out_b, out_n), found, strict=True):
+                out += new
     if out_a:
         a, z, count = (np.concatenate(x) for x in (out_a, out_b, out_n))
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(z, mask=count >= 0), pa.array(count, mask=count < 0)], ["a", "b", "links"])
 
 
+def cell_links(
+    x: np.ndarray, k: np.ndarray, part: np.ndarray, first: int, last: int, at: int, ids: np.ndarray, n: np.ndarray, threshold: float
+) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+    """Of vectors of one length in a cell: ids with sums of links (other -1), and stars (sum -1)."""
+    rows = np.flatnonzero(part == first)
+    columns = np.flatnonzero(part == last) if first != last else rows
+    near = (x[rows] @ x[columns].T) >= threshold
+    near &= ids[rows][:, None] != ids[columns][None]
+    i, j = np.nonzero(near)
+    if not len(i):
+        return [], [], []
+    counts = np.zeros((2, len(x)), np.int64)
+    for c in range(0, len(i), 1 << 14):
+        p, q = rows[i[c : c + (1 << 14)]], columns[j[c : c + (1 << 14)]]
+        here = (k[p] == k[q]).argmax(axis=1) == at
+        np.add.at(counts[0], p[here], n[q[here]])
+        np.add.at(counts[1], q[here], n[p[here]])
+    total = counts[0] if first == last else counts[0] + counts[1]
+    some = np.flatnonzero(total)
+    label = np.arange(len(x))
+    while True:  # the smallest row that links reach
+        new = label.copy()
+        np.minimum.at(new, rows[i], label[columns[j]])
+        np.minimum.at(new, columns[j], label[rows[i]])
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    joined = np.flatnonzero(label != np.arange(len(x)))
+    return [ids[some], ids[joined]], [np.full(len(some), -1), ids[label[joined]]], [total[some], np.full(len(joined), -1)]
+
+
 def near_vectors(
     vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", threshold: float = THRESHOLD, tables: int = TABLES, hashes: int = HASHES, width: float = WIDTH, tile: int = TILE
 ) -> DataFrame:
