@@ -6,7 +6,10 @@ into words that merge independently. All distinct words of an Arrow batch lie in
 a round finds the best pair rank of every word (a segmented minimum), joins the leftmost such pair in all words
 at once and compacts the arrays, until no word has a pair left. Where no piece that ranks better contains the
 joined piece at an end, joining cannot make a better pair, and every leftmost non-overlapping occurrence of the
-pair in a word joins in the same round, as the library would do one by one.
+pair in a word joins in the same round, as the library would do one by one. So does every other pair, however poor its rank,
+whose place in the library's order cannot matter: no piece that ranks as well or better could take one of its symbols
+first, whatever its neighbours have grown to by then, nor contain the joined piece beside what they are. So the rounds of a
+long word do not grow with its length, but with how far such pairs hang together.
 
 Defined results: null counts as empty and gives the begin and end ids alone; texts are encoded whole; extra
 columns of the input are ignored; repeated rows give repeated results.
@@ -14,6 +17,7 @@ columns of the input are ignored; repeated rows give repeated results.
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import re
 from collections.abc import Iterable, Iterator
@@ -66,15 +70,27 @@ class PieceModel:
         self.beside_keys = np.array(sorted(self.symbols[b[0]] << 32 | self.symbols[b[1]] for b in beside), np.int64)
         apart = not any(b[0] != SPACE and b[1] == SPACE or "\n" in b for b in beside)
         self.word_of = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n|[^{SPACE}\n]+" if apart else "(?s).+")
-        pairs, unsafe = [], set()
+        pairs, unsafe, grown = [], set(), ({}, {})
         for p, i in words.items():
             for k in range(1, len(p)):
                 left, right = self.symbols.get(p[:k]), self.symbols.get(p[k:])
                 if left is not None and right is not None:
                     pairs.append((left << 32 | right, rank[p], i))
+                    # What a pair has to fear: its left symbol as the end of a longer one, its right as the beginning.
+                    ends = ((0, self.symbols.get(p[j:k]), right) for j in range(1, k))
+                    begins = ((1, left, self.symbols.get(p[k:j])) for j in range(k + 1, len(p)))
+                    for side, a, b in chain(ends, begins):
+                        if a is not None and b is not None and grown[side].get(a << 32 | b, FAR) > rank[p]:
+                            grown[side][a << 32 | b] = rank[p]
                 unsafe.update(q for q in (p[:k], p[k:]) if rank.get(q, -1) > rank[p])
         pairs.sort()
         self.pair_keys, self.pair_ranks, self.pair_ids = (np.array(x, np.int64) for x in zip(*pairs, strict=True))
+        self.grown_keys, self.grown_ranks = [], []
+        for known in grown:
+            keys = np.fromiter(known.keys(), np.int64, len(known))
+            order = np.argsort(keys)
+            self.grown_keys.append(keys[order])
+            self.grown_ranks.append(np.fromiter(known.values(), np.int64, len(known))[order])
         self.safe = np.ones(len(words), bool)
         self.safe[[rank[p] for p in unsafe]] = False
         self.id_of_rank = np.zeros(len(words), np.int64)
@@ -87,6 +103,24 @@ class PieceModel:
         at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
         return np.where(self.pair_keys[at] == key, self.pair_ranks[at], FAR)
 
+    def beats(self, rank: np.ndarray, left: np.ndarray, right: np.ndarray, side: int, equal: bool = False) -> np.ndarray:
+        """Whether ranks are better than that of each pair, now and with its left (side 0) or right symbol grown; a symbol
+        of -2 is none. equal: as good is enough."""
+        key, keys = left << 32 | right, self.grown_keys[side]
+        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        other = np.minimum(np.where(keys[at] == key, self.grown_ranks[side][at], FAR), self.ranks(left, right))
+        return (left == -2) | (right == -2) | (rank < other) | (equal & (rank == other))
+
+    def alone(self, at: np.ndarray, symbol: np.ndarray, segment: np.ndarray, pair: np.ndarray) -> np.ndarray:
+        """Of places of pairs, those that can be joined at once wherever the library's order has them."""
+        rank, joined = pair[at], self.id_of_rank[pair[at]]
+        before, after = np.maximum(at - 1, 0), np.minimum(at + 2, len(symbol) - 1)
+        left = np.where((at > 0) & (segment[before] == segment[at]), symbol[before], -2)
+        right = np.where((at + 2 < len(symbol)) & (segment[after] == segment[at]), symbol[after], -2)
+        good = self.beats(rank, left, symbol[at], 0) & self.beats(rank, symbol[at + 1], right, 1, equal=True)
+        at, rank, joined, left, right = (x[good] for x in (at, rank, joined, left, right))
+        return at[self.beats(rank, left, joined, 0) & self.beats(rank, joined, right, 1)]
+
     def merge(self, words: list[str]) -> list[bytes]:
         """The ids of each word as little-endian unsigned 32-bit integers, by merge rounds over all words at once."""
         chars = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
@@ -114,7 +148,11 @@ class PieceModel:
             run = np.flatnonzero(new | np.r_[True, np.diff(hit) != 1])
             place = np.arange(len(hit)) - np.repeat(run, np.diff(np.r_[run, len(hit)]))
             hit = hit[np.where(self.safe[best[hit]], place % 2 == 0, new)]
-            symbol[hit] = self.id_of_rank[best[hit]]
+            others = np.flatnonzero((pair != FAR) & (pair != best) & (pair < np.r_[FAR, pair[:-1]]) & (pair <= np.r_[pair[1:], FAR]))
+            if len(others):
+                hit = np.sort(np.r_[hit, self.alone(others, symbol, segment, pair)])
+            rank = pair[hit]
+            symbol[hit] = self.id_of_rank[rank]
             stays = np.ones(len(symbol), bool)
             stays[hit + 1] = False
             hit -= np.arange(len(hit))  # one symbol has gone for each hit before
@@ -175,12 +213,12 @@ def found_in(keys: np.ndarray, x: np.ndarray) -> np.ndarray:
     return keys[np.minimum(np.searchsorted(keys, x), len(keys) - 1)] == x
 
 
+codecs.register_error("each byte", lambda e: ("\ufffd", e.start + 1))
+
+
 def from_bytes(raw: bytes) -> str:
     """UTF-8 with one U+FFFD for every byte that belongs to no character."""
-    try:
-        return raw.decode()
-    except UnicodeDecodeError as e:
-        return raw[: e.start].decode() + "�" + from_bytes(raw[e.start + 1 :])
+    return raw.decode("utf-8", "each byte")
 
 
 @lru_cache(maxsize=2)

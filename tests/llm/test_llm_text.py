@@ -39,6 +39,24 @@ def test_decoding_any_ids(ids):
     assert piece_bpe.load(MODEL).decode(ids) == LIBRARY.decode(ids)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="theringsaol", max_size=60))
+def test_words_whose_pairs_hang_together(text):
+    ids = LIBRARY.encode(text, add_bos=True, add_eos=True)
+    assert np.frombuffer(next(iter(piece_bpe.load(MODEL).encode_batch([text]))), "<u4").tolist() == ids
+
+
+def test_long_unbroken_words_and_stray_bytes():
+    model, rng = piece_bpe.load(MODEL), np.random.default_rng(1)
+    began = time.monotonic()
+    for word in ("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 200_000)), "the" * 60_000, "".join(rng.choice(list("ther"), 50_000)), "a" * 100_000):
+        assert np.frombuffer(next(iter(model.encode_batch([word]))), "<u4").tolist() == LIBRARY.encode(word, add_bos=True, add_eos=True)
+    stray = [int(model.byte_ids[0xE3])] * 100_000 + [int(model.byte_ids[0x41])]
+    assert model.decode(stray) == "\ufffd" * 100_000 + "A"
+    assert model.decode(stray[-3000:]) == LIBRARY.decode(stray[-3000:])
+    assert time.monotonic() - began < 60
+
+
 def test_tokens_of_long_and_empty_texts(spark):
     texts = [None, "", "a" * 20_000, "日本語" * 3000, " " * 5000, "word " * 30_000]
     docs = spark.createDataFrame([(k, t, "clash") for k, t in enumerate(texts)], "doc_id long, text string, ids string")
