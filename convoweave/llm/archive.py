@@ -129,7 +129,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     right = F.col("told") == F.col("payload_digest")
     digest = F.when(right, F.col("payload_digest")).otherwise(F.raise_error(F.lit("a header names another payload")))
     hashed = found.where("record_type = 'response'").select("*", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest"))
-    responses = hashed.select("page_id", "payload_bytes", digest.alias("payload_digest"), "record_type", "refers_to", "shared")
+    responses = cut(hashed.select("page_id", "payload_bytes", digest.alias("payload_digest"), "record_type", "refers_to", "shared"))  # records are rebuilt once
     first = cut(responses.where("shared").groupBy(F.col("payload_digest").alias("_digest")).agg(F.min("payload_bytes").alias("_bytes")))
     revisits = salted_join(found.where("record_type = 'revisit'"), first, F.col("told") == F.col("_digest"), F.xxhash64("page_id"), first.count(), 96)
     lost = F.coalesce("_bytes", F.raise_error(F.lit("a revisit refers to no record")).cast("long"))
