@@ -128,10 +128,12 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     found = parsed(rows).select("shared", "record_type", "told", F.col("id").cast(kind).alias("page_id"), F.col("refers_id").cast(kind).alias("refers_to"), "payload")
     right = F.col("told") == F.col("payload_digest")
     digest = F.when(right, F.col("payload_digest")).otherwise(F.raise_error(F.lit("a header names another payload")))
-    hashed = found.where("record_type = 'response'").select("*", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest"))
-    responses = cut(hashed.select("page_id", "payload_bytes", digest.alias("payload_digest"), "record_type", "refers_to", "shared"))  # records are rebuilt once
+    hashed = found.select("*", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest"))
+    sound = F.when(F.col("record_type") == "response", digest).alias("payload_digest")
+    parts = cut(hashed.select("page_id", "payload_bytes", sound, "record_type", "refers_to", "shared", "told"))  # records are rebuilt once
+    responses = parts.where("record_type = 'response'").drop("told")
     first = cut(responses.where("shared").groupBy(F.col("payload_digest").alias("_digest")).agg(F.min("payload_bytes").alias("_bytes")))
-    revisits = salted_join(found.where("record_type = 'revisit'"), first, F.col("told") == F.col("_digest"), F.xxhash64("page_id"), first.count(), 96)
+    revisits = salted_join(parts.where("record_type = 'revisit'").select("page_id", "record_type", "refers_to", "told"), first, F.col("told") == F.col("_digest"), F.xxhash64("page_id"), first.count(), 96)
     lost = F.coalesce("_bytes", F.raise_error(F.lit("a revisit refers to no record")).cast("long"))
     told = revisits.select("page_id", lost.alias("payload_bytes"), F.col("told").alias("payload_digest"), "record_type", "refers_to")
     return responses.drop("shared").union(told)
