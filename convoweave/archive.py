@@ -187,8 +187,7 @@ class Archive:
         """Takes in the turns of another device's snapshot that rank higher; the number of turns that came in."""
         lines = archive_io.read_snapshot(self.spark, path)
         turns = archive_io.snapshot_turns(lines)
-        for name, kind in (("queued", "boolean"), ("parser_version", "int"), ("summary", "string"), ("tags", "array<string>")):
-            turns = turns.withColumn(name, F.lit(None).cast(kind))
+        turns = turns.withColumn("actions", F.coalesce("actions", F.lit("[]")))
         return self.take_in(cut(turns.where(filled(F.col("id")).isNotNull()).dropDuplicates(["id"])), strict=True)
 
     def markdown(self) -> DataFrame:

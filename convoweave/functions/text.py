@@ -13,12 +13,12 @@ COMPAT_TOKEN = r"[A-Za-z0-9]+|[가-힣]+"
 
 def strip(text: Column) -> Column:
     """Without white space at both ends."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
 def squeeze(text: Column, chars: int | None = None) -> Column:
     """White space as single spaces, trimmed, at most `chars` characters."""
-    out = strip(F.regexp_replace(text, r"\s+", " "))
+    out = strip(F.regexp_replace(text, r"(?U)\s+", " "))
     return F.substring(out, 1, chars) if chars else out
 
 

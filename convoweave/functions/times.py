@@ -2,24 +2,27 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import Column, functions as F
 
-ZONE = "Asia/Seoul"
+OFFSET = "+09:00"  # of the calendar days
 
 
 def instant(text: Column) -> Column:
-    """The instant of an ISO-8601 text (without a zone: UTC); null if it is none."""
-    return F.try_to_timestamp(text)
+    """The instant of an ISO-8601 text (without a zone: UTC, whatever the session's zone); null if it is none."""
+    zoned = text.rlike(r"(Z|[+-]\d\d(:?\d\d)?)\s*$") & text.contains(":")
+    return F.try_to_timestamp(F.when(zoned, text).when(text.contains(":"), F.concat(text, F.lit("Z"))).otherwise(F.concat(text, F.lit("T00:00:00Z"))))
 
 
 def day_start(day: str) -> Column:
-    """The instant at which a calendar day (yyyy-mm-dd) starts in ZONE; other texts are instants."""
-    return F.to_utc_timestamp(F.lit(day).cast("timestamp"), ZONE) if len(day) == 10 else instant(F.lit(day))
+    """The instant at which a calendar day (yyyy-mm-dd) starts at OFFSET; other texts are instants."""
+    return F.try_to_timestamp(F.lit(f"{day}T00:00:00{OFFSET}")) if len(day) == 10 else instant(F.lit(day))
 
 
 def day_end(day: str) -> Column:
     """The exclusive upper bound for `day`: the start of the next calendar day, or the instant itself."""
-    return F.to_utc_timestamp(F.date_add(F.lit(day).cast("date"), 1).cast("timestamp"), ZONE) if len(day) == 10 else instant(F.lit(day))
+    return day_start((date.fromisoformat(day) + timedelta(days=1)).isoformat()) if len(day) == 10 else instant(F.lit(day))
 
 
 def within(text: Column, since: str | None, until: str | None) -> Column:
@@ -33,4 +36,4 @@ def within(text: Column, since: str | None, until: str | None) -> Column:
 
 
 def iso(at: Column) -> Column:
-    return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return F.date_format(F.to_utc_timestamp(at, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -13,24 +15,27 @@ SEPARATORS = ("\n\n", "\n", ". ", "。", "! ", "? ", " ")
 CHUNK, OVERLAP, WHOLE = 900, 120, 12_000
 
 
-def pieces(text: str, most: int = CHUNK, level: int = 0) -> list[str]:
-    """Pieces of at most `most` characters: parts between separators are put together while they fit."""
-    if len(text) <= most:
-        return [text]
-    if level == len(SEPARATORS):
-        return [text[i : i + most] for i in range(0, len(text), most)]
-    out, open_piece = [], ""
-    for part in text.split(SEPARATORS[level]):
-        longer = open_piece + SEPARATORS[level] + part if open_piece else part
-        if len(longer) <= most:
-            open_piece = longer
-            continue
-        if open_piece:
-            out.append(open_piece)
-        open_piece = part if len(part) <= most else ""
-        if len(part) > most:
-            out += pieces(part, most, level + 1)
-    return [*out, open_piece] if open_piece else out
+def packed(text: str, separator: str, most: int) -> Iterator[str]:
+    """The parts of a text between separators, as many in a row as fit into `most` characters; a longer part stands alone."""
+    parts = text.split(separator)
+    ends = [end - len(separator) for end in accumulate(len(p) + len(separator) for p in parts)]
+    at = 0
+    while at < len(parts):
+        if parts[at]:
+            start = ends[at] - len(parts[at])
+            after = max(at + 1, bisect_right(ends, start + most, at))
+            yield text[start : ends[after - 1]]
+            at = after
+        else:
+            at += 1
+
+
+def pieces(text: str, most: int = CHUNK) -> list[str]:
+    """Pieces of at most `most` characters: one pass for each separator packs what is still too long, what remains is cut."""
+    found = [text]
+    for separator in SEPARATORS:
+        found = [p for whole in found for p in (packed(whole, separator, most) if len(whole) > most else (whole,))]
+    return [p[i : i + most] for p in found for i in range(0, len(p) or 1, most)]
 
 
 def split(text: Column, most: int = CHUNK) -> Column:

@@ -125,12 +125,11 @@ def names(sizes: Mapping[int, int], own: Mapping[int, list[str]], common: Mappin
     median = sorted(sizes.values())[len(sizes) // 2] if sizes else 0
     used, out = set(), {}
     for c in sorted(sizes, key=lambda c: (-sizes[c], c)):
-        tags = (common if sizes[c] >= max(80, int(1.8 * median)) else own).get(c) or []
-        name = tags[0] if tags else (headlines.get(c) or f"군집 {c}")
-        for tag in tags[1:]:
-            if name not in used:
-                break
-            name = f"{name} · {tag}"
+        large = sizes[c] >= max(80, int(1.8 * median))
+        lists = (common.get(c), own.get(c)) if large else (own.get(c), common.get(c))
+        tags = next(filter(None, lists), [])
+        tried = [*tags[:1], *(f"{tags[0]} · {tag}" for tag in tags[1:])] or [headlines.get(c) or f"군집 {c + 1}"]
+        name = next((t for t in tried if t not in used), tried[-1])
         out[c] = name if name not in used else f"{name} ({c})"
         used.add(out[c])
     return out

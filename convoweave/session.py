@@ -38,6 +38,8 @@ def shared_dir(spark: SparkSession) -> str:
     """
     context = spark.sparkContext
     if not context.getCheckpointDir():
+        if not spark.conf.get("spark.checkpoint.dir", None) and not context.master.startswith("local"):
+            raise ValueError("on a cluster, set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="convoweave-"))
     return context.getCheckpointDir()
 

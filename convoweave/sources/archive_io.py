@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from convoweave.functions.ordering import running_sum
 
@@ -10,15 +10,35 @@ KINDS = ("t", "title", "fold", "folder", "fitem", "folder_x", "fitem_x")
 CELLS = {"title": 3, "fold": 3, "folder": 5, "fitem": 6, "folder_x": 2, "fitem_x": 4}
 
 
+#: The cells of a turn's line, in their order; those that are no texts; how many the oldest lines have.
+TURN_CELLS = ("id", "session_id", "uuid", "parent_uuid", "timestamp", "project", "question", "answer", "actions", "summary", "tags", "source", "source_file", "queued", "parser_version")
+NUMBERS = {"queued": "int", "parser_version": "int"}
+OLDEST_CELLS = 11
+
+
+def json_text(text: Column) -> Column:
+    """A text as a JSON string; null as null."""
+    array = F.to_json(F.array(text.cast("string")))
+    return F.when(text.isNull(), F.lit("null")).otherwise(F.regexp_extract(array, r"(?s)^\[(.*)\]$", 1))
+
+
 def snapshot_lines(turns: DataFrame, chunks: DataFrame) -> DataFrame:
-    """value: a line for each turn (its cells, and its chunks in order) of a device snapshot."""
-    mine = chunks.groupBy(F.col("turn_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("idx", "text"))).alias("_c"))
-    cells = ("id", "session_id", "uuid", "parent_uuid", "timestamp", "project", "question", "answer", "actions", "source", "source_file")
-    text = lambda c: F.coalesce(F.to_json(F.array(F.col(c).cast("string"))), F.lit("[null]"))
-    inner = F.concat_ws(",", *(F.regexp_extract(text(c), r"(?s)^\[(.*)\]$", 1) for c in cells))
-    pairs = F.transform(F.coalesce("_c", F.array().cast("array<struct<idx:int,text:string>>")), lambda c: F.concat(F.lit("["), c["idx"].cast("string"), F.lit(","), F.regexp_extract(F.to_json(F.array(c["text"])), r"(?s)^\[(.*)\]$", 1), F.lit("]")))
-    line = F.concat(F.lit('{"t":['), inner, F.lit('],"c":['), F.array_join(pairs, ","), F.lit("]}"))
-    return turns.join(mine, "id", "left").select(line.alias("value"))
+    """value: a line for each turn (its cells, and its chunks in order) of a device snapshot; cells that `turns` lacks are null."""
+    pair = F.concat(F.lit("["), F.col("idx").cast("string"), F.lit(","), json_text(F.col("text")), F.lit("]"))
+    mine = chunks.groupBy(F.col("turn_id").alias("_id")).agg(F.array_sort(F.collect_list(F.struct("idx", pair.alias("pair")))).alias("_c"))
+    kinds = {f.name: f.dataType for f in turns.schema}
+    cells = []
+    for c in TURN_CELLS:
+        if c in NUMBERS:
+            value = F.coalesce(F.col(c).cast("int").cast("string"), F.lit("0" if c == "parser_version" else "null")) if c in kinds else F.lit("0" if c == "parser_version" else "null")
+        elif c not in kinds:
+            value = F.lit("null")
+        else:
+            value = json_text(F.to_json(c) if isinstance(kinds[c], (T.ArrayType, T.StructType)) else F.col(c))
+        cells.append(value)
+    pairs = F.transform(F.coalesce("_c", F.array().cast("array<struct<idx:int,pair:string>>")), lambda c: c["pair"])
+    line = F.concat(F.lit('{"t":['), F.concat_ws(",", *cells), F.lit('],"c":['), F.array_join(pairs, ","), F.lit("]}"))
+    return turns.join(mine, F.col("id") == F.col("_id"), "left").select(line.alias("value"))
 
 
 def write_snapshot(turns: DataFrame, chunks: DataFrame, path: str) -> None:
@@ -34,17 +54,19 @@ def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
     count = F.json_array_length(F.get_json_object("line", "$.t"))
     n = lambda k: F.json_array_length(F.get_json_object("line", f"$.{k}"))
     clock = lambda k: F.get_json_object("line", f"$.{k}[{CELLS[k] - 1}]").try_cast("double").isNotNull()
-    valid = F.when(kind == "t", count.between(11, 15) & (F.get_json_object("line", "$.t[0]") != "") & (n("c") >= 0))
+    valid = F.when(kind == "t", count.between(OLDEST_CELLS, len(TURN_CELLS)) & (F.get_json_object("line", "$.t[0]") != "") & (n("c") >= 0))
     for k in CELLS:
         valid = valid.when(kind == k, (n(k) == CELLS[k]) & clock(k))
     return rows.withColumn("kind", kind).withColumn("valid", F.coalesce(valid, F.lit(False)) & F.try_parse_json("line").isNotNull())
 
 
 def snapshot_turns(lines: DataFrame) -> DataFrame:
-    """The turns of valid snapshot lines."""
-    cells = ("id", "session_id", "uuid", "parent_uuid", "timestamp", "project", "question", "answer", "actions", "source", "source_file")
+    """The turns of valid snapshot lines; cells that older lines lack are null."""
     given = F.from_json(F.get_json_object("line", "$.t"), "array<string>")
-    return lines.where("valid AND kind = 't'").select(*(F.get(given, k).alias(c) for k, c in enumerate(cells)))
+    cells = [F.get(given, k) for k in range(len(TURN_CELLS))]
+    flag = lambda c: F.when(F.lower(c).isin("1", "true"), True).when(F.lower(c).isin("0", "false"), False)
+    read = {"queued": flag, "parser_version": lambda c: c.try_cast("int"), "tags": lambda c: F.from_json(c, "array<string>")}
+    return lines.where("valid AND kind = 't'").select(*(read.get(c, lambda x: x)(v).alias(c) for c, v in zip(TURN_CELLS, cells, strict=True)))
 
 
 def snapshot_chunks(lines: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ def new_parts(files: DataFrame, cursors: DataFrame) -> DataFrame:
     shrunk = F.coalesce(F.col("mirrored") > F.col("length"), F.lit(False))
     start = F.when(shrunk, F.lit(0)).otherwise(F.coalesce("mirrored", F.lit(0))).cast("long")
     generation = F.coalesce("generation", F.lit(0)) + shrunk.cast("int")
-    parts = rows.select("path", start.alias("start"), F.col("length").alias("end"), generation.alias("generation"), F.substr("content", (start + 1).cast("int"), F.lit(1 << 30)).alias("bytes"))
+    parts = rows.select("path", start.alias("start"), F.col("length").alias("end"), generation.alias("generation"), F.substr("content", (start + 1).cast("int")).alias("bytes"))
     return parts.where(F.col("end") > F.col("start"))
 
 

@@ -27,7 +27,7 @@ PLUMBING = (
     "This session is being continued from a previous conversation", "<bash-input", "<bash-stdout", "<bash-stderr", "[Request interrupted", "[Image: source:",
 )
 ACTION_KEYS = ("file_path", "notebook_path", "path", "command", "pattern", "url", "query")
-SKIPPED_DIRS = r"/(\.stversions|[^/]*-archive)/"
+SKIPPED_DIRS = r"/\.(stversions|[^/]+-archive)/"  # hidden folders of tools, not projects that end alike
 LEAST_FOLLOW_UPS = 2
 BLOCKS = "array<struct<type:string,text:string,thinking:string,name:string,input:string>>"
 

@@ -39,6 +39,11 @@ def test_life_of_an_archive(spark, tmp_path, capsys):
     b = Archive(spark, str(tmp_path / "b"))
     assert b.import_from(str(tmp_path / "snap")) == 4
     assert b.import_from(str(tmp_path / "snap")) == 0
+    with open(logs / "s1.jsonl", "ab") as f:  # the peer's longer answer, of the same version, is taken
+        f.write(json.dumps(assistant({"type": "text", "text": "and much more to say"}, sessionId="s1")).encode() + b"\n")
+    if a.index(str(logs), "claude-code", now=3e9):
+        a.export(str(tmp_path / "later"))
+        assert b.import_from(str(tmp_path / "later")) == 1
     b.delete(["s2:b1"])
     assert b.search("sourdough", mode="keyword").count() == 0
     assert b.reconcile() == 0

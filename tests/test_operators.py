@@ -10,6 +10,7 @@ from convoweave.functions import text, times, vectors
 from convoweave.operators import chunking, enrich, folders as fo, keyword, merge, quality, search, semantic_map as sm, turns as tu
 from convoweave.plans import listing
 from convoweave.sources import archive_io
+from convoweave.session import settings
 from convoweave.streaming.turn_stream import keep_latest, stream_turns
 
 
@@ -130,14 +131,33 @@ def test_snapshot_round_trip(spark, tmp_path):
     archive_io.write_snapshot(turns, chunks, str(tmp_path / "snap"))
     lines = archive_io.read_snapshot(spark, str(tmp_path / "snap"))
     assert lines.first()["valid"]
-    assert archive_io.snapshot_turns(lines).first() == turns.first()
+    assert archive_io.snapshot_turns(lines).select(*turns.columns).first() == turns.first()
     assert [(r["idx"], r["text"]) for r in archive_io.snapshot_chunks(lines).collect()] == [(0, 'o"ne'), (1, "two")]
     odd = ['{"title":["s","x",5]}', '{"title":["s","x","no clock"]}', '{"fold":["a",1]}', "broken", '{"t":["a"],"c":[]}', '{"other":[]}', '{"folder_x":["u",3.5]}']
     (tmp_path / "odd").write_text("\n".join(odd))
     assert [r["valid"] for r in archive_io.read_snapshot(spark, str(tmp_path / "odd")).collect()] == [True, False, False, False, False, False, True]
 
 
+def test_days_do_not_depend_on_the_session(spark):
+    rows = spark.createDataFrame([("2026-03-01T15:30:00Z",), ("2026-03-01T15:30:00",), ("2026-03-02T14:59:59Z",), ("2026-03-02T15:00:00Z",), ("2026-03-02",), ("no time",)], "t string")
+    want = [r[0] for r in rows.where(times.within(F.col("t"), "2026-03-02", "2026-03-02")).collect()]
+    assert want == ["2026-03-01T15:30:00Z", "2026-03-01T15:30:00", "2026-03-02T14:59:59Z", "2026-03-02", "no time"]
+    with settings(spark, spark__sql__session__timeZone="America/New_York"):
+        assert [r[0] for r in rows.where(times.within(F.col("t"), "2026-03-02", "2026-03-02")).collect()] == want
+        assert rows.select(times.iso(times.instant(F.col("t")))).first()[0] == "2026-03-01T15:30:00Z"
+
+
+def test_names_try_one_further_tag_at_a_time():
+    got = sm.names({0: 9, 1: 8, 2: 7, 3: 6, 4: 5}, {0: ["a"], 1: ["a", "b"], 2: ["a", "b", "c"], 4: []}, {3: ["x"]}, {4: "head"})
+    assert got == {0: "a", 1: "a · b", 2: "a · c", 3: "x", 4: "head"}
+
+
 def test_redaction_and_replies():
+    deep = record = {}
+    for _ in range(12):
+        record["k"] = {"type": "short"}
+        record = record["k"]
+    assert quality.redacted(deep)["k"]["k"]["k"]["k"]["k"]["k"]["k"]["k"] == {"type": "short", "k": "<...>"}
     value = {"type": "user", "status": "has spaces", "text": "secret", "list": [1, 2, 3, 4, 5, 6], "deep": {"a": {"b": [True, None]}}}
     assert quality.redacted(value) == {"type": "user", "status": "<str:10>", "text": "<str:6>", "list": [1, 2, 3, 4, "<+2 more>"], "deep": {"a": {"b": [True, None]}}}
     assert enrich.parsed('Sure!\n```json\n[{"id": "a", "tags": 5}, {"no": 1}]\n```') == [{"id": "a", "tags": 5}]

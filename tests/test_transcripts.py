@@ -46,8 +46,11 @@ def found(turns):
 
 def test_lines_are_complete_and_know_their_bytes(spark, tmp_path):
     write(tmp_path / "a.jsonl", [{"k": "é"}, b"\n", b"{broken\n", b'{"bad":"\xff"}\n'], tail=b'{"k": "unfinished"}')
-    write(tmp_path / "x-archive" / "b.jsonl", [{"k": 1}])
-    read = tr.lines(tr.files(spark, str(tmp_path)))
+    write(tmp_path / ".x-archive" / "b.jsonl", [{"k": 1}])
+    write(tmp_path / "of" / "-home-me-photo-archive" / "b.jsonl", [{"k": 1}])
+    files = tr.files(spark, str(tmp_path))
+    assert sorted(r["path"].rsplit("/", 2)[-2] for r in files.where("path LIKE '%b.jsonl'").collect()) == ["-home-me-photo-archive"]
+    read = tr.lines(files.where("path LIKE '%a.jsonl'"))
     rows = [(r["offset"], r["end_offset"], r["line"]) for r in read.orderBy("offset").collect()]
     assert rows == [(0, 12, '{"k": "é"}'), (13, 21, "{broken"), (21, 33, '{"bad":"�"}')]
     assert [(r["bad_lines"], r["first_offset"]) for r in quality.corrupt(read).collect()] == [(1, 21)]
