@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from convoweave.functions import times
 from convoweave.operators import enrich, keyword as kw, merge as me, quality as qu, search as sr, semantic_map as sm
-from convoweave.plans.listing import folders, items
+from convoweave.plans.listing import HARD_CHUNKS, folders, hard_chunks, items
 from convoweave.plans.model import FOLDERS, ITEMS, TURNS, sql, stamp, turns
 from convoweave.operators import folders as fo
 from convoweave.session import table
@@ -28,7 +28,7 @@ def query(name: str, oracle: str | None = None):
 
 
 # Documents stand for turns with a text and a vector: text, source as session, lang as project.
-DOCS = r"""docs AS (SELECT doc_id::VARCHAR AS id, 's' || source AS session_id, lang AS project, substr(text, 1, 8) AS question, text,
+DOCS = r"""docs AS (SELECT doc_id::VARCHAR AS id, 's' || source AS session_id, lang AS project, coalesce(text, '') AS question, text,
   strftime(TIMESTAMP '2026-01-01 00:00:00' + to_hours(doc_id % 100) + to_minutes(doc_id % 60), '%Y-%m-%dT%H:%M:%SZ') AS timestamp,
   CASE WHEN doc_id % 3 = 0 THEN 'codex' WHEN doc_id % 3 = 1 THEN 'claude-code' ELSE '' END AS source FROM documents)"""
 
@@ -36,7 +36,7 @@ DOCS = r"""docs AS (SELECT doc_id::VARCHAR AS id, 's' || source AS session_id, l
 def docs(spark, sf):
     d = F.col("doc_id")
     return table(spark, sf, "documents").select(
-        d.cast("string").alias("id"), F.concat(F.lit("s"), F.col("source")).alias("session_id"), F.col("lang").alias("project"), F.substring("text", 1, 8).alias("question"), "text",
+        d.cast("string").alias("id"), F.concat(F.lit("s"), F.col("source")).alias("session_id"), F.col("lang").alias("project"), F.coalesce("text", F.lit("")).alias("question"), "text",
         stamp(d % 100, d % 60).alias("timestamp"), F.when(d % 3 == 0, "codex").when(d % 3 == 1, "claude-code").otherwise("").alias("source"),
     )
 
@@ -271,11 +271,11 @@ def record_cap(spark, sf):
 
 
 # The map: labels are clusters, words of documents are tags.
-TAGS = "tags AS (SELECT label AS cluster, vec_id AS point, unnest(list_distinct(regexp_extract_all(lower(substr(text, 1, 200)), '[\\p{L}\\p{N}]+'))) AS tag FROM embeddings JOIN documents ON doc_id = vec_id), counts AS (SELECT cluster, tag, count(*) AS tf, size FROM tags JOIN (SELECT cluster, count(DISTINCT point) AS size FROM tags GROUP BY cluster) USING (cluster) GROUP BY ALL)"
+TAGS = "tags AS (SELECT label AS cluster, vec_id AS point, unnest(list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'))) AS tag FROM embeddings JOIN documents ON doc_id = vec_id), counts AS (SELECT cluster, tag, count(*) AS tf, size FROM tags JOIN (SELECT cluster, count(DISTINCT point) AS size FROM tags GROUP BY cluster) USING (cluster) GROUP BY ALL)"
 
 
 def counted_tags(spark, sf):
-    words = F.array_distinct(F.regexp_extract_all(F.lower(F.substring("text", 1, 200)), F.lit(r"([\p{L}\p{N}]+)"), 1))
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]+)"), 1))
     rows = table(spark, sf, "embeddings").join(table(spark, sf, "documents"), F.col("doc_id") == F.col("vec_id"))
     return sm.tag_counts(rows.select(F.col("label").alias("cluster"), F.col("vec_id").alias("point"), F.explode(words).alias("tag")))
 
@@ -299,14 +299,15 @@ def points(spark, sf):
     v = F.col("vec_id")
     return table(spark, sf, "embeddings").select(
         F.col("label").alias("cluster"), (v % 40).alias("turn_id"), F.concat(F.lit("s"), (v % 17).cast("string")).alias("session_id"), stamp(v % 24, v % 60).alias("timestamp"), v.alias("idx"), v.cast("string").alias("key"),
-        F.transform(F.slice("embedding", 1, 2), lambda x: x.cast("double")).alias("coords"),
+        F.transform("embedding", lambda x: x.cast("double")).alias("coords"),
     )
 
 
-@query("cluster_summary", "SELECT label AS cluster, count(*) AS points, count(DISTINCT vec_id % 40) AS turns, round(avg(embedding[1]::DOUBLE), 6) AS x, round(avg(embedding[2]::DOUBLE), 6) AS y FROM embeddings GROUP BY label")
+@query("cluster_summary", "WITH w AS (SELECT label, count(*) AS points, count(DISTINCT vec_id % 40) AS turns FROM embeddings GROUP BY label), e AS (SELECT label, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS dim FROM embeddings) SELECT label AS cluster, points, turns, dim, round(avg(x), 6) AS centre FROM e JOIN w USING (label) GROUP BY ALL")
 def cluster_summary(spark, sf):
     rows = sm.summary(points(spark, sf))
-    return rows.select("cluster", "points", "turns", F.round(F.col("centroid")[0], 6).alias("x"), F.round(F.col("centroid")[1], 6).alias("y"))
+    each = rows.select("cluster", "points", "turns", F.posexplode("centroid").alias("dim", "centre"))
+    return each.withColumn("dim", F.col("dim").cast("long")).withColumn("centre", F.round("centre", 6))
 
 
 @query("session_paths", "WITH p AS (SELECT 's' || (vec_id % 17) AS session_id, strftime(TIMESTAMP '2026-01-01 00:00:00' + to_hours(vec_id % 24) + to_minutes(vec_id % 60), '%Y-%m-%dT%H:%M:%SZ') AS ts, vec_id FROM embeddings) SELECT session_id, string_agg(vec_id::VARCHAR, ',' ORDER BY ts, vec_id) AS keys FROM p GROUP BY session_id HAVING count(*) >= 2")
@@ -342,11 +343,12 @@ def idle_sessions(spark, sf):
     return rows.select("user_id", F.col("started").cast("string").alias("started"), F.col("ended").cast("string").alias("ended"), "n")
 
 
-@query("backfill_missing", sql(TURNS, "p AS (SELECT *, lag(question) OVER (PARTITION BY session_id ORDER BY timestamp, id) AS pq FROM turns)", "SELECT id || '#0' AS chunk_key, '[' || project || ']' || coalesce(' 이전: ' || substr(pq, 1, 120), '') || chr(10) || question AS input FROM p WHERE turn % 3 <> 0"))
+@query("backfill_missing", sql(TURNS, HARD_CHUNKS, "SELECT chunk_key, input FROM chunk WHERE (turn + i) % 3 <> 0"))
 def backfill_missing(spark, sf):
     t = turns(spark, sf)
-    chunks = t.select(F.concat("id", F.lit("#0")).alias("chunk_key"), F.col("id").alias("turn_id"), F.col("question").alias("text"), F.col("offset"))
-    return inc.missing_vectors(t, chunks.drop("offset"), chunks.where("offset % 3 = 0"))
+    chunks = hard_chunks(t)
+    with_vector = chunks.where((F.regexp_extract("turn_id", ":(.*)", 1).cast("long") + F.col("idx")) % 3 == 0)
+    return inc.missing_vectors(t, chunks.drop("idx"), with_vector)
 
 
 @query("turn_slices", sql(TURNS, "SELECT id, (turn - min(turn) OVER (PARTITION BY session_id)) // 4 AS slice FROM turns"))

@@ -46,9 +46,12 @@ def turn_embed_text(spark, sf):
     return turns(spark, sf).select("id", text.embed_text(F.col("question"), F.col("answer"), F.col("actions")).alias("embed_text"))
 
 
-@query("value_filter", sql(TURNS, "SELECT id, acts <> '' OR NOT (lower(substr(question, 1, 2)) IN ('ok', 'no') AND length(substr(answer, 1, 14)) < 15 OR length(substr(question, 1, 2)) + length(substr(answer, 1, 14)) < 15) AS keep FROM turns"))
+TRIVIAL = ", ".join(f"'{t}'" for t in text.TRIVIAL)
+
+
+@query("value_filter", sql(TURNS, f"SELECT id, acts <> '' OR NOT (lower(question) IN ({TRIVIAL}) AND length(answer) < 15 OR length(question) + length(answer) < 15) AS keep FROM turns"))
 def value_filter(spark, sf):
-    return turns(spark, sf).select("id", text.worth_embedding(F.substring("question", 1, 2), F.substring("answer", 1, 14), F.col("actions")).alias("keep"))
+    return turns(spark, sf).select("id", text.worth_embedding(F.col("question"), F.col("answer"), F.col("actions")).alias("keep"))
 
 
 PREV = "lag(question) OVER (PARTITION BY session_id ORDER BY timestamp, id)"
@@ -64,14 +67,22 @@ def prev_question_strict(spark, sf):
     return tu.with_previous_question(turns(spark, sf), strict=True).select("id", "previous_question")
 
 
-@query(
-    "embed_input_hash",
-    sql(TURNS, f"p AS (SELECT *, {PREV} AS pq FROM turns)", "i AS (SELECT id || '#0' AS chunk_key, '[' || project || ']' || coalesce(' 이전: ' || substr(pq, 1, 120), '') || chr(10) || substr(question, 1, 50) AS input FROM p)", "SELECT chunk_key, sha1(input) AS embed_hash FROM i"),
-)
+#: Whole texts of turns in chunks of 900 characters, cut anywhere, with what stands before a chunk when it is embedded.
+HARD_CHUNKS = f"""p AS (SELECT *, {PREV} AS pq, {EMBED} AS whole FROM turns),
+n AS (SELECT *, unnest(range(0, ceil(length(whole) / 900.0)::BIGINT)) AS i FROM p),
+chunk AS (SELECT id || '#' || i AS chunk_key, turn, i, '[' || project || ']' || coalesce(' 이전: ' || substr(pq, 1, 120), '') || chr(10) || substr(whole, i * 900 + 1, 900) AS input FROM n)"""
+
+
+def hard_chunks(t):
+    whole = text.embed_text(F.col("question"), F.col("answer"), F.col("actions"))
+    rows = t.select(F.col("id").alias("turn_id"), F.posexplode(chunking.hard_cut(whole)).alias("idx", "text"))
+    return rows.select(F.concat("turn_id", F.lit("#"), F.col("idx").cast("string")).alias("chunk_key"), "turn_id", "idx", "text")
+
+
+@query("embed_input_hash", sql(TURNS, HARD_CHUNKS, "SELECT chunk_key, sha1(input) AS embed_hash FROM chunk"))
 def embed_input_hash(spark, sf):
     t = turns(spark, sf)
-    chunks = t.select(F.concat("id", F.lit("#0")).alias("chunk_key"), F.col("id").alias("turn_id"), F.substring("question", 1, 50).alias("text"))
-    return tu.embed_inputs(chunks, t).select("chunk_key", "embed_hash")
+    return tu.embed_inputs(hard_chunks(t), t).select("chunk_key", "embed_hash")
 
 
 @query("thread_window", sql(TURNS, "SELECT id, array_to_string(list(id) OVER (PARTITION BY session_id ORDER BY timestamp, id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), ',') AS thread FROM turns"))
