@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from convoweave.functions.text import question_key, source_or_default
 from convoweave.functions.times import within
-from convoweave.functions.vectors import dot, int8, norm
+from convoweave.functions.vectors import dot, int8, norm, normalised
 from convoweave.operators.keyword import bm25
+from convoweave.session import cut
 
 RRF_K = 60
+SLAB, BLOCK = 4096, 256  # vectors and queries that are scored at once
+BROADCAST_BYTES = 32 << 20
 MODES = ("hybrid", "semantic", "keyword")
 
 
@@ -20,6 +25,83 @@ def nearest(vectors: DataFrame, query: Sequence[float], limit: int, key: str = "
     return vectors.select(F.col(key), dot(F.col(embedding), query).alias("score")).orderBy(F.desc("score"), key).limit(limit)
 
 
+def packed(vectors: DataFrame, key: str, embedding: str, most: int) -> DataFrame:
+    """dims, keys and data: vectors of one length, up to `most` of a task in a row, as one block of doubles.
+
+    Vectors that are null, empty or hold nulls are left out: they have no score.
+    """
+    rows = vectors.select(F.col(key).cast("string").alias("key"), F.transform(embedding, lambda x: x.cast("double")).alias("e"))
+    rows = rows.where("key IS NOT NULL AND size(e) > 0 AND NOT exists(e, x -> x IS NULL)")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys, e = b.column(0).to_pylist(), b.column(1)
+            ends = e.offsets.to_numpy()
+            flat, dims = e.values.to_numpy(), np.diff(ends)
+            for d in np.unique(dims).tolist():
+                mine = np.flatnonzero(dims == d)
+                for k in range(0, len(mine), most):
+                    part = mine[k : k + most]
+                    data = flat[ends[part][:, None] + np.arange(d)]
+                    yield pa.RecordBatch.from_pydict({"dims": pa.array([d], pa.int32()), "keys": [[keys[i] for i in part]], "data": [data.tobytes()]})
+
+    return rows.mapInArrow(pack, "dims int, keys array<string>, data binary")
+
+
+def nearest_each(vectors: DataFrame, queries: DataFrame, limit: int, key: str = "chunk_key", query: str = "query", embedding: str = "embedding") -> DataFrame:
+    """query, key, score and rank: for each of `queries` (its key unique) the `limit` best of `vectors` by dot product, ties by key.
+
+    Vectors are packed where they lie. Each slab of them meets each block of queries: the blocks are broadcast while they
+    are small, else both are dealt by block and slab. A pair gives at most `limit` rows a query; the best of all slabs
+    come from a window whose limit Spark applies before its shuffle, too. Scores have 12 digits, so that equal vectors tie.
+    Keys are compared as strings. Only vectors as long as the query count.
+    """
+    blocks = cut(packed(queries, query, embedding, BLOCK).withColumn("block", F.monotonically_increasing_id()))
+    size = blocks.agg(F.coalesce(F.sum(F.length("data")), F.lit(0))).first()[0]
+    blocks = blocks.select(F.col("dims").alias("_d"), F.col("keys").alias("asked"), F.col("data").alias("asked_data"), "block")
+    slabs = packed(vectors, key, embedding, SLAB)
+    if size <= BROADCAST_BYTES:
+        pairs = slabs.join(F.broadcast(blocks), F.col("dims") == F.col("_d"))
+    else:  # every slab goes to the cells of all blocks of its length, so that no cell holds more than one of either
+        names = blocks.groupBy("_d").agg(F.collect_list("block").alias("_all"))
+        dealt = slabs.join(names, F.col("dims") == F.col("_d")).withColumn("_block", F.explode("_all")).drop("_d", "_all")
+        pairs = dealt.join(blocks, F.col("_block") == F.col("block"))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in range(b.num_rows):
+                keys, asked = np.array(b.column("keys")[r].as_py(), object), b.column("asked")[r].as_py()
+                v = np.frombuffer(b.column("data")[r].as_buffer()).reshape(len(keys), -1)
+                q = np.frombuffer(b.column("asked_data")[r].as_buffer()).reshape(len(asked), -1)
+                scores = np.round(q @ v.T, 12)
+                place = np.argsort(np.argsort(keys, kind="stable"), kind="stable")
+                out = []
+                for n, row in enumerate(scores):
+                    least = -np.inf if len(row) <= limit else np.partition(row, len(row) - limit)[len(row) - limit]
+                    able = np.flatnonzero(~(row < least))
+                    best = able[np.lexsort((place[able], -row[able]))[:limit]]
+                    out.append((np.full(len(best), n), best, row[best]))
+                n, at, s = (np.concatenate(x) for x in zip(*out, strict=True))
+                yield pa.RecordBatch.from_pydict({"query": np.array(asked, object)[n], "key": keys[at], "score": s})
+
+    found = pairs.select("keys", "data", "asked", "asked_data").mapInArrow(score, "query string, key string, score double")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "key"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= limit)
+
+
+def cosines(vectors: DataFrame, embedding: str = "embedding") -> DataFrame:
+    """`vectors` quantised to bytes and scaled to length one, so that their dot products are the cosines of `nearest_int8`."""
+    return vectors.withColumn(embedding, normalised(int8(F.col(embedding))))
+
+
+def by_turn_each(hits: DataFrame) -> DataFrame:
+    """query, id, cosine and rank of turns, from the `nearest_each` of their chunks."""
+    owner = F.regexp_replace("key", r"#[^#]*$", "")
+    best = hits.groupBy("query", owner.alias("id")).agg(F.max(F.struct("score", "key")).alias("_b"))
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("_b.score"), F.col("_b.key")))
+    return best.select("query", "id", F.col("_b.score").alias("cosine"), rank.alias("rank"))
+
+
 def nearest_int8(vectors: DataFrame, query: Sequence[float], limit: int, key: str = "chunk_key", embedding: str = "embedding") -> DataFrame:
     """As `nearest`, by cosine of vectors quantised to bytes."""
     asked = [max(-127.0, min(127.0, float(int(abs(x) * 127 + 0.5)) * (1 if x >= 0 else -1))) for x in query]

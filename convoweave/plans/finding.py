@@ -66,27 +66,48 @@ def vectors(spark, sf):
 
 
 def asked(spark, sf):
-    return list(table(spark, sf, "embeddings").where("vec_id = 7").first()["embedding"])
+    row = table(spark, sf, "embeddings").where("vec_id = 7").first()
+    return list(row["embedding"]) if row else None
 
 
-@query("knn_exact", sql(VECTORS, "SELECT chunk_key, round(list_dot_product(e, q), 6) AS score FROM vec, asked ORDER BY list_dot_product(e, q) DESC, chunk_key LIMIT 25"))
+def every_twentieth(spark, sf):
+    """The query set of the vector searches: every row whose id is divisible by 20."""
+    return table(spark, sf, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), "embedding")
+
+
+EACH = """v AS (SELECT vec_id, vec_id::VARCHAR AS chunk_key, {} AS e FROM embeddings),
+scored AS (SELECT q.chunk_key AS query, v.chunk_key, v.vec_id, round(list_dot_product(v.e, q.e), 12) AS s FROM v, v q WHERE q.vec_id % 20 = 0)"""
+BYTES = """list_transform(embedding::DOUBLE[], lambda x: least(127.0::DOUBLE, greatest(-127.0::DOUBLE, round(x * 127))))"""
+UNIT = f"CASE WHEN list_dot_product({BYTES}, {BYTES}) = 0 THEN {BYTES} ELSE list_transform({BYTES}, lambda y: y / sqrt(list_dot_product({BYTES}, {BYTES}))) END"
+BEST = "SELECT query, chunk_key, round(s, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY s DESC, chunk_key) AS rank FROM scored) WHERE rank <= 25"
+
+
+def best_chunks(hits):
+    return hits.select("query", F.col("key").alias("chunk_key"), F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query("knn_exact", sql(EACH.format("embedding::DOUBLE[]"), BEST))
 def knn_exact(spark, sf):
-    return sr.nearest(vectors(spark, sf), asked(spark, sf), 25).select("chunk_key", F.round("score", 6).alias("score"))
+    return best_chunks(sr.nearest_each(vectors(spark, sf), every_twentieth(spark, sf), 25))
 
 
-@query(
-    "knn_int8",
-    sql(VECTORS, "i AS (SELECT chunk_key, list_transform(e, lambda x: least(127.0::DOUBLE, greatest(-127.0::DOUBLE, round(x * 127)))) AS a, list_transform(q, lambda x: round(x * 127)) AS b FROM vec, asked)", "s AS (SELECT chunk_key, list_dot_product(a, b) / (sqrt(list_dot_product(a, a)) * sqrt(list_dot_product(b, b))) AS s FROM i)", "SELECT chunk_key, round(s, 6) AS score FROM s ORDER BY round(s, 12) DESC, chunk_key LIMIT 25"),
-)
+@query("knn_int8", sql(EACH.format(UNIT), BEST))
 def knn_int8(spark, sf):
-    return sr.nearest_int8(vectors(spark, sf), asked(spark, sf), 25).select("chunk_key", F.round("score", 6).alias("score"))
+    return best_chunks(sr.nearest_each(sr.cosines(vectors(spark, sf)), sr.cosines(every_twentieth(spark, sf)), 25))
 
 
-@query("chunk_to_turn_collapse", sql(VECTORS, "h AS (SELECT list_dot_product(e, q) AS s, 't' || (vec_id % 50) AS id, 't' || (vec_id % 50) || '#' || vec_id AS k FROM vec, asked ORDER BY s DESC, k LIMIT 200)", "b AS (SELECT id, max((s, k)) AS m FROM h GROUP BY id)", "SELECT id, round(m[1], 6) AS cosine, row_number() OVER (ORDER BY m[1] DESC, m[2]) AS rank FROM b"))
+@query(
+    "chunk_to_turn_collapse",
+    sql(
+        EACH.format("embedding::DOUBLE[]"), "k AS (SELECT query, s, 't' || (vec_id % 50) AS id, 't' || (vec_id % 50) || '#' || vec_id AS k FROM scored)", "h AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY query ORDER BY s DESC, k) <= 200)", "b AS (SELECT query, id, max((s, k)) AS m FROM h GROUP BY query, id)",
+        "SELECT query, id, round(m[1], 6) AS cosine, row_number() OVER (PARTITION BY query ORDER BY m[1] DESC, m[2]) AS rank FROM b",
+    ),
+)
 def chunk_to_turn_collapse(spark, sf):
     n = F.col("chunk_key").cast("long")
     rows = vectors(spark, sf).withColumn("chunk_key", F.concat(F.lit("t"), (n % 50).cast("string"), F.lit("#"), F.col("chunk_key")))
-    return sr.by_turn(sr.nearest(rows, asked(spark, sf), 200)).select("id", F.round("cosine", 6).alias("cosine"), F.col("rank").cast("long").alias("rank"))
+    found = sr.by_turn_each(sr.nearest_each(rows, every_twentieth(spark, sf), 200))
+    return found.select("query", "id", F.round("cosine", 6).alias("cosine"), F.col("rank").cast("long").alias("rank"))
 
 
 def hybrid_sql(depth: int, where: str, k: int, tail: str = "SELECT id, round(score, 9) AS score, sources, place FROM hits") -> str:

@@ -265,3 +265,23 @@ def test_quota_over_many_partitions(spark):
         total += r["size"]
         want |= {r["path"]} if total > 150 else set()
     assert {r["path"] for r in archive_io.quota_victims(files, 150).collect()} == want
+
+
+def test_nearest_of_many_queries(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(f"v{k}", [float(x) for x in rng.integers(-2, 3, 4)]) for k in range(300)] + [("null", None), ("hole", [1.0, None, 0.0, 0.0]), ("short", [1.0, 2.0])]
+    vectors = spark.createDataFrame(rows, "chunk_key string, embedding array<float>").repartition(5)
+    queries = spark.createDataFrame([(f"q{k}", rows[k][1]) for k in range(0, 300, 20)] + [("two", [0.5, 1.0])], "query string, embedding array<float>")
+    usable = [(k, e) for k, e in rows if e is not None and None not in e]
+    want = {}
+    for q, asked in queries.collect():
+        scored = sorted((-sum(a * b for a, b in zip(asked, e, strict=True)), k) for k, e in usable if len(e) == len(asked))
+        want[q] = [(k, -s) for s, k in scored[:7]]
+    for limit in (search.BROADCAST_BYTES, 0):  # blocks that are broadcast, and blocks that are dealt
+        monkeypatch.setattr(search, "BROADCAST_BYTES", limit)
+        got = {}
+        for r in search.nearest_each(vectors, queries, 7).orderBy("query", "rank").collect():
+            got.setdefault(r["query"], []).append((r["key"], r["score"]))
+        assert got == want
+    assert search.nearest_each(vectors.limit(0), queries, 7).count() == 0
+    assert search.nearest_each(vectors, queries.limit(0), 7).count() == 0
