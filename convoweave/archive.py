@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from convoweave.functions.embedding import Embedder, embedded, hashed, query_vector
+from convoweave.functions.ordering import running_sum
 from convoweave.functions.text import embed_text, filled, keyword_text, source_or_default, worth_embedding
 from convoweave.operators import chunking, folders, merge, search as finding, sessions, turns as turn_ops
 from convoweave.operators.turns import ACTIONS
@@ -28,6 +29,9 @@ TABLES = {
     "hidden": "turn_id string, hidden_at double",
     "titles": "session_id string, title string, at double",
     "folders": "id long, name string, parent_id long, position double, uid string, at double",
+    "unfolded": "turn_id string, at double",
+    "folders_gone": "uid string, removed_at double",
+    "items_gone": "folder_uid string, kind string, ref string, removed_at double",
     "items": "folder_id long, kind string, ref string, alias string, position double, at double",
 }
 #: Adapters: file pattern, the source that is stored, and how records are read.
@@ -157,6 +161,12 @@ class Archive:
         new = merge.hide_scope(self.table("turns"), session_id, at)
         self.save("hidden", cut(old.unionByName(new.join(old, "turn_id", "left_anti"))))
 
+    def unhide(self, session_id: str, at: float) -> None:
+        hidden, back = merge.unhidden(self.table("hidden"), self.table("unfolded"), self.table("turns"), session_id, at)
+        hidden, back = cut(hidden), cut(back)
+        self.save("hidden", hidden)
+        self.save("unfolded", back)
+
     def title(self, session_id: str, title: str, at: float) -> None:
         old = self.table("titles")
         new = self.spark.createDataFrame([(session_id, title, at)], TABLES["titles"])
@@ -180,15 +190,68 @@ class Archive:
 
     # Devices
 
+    def _shared_settings(self) -> dict[str, DataFrame]:
+        """Titles, folds, folders, items and tombstones as snapshots carry them: folders by uid, not by this device's ids."""
+        folders = self.table("folders").where("uid IS NOT NULL")
+        above = folders.select(F.col("id").alias("parent_id"), F.col("uid").alias("parent_uid"))
+        owner = folders.select(F.col("id").alias("folder_id"), F.col("uid").alias("folder_uid"))
+        folds = self.table("hidden").select("turn_id", F.lit(1).alias("folded"), F.col("hidden_at").alias("at"))
+        return {
+            "title": self.table("titles"),
+            "fold": merge.newest(folds, self.table("unfolded").select("turn_id", F.lit(0).alias("folded"), "at"), ["turn_id"], float("inf")),
+            "folder": folders.join(above, "parent_id", "left").withColumn("at", F.coalesce("at", F.lit(0.0))).select(*archive_io.SETTINGS["folder"]),
+            "fitem": self.table("items").join(owner, "folder_id").withColumn("at", F.coalesce("at", F.lit(0.0))).select(*archive_io.SETTINGS["fitem"]),
+            "folder_x": self.table("folders_gone").withColumnRenamed("removed_at", "at"),
+            "fitem_x": self.table("items_gone").withColumnRenamed("removed_at", "at"),
+        }
+
     def export(self, path: str) -> None:
-        archive_io.write_snapshot(self.table("turns"), self.table("chunks"), path)
+        archive_io.write_snapshot(self.table("turns"), self.table("chunks"), path, self._shared_settings())
 
-    def import_from(self, path: str) -> int:
-        """Takes in the turns of another device's snapshot that rank higher; the number of turns that came in."""
-        lines = archive_io.read_snapshot(self.spark, path)
+    def import_from(self, path: str, now: float | None = None) -> int:
+        """Takes in the turns of another device's snapshot that rank higher, and its later settings; the number of turns that came in."""
+        lines = cut(archive_io.read_snapshot(self.spark, path))
         turns = archive_io.snapshot_turns(lines)
         turns = turns.withColumn("actions", F.coalesce("actions", F.lit("[]")))
-        return self.take_in(cut(turns.where(filled(F.col("id")).isNotNull()).dropDuplicates(["id"])), strict=True)
+        n = self.take_in(cut(turns.where(filled(F.col("id")).isNotNull()).dropDuplicates(["id"])), strict=True)
+        self._take_settings(lines, time.time() if now is None else now)
+        return n
+
+    def _take_settings(self, lines: DataFrame, now: float) -> None:
+        """Merges a snapshot's settings: the later change wins, removals stand against what is not newer.
+
+        Folders keep this device's ids; new ones get the next. One whose parent is not there lies at the root; items of
+        folders that are not there wait for a later snapshot.
+        """
+        mine = self._shared_settings()
+        keys = {"title": ["session_id"], "fold": ["turn_id"], "folder": ["uid"], "fitem": ["folder_uid", "kind", "ref"], "folder_x": ["uid"], "fitem_x": ["folder_uid", "kind", "ref"]}
+        both = {kind: cut(merge.newest(mine[kind], archive_io.settings_of(lines, kind), key, now)) for kind, key in keys.items()}
+        gone, items_gone = (both[k].withColumnRenamed("at", "removed_at") for k in ("folder_x", "fitem_x"))
+
+        old = self.table("folders")
+        shared = merge.removed_by_peer(both["folder"], gone)
+        known = shared.join(old.select("uid", "id"), "uid", "left")
+        last = old.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+        fresh = running_sum(known.where("id IS NULL").select("uid", F.lit(1).alias("one")), [F.col("uid")], "one")
+        ids = cut(known.where("id IS NOT NULL").select("uid", "id").unionByName(fresh.select("uid", (F.col("total") + last).cast("long").alias("id"))))
+        above = ids.select(F.col("uid").alias("parent_uid"), F.col("id").alias("parent_id"))
+        folders = shared.join(ids, "uid").join(above, "parent_uid", "left")
+        columns = ["id", "name", "parent_id", "position", "uid", "at"]
+        folders = cut(folders.select(*columns).unionByName(old.where("uid IS NULL").select(*columns)))
+
+        there = ids.select(F.col("uid").alias("folder_uid"), F.col("id").alias("folder_id"))
+        kept = merge.with_tombstones(both["fitem"], items_gone, keys["fitem"]).join(there, "folder_uid")
+        local = self.table("items")
+        unshared = local.join(old.where("uid IS NULL").select(F.col("id").alias("folder_id")), "folder_id", "left_semi")
+        items = cut(kept.select(*local.columns).unionByName(unshared))
+
+        self.save("titles", both["title"])
+        self.save("hidden", both["fold"].where("folded = 1").select("turn_id", F.col("at").alias("hidden_at")))
+        self.save("unfolded", both["fold"].where("folded = 0"))
+        self.save("folders", folders)
+        self.save("items", items)
+        self.save("folders_gone", gone)
+        self.save("items_gone", items_gone)
 
     def markdown(self) -> DataFrame:
         return archive_io.markdown(self.table("turns"), self.table("hidden"))

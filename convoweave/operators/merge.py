@@ -49,9 +49,16 @@ def last_writer(local: DataFrame, peer: DataFrame, key: str, now: float) -> Data
     return rows.groupBy(key).agg(F.max_by(F.struct("value", "at"), F.struct("at", "mine")).alias("w")).select(key, "w.value", "w.at")
 
 
-def with_tombstones(live: DataFrame, tombs: DataFrame, key: str = "uid") -> DataFrame:
+def newest(local: DataFrame, peer: DataFrame, key: list[str], now: float) -> DataFrame:
+    """Rows of both sides, of each key the one with the latest `at` (the local one among equals); as `last_writer`, for several columns."""
+    rows = local.withColumn("_mine", F.lit(1)).unionByName(peer.where(F.col("at") <= now + DAY).withColumn("_mine", F.lit(0)))
+    values = F.struct(*(c for c in local.columns if c not in key))
+    return rows.groupBy(*key).agg(F.max_by(values, F.struct("at", "_mine")).alias("_w")).select(*key, "_w.*").select(*local.columns)
+
+
+def with_tombstones(live: DataFrame, tombs: DataFrame, key: str | list[str] = "uid") -> DataFrame:
     """Live rows (key, at and others) that no tombstone (key, removed_at) of the same age or newer removes."""
-    joined = live.join(tombs.groupBy(key).agg(F.max("removed_at").alias("removed_at")), key, "left")
+    joined = live.join(tombs.groupBy(*([key] if isinstance(key, str) else key)).agg(F.max("removed_at").alias("removed_at")), key, "left")
     return joined.where("removed_at IS NULL OR removed_at < at").drop("removed_at")
 
 

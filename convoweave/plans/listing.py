@@ -294,11 +294,20 @@ def chunk_recursive(spark, sf):
     return chunking.chunks(rows, limit=None)
 
 
+@query("snapshot_round_trip", sql(TURNS, HARD_CHUNKS, "w AS (SELECT id, count(*) AS chunks, sum(length(substr(whole, i * 900 + 1, 900)))::BIGINT AS chars FROM n GROUP BY id)", "SELECT t.id, session_id, timestamp, question, answer, summary, source, source_file, parser_version, coalesce(chunks, 0) AS chunks, coalesce(chars, 0)::BIGINT AS chars FROM turns t LEFT JOIN w ON w.id = t.id"))
+def snapshot_round_trip(spark, sf):
+    t = turns(spark, sf)
+    lines = archive_io.parsed(archive_io.snapshot_lines(t, hard_chunks(t)))
+    sizes = archive_io.snapshot_chunks(lines).groupBy(F.col("turn_id").alias("id")).agg(F.count("*").alias("chunks"), F.sum(F.char_length("text")).alias("chars"))
+    rows = archive_io.snapshot_turns(lines).join(sizes, "id", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return rows.select("id", "session_id", "timestamp", "question", "answer", "summary", "source", "source_file", F.col("parser_version").cast("long").alias("parser_version"), zero("chunks"), zero("chars"))
+
+
 @query("export_ndjson")
 def export_ndjson(spark, sf):
-    t = turns(spark, sf).withColumn("actions", F.to_json("actions"))
-    chunks = t.select(F.col("id").alias("turn_id"), F.lit(0).alias("idx"), F.col("question").alias("text"))
-    return archive_io.snapshot_lines(t, chunks)
+    t = turns(spark, sf)
+    return archive_io.snapshot_lines(t.withColumn("actions", F.to_json("actions")), hard_chunks(t))
 
 
 @query("export_markdown", sql(TURNS, HIDDEN, "SELECT session_id, '# ' || session_id || chr(10) || chr(10) || string_agg('## ' || timestamp || chr(10) || chr(10) || '**Q:** ' || question || chr(10) || chr(10) || '**A:** ' || answer, chr(10) || chr(10) ORDER BY timestamp, id) AS document FROM turns WHERE id NOT IN (SELECT turn_id FROM hidden) GROUP BY session_id"))

@@ -6,8 +6,17 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from convoweave.functions.ordering import running_sum
 
-KINDS = ("t", "title", "fold", "folder", "fitem", "folder_x", "fitem_x")
-CELLS = {"title": 3, "fold": 3, "folder": 5, "fitem": 6, "folder_x": 2, "fitem_x": 4}
+#: The cells of the lines that carry settings, the time of change last.
+SETTINGS = {
+    "title": {"session_id": "string", "title": "string", "at": "double"},
+    "fold": {"turn_id": "string", "folded": "int", "at": "double"},
+    "folder": {"uid": "string", "name": "string", "parent_uid": "string", "position": "double", "at": "double"},
+    "fitem": {"folder_uid": "string", "kind": "string", "ref": "string", "alias": "string", "position": "double", "at": "double"},
+    "folder_x": {"uid": "string", "at": "double"},
+    "fitem_x": {"folder_uid": "string", "kind": "string", "ref": "string", "at": "double"},
+}
+KINDS = ("t", *SETTINGS)
+CELLS = {kind: len(cells) for kind, cells in SETTINGS.items()}
 
 
 #: The cells of a turn's line, in their order; those that are no texts; how many the oldest lines have.
@@ -41,14 +50,35 @@ def snapshot_lines(turns: DataFrame, chunks: DataFrame) -> DataFrame:
     return turns.join(mine, F.col("id") == F.col("_id"), "left").select(line.alias("value"))
 
 
-def write_snapshot(turns: DataFrame, chunks: DataFrame, path: str) -> None:
-    """Writes a snapshot folder; Spark's committer makes it visible as a whole."""
-    snapshot_lines(turns, chunks).write.mode("overwrite").text(path)
+def setting_lines(kind: str, rows: DataFrame) -> DataFrame:
+    """value: a line for each row of a kind of SETTINGS; cells that are null are null."""
+    cells = [json_text(F.col(c)) if t == "string" else F.coalesce(F.col(c).cast(t).cast("string"), F.lit("null")) for c, t in SETTINGS[kind].items()]
+    return rows.select(F.concat(F.lit(f'{{"{kind}":['), F.concat_ws(",", *cells), F.lit("]}")).alias("value"))
+
+
+def settings_of(lines: DataFrame, kind: str) -> DataFrame:
+    """The rows of a kind of SETTINGS in valid snapshot lines."""
+    given = F.from_json(F.get_json_object("line", f"$.{kind}"), "array<string>")
+    cells = [F.get(given, k).try_cast(t).alias(c) for k, (c, t) in enumerate(SETTINGS[kind].items())]
+    return lines.where(F.col("valid") & (F.col("kind") == kind)).select(*cells)
+
+
+def write_snapshot(turns: DataFrame, chunks: DataFrame, path: str, settings: dict[str, DataFrame] | None = None) -> None:
+    """Writes a snapshot folder, with the lines of `settings` (by kind); Spark's committer makes it visible as a whole."""
+    lines = snapshot_lines(turns, chunks)
+    for kind, rows in (settings or {}).items():
+        lines = lines.union(setting_lines(kind, rows))
+    lines.write.mode("overwrite").text(path)
 
 
 def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
     """line, kind and valid: of each line of a snapshot; invalid ones are for quarantine."""
-    rows = spark.read.text(path).withColumnRenamed("value", "line")
+    return parsed(spark.read.text(path))
+
+
+def parsed(lines: DataFrame) -> DataFrame:
+    """line, kind and valid, from the lines (value) of a snapshot."""
+    rows = lines.withColumnRenamed("value", "line")
     key = F.json_object_keys("line")[0]
     kind = F.when(key.isin(*KINDS), key)
     count = F.json_array_length(F.get_json_object("line", "$.t"))

@@ -31,6 +31,10 @@ def test_life_of_an_archive(spark, tmp_path, capsys):
 
     a.hide("s2", 5.0)
     assert all(r["id"] != "s2:b1" for r in a.search("sourdough starter").collect())
+    a.unhide("s2", 5.5)
+    assert a.search("sourdough starter").first()["id"] == "s2:b1"
+    assert [tuple(r) for r in a.table("unfolded").collect()] == [("s2:b1", 5.5)]
+    a.hide("s2", 6.0)
     a.title("s1", "First", 6.0)
     assert {r["session_id"]: (r["headline"], r["hidden_count"]) for r in a.sessions().collect()} == {"s1": ("First", 0), "s2": ("how do I bake sourdough bread", 1)}
     assert a.markdown().count() == 1
@@ -49,3 +53,32 @@ def test_life_of_an_archive(spark, tmp_path, capsys):
     assert b.reconcile() == 0
     main([str(tmp_path / "a"), "stats"])
     assert "turns" in capsys.readouterr().out
+
+
+def test_settings_between_devices(spark, tmp_path):
+    a, b = (Archive(spark, str(tmp_path / name)) for name in "ab")
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    from convoweave.archive import TABLES
+
+    a.save("titles", frame([("s1", "mine", 5.0), ("s2", "far", 1e9)], TABLES["titles"]))
+    a.save("hidden", frame([("t1", 5.0), ("t2", 5.0)], TABLES["hidden"]))
+    a.save("unfolded", frame([("t3", 9.0)], TABLES["unfolded"]))
+    a.save("folders", frame([(1, "top", None, 0.0, "u1", 5.0), (2, "sub", 1, None, "u2", 5.0), (3, "gone there", 1, None, "u3", 5.0), (4, "own", None, None, None, None)], TABLES["folders"]))
+    a.save("items", frame([(2, "turn", "t1", "alias", 0.0, 5.0), (2, "turn", "t2", None, 1.0, 5.0), (4, "turn", "t9", None, 0.0, 5.0)], TABLES["items"]))
+    b.save("titles", frame([("s1", "theirs", 7.0)], TABLES["titles"]))
+    b.save("hidden", frame([("t3", 3.0), ("t4", 1.0)], TABLES["hidden"]))
+    b.save("folders", frame([(1, "other", None, 0.0, "u9", 1.0), (7, "older", None, 0.0, "u1", 2.0)], TABLES["folders"]))
+    b.save("folders_gone", frame([("u3", 6.0)], TABLES["folders_gone"]))
+    b.save("items_gone", frame([("u2", "turn", "t2", 6.0)], TABLES["items_gone"]))
+    a.export(str(tmp_path / "snap"))
+    assert b.import_from(str(tmp_path / "snap"), now=10.0) == 0
+    assert {(r["session_id"], r["title"]) for r in b.table("titles").collect()} == {("s1", "theirs")}  # the clock of s2 is ahead
+    assert {(r["turn_id"], r["hidden_at"]) for r in b.table("hidden").collect()} == {("t1", 5.0), ("t2", 5.0), ("t4", 1.0)}
+    assert [tuple(r) for r in b.table("unfolded").collect()] == [("t3", 9.0)]
+    folders = {r["uid"]: r for r in b.table("folders").collect()}
+    assert {u: (r["name"], r["parent_id"]) for u, r in folders.items()} == {"u9": ("other", None), "u1": ("top", None), "u2": ("sub", 7)}
+    assert (folders["u1"]["id"], folders["u2"]["id"]) == (7, 8)
+    assert [(r["folder_id"], r["ref"], r["alias"]) for r in b.table("items").collect()] == [(8, "t1", "alias")]
+    before = {n: sorted(map(tuple, b.table(n).collect()), key=repr) for n in ("titles", "hidden", "folders", "items")}
+    b.import_from(str(tmp_path / "snap"), now=10.0)
+    assert before == {n: sorted(map(tuple, b.table(n).collect()), key=repr) for n in before}
