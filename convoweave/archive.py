@@ -51,12 +51,14 @@ class Archive:
         self.spark, self.path, self.embedder = spark, path.rstrip("/"), embedder
 
     def _version(self, name: str) -> int:
-        try:
-            return self.spark.read.parquet(f"{self.path}/{name}").agg(F.max("version")).first()[0] or 0
-        except Exception as e:  # no version has been written yet
-            if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
-                return 0
-            raise
+        """The last version that Spark has committed, empty or not, by a listing of the table's folder; 0 before the first."""
+        paths = self.spark._jvm.org.apache.hadoop.fs
+        folder = paths.Path(f"{self.path}/{name}")
+        files = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not files.exists(folder):
+            return 0
+        versions = (s.getPath() for s in files.listStatus(folder) if s.getPath().getName().startswith("version="))
+        return max((int(v.getName()[8:]) for v in versions if files.exists(paths.Path(v, "_SUCCESS"))), default=0)
 
     def table(self, name: str) -> DataFrame:
         n = self._version(name)
@@ -64,7 +66,6 @@ class Archive:
 
     def save(self, name: str, rows: DataFrame) -> None:
         columns = [f.split()[0] for f in TABLES[name].split(", ")]
-        # A version without rows still has a file, so that its folder exists.
         rows.select(*columns).write.mode("overwrite").parquet(f"{self.path}/{name}/version={self._version(name) + 1}")
 
     # Indexing
