@@ -82,7 +82,7 @@ class Archive:
         read = cut(tr.lines(new, F.col("start")))
         found = cut(tr.turns(read_records(tr.sound(read), skip_automation=skip_automation), source))
         done, moved = incremental.advanced(new, read, found, idle)
-        done = done.withColumn("actions", F.to_json("actions")).withColumn("queued", F.lit(False)).withColumn("parser_version", F.lit(PARSER_VERSION)).withColumn("arrival", F.col("offset"))
+        done = done.withColumn("actions", F.to_json("actions")).withColumn("parser_version", F.lit(PARSER_VERSION)).withColumn("arrival", F.col("offset"))
         fresh = merge.latest(done.select("id", "session_id", "uuid", "parent_uuid", "timestamp", "project", "question", "answer", "actions", "source", "source_file", "queued", "parser_version", "arrival"))
         fresh = cut(fresh.withColumn("summary", F.lit(None).cast("string")).withColumn("tags", F.lit(None).cast("array<string>")))
         n = self.take_in(fresh)

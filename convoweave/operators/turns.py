@@ -15,10 +15,15 @@ ACTIONS = "array<struct<tool:string,detail:string>>"
 
 
 def fold(records: DataFrame) -> DataFrame:
-    """One row for each turn: id, session_id, uuid, parent_uuid, timestamp, project, question, answer, actions, offset."""
+    """One row for each turn: id, session_id, uuid, parent_uuid, timestamp, project, question, answer, actions, offset, queued.
+
+    queued: whether the question was asked while an answer was still under way; false for records that do not tell.
+    """
+    if "queued" not in records.columns:
+        records = records.withColumn("queued", F.lit(False))
     order = Window.partitionBy("file").orderBy("offset").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     numbered = records.withColumn("_turn", F.sum(F.col("starts").cast("int")).over(order)).where("_turn > 0")
-    part = F.struct("offset", "starts", "session_id", "uuid", "parent_uuid", "timestamp", "project", "question", "answer", "actions")
+    part = F.struct("offset", "starts", "session_id", "uuid", "parent_uuid", "timestamp", "project", "question", "answer", "actions", "queued")
     folded = numbered.groupBy("file", "_turn").agg(F.array_sort(F.collect_list(part)).alias("parts"))
     first = F.col("parts")[0]
     answers = F.filter(F.transform("parts", lambda p: p["answer"]), lambda a: a != "")
@@ -27,6 +32,7 @@ def fold(records: DataFrame) -> DataFrame:
         first["parent_uuid"].alias("parent_uuid"), first["timestamp"].alias("timestamp"), first["project"].alias("project"),
         strip(first["question"]).alias("question"), strip(F.array_join(answers, "\n")).alias("answer"),
         F.flatten(F.filter(F.transform("parts", lambda p: p["actions"]), lambda a: a.isNotNull())).alias("actions"), "file", first["offset"].alias("offset"),
+        F.coalesce(first["queued"], F.lit(False)).alias("queued"),
     )
 
 

@@ -146,6 +146,7 @@ def chat_records(read: DataFrame, skip_automation: bool = True, sub_stream: bool
         "file", "offset", starts.alias("starts"), session.alias("session_id"), F.coalesce(field("$.uuid"), F.lit("")).alias("uuid"), field("$.parentUuid").alias("parent_uuid"),
         F.coalesce(field("$.timestamp"), F.lit("")).alias("timestamp"), F.coalesce(field("$.cwd"), F.lit("")).alias("project"),
         F.when(queued, F.col("_queued")).otherwise(typed).alias("question"), F.when(assistant, answer).alias("answer"), F.when(assistant, used).cast(ACTIONS).alias("actions"),
+        F.coalesce(queued, F.lit(False)).alias("queued"),
     )
 
 

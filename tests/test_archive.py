@@ -16,6 +16,7 @@ def test_life_of_an_archive(spark, tmp_path, capsys):
     assert a.index(str(logs), "claude-code", now=2e9) == 4
     assert a.index(str(logs), "claude-code", now=2e9) == 0
     assert tuple(a.stats().first()) == (4, 2, 0, 3, 3)  # one turn is too short for a vector
+    assert {r["id"] for r in a.table("turns").where("queued").collect()} == {"s1:q1"}
     hits = a.search("sourdough starter").collect()
     assert hits[0]["id"] == "s2:b1"
     assert hits[0]["found_by"] == "keyword,semantic"
