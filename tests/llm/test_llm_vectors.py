@@ -4,8 +4,9 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from convoweave.llm import whitening
+from convoweave.llm import vector_file, whitening
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "vec_id long, embedding array<double>, n string, whitened string"
@@ -70,3 +71,65 @@ def test_deviations_beyond_a_long_are_exact_or_null():
     assert w.deviations(x) == [None, None, 0]
     near = np.array([[2**29], [-(2**29)]])
     assert whitening.Whitener(2, [0], np.zeros(1), np.eye(1), np.ones(1), 1.0, 0).deviations(near) == [2**60, 2**60]
+
+
+def all_scores(vectors, top=5, every=50):
+    """query_id, rank, vec_id, score by comparing each query with every vector, in Python integers."""
+    x = [(i, [math.floor(256 * c) for c in v]) for i, v in vectors if v and all(c is not None and math.isfinite(c) for c in v)]
+    found = []
+    for i, q in x:
+        if i is not None and i % every == 0:
+            scores = [(-min(max(sum(map(int.__mul__, q, c)), -(2**63)), 2**63 - 1), j is None, j or 0, j) for j, c in x if j != i and len(c) == len(q)]
+            found += [(i, k + 1, s[3], -s[0]) for k, s in enumerate(sorted(scores)[:top])]
+    return sorted(found, key=repr)
+
+
+def found_scores(df, **how):
+    return sorted((tuple(r) for r in vector_file.top_scores(df, F.col("vec_id") % 50 == 0, **how).collect()), key=repr)
+
+
+def test_exact_search_equals_all_scores(spark):
+    df = spark.read.parquet(f"{SF}/embeddings.parquet")
+    vectors = [(r["vec_id"], r["embedding"]) for r in df.collect()]
+    want = all_scores(vectors)
+    assert sorted((tuple(r) for r in vector_file.op13_exact_search(spark, SF).select("query_id", "rank", "vec_id", "score").collect()), key=repr) == want
+    assert found_scores(df.repartition(7), queries=3, cells=4, sample=50) == want
+
+
+def test_search_skips_most_exact_vectors(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((20, 16))
+    x = np.floor(64 * (centres[rng.integers(0, 20, 4000)] + 0.1 * rng.standard_normal((4000, 16)))).astype(np.int64)
+    rows = spark.createDataFrame([(k, True, 16, v.tobytes()) for k, v in enumerate(x)], "vec_id long, known boolean, dims int, vec binary")
+    cells = vector_file.Cells(rows, 64, 1000)
+    codes = cells.codes(x)
+    middle, half = cells.corners(codes)
+    assert (np.abs(x - middle) <= half).all()
+    block = vector_file.Block(np.arange(50), np.arange(50), x[:50], 5)
+    ids, known = np.arange(4000), np.ones(4000, bool)
+    exact = x[:50] @ x.T
+    exact[np.arange(50), np.arange(50)] = -(10**9)
+    for _, _, lower, upper in vector_file.bounds(block, cells, ids, known, codes):
+        inside = lower > -np.inf
+        assert (lower[inside] <= exact[inside]).all() and (exact[inside] <= upper[inside]).all()
+        floor = np.sort(lower, axis=1)[:, -5]
+        assert (floor <= np.sort(exact, axis=1)[:, -5]).all()
+        assert (upper >= floor[:, None]).mean() < 0.1
+
+
+def test_search_of_ties_and_odd_vectors(spark):
+    vectors = [(k, [float(k % 3), 1.0]) for k in range(40)] + [(50, [1.0, 1.0]), (100, [1.0, 1.0]), (100, [-1.0, 0.5]), (None, [2.0, 1.0]), (None, None), (7, [])]
+    vectors += [(150, [1.0]), (151, [0.5]), (200, [1.0, None]), (250, [float("nan"), 1.0]), (300, [2.0**53, 1.0]), (301, [-(2.0**45), 3.0]), (350, [1.0, 2.0, 3.0])]
+    df = spark.createDataFrame([(i, v, "clash", "clash") for i, v in vectors], SCHEMA)
+    want = all_scores(vectors)
+    assert found_scores(df) == found_scores(df.repartition(5), queries=2, cells=2, sample=2) == want
+    huge = [(k, [float(2**50) * (k - 3), 2.0**30 + k, -1.0]) for k in range(8)] + [(50, [2.0**53, 1.0, 1.0])]
+    df = spark.createDataFrame([(i, v, "", "") for i, v in huge], SCHEMA)
+    assert found_scores(df) == all_scores(huge)
+    assert found_scores(spark.createDataFrame([], SCHEMA)) == []
+
+
+def test_search_agrees_with_sql(spark):
+    from parity import assert_same
+
+    assert assert_same(spark, vector_file.op13_exact_search, vector_file.ORACLE_SQL["op13_exact_search"])
