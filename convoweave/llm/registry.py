@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("mixing", "exact_dedup", "simhash", "main_text", "secrets", "vector_dedup", "toxicity", "archive", "url_filter", "piece_bpe", "whitening", "vector_file")
+MODULES = ("mixing", "exact_dedup", "simhash", "main_text", "secrets", "vector_dedup", "toxicity", "archive", "url_filter", "piece_bpe", "whitening", "vector_file", "spelling")
 
 
 def queries() -> dict:
