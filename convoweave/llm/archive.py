@@ -132,9 +132,12 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     sound = F.when(F.col("record_type") == "response", digest).alias("payload_digest")
     parts = cut(hashed.select("page_id", "payload_bytes", sound, "record_type", "refers_to", "shared", "told"))  # records are rebuilt once
     responses = parts.where("record_type = 'response'").drop("told")
-    first = cut(responses.where("shared").groupBy(F.col("payload_digest").alias("_digest")).agg(F.min("payload_bytes").alias("_bytes")))
-    revisits = salted_join(parts.where("record_type = 'revisit'").select("page_id", "record_type", "refers_to", "told"), first, F.col("told") == F.col("_digest"), F.xxhash64("page_id"), first.count(), 96)
-    lost = F.coalesce("_bytes", F.raise_error(F.lit("a revisit refers to no record")).cast("long"))
+    # A revisit's payload is that of the response it refers to, whose digest must be the one that its own header tells.
+    named = (F.col("page_id").alias("_id"), F.col("payload_digest").alias("_digest"))
+    first = cut(responses.where("shared").groupBy(*named).agg(F.min("payload_bytes").alias("_bytes")))
+    same = (F.col("refers_to") == F.col("_id")) & (F.col("told") == F.col("_digest"))
+    revisits = salted_join(parts.where("record_type = 'revisit'").select("page_id", "record_type", "refers_to", "told"), first, same, F.xxhash64("page_id"), first.count(), 128)
+    lost = F.coalesce("_bytes", F.raise_error(F.lit("a revisit refers to no record with its payload")).cast("long"))
     told = revisits.select("page_id", lost.alias("payload_bytes"), F.col("told").alias("payload_digest"), "record_type", "refers_to")
     return responses.drop("shared").union(told)
 

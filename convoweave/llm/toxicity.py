@@ -1,8 +1,9 @@
 """Toxicity by a chain of linear classifiers.
 
 Features are how often a text has a word, or words with a beginning of 4 or 5 letters (inflected and compounded forms
-share it), as log(1 + count): some beginnings are telling only where they abound. Every feature of every text counts; they
-are told by a hash into 2^BITS columns, so there is no vocabulary to choose or to cut.
+share it), as log(1 + count): some beginnings are telling only where they abound. Features are told by a hash into 2^BITS
+columns, so there is no vocabulary to choose or to cut. A model weighs every feature that its category's texts have more often
+than the others; what speaks for clean texts alone is left to the intercept.
 
 The labels have one flag, so the categories come from the toxic texts themselves: KINDS clusters of them by their
 telling features (spherical k-means). The chain predicts one kind after another, and `toxic`, the label itself, last. Each
@@ -17,7 +18,7 @@ Texts are rejected from the probability on that parts toxic from clean texts bes
 Only training is bounded: SAMPLE labelled documents, those with the smallest hash of their identifier, come to the driver
 as column numbers and counts. Scoring reads every whole text in tasks, without a shuffle.
 
-Defined results: null counts as empty; without both a toxic and a clean text in the sample every probability is 0; labels of
+Defined results: null counts as empty; where no toxic text has a letter, every text has the probability of the intercepts; without both a toxic and a clean text in the sample every probability is 0; labels of
 unknown documents and null labels are ignored; of several labels of a document the toxic one holds, of several texts with one
 identifier the one with the smallest digest is learned from; repeated rows are scored alike; extra columns are ignored.
 """
@@ -224,15 +225,22 @@ class Chain:
         out = np.zeros((len(texts), 0))
         if not self.weights:
             return np.zeros((len(texts), len(CATEGORIES)))
-        row, column, count = counted(texts, {} if known is None else known)
-        at = np.minimum(np.searchsorted(self.columns, column), len(self.columns) - 1)
-        here = self.columns[at] == column
-        row, at, value = row[here], at[here], np.log1p(count[here])
+        if not len(self.columns):  # no toxic text has a feature, so the intercepts are all that is known
+            row, at, value = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        else:
+            row, at, value = self.features(texts, {} if known is None else known)
         for w in self.weights:
             z = np.bincount(row, value * w[at], minlength=len(texts)) + out @ w[len(self.columns) : -1] + w[-1]
             out = np.hstack([out, sigmoid(z)[:, None]])
         return out
 
+    def features(self, texts: list[str | None], known: dict[str, list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, place in `columns` and value of the features of some texts that the models know."""
+        row, column, count = counted(texts, known)
+        at = np.minimum(np.searchsorted(self.columns, column), len(self.columns) - 1)
+        here = self.columns[at] == column
+        return row[here], at[here], np.log1p(count[here])
+
 
 def fit(x: Sparse, y: np.ndarray, fold: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     """Weights of each model over the columns of x, earlier probabilities and one, and the out-of-fold probabilities."""

@@ -1,7 +1,8 @@
 """URL filters by host-suffix and path-prefix expressions, with DataFrame operations alone.
 
-Each URL is expanded into its expressions: every suffix of its host at a dot, with every prefix of its path that is
-as long as some rule's path. A rule fits exactly the URLs that have its own text among their expressions. The
+Each URL is expanded into its expressions: every suffix of its host at a dot that has as many labels as some rule's host, with
+every prefix of its path that is as long as some rule's path; so a URL's work follows the rules, however many labels its host
+has. A rule fits exactly the URLs that have its own text among their expressions. The
 expressions join the rules on the first bytes of a SHA-256 digest; the full digest confirms, and the longest rule wins.
 
 Rules are a list that the user states, so their table is broadcast up to BROADCAST_RULES rows and BROADCAST_BYTES, and joined
@@ -33,12 +34,11 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def expressions(host: Column, path: Column, lengths: Sequence[int]) -> Column:
-    """The expressions of a URL, for rule paths of the given lengths."""
-    labels = F.split(host, r"\.", -1)
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+def expressions(host: Column, path: Column, labels: Sequence[int], lengths: Sequence[int]) -> Column:
+    """The expressions of a URL, for rule hosts of the given numbers of labels and rule paths of the given lengths."""
+    suffixes = F.array_distinct(F.array(*(F.substring_index(host, ".", -n) for n in labels)))  # a host of fewer labels is its own
     prefixes = F.array_compact(F.array(*(F.when(F.char_length(path) >= n, F.substring(path, 1, n)) for n in lengths)))
-    return F.flatten(F.transform(F.array_distinct(suffixes), lambda h: F.transform(prefixes, lambda p: F.concat(h, p))))
+    return F.flatten(F.transform(suffixes, lambda h: F.transform(prefixes, lambda p: F.concat(h, p))))
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, default: str = "allow", page_id: str = "page_id", url: str = "url") -> DataFrame:
@@ -47,7 +47,7 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, defau
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("_url")).select("*", host_of(F.col("_url")).alias("host"), path_of(F.col("_url")).alias("path"))
     if not rules:
         return rows.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
-    lengths = sorted({len(p) for _, _, p in rules})
+    lengths, labels = sorted({len(p) for _, _, p in rules}), sorted({h.count(".") + 1 for _, h, _ in rules})
     order = sorted({(h + p, v) for v, h, p in rules}, key=lambda r: (-len(r[0]), *r))  # the first that fits wins
     listed = spark.createDataFrame([(k, *r) for k, r in enumerate(order)], "place int, rule string, verdict string")
     digests = listed.select("place", F.sha2("rule", 256).alias("_digest")).withColumn("_short", F.substring("_digest", 1, SHORT))
@@ -55,7 +55,7 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, defau
     small = F.broadcast if few else (lambda df: df)
     # Every row keeps a number of its own, so that equal URLs and pages never meet in one group.
     asked = rows.withColumn("_row", F.monotonically_increasing_id())
-    asked = asked.select("_row", "page_id", "host", "path", F.explode_outer(F.when(F.col("_url").contains("://"), expressions(F.col("host"), F.col("path"), lengths))).alias("_text"))
+    asked = asked.select("_row", "page_id", "host", "path", F.explode_outer(F.when(F.col("_url").contains("://"), expressions(F.col("host"), F.col("path"), labels, lengths))).alias("_text"))
     asked = asked.withColumn("_asked", F.sha2("_text", 256)).withColumn("_short", F.substring("_asked", 1, SHORT))
     hits = asked.join(small(digests), "_short", "left")
     place = F.min(F.when(F.col("_asked") == F.col("_digest"), F.col("place")))

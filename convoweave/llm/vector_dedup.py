@@ -11,7 +11,7 @@ Buckets of over TILE classes are dealt over parts by hash, and each pair of part
 capped. At cosine 0.95 a pair shares a bucket with probability 0.995 (22 hashes, width 6 times the distance at the
 threshold, 120 tables), above it with more; every link that is found is exact.
 
-Defined results: vectors that are null, empty, zero or hold a null or non-finite number link with nothing and are
+Identifiers are whole numbers. Defined results: vectors that are null, empty, zero or hold a null or non-finite number link with nothing and are
 kept; vectors of other lengths never meet; rows without vec_id have no component; repeated rows link to each other;
 a vec_id with several vectors links wherever one of them does; extra columns are ignored.
 """

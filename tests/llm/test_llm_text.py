@@ -269,6 +269,16 @@ def test_toxicity_against_a_plain_chain(spark):
     assert all(chain.scores([t])[0, -1] == chain.scores([t, "x"])[0, -1] for t in (rows[0][1], "", None))
 
 
+def test_toxic_texts_without_a_letter(spark):
+    docs = spark.createDataFrame([(1, "123 456"), (2, ""), (3, "some words"), (4, "other words"), (5, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 1), (3, 0), (4, 0)], "doc_id long, toxic int")
+    chain = toxicity.train(docs, labels)
+    assert chain.weights and not len(chain.columns)
+    found = toxicity.score(docs, chain).collect()
+    assert len(found) == 5 and len({r["p_toxic"] for r in found}) == 1
+    assert toxicity.clean(docs, chain).count() in (0, 5)
+
+
 def test_toxicity_odd_rows(spark):
     docs = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (2, "", "x"), (None, "you scum", "x")], "doc_id long, text string, toxic string")
     labels = spark.createDataFrame([(1, None), (2, 0), (9, 1)], "doc_id long, toxic int")
@@ -320,6 +330,18 @@ def test_url_rules(spark):
     assert url_filter.judge(pages.limit(0)).count() == 0
 
 
+def test_hosts_of_many_labels_take_no_time(spark):
+    hosts = ["a." * n + end for n in (1, 1_000, 16_000) for end in ("example.com", "net", "com.")] + ["com", "", "."]
+    pages = spark.createDataFrame([(k, f"http://{h}/es/x") for k, h in enumerate(hosts)], "page_id long, url string")
+    url_filter.judge(pages.limit(1)).collect()
+    began = time.monotonic()
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.judge(pages).collect()}
+    assert time.monotonic() - began < 5
+    want = {"example.com": ("com/", "allow"), "net": ("net/es/", "block"), "com.": (None, "allow")}
+    assert [got[k] for k in range(9)] == [want[end] for _ in range(3) for end in want]
+    assert [got[k] for k in range(9, 12)] == [("com/", "allow"), (None, "allow"), (None, "allow")]
+
+
 def test_exact_dedup_with_hot_groups_and_odd_rows(spark):
     data = [(k, "copy  text") for k in range(500)] + [(1000 + k, f"own {k}") for k in range(300)] + [(900, None), (901, ""), (902, " "), (903, "\t"), (5, "copy\ntext"), (None, "own 1"), (None, "alone")]
     docs = spark.createDataFrame([(*r, "clash") for r in data], "doc_id long, text string, kept string")
