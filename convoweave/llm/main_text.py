@@ -9,16 +9,21 @@ with its template texts, and with the region that holds what varies: from the ro
 the varying text that is no link, the frame that does; varying headings before it belong to it. A page's content is what
 varies in its nodes that the region is matched with, without repeated nodes that vary in links alone.
 
-Tags and marks (class, id, role) serve where varying slots alone cannot tell: scripts, styles, forms and other elements
-that hold no text; elements that say that they are menus, adverts, comments or the like count as no text of the
-region; and `<article>` or `<main>` is the region where no frame holds SHARE of the varying text, or no wrapper is known.
-
-Hosts with fewer than OWN_PAGES different pages of a layout are taken together with all such hosts of that layout; where
-even these are fewer, no wrapper is known. Only digests and lengths of texts are shuffled, and aggregated first. Equal
+Tags and marks (class, id, role) serve where varying slots alone cannot tell. Inside the region elements that hold no text
+(scripts, styles) go, forms, menus, asides and footers by their tags, and boxes whose class, id or role is a mark, like
+`comments`, or begins with one of a few plain words, like `ad-slot`; headings, paragraphs and boxes with other compound names
+stay, as do formulas and drawings' texts. `<article>` or `<main>` is the region where no frame holds SHARE of the varying
+text, or no wrapper is known; without these the whole page is, and every word of a compound mark counts.
+
+What each case yields: a host with two or more different pages of a layout has a wrapper of its own. Of fewer than FEW pages
+it holds only if more of their text varies than not, since else they are rather copies of one text than pages of one template.
+Hosts with one page of a layout tell no template; those of a layout are taken together, and give one by the same rule.
+Without a wrapper tags and marks decide. Only digests and lengths of texts are shuffled, and aggregated first. Equal
 pages count once. Wrappers are small; they are broadcast if their measured size allows, else joined by salted keys.
 
-Matching takes time by the product of the different subtrees of page and reference (equal subtrees match as they are,
-whole rows of a node's children are matched by numpy), so long lists are cheap and only pages of many unlike parts are dear.
+Matching takes time by the product of the different subtrees of page and reference with the same key (equal subtrees match as
+they are, rows of children with few partners are chained pair by pair, others aligned by numpy), so long lists are cheap, also
+with ids of their own, and only pages of many unlike parts with the same tag and marks are dear.
 
 Defined results: null and empty html give an empty text; broken, unclosed or nested markup is read as far as it
 goes, at any depth; near copies count as different pages; repeated rows give repeated results; extra columns are ignored.
@@ -28,6 +33,7 @@ from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import blake2b
@@ -41,24 +47,28 @@ from convoweave.llm.rows import salted_join, slices, small_or_shuffled
 from convoweave.llm.url_filter import host_of
 from convoweave.session import cut, table
 
-OWN_PAGES, CONSTANT, SHARE, LINKS = 4, 0.8, 0.6, 0.8
+FEW, CONSTANT, SHARE, LINKS = 4, 0.8, 0.6, 0.8
 CELLS = 1 << 22  # of a matrix that is held whole; larger ones are halved
+SPARSE = 8  # pairs a node, up to which rows are matched pair by pair
 
 #: HTML elements by how they are read.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = "script|style|textarea|title|noscript|iframe|template|xmp"
 BLOCKS = set("""address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form
 h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul""".split())
-SILENT = set("""head title script style noscript template iframe object svg canvas audio video math button select textarea input label dialog
+SILENT = set("""head title script style noscript template iframe object canvas audio video button select textarea input label dialog
 datalist form""".split())
 ASIDE = set("nav menu aside footer".split())
 FRAMES = set("html body div section article main header footer aside nav center table tbody tr td".split())
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
+BOXES = set("div section article aside header footer nav menu ul ol dl table center details figure fieldset ins".split())
 #: Words in class, id or role that mark what is not main text.
 MARKS = set("""ad ads adv advert adverts advertisement advertising adsense banner banners sponsor sponsored promo promotion cookie cookies consent gdpr
 notice notices alert popup modal overlay newsletter subscribe subscription signup login sidebar aside widget menu nav navbar navigation
 breadcrumb breadcrumbs header masthead topbar toolbar footer bottombar share sharing social related recommended comment comments commentlist
 disqus reply replies search form pagination pager skip complementary contentinfo dialog""".split())
+#: First words of compound marks (ad-slot, comments_list) that no heading or part of an article has.
+STRONG = set("ad ads advert adverts advertisement adsense sponsored cookie cookies newsletter comment comments disqus share sharing social sidebar breadcrumb breadcrumbs".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: A token never reaches over the next `<` outside quotes, and never goes back, so broken markup costs no more than sound.
 INSIDE = r"""((?:[^<>"']|"[^"]*+"|'[^']*+')*+)"""
@@ -186,6 +196,55 @@ def aligned(weights: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple[int
     return sorted(pairs)
 
 
+def in_order(left: list[Node], right: list[Node], known: dict[tuple[int, int], tuple[int, list]]) -> list[tuple[int, int]]:
+    """The order-keeping pairs of places of two rows of nodes of the largest total weight, those of pairs of shapes in `known`.
+
+    Nodes without a partner of their key leave first. Where few pairs are left (as where siblings have ids of their own) they
+    are chained one by one, else the rows are aligned by a matrix of their kinds.
+    """
+    places_of: dict = {}
+    for m, q in enumerate(right):
+        places_of.setdefault(q.key, []).append(m)
+    keys = {p.key for p in left}
+    a = [k for k, p in enumerate(left) if p.key in places_of]
+    b = [m for m, q in enumerate(right) if q.key in keys]
+    if sum(len(places_of[left[k].key]) for k in a) <= SPARSE * (len(a) + len(b)):
+        return chained((k, m, known[left[k].shape, right[m].shape][0]) for k in a for m in reversed(places_of[left[k].key]))
+    rows, columns = ({s: k for k, s in enumerate(dict.fromkeys(n[k].shape for k in at))} for n, at in ((left, a), (right, b)))
+    weights = np.zeros((len(rows), len(columns)), np.int32)
+    partners: dict = {}
+    for q in {right[m].shape: right[m] for m in b}.values():
+        partners.setdefault(q.key, []).append(q.shape)
+    for p in {left[k].shape: left[k] for k in a}.values():
+        weights[rows[p.shape], [columns[q] for q in partners[p.key]]] = [known[p.shape, q][0] for q in partners[p.key]]
+    found = aligned(weights, np.array([rows[left[k].shape] for k in a]), np.array([columns[right[m].shape] for m in b]))
+    return [(a[k], b[m]) for k, m in found]
+
+
+def chained(points: Iterator[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """Of points (row, column, weight), by row and falling column, the chain of rising rows and columns of the largest weight.
+
+    A chain's end is kept while no chain that ends earlier weighs as much, so that the best one before a column is found by bisection.
+    """
+    columns: list[int] = []
+    weights: list[int] = []
+    ends: list[tuple] = []  # linked lists of points
+    for row, column, weight in points:
+        at = bisect_left(columns, column)
+        total, chain = weight + (weights[at - 1] if at else 0), (row, column, ends[at - 1] if at else None)
+        if at < len(columns) and columns[at] == column and weights[at] >= total:
+            continue
+        last = at
+        while last < len(columns) and weights[last] <= total:
+            last += 1
+        columns[at:last], weights[at:last], ends[at:last] = [column], [total], [chain]
+    chain, found = ends[-1] if ends else None, []
+    while chain:
+        found.append(chain[:2])
+        chain = chain[2]
+    return found[::-1]
+
+
 def totals(rows: np.ndarray, right: np.ndarray) -> np.ndarray:
     """The largest total weight of all rows with each beginning of `right`."""
     best = np.zeros(len(right) + 1, np.int64)
@@ -222,15 +281,8 @@ def matched(a: Node, b: Node) -> dict[tuple[int, int], tuple[int, list[tuple[int
         while end < min(len(left), len(right)) - start and left[-1 - end] == right[-1 - end]:
             end += 1
         pairs = [(k, k) for k in range(start)]
-        inner, other = left[start : len(left) - end], right[start : len(right) - end]
-        if inner and other:
-            rows, columns = ({s: k for k, s in enumerate(dict.fromkeys(side))} for side in (inner, other))
-            weights = np.zeros((len(rows), len(columns)), np.int64)
-            for p, k in rows.items():
-                for q, m in columns.items():
-                    weights[k, m] = known[p, q][0] if (p, q) in known else 0
-            found = aligned(weights, np.array([rows[p] for p in inner]), np.array([columns[q] for q in other]))
-            pairs += [(start + k, start + m) for k, m in found]
+        inner, other = ([r[0] for r in n.runs[start : len(n.runs) - end]] for n in (x, y))
+        pairs += [(start + k, start + m) for k, m in in_order(inner, other, known)] if inner and other else []
         pairs += [(len(left) - end + k, len(right) - end + k) for k in range(end)]
         known[s, t] = 1 + sum(known[left[k], right[m]][0] for k, m in pairs), pairs
     return known
@@ -270,6 +322,7 @@ def standing(page: Node, found: dict[int, int]) -> Iterator[tuple[Node, int, boo
 
 
 def unwanted(node: Node) -> bool:
+    """Whether an element says that it is a menu, an advert or the like: the rule where no region is known."""
     if node.tag in SILENT or node.tag in ASIDE:
         return True
     if not node.marks or node.tag in ("html", "body", "article", "main"):
@@ -277,6 +330,16 @@ def unwanted(node: Node) -> bool:
     return not MARKS.isdisjoint(re.split(r"[^a-z0-9]+", node.marks.lower())) or "hidden=" in node.marks
 
 
+def unwanted_inside(node: Node) -> bool:
+    """The same inside a region: boxes alone, by a whole class, id or role, or by a compound one that begins with a STRONG word."""
+    if node.tag in SILENT or node.tag in ASIDE or "hidden=" in node.marks:
+        return True
+    if not node.marks or node.tag not in BOXES:
+        return False
+    names = {x.strip("-_") for x in re.split(r"[\s=]+", node.marks.lower())}
+    return not MARKS.isdisjoint(names) or not STRONG.isdisjoint({re.split(r"[^a-z0-9]+", x)[0] for x in names})
+
+
 def packed(html: str | None) -> str:
     """A page as reference, as JSON: the tag, marks and parent of each node in page order, of a run the first alone."""
     nodes, todo = [], [(shaped(parse(html)), -1)]
@@ -352,7 +415,7 @@ def known_wrapper(text: str) -> tuple[str, frozenset[int], frozenset[int], froze
 def main_text(html: str | None, rule: str = "") -> str:
     """The content blocks of a page, joined by two line ends. rule: the wrapper of its group, if one is known."""
     page = parse(html)
-    region, template, menus = [], set(), set()
+    region, template, menus, drop = [], set(), set(), unwanted_inside
     if rule:
         reference, constants, top, links = known_wrapper(rule)
         nodes, order, _ = unpacked(reference)
@@ -363,7 +426,9 @@ def main_text(html: str | None, rule: str = "") -> str:
     if not region:
         articles = outermost(page, lambda c: c.tag in ("article", "main") or "role=main" in c.marks, unwanted)
         inner = [a for x in articles if x.tag == "main" for a in outermost(x, lambda c: c.tag == "article", unwanted)]  # an article says more than main
-        region = inner or articles or [page]
+        region = inner or articles
+    if not region:
+        region, drop = [page], unwanted
     blocks, line = [], []
 
     def end() -> None:
@@ -382,7 +447,7 @@ def main_text(html: str | None, rule: str = "") -> str:
                 line.append(c)
             elif c.tag == "br" and c is not top:
                 line.append(" ")
-            elif c is top or not unwanted(c) and id(c) not in menus and (top is not page or c.tag != "header"):
+            elif c is top or not drop(c) and id(c) not in menus and (top is not page or c.tag != "header"):
                 if c.tag in BLOCKS:
                     end()
                     todo.append(None)
@@ -431,8 +496,8 @@ def references(rows: DataFrame) -> DataFrame:
     digested = rows.where("own IS NOT NULL").select("page_id", "own", "shared", F.length("html").alias("size"), F.xxhash64("html").alias("digest"))
     different = cut(digested.groupBy("own", "shared", "digest").agg(smallest))
     hosts = cut(different.groupBy("own", "shared").agg(F.count("*").alias("n"), F.min("x").alias("x")))
-    few = hosts.where(f"n < {OWN_PAGES}").groupBy(F.col("shared").alias("gid")).agg(F.min("x").alias("x"), F.sum("n").alias("n"))
-    groups = hosts.where(f"n >= {OWN_PAGES}").select(F.col("own").alias("gid"), "x").union(few.where(f"n >= {OWN_PAGES}").select("gid", "x"))
+    single = hosts.where("n = 1").groupBy(F.col("shared").alias("gid")).agg(F.min("x").alias("x"), F.count("*").alias("n"))
+    groups = hosts.select(F.col("own").alias("gid"), "x", "n").union(single).where("n > 1").select("gid", "x")
     groups = cut(groups.where("x IS NOT NULL").select("gid", "x.page_id", "x.digest"))
     n = groups.count()
     chosen = groups.select(F.col("page_id").alias("_id"), F.col("digest").alias("_digest")).distinct()
@@ -465,12 +530,14 @@ def wrappers(rows: DataFrame) -> DataFrame:
     one = different.select("gid", F.explode("texts").alias("t")).select("gid", "t.*")
     counts = one.groupBy("gid", "digest").agg(F.count("*").alias("c"), F.first("place").alias("place"), F.first("plain").alias("plain"), F.first("link").alias("link"))
     counts = counts.join(small_or_shuffled(pages.withColumnRenamed("gid", "_gid"), chosen.count()), F.col("gid") == F.col("_gid")).drop("_gid")
-    constant = (F.col("c") >= F.col("n") * CONSTANT) & (F.col("n") >= OWN_PAGES)
+    constant = F.col("c") >= F.col("n") * CONSTANT
     # Constants are at most 1 / CONSTANT of a page's texts, and places those of one page.
     slots = counts.groupBy("gid", F.when(~constant, F.col("place")).alias("place")).agg(
-        F.sum(F.col("c") * F.col("plain")).alias("plain"), F.sum(F.col("c") * F.col("link")).alias("link"), F.collect_list(F.when(constant, F.col("digest"))).alias("constants")
+        F.first("n").alias("n"), F.sum(F.col("c") * F.col("plain")).alias("plain"), F.sum(F.col("c") * F.col("link")).alias("link"), F.collect_list(F.when(constant, F.col("digest"))).alias("constants")
     )
-    by_group = slots.groupBy("gid").agg(F.flatten(F.collect_list("constants")).alias("constants"), F.collect_list(F.when(F.col("place").isNotNull(), F.struct("place", "plain", "link"))).alias("slots"))
+    told_apart = F.sum(F.when(F.col("place").isNotNull(), F.col("plain")).otherwise(-F.col("plain")))  # what varies, less the template
+    by_group = slots.groupBy("gid").agg(F.max("n").alias("n"), told_apart.alias("gain"), F.flatten(F.collect_list("constants")).alias("constants"), F.collect_list(F.when(F.col("place").isNotNull(), F.struct("place", "plain", "link"))).alias("slots"))
+    by_group = by_group.where((F.col("n") >= FEW) | (F.col("gain") > 0)).drop("n", "gain")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):

@@ -3,6 +3,7 @@
 import random
 import re
 import time
+import tracemalloc
 from collections import Counter
 from html import unescape
 
@@ -130,6 +131,59 @@ def test_wide_and_broken_pages_take_seconds():
     assert time.monotonic() - began < 60
 
 
+def test_only_marks_of_boxes_go_from_an_article():
+    html = """<body><article><h2 class="section-header">Title</h2><div class="section-header"><h3>Part</h3></div><p class="search">How to search</p>E <math><mi>mc</mi></math> z
+    <svg><text>drawn</text></svg><p id="related-work">Work</p><table class="menu-card"><tr><td>Soup</table><div class="ad-slot">Buy</div><div class="comment-list">Nice</div>
+    <section class="comments">Great</section><ul class="share"><li>Tell</ul><form>Name</form><footer>By</footer><header><b>Head</b></header></article></body>"""
+    want = ["Title", "Part", "How to search", "E mc z drawn", "Work", "Soup", "Head"]
+    assert mt.main_text(html).split("\n\n") == want
+    pages = [html.replace("Work", f"Work {k}").replace("Part", f"Part {k} {'x' * k}") for k in range(5)]
+    assert "Title" not in mt.main_text(pages[1], rule_of(pages))  # the same on all pages: template
+    assert [x for x in mt.main_text(pages[1], rule_of(pages)).split("\n\n")] == ["Part 1 x", "Work 1"]
+
+
+def test_wide_pages_of_unlike_siblings_take_seconds_and_little_memory():
+    rng = random.Random(3)
+    name = lambda: "".join(rng.choice("abcdefgh") for _ in range(9))
+    ids = [name() for _ in range(8000)]
+    pages = ["<body><b>Shop</b><div>" + "".join(f'<div id="{i if k else name()}"><i>t</i>word {k} {n}</div>' for n, i in enumerate(ids)) + "</div></body>" for k in range(3)]
+    reference = mt.packed(pages[1])
+    began = time.monotonic()
+    tracemalloc.start()
+    assert len(mt.told(pages[2], reference)[1]) > 8000
+    assert len(mt.told(pages[0], reference)[1]) > 8000
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
+    assert time.monotonic() - began < 30
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 8), st.integers(0, 8), st.integers(1, 5)), max_size=25, unique_by=lambda p: p[:2]))
+def test_chains_weigh_most(points):
+    points = sorted(points, key=lambda p: (p[0], -p[1]))
+    weight = {p[:2]: p[2] for p in points}
+    found = mt.chained(iter(points))
+    assert all(a[0] < b[0] and a[1] < b[1] for a, b in zip(found, found[1:], strict=False))
+    best = {}
+    for k, (r, c, w) in enumerate(points):
+        best[k] = w + max((best[j] for j in range(k) if points[j][0] < r and points[j][1] < c), default=0)
+    assert sum(weight[p] for p in found) == max(best.values(), default=0)
+
+
+def test_hosts_of_few_pages_have_wrappers_of_their_own(spark):
+    rng = random.Random(4)
+    text = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    page = lambda shop, body: f"<body><div>{shop}</div><div><p>{body}</p></div><div>Terms of {shop}</div></body>"
+    bodies = [text(30) for _ in range(12)]
+    rows = [(k, f"http://shop{k // 2}.example/{k}", page(f"Shop {k // 2}", bodies[k])) for k in range(8)]  # two pages a host
+    copied = [(20 + k, f"http://copy.example/{k}", f"<body><section><p>{bodies[8]}</p></section><section>Advert {k}</section></body>") for k in range(2)]
+    alone = [(30 + k, f"http://alone{k}.example/", f"<body><main><div>Top</div><div><p>{bodies[9 + k]}</p></div></main></body>") for k in range(3)]
+    got = {r["page_id"]: r["text"] for r in mt.main_texts(spark.createDataFrame(rows + copied + alone, "page_id long, url string, html string")).collect()}
+    assert [got[k] for k in range(8)] == bodies[:8]
+    assert all(bodies[8] in got[20 + k] for k in range(2))  # rather copies than pages of one template
+    assert [got[30 + k] for k in range(3)] == bodies[9:]  # hosts of one page, taken together by their layout
+
+
 def unmarked(html):
     return re.sub(r"<(/?)(article|nav|footer)>", r"<\1div>", html).replace(' class="ad"', "")
 
