@@ -15,9 +15,10 @@ from convoweave.functions.embedding import Embedder, embedded, hashed, query_vec
 from convoweave.functions.ordering import running_sum
 from convoweave.functions.text import embed_text, filled, keyword_text, source_or_default, worth_embedding
 from convoweave.operators import chunking, folders, merge, search as finding, sessions, turns as turn_ops
+from convoweave.operators.keyword_index import KeywordIndex
 from convoweave.operators.turns import ACTIONS
-from convoweave.session import cut
-from convoweave.sources import archive_io, transcripts as tr
+from convoweave.session import cut, last_version
+from convoweave.sources import archive_io, ranged, transcripts as tr
 from convoweave.streaming import incremental
 
 #: The tables and their columns; actions are JSON, as snapshots carry them.
@@ -49,16 +50,10 @@ class Archive:
 
     def __init__(self, spark: SparkSession, path: str, embedder: Embedder = hashed):
         self.spark, self.path, self.embedder = spark, path.rstrip("/"), embedder
+        self.keyword = KeywordIndex(spark, f"{self.path}/keyword")
 
     def _version(self, name: str) -> int:
-        """The last version that Spark has committed, empty or not, by a listing of the table's folder; 0 before the first."""
-        paths = self.spark._jvm.org.apache.hadoop.fs
-        folder = paths.Path(f"{self.path}/{name}")
-        files = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not files.exists(folder):
-            return 0
-        versions = (s.getPath() for s in files.listStatus(folder) if s.getPath().getName().startswith("version="))
-        return max((int(v.getName()[8:]) for v in versions if files.exists(paths.Path(v, "_SUCCESS"))), default=0)
+        return last_version(self.spark, f"{self.path}/{name}")
 
     def table(self, name: str) -> DataFrame:
         n = self._version(name)
@@ -79,7 +74,7 @@ class Archive:
         files = files.where(sub if adapter == "subagent" else ~sub)
         cursors = self.table("cursors")
         new = incremental.changed(files, cursors)
-        read = cut(tr.lines(new, F.col("start")))
+        read = cut(ranged.lines(new, F.col("start")) if ranged.readable(root) else tr.lines(new, F.col("start")))
         found = cut(tr.turns(read_records(tr.sound(read), skip_automation=skip_automation), source))
         done, moved = incremental.advanced(new, read, found, idle)
         done = done.withColumn("actions", F.to_json("actions")).withColumn("parser_version", F.lit(PARSER_VERSION)).withColumn("arrival", F.col("offset"))
@@ -104,6 +99,7 @@ class Archive:
         chunks = cut(merge.stale_chunks(old, changed).select(*old.columns).unionByName(chunking.chunks(texts, limit=None).select(*old.columns)))
         self.save("turns", turns)
         self.save("chunks", chunks)
+        self.keyword.put(changed.select("id", keyword_text(F.col("question"), F.col("answer"), acts).alias("text")))
         self.embed(turns, chunks)
         return n
 
@@ -128,7 +124,8 @@ class Archive:
         allowed = None if folder is None else folders.turns_in(self.table("folders"), self.table("items"), turns, folder)
         hidden = self.table("hidden").select(F.col("turn_id").alias("id"))
         hits = finding.search(
-            turns, self.table("vectors"), query, query_vector(query, self.embedder), max(1, min(20, k)), mode, hidden=hidden, allowed=allowed, sources=sources, session=session, since=since, until=until
+            turns, self.table("vectors"), query, query_vector(query, self.embedder), max(1, min(20, k)), mode, index=self.keyword, hidden=hidden, allowed=allowed, sources=sources, session=session, since=since,
+            until=until,
         )
         around = turn_ops.with_thread(turns.join(F.broadcast(hits.join(turns.select("id", "session_id"), "id").select("session_id").distinct()), "session_id", "left_semi"), window)
         told = around.select("id", "session_id", "timestamp", "project", "question", "answer", source_or_default(F.col("source")).alias("source"), "summary", "tags", "thread")
@@ -140,7 +137,7 @@ class Archive:
         row = turns.where(F.col("id") == turn_id).select("session_id", F.concat_ws("\n", "question", "answer").alias("q")).first()
         if row is None:
             return turns.select("id").limit(0)
-        hits = finding.search(turns, self.table("vectors"), row["q"], query_vector(row["q"], self.embedder), 4 * k)
+        hits = finding.search(turns, self.table("vectors"), row["q"], query_vector(row["q"], self.embedder), 4 * k, index=self.keyword)
         return finding.related(hits, turns, row["session_id"], k)
 
     def session(self, session_id: str, limit: int = 50) -> DataFrame:
@@ -180,9 +177,11 @@ class Archive:
         self.save("turns", turns)
         self.save("chunks", chunks)
         self.save("vectors", cut(self.table("vectors").join(chunks.select("chunk_key"), "chunk_key", "left_semi")))
+        self.keyword.remove(gone)
 
     def reconcile(self) -> int:
-        """Drops vectors whose turn is gone; how many they were."""
+        """Drops vectors whose turn is gone, how many they were; and makes the keyword index hold the turns that are there."""
+        self.keyword.heal(self._searchable().select("id", "text"))
         vectors = self.table("vectors")
         gone = cut(merge.orphans(vectors, self.table("turns")))
         if n := gone.count():

@@ -12,6 +12,7 @@ from convoweave.functions.text import question_key, source_or_default
 from convoweave.functions.times import within
 from convoweave.functions.vectors import dot, int8, norm, normalised
 from convoweave.operators.keyword import bm25
+from convoweave.operators.keyword_index import KeywordIndex
 from convoweave.session import cut
 
 RRF_K = 60
@@ -170,16 +171,20 @@ def select_hits(
 
 
 def search(
-    turns: DataFrame, vectors: DataFrame | None, query: str, query_vector: Sequence[float] | None, k: int = 5, mode: str = "hybrid", text: str = "text", **filters
-) -> DataFrame:
-    """Hits for a query: id, score, sem_rank, kw_rank, sources, place. Unknown modes are hybrid; filters as in `select_hits`."""
+    turns: DataFrame, vectors: DataFrame | None, query: str, query_vector: Sequence[float] | None, k: int = 5, mode: str = "hybrid", text: str = "text",
+    index: KeywordIndex | None = None, **filters
+) -> DataFrame:
+    """Hits for a query: id, score, sem_rank, kw_rank, sources, place. Unknown modes are hybrid; filters as in `select_hits`.
+
+    index: the stored keyword index of `turns`; without one their texts are read.
+    """
     mode = mode if mode in MODES else "hybrid"
     n = depth(k, bool(filters.get("session")) or filters.get("allowed") is not None)
     semantic = keyword = None
     if mode != "keyword" and vectors is not None and query_vector is not None:
         semantic = by_turn(nearest(vectors, query_vector, n)).select("id", F.col("rank").alias("sem_rank"))
     if mode != "semantic" or semantic is None:
-        keyword = ranks(bm25(turns, query, n, text=text), "kw_rank")
+        keyword = ranks(index.search(query, n) if index else bm25(turns, query, n, text=text), "kw_rank")
     return select_hits(fuse(semantic, keyword), turns, k, **filters)
 
 

@@ -1,6 +1,7 @@
 """All named queries of the engine and their SQL."""
 
-from convoweave.plans import finding, listing
+from convoweave.plans import finding, ingest, listing
 
-QUERIES = listing.QUERIES | finding.QUERIES
-ORACLE_SQL = listing.ORACLE_SQL | finding.ORACLE_SQL
+MODULES = (listing, finding, ingest)
+QUERIES = {name: q for m in MODULES for name, q in m.QUERIES.items()}
+ORACLE_SQL = {name: q for m in MODULES for name, q in m.ORACLE_SQL.items()}

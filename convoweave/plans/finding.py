@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from convoweave.functions import times
 from convoweave.operators import enrich, keyword as kw, merge as me, quality as qu, search as sr, semantic_map as sm
+from convoweave.operators.keyword_index import KeywordIndex
 from convoweave.plans.listing import HARD_CHUNKS, folders, hard_chunks, items
 from convoweave.plans.model import FOLDERS, ITEMS, TURNS, sql, stamp, turns
 from convoweave.operators import folders as fo
-from convoweave.session import table
+from convoweave.session import new_path, shared_dir, table
 from convoweave.streaming import incremental as inc
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -41,6 +42,16 @@ def docs(spark, sf):
     )
 
 
+def stored_index(spark, sf):
+    """The keyword index of all documents below the shared folder: made on first use, and anew when the table's files are others."""
+    files = table(spark, sf, "documents").select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    known = files.agg(F.sum(F.xxhash64("file_path", "file_size", "file_modification_time").cast("decimal(38,0)"))).first()[0]
+    index = KeywordIndex(spark, f"{shared_dir(spark)}/keyword-{known}")
+    if not index.ready():
+        index.put(docs(spark, sf).select("id", "text"))
+    return index
+
+
 POSTINGS = r"""tok AS (SELECT id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM docs),
 post AS (SELECT id, term, count(*) AS tf FROM tok GROUP BY id, term), len AS (SELECT id, len(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS dl FROM docs)"""
 BM25 = """bm AS (SELECT id, sum(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6::DOUBLE END * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (1 - 0.75::DOUBLE + 0.75::DOUBLE * dl / avgdl))) AS score
@@ -55,9 +66,32 @@ def keyword_postings(spark, sf):
 
 @query("bm25_search", sql(DOCS, POSTINGS, BM25, "SELECT id, round(score, 9) AS score FROM bm ORDER BY bm.score DESC, id LIMIT 20"))
 def bm25_search(spark, sf):
+    return stored_index(spark, sf).search(ASKED, 20).select("id", F.round("score", 9).alias("score"))
+
+
+@query("bm25_scan", sql(DOCS, POSTINGS, BM25, "SELECT id, round(score, 9) AS score FROM bm ORDER BY bm.score DESC, id LIMIT 20"))
+def bm25_scan(spark, sf):
+    """The same without an index, by two scans of all texts."""
     return kw.bm25(docs(spark, sf), ASKED, 20).select("id", F.round("score", 9).alias("score"))
 
 
+CHANGED = """changed AS (SELECT id, CASE WHEN id::BIGINT % 10 = 3 THEN concat(text, ' the apache of apache') ELSE text END AS text FROM docs WHERE id::BIGINT % 10 <> 7
+  UNION ALL SELECT id || '+', 'the new ' || text FROM docs WHERE id::BIGINT % 10 = 4)"""
+
+
+@query("keyword_index_upkeep", sql(DOCS, CHANGED, POSTINGS.replace("FROM docs", "FROM changed"), BM25, "SELECT id, round(score, 9) AS score FROM bm ORDER BY bm.score DESC, id LIMIT 200"))
+def keyword_index_upkeep(spark, sf):
+    """The index after a tenth of all documents was replaced, a tenth removed, a tenth came in, and all was merged."""
+    rows, number = docs(spark, sf).select("id", "text"), F.col("id").cast("long") % 10
+    index = KeywordIndex(spark, new_path(spark, "keyword"))
+    index.put(rows)
+    index.put(rows.where(number == 3).withColumn("text", F.concat("text", F.lit(" the apache of apache"))))
+    index.remove(rows.where(number == 7))
+    index.put(rows.where(number == 4).select(F.concat("id", F.lit("+")).alias("id"), F.concat(F.lit("the new "), "text").alias("text")))
+    index.compact(whole=True)
+    return index.search(ASKED, 200).select("id", F.round("score", 9).alias("score"))
+
+
 VECTORS = "vec AS (SELECT vec_id, vec_id::VARCHAR AS chunk_key, embedding::DOUBLE[] AS e, label FROM embeddings), asked AS (SELECT e AS q FROM vec WHERE vec_id = 7)"
 
 
@@ -123,7 +157,7 @@ def hybrid_sql(depth: int, where: str, k: int, tail: str = "SELECT id, round(sco
 
 
 def hybrid(spark, sf, k=10, **filters):
-    found = sr.search(docs(spark, sf), vectors(spark, sf), ASKED, asked(spark, sf), k, **filters)
+    found = sr.search(docs(spark, sf), vectors(spark, sf), ASKED, asked(spark, sf), k, index=stored_index(spark, sf), **filters)
     return found.select("id", F.round("score", 9).alias("score"), "sources", F.col("place").cast("long").alias("place"))
 
 
@@ -162,7 +196,7 @@ def search_folder_scope(spark, sf):
 
 @query("find_related", hybrid_sql(160, "TRUE", 20, "SELECT id, place FROM hits WHERE session_id <> 'ssrc0' ORDER BY place LIMIT 5"))
 def find_related(spark, sf):
-    hits = sr.search(docs(spark, sf), vectors(spark, sf), ASKED, asked(spark, sf), 20)
+    hits = sr.search(docs(spark, sf), vectors(spark, sf), ASKED, asked(spark, sf), 20, index=stored_index(spark, sf))
     return sr.related(hits, docs(spark, sf), "ssrc0", 5).select("id", F.col("place").cast("long").alias("place"))
 
 

@@ -38,7 +38,7 @@ def shared_dir(spark: SparkSession) -> str:
     """
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        if not spark.conf.get("spark.checkpoint.dir", None) and not context.master.startswith("local"):
+        if not spark.conf.get("spark.checkpoint.dir", None) and context.master != "local" and not context.master.startswith("local["):
             raise ValueError("on a cluster, set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="convoweave-"))
     return context.getCheckpointDir()
@@ -49,6 +49,17 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def last_version(spark: SparkSession, folder: str) -> int:
+    """The last `version=` below `folder` that Spark has committed, empty or not, by a listing of the folder; 0 before the first."""
+    paths = spark._jvm.org.apache.hadoop.fs
+    path = paths.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        return 0
+    versions = (s.getPath() for s in files.listStatus(path) if s.getPath().getName().startswith("version="))
+    return max((int(v.getName()[8:]) for v in versions if files.exists(paths.Path(v, "_SUCCESS"))), default=0)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """`df` with its lineage cut by a reliable checkpoint, so that lost executors cost no recomputation."""
     shared_dir(df.sparkSession)

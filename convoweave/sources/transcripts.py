@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 from pyspark.sql.functions import pandas_udf
 
-from convoweave.functions.text import session_of_path
+from convoweave.functions.text import session_of_path, strip
 from convoweave.operators import turns as turn_ops
 from convoweave.operators.turns import ACTIONS
 
@@ -80,7 +80,7 @@ def texts(content: Column) -> Column:
 
 
 def plumbing(text: Column, beginnings: Sequence[str] = PLUMBING) -> Column:
-    start = F.regexp_replace(text, r"^\s+", "")
+    start = strip(text)
     out = F.lit(False)
     for b in beginnings:
         out = out | start.startswith(b)
@@ -183,7 +183,7 @@ def rollout_records(read: DataFrame, skip_automation: bool = True) -> DataFrame:
     blocks = F.from_json(field("$.payload.item.content"), BLOCKS)
     block_text = F.array_join(F.transform(F.filter(blocks, lambda b: b["text"] != ""), lambda b: b["text"]), "\n")
     done = F.coalesce((kind == "event_msg") & (payload == "item_completed"), F.lit(False))
-    question = F.nullif(F.regexp_replace(F.coalesce(old_question, F.when(done & (item == "UserMessage"), block_text)), r"^\s+|\s+$", ""), F.lit(""))
+    question = F.nullif(strip(F.coalesce(old_question, F.when(done & (item == "UserMessage"), block_text))), F.lit(""))
     rows = rows.withColumn("question", question).withColumn("_mode", F.when(F.col("question").isNotNull(), F.when(done, "new").otherwise("old")))
     mode = F.last("_mode", ignorenulls=True).over(Window.partitionBy("file").orderBy("offset").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     rows = rows.withColumn("_in", mode)

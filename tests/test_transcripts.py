@@ -24,6 +24,7 @@ CHAT = [
     assistant({"type": "thinking", "thinking": " plan "}, {"type": "text", "text": "answer one"}, {"type": "tool_use", "name": "Edit", "input": {"x": 1, "file_path": "/a/b\nc"}}),
     user([{"type": "tool_result", "content": "ok"}], "r1"),
     user("<command-name>/x", "p1"),
+    user("\u00a0\u2003<command-name>/y", "p2"),
     assistant({"type": "text", "text": "answer two"}, {"type": "tool_use", "name": "Odd", "input": {"k": 1, "l": 2}}),
     {"type": "attachment", "uuid": "q1", "sessionId": "s1", "timestamp": "2026-01-01T00:01:00Z", "attachment": {"type": "queued_command", "prompt": "[{'type': 'text', 'text': 'queued'}]", "origin": {"kind": "human"}}},
     assistant({"type": "text", "text": "to the queued"}),
