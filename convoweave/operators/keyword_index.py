@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -69,10 +70,12 @@ class KeywordIndex:
 
     def _part(self, segments: list[dict], name: str, schema: str) -> DataFrame:
         """A part of some segments, with `segment`."""
-        found = self.spark.createDataFrame([], f"{schema}, segment long")
-        for s in segments:
-            found = found.unionByName(self.spark.read.schema(schema).parquet(f"{self.path}/segment={s['segment']}/{name}").withColumn("segment", F.lit(s["segment"])))
-        return found
+        return self._all([self.spark.read.schema(schema).parquet(f"{self.path}/segment={s['segment']}/{name}").withColumn("segment", F.lit(s["segment"])) for s in segments], schema)
+
+    def _all(self, parts: list[DataFrame], schema: str) -> DataFrame:
+        """The union of parts that have `schema` and segment; without one, no rows."""
+        empty = lambda: self.spark.range(0).select(F.from_json(F.lit("{}"), f"{schema}, segment long").alias("x")).select("x.*")
+        return reduce(DataFrame.unionByName, parts) if parts else empty()
 
     def _gone(self, segments: list[dict]) -> DataFrame:
         """id and gone_at: the last segment that says that earlier ones no longer hold the document."""
@@ -195,19 +198,19 @@ class KeywordIndex:
         some = [s for s in segments if s["n"]]
         if terms is None:
             return self._part(some, "postings", schema)
-        found = self._part([], "postings", schema)
+        found = []
         for buckets in {s["buckets"] for s in some}:
             asked = self.spark.range(1).select(*(F.pmod(F.xxhash64(F.lit(t)), F.lit(buckets)).cast("int") for t in terms)).first()
             rows = self._part([s for s in some if s["buckets"] == buckets], "postings", schema)
-            found = found.unionByName(rows.where(F.col("bucket").isin(*set(asked)) & F.col("term").isin(*terms)))
-        return found
+            found.append(rows.where(F.col("bucket").isin(*set(asked)) & F.col("term").isin(*terms)))
+        return self._all(found, schema)
 
     def search(self, query: str, limit: int, compat: bool = False) -> DataFrame:
         """id and score of the best `limit` documents that have a term of the query, as `keyword.bm25` scores them."""
         terms = query_terms(query, compat)
         distinct = list(dict.fromkeys(terms))
         segments = self._manifest()
-        none = self.spark.createDataFrame([], "id string, score double")
+        none = self.spark.range(0).select(F.lit("").alias("id"), F.lit(0.0).alias("score"))
         if not terms or not segments or limit < 1:
             return none
         n, mean = self._figures(segments)

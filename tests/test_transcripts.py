@@ -108,7 +108,7 @@ def test_rollouts_of_both_generations(spark, tmp_path):
 
 
 def test_cursors_hold_the_open_turn(spark, tmp_path):
-    write(tmp_path / "s1.jsonl", CHAT[2:4] + CHAT[7:9])
+    write(tmp_path / "s1.jsonl", CHAT[2:4] + CHAT[8:10])
     none = spark.createDataFrame([], "path string, offset long, hold_offset long")
     listed = lambda age: tr.files(spark, str(tmp_path)).withColumn("age_seconds", F.lit(age))
     read = inc.read_new(spark, str(tmp_path), none)
