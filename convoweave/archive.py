@@ -1,7 +1,9 @@
 """An archive of conversations: versioned Parquet tables below one folder, and what a user asks of them.
 
-Each change writes the next version of a table, which readers see once Spark has committed it. Indexing reads only
-what is new in the logs, and embeds only chunks whose input has changed.
+Each change writes the next version of a table, which readers see once Spark has committed it. Turns, chunks and vectors lie in
+buckets by session, of which a change rewrites those that it touches. Indexing reads only what is new in the logs, and
+embeds only chunks whose input has changed. A change writes chunks, vectors and the keyword index before its turns, so one that
+fails on the way is made again, from the same logs or snapshot.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from convoweave.operators.keyword_index import KeywordIndex
 from convoweave.operators.turns import ACTIONS
 from convoweave.session import cut, last_version
 from convoweave.sources import archive_io, ranged, transcripts as tr
+from convoweave.sources.bucketed import Bucketed
 from convoweave.streaming import incremental
 
 #: The tables and their columns; actions are JSON, as snapshots carry them.
@@ -50,16 +53,23 @@ class Archive:
 
     def __init__(self, spark: SparkSession, path: str, embedder: Embedder = hashed):
         self.spark, self.path, self.embedder = spark, path.rstrip("/"), embedder
+        owners = {"turns": F.col("id"), "chunks": F.col("turn_id"), "vectors": F.regexp_replace("chunk_key", "#[^#]*$", "")}
+        self.buckets = {name: Bucketed(spark, f"{self.path}/{name}", TABLES[name], key) for name, key in owners.items()}
         self.keyword = KeywordIndex(spark, f"{self.path}/keyword")
 
     def _version(self, name: str) -> int:
         return last_version(self.spark, f"{self.path}/{name}")
 
     def table(self, name: str) -> DataFrame:
+        if name in self.buckets:
+            return self.buckets[name].read()
         n = self._version(name)
         return self.spark.read.schema(TABLES[name]).parquet(f"{self.path}/{name}/version={n}") if n else self.spark.createDataFrame([], TABLES[name])
 
     def save(self, name: str, rows: DataFrame) -> None:
+        if name in self.buckets:
+            self.buckets[name].put(rows)
+            return
         columns = [f.split()[0] for f in TABLES[name].split(", ")]
         rows.select(*columns).write.mode("overwrite").parquet(f"{self.path}/{name}/version={self._version(name) + 1}")
 
@@ -85,32 +95,51 @@ class Archive:
         self.save("cursors", cursors.join(moved, "path", "left_anti").unionByName(moved))
         return n
 
-    def take_in(self, fresh: DataFrame, strict: bool = False) -> int:
-        """Upserts turns, and makes their chunks and vectors."""
-        merged = cut(merge.upsert(self.table("turns"), fresh, strict))
+    def take_in(self, fresh: DataFrame, strict: bool = False, given: DataFrame | None = None) -> int:
+        """Upserts turns, and makes their chunks and vectors; the number of turns that came in.
+
+        given: chunks (turn_id, idx, text) that come with the turns; turns without any are cut here. Turns that stay take the
+        summary and tags of a fresh one where they have no summary.
+        """
+        tables = self.buckets
+        touched = tables["turns"].touched(fresh)
+        merged = merge.upsert(tables["turns"].read(touched), fresh, strict)
+        about = fresh.select(F.col("id"), filled(F.col("summary")).alias("_summary"), F.col("tags").alias("_tags"))
+        told = F.col("_summary").isNotNull() & filled(F.col("summary")).isNull()
+        merged = merged.join(about, "id", "left").withColumn("told", F.coalesce(told, F.lit(False)))
+        merged = merged.withColumn("tags", F.when(F.col("told"), F.col("_tags")).otherwise(F.col("tags"))).withColumn("summary", F.when(F.col("told"), F.col("_summary")).otherwise(F.col("summary")))
+        merged = cut(merged.drop("_summary", "_tags"))
         changed = merged.where("outcome IN ('inserted', 'replaced')")
-        n = changed.count()
-        if not n:
+        touched = tables["turns"].touched(merged.where("told OR outcome IN ('inserted', 'replaced')"))
+        if not touched:
             return 0
-        turns = merged.drop("outcome")
-        acts = F.from_json("actions", ACTIONS)
-        texts = changed.where(worth_embedding(F.col("question"), F.col("answer"), acts)).select("id", embed_text(F.col("question"), F.col("answer"), acts).alias("embed_text"))
-        old = self.table("chunks")
-        chunks = cut(merge.stale_chunks(old, changed).select(*old.columns).unionByName(chunking.chunks(texts, limit=None).select(*old.columns)))
-        self.save("turns", turns)
-        self.save("chunks", chunks)
-        self.keyword.put(changed.select("id", keyword_text(F.col("question"), F.col("answer"), acts).alias("text")))
-        self.embed(turns, chunks)
+        n, turns = changed.count(), merged.drop("outcome", "told").where(tables["turns"].bucket.isin(*touched))
+        if n:
+            acts = F.from_json("actions", ACTIONS)
+            worth = changed.where(worth_embedding(F.col("question"), F.col("answer"), acts))
+            old = tables["chunks"].read(touched)
+            fresh_chunks = [chunking.chunks(worth.select("id", embed_text(F.col("question"), F.col("answer"), acts).alias("embed_text")), limit=None)]
+            if given is not None:
+                mine = given.join(changed.select(F.col("id").alias("turn_id")), "turn_id", "left_semi")
+                fresh_chunks = [fresh_chunks[0].join(mine.select("turn_id").distinct(), "turn_id", "left_anti"), mine.withColumn("chunk_key", F.concat("turn_id", F.lit("#"), "idx"))]
+            chunks = merge.stale_chunks(old, changed).select(*old.columns)
+            for rows in fresh_chunks:
+                chunks = chunks.unionByName(rows.select(*old.columns))
+            chunks = cut(chunks)
+            tables["chunks"].put(chunks, touched)
+            self.embed(turns, chunks, touched)
+            self.keyword.put(changed.select("id", keyword_text(F.col("question"), F.col("answer"), acts).alias("text")))
+        tables["turns"].put(turns, touched)
         return n
 
-    def embed(self, turns: DataFrame, chunks: DataFrame) -> None:
-        """Vectors for chunks whose input has changed; those of chunks that are gone go."""
-        old = self.table("vectors")
+    def embed(self, turns: DataFrame, chunks: DataFrame, touched: Sequence[int]) -> None:
+        """Vectors for the chunks of some buckets whose input has changed; those of chunks that are gone go."""
+        old = self.buckets["vectors"].read(touched)
         stored = old.select("chunk_key", F.col("embed_hash").alias("old_hash"), F.lit(None).cast("string").alias("old_input"), F.lit(True).alias("has_vector"))
         todo = cut(turn_ops.to_embed(turn_ops.embed_inputs(chunks, turns), stored))
         made = todo.where("again").select("chunk_key", "embed_hash", embedded(F.col("input"), self.embedder).alias("embedding"))
         kept = old.join(todo.where("NOT again").select("chunk_key"), "chunk_key", "left_semi")
-        self.save("vectors", kept.unionByName(made))
+        self.buckets["vectors"].put(cut(kept.unionByName(made)), touched)
 
     # Questions
 
@@ -173,10 +202,11 @@ class Archive:
 
     def delete(self, turn_ids: Sequence[str]) -> None:
         gone = self.spark.createDataFrame([(t,) for t in turn_ids], "id string")
-        turns, chunks = (cut(x) for x in merge.delete_turns(self.table("turns"), self.table("chunks"), gone))
-        self.save("turns", turns)
-        self.save("chunks", chunks)
-        self.save("vectors", cut(self.table("vectors").join(chunks.select("chunk_key"), "chunk_key", "left_semi")))
+        touched = self.buckets["turns"].touched(gone)
+        turns, chunks = (cut(x) for x in merge.delete_turns(self.buckets["turns"].read(touched), self.buckets["chunks"].read(touched), gone))
+        vectors = cut(self.buckets["vectors"].read(touched).join(chunks.select("chunk_key"), "chunk_key", "left_semi"))
+        for name, rows in (("vectors", vectors), ("chunks", chunks), ("turns", turns)):
+            self.buckets[name].put(rows, touched)
         self.keyword.remove(gone)
 
     def reconcile(self) -> int:
@@ -185,7 +215,8 @@ class Archive:
         vectors = self.table("vectors")
         gone = cut(merge.orphans(vectors, self.table("turns")))
         if n := gone.count():
-            self.save("vectors", cut(vectors.join(gone, "chunk_key", "left_anti")))
+            touched = self.buckets["vectors"].touched(gone)
+            self.buckets["vectors"].put(cut(self.buckets["vectors"].read(touched).join(gone, "chunk_key", "left_anti")), touched)
         return n
 
     # Devices
@@ -209,11 +240,13 @@ class Archive:
         archive_io.write_snapshot(self.table("turns"), self.table("chunks"), path, self._shared_settings())
 
     def import_from(self, path: str, now: float | None = None) -> int:
-        """Takes in the turns of another device's snapshot that rank higher, and its later settings; the number of turns that came in."""
+        """Takes in the turns of another device's snapshot that rank higher, with their chunks, its summaries of turns that have none, and
+        its later settings; the number of turns that came in."""
         lines = cut(archive_io.read_snapshot(self.spark, path))
         turns = archive_io.snapshot_turns(lines)
         turns = turns.withColumn("actions", F.coalesce("actions", F.lit("[]")))
-        n = self.take_in(cut(turns.where(filled(F.col("id")).isNotNull()).dropDuplicates(["id"])), strict=True)
+        chunks = archive_io.snapshot_chunks(lines).where("idx IS NOT NULL AND text <> ''").dropDuplicates(["turn_id", "idx"])
+        n = self.take_in(cut(turns.where(filled(F.col("id")).isNotNull()).dropDuplicates(["id"])), strict=True, given=chunks)
         self._take_settings(lines, time.time() if now is None else now)
         return n
 
