@@ -1,12 +1,15 @@
 """A stored inverted index for keyword search, so that a query reads its terms' postings and no text.
 
-An index is a folder of segments and of versions of a manifest, which names the live segments in order. A segment holds
-`postings` (blocks of a term, in folders by the hash of the term), `docs` (id and length) and `gone` (ids that earlier
-segments may hold, and that no longer count there: replaced and removed documents). A change writes one segment and then the
-next manifest; readers see it once Spark has committed that, and a change that fails leaves nothing that is read. One writer at a time.
-
-A block is a term's postings in one shard of a segment: documents of about the same length, about BLOCK of them. Its row
-begins with the most occurrences and the least length, from which the highest score of the block follows. A search
+An index is a folder of segments and of versions of a manifest, which names the live segments in order. A segment's rows lie in
+folders by the hash of their term: blocks, the postings of a term in one shard. A shard is a few thousand documents of about
+the same length, which postings name by their place in it; the folder `bucket=-1` has a row for each shard with their ids
+and lengths. Beside it, `gone` has the places of earlier segments whose documents no longer count (replaced or removed). A change
+writes one segment and then the next manifest; readers see it once Spark has committed that, and a change that fails leaves nothing
+that is read. One writer at a time.
+
+A segment is made in one pass: tasks sort what they hold (PENDING words, or SHARDS shards) into blocks, so only blocks are
+shuffled, once, to their folders. A block's row begins with the most occurrences and the least length, from which the highest
+score of the block follows. A search
 1. reads the heads of its terms' blocks: how many documents have each term, and the highest score a document of each shard can have;
 2. scores the shards that promise most, for a floor that the result is certain to reach;
 3. scores the shards that can reach the floor; the others are skipped unread. The result is exact.
@@ -20,35 +23,84 @@ Identifiers are strings, not null, and distinct in one change (else the change f
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
+from zlib import crc32
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from convoweave.functions.text import tokens
 from convoweave.operators.keyword import B, K1, LEAST_IDF, query_terms
 from convoweave.session import cut, last_version
 
-BUCKETS, WORDS = 4, 1 << 22  # folders of terms at least, and words of text for each folder
-BLOCK = 4096
+BUCKETS, BYTES = 4, 64 << 20  # folders of terms at least, and bytes of text for each folder
+BLOCK, SHARDS, PENDING = 4096, 4, 4 << 20
 CLASSES = 4  # of length, for each doubling
 PROBED = 8  # shards that give the floor
 SEGMENTS, TIER = 8, 2.0
 BROADCAST_ROWS = 500_000
-MANIFEST = "segment long, buckets int, n long, n_text long, total long, dead long, dead_text long, dead_total long, gone long"
+MANIFEST = "segment long, buckets int, n long, n_text long, total long, dead long, dead_text long, dead_total long"
+ROWS = "bucket int, term string, shard string, n int, most int, least int, places array<int>, tfs array<int>, lengths array<int>, ids array<string>"
+GONE = "of long, shard string, place int"
+WHERE = ["segment", "shard", "place"]
 ROUNDING = 1e-9  # of a bound, far above what sums of doubles lose
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:
-    """`df` marked for broadcast where its counted rows (ids and numbers) are few."""
+    """`df` marked for broadcast where its counted rows (numbers and short names) are few."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def blocks_of(held: list[pa.RecordBatch], buckets: int, block: int, name: str) -> Iterator[pa.RecordBatch]:
+    """The blocks, and the rows of the shards, of some documents (id, words)."""
+    table = pa.Table.from_batches(held).combine_chunks()
+    words = table["words"].combine_chunks()
+    known = words.is_valid().to_numpy(zero_copy_only=False)
+    lengths = np.where(known, np.diff(words.offsets.to_numpy()), 0)
+    order = np.argsort(lengths, kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    ids = table["id"].combine_chunks().take(pa.array(order))
+    shards = -(-len(order) // block)
+    names = pa.array([f"{name}-{k}" for k in range(shards)])
+    ends = pa.array(np.minimum(np.arange(shards + 1) * block, len(order)).astype(np.int32))
+    told = pa.array(lengths[order].astype(np.int32), mask=~known[order])
+    none, schema = pa.nulls(shards, pa.int32()), [f.split()[0] for f in ROWS.split(", ")]
+    lists = lambda values, at: pa.ListArray.from_arrays(at, values)
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(np.full(shards, -1, np.int32)), pa.nulls(shards, pa.string()), names, none, none, none, pa.nulls(shards, pa.list_(pa.int32())), pa.nulls(shards, pa.list_(pa.int32())), lists(told, ends), lists(ids, ends)], schema
+    )
+    coded = words.flatten().dictionary_encode()
+    terms, codes = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+    if not len(codes):
+        return
+    document, n = np.repeat(rank, lengths), len(terms)
+    key, tf = np.unique(((document // block) * n + codes) * block + document % block, return_counts=True)  # by shard, term and place
+    place, group = (key % block).astype(np.int32), key // block
+    length = lengths[order][(group // n) * block + place].astype(np.int32)
+    starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    at = pa.array(np.r_[starts, len(key)].astype(np.int32))
+    tf = tf.astype(np.int32)
+    bucket = np.array([crc32(t.encode()) % buckets for t in terms.to_pylist()], np.int32)
+    code = group[starts] % n
+    columns = [
+        pa.array(bucket[code]), terms.take(pa.array(code)), names.take(pa.array(group[starts] // n)), pa.array(np.diff(np.r_[starts, len(key)]).astype(np.int32)),
+        pa.array(np.maximum.reduceat(tf, starts)), pa.array(np.minimum.reduceat(length, starts)), lists(pa.array(place), at), lists(pa.array(tf), at), lists(pa.array(length), at),
+        pa.nulls(len(starts), pa.list_(pa.string())),
+    ]
+    whole = pa.RecordBatch.from_arrays(columns, schema)
+    for k in range(0, whole.num_rows, 1 << 14):
+        yield whole.slice(k, 1 << 14)
+
+
 class KeywordIndex:
     """The index in a folder that Spark can reach."""
 
-    def __init__(self, spark: SparkSession, path: str, block: int = BLOCK, words: int = WORDS):
-        self.spark, self.path, self.block, self.words = spark, path.rstrip("/"), block, words
+    def __init__(self, spark: SparkSession, path: str, block: int = BLOCK):
+        self.spark, self.path, self.block = spark, path.rstrip("/"), block
 
     # What is stored
 
@@ -57,7 +109,7 @@ class KeywordIndex:
         version = last_version(self.spark, f"{self.path}/manifest")
         if not version:
             return []
-        return [r.asDict() for r in self.spark.read.schema(MANIFEST).parquet(f"{self.path}/manifest/version={version}").orderBy("segment").collect()]
+        return sorted((r.asDict() for r in self.spark.read.schema(MANIFEST).parquet(f"{self.path}/manifest/version={version}").collect()), key=lambda s: s["segment"])
 
     def ready(self) -> bool:
         """Whether anything has been committed."""
@@ -68,115 +120,130 @@ class KeywordIndex:
         rows = self.spark.createDataFrame([tuple(s[c] for c in columns) for s in segments], MANIFEST)
         rows.coalesce(1).write.parquet(f"{self.path}/manifest/version={last_version(self.spark, f'{self.path}/manifest') + 1}")
 
-    def _part(self, segments: list[dict], name: str, schema: str) -> DataFrame:
-        """A part of some segments, with `segment`."""
-        return self._all([self.spark.read.schema(schema).parquet(f"{self.path}/segment={s['segment']}/{name}").withColumn("segment", F.lit(s["segment"])) for s in segments], schema)
+    def _rows(self, segments: list[dict]) -> DataFrame:
+        """Blocks and shards of some segments, with `segment`."""
+        parts = [self.spark.read.schema(ROWS).parquet(f"{self.path}/segment={s['segment']}/rows").withColumn("segment", F.lit(s["segment"])) for s in segments if s["n"]]
+        return self._all(parts, f"{ROWS}, segment long")
 
     def _all(self, parts: list[DataFrame], schema: str) -> DataFrame:
-        """The union of parts that have `schema` and segment; without one, no rows."""
-        empty = lambda: self.spark.range(0).select(F.from_json(F.lit("{}"), f"{schema}, segment long").alias("x")).select("x.*")
-        return reduce(DataFrame.unionByName, parts) if parts else empty()
-
-    def _gone(self, segments: list[dict]) -> DataFrame:
-        """id and gone_at: the last segment that says that earlier ones no longer hold the document."""
-        return self._part([s for s in segments if s["gone"]], "gone", "id string").groupBy("id").agg(F.max("segment").alias("gone_at"))
+        """The union of parts; without one, no rows."""
+        return reduce(DataFrame.unionByName, parts) if parts else self.spark.range(0).select(F.from_json(F.lit("{}"), schema).alias("x")).select("x.*")
 
     def _live(self, rows: DataFrame, segments: list[dict]) -> DataFrame:
-        """`rows` (id, segment and others) of documents that still count."""
-        n = sum(s["gone"] for s in segments)
+        """`rows` (WHERE and others) of documents that still count."""
+        n = sum(s["dead"] for s in segments)
         if not n:
             return rows
-        marks = self._gone(segments).withColumnRenamed("id", "_id")
-        return rows.join(small(marks, n), (F.col("id") == F.col("_id")) & (F.col("segment") < F.col("gone_at")), "left_anti")
+        gone = self._all([self.spark.read.schema(GONE).parquet(f"{self.path}/segment={s['segment']}/gone") for s in segments if s["dead"]], GONE)
+        return rows.join(small(gone.withColumnRenamed("of", "segment"), n), WHERE, "left_anti")
+
+    def _docs(self, segments: list[dict]) -> DataFrame:
+        """segment, shard, place, id and length of the documents of some segments that still count."""
+        each = self._rows(segments).where("bucket = -1").select("segment", "shard", F.posexplode(F.arrays_zip("ids", "lengths")).alias("place", "d"))
+        return self._live(each.select("segment", "shard", "place", F.col("d.ids").alias("id"), F.col("d.lengths").alias("length")), segments)
 
     def docs(self) -> DataFrame:
         """id and length of every document that counts."""
-        segments = self._manifest()
-        return self._live(self._part(segments, "docs", "id string, length int"), segments).select("id", "length")
-
-    def _figures(self, segments: list[dict]) -> tuple[int, float]:
-        """How many documents count, and their average length."""
-        n, n_text, total = (sum(s[c] - s[d] for s in segments) for c, d in (("n", "dead"), ("n_text", "dead_text"), ("total", "dead_total")))
-        return n, total / n_text if n_text else 0.0
+        return self._docs(self._manifest()).select("id", "length")
 
     # Changes
 
-    def _buckets(self, total: int) -> int:
-        """How many folders the terms of a segment of `total` words have: a power of two, so that segments share their numbers."""
-        return BUCKETS << max(0, math.ceil(math.log2(max(1, total / (BUCKETS * self.words)))))
+    def _number(self, segments: list[dict]) -> int:
+        return max((s["segment"] for s in segments), default=0) + 1
 
-    def _write(self, number: int, buckets: int, postings: DataFrame) -> None:
-        """Blocks of `postings` (id, length, term, tf), dealt over shards by length."""
-        wide = F.floor(F.log2(1.0 + F.col("length")) * CLASSES).cast("int")
-        docs = self.spark.read.schema("id string, length int").parquet(f"{self.path}/segment={number}/docs")
-        sizes = docs.where("length > 0").groupBy(wide.alias("wide")).count().collect()  # a row for each class of lengths
-        parts = F.create_map(*(F.lit(x) for w, n in sizes for x in (w, math.ceil(n / self.block)))) if sizes else F.create_map(F.lit(0), F.lit(1))
-        shard = F.concat_ws("-", wide, F.pmod(F.xxhash64("id"), parts[wide]))
-        dealt = postings.select(F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket"), "term", shard.alias("shard"), F.struct("id", "tf", "length").alias("p"))
-        blocks = dealt.groupBy("bucket", "term", "shard").agg(
-            F.count("*").cast("int").alias("n"), F.max("p.tf").alias("most"), F.min("p.length").alias("least"), F.array_sort(F.collect_list("p")).alias("p")
-        )
-        lists = (F.col("p.id").alias("ids"), F.col("p.tf").alias("tfs"), F.col("p.length").alias("lengths"))
-        rows = blocks.select("bucket", "term", "shard", "n", "most", "least", *lists)
-        rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/segment={number}/postings")
+    def _write(self, number: int, rows: DataFrame) -> None:
+        rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/segment={number}/rows")
+
+    def _buckets(self, size: int) -> int:
+        """How many folders the terms of `size` bytes of text have: a power of two, so that segments share their numbers."""
+        return BUCKETS << max(0, math.ceil(math.log2(max(1, size / (BUCKETS * BYTES)))))
 
     def put(self, docs: DataFrame, doc_id: str = "id", text: str = "text") -> None:
         """Adds documents; those that are there already are replaced."""
         segments = self._manifest()
-        number = max((s["segment"] for s in segments), default=0) + 1
-        rows = docs.select(F.col(doc_id).cast("string").alias("id"), tokens(F.col(text)).alias("_t"))
-        rows = rows.withColumn("length", F.when(F.col("_t").isNotNull(), F.size("_t")))
-        rows.select("id", "length").write.mode("overwrite").parquet(f"{self.path}/segment={number}/docs")
-        mine = self.spark.read.schema("id string, length int").parquet(f"{self.path}/segment={number}/docs")
-        n, ids, n_text, total = mine.agg(F.count("*"), F.count_distinct("id"), F.count("length"), F.coalesce(F.sum("length"), F.lit(0))).first()
-        if ids < n:
-            raise ValueError("documents need identifiers, each its own")
+        number, block = self._number(segments), self.block
+        given = docs.select(F.col(doc_id).cast("string").alias("id"), F.col(text).alias("text"))
+        n, size = given.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
         if not n:
             return
-        each = rows.select("id", "length", F.explode("_t").alias("term")).groupBy("id", "length", "term").agg(F.count("*").cast("int").alias("tf"))
-        self._write(number, self._buckets(total), each)
-        self._append(segments, number, mine.select("id"), n, n_text, total)
+        buckets = self._buckets(size)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            part, held, words, rows, flushed = TaskContext.get().partitionId(), [], 0, 0, 0
+            for b in batches:
+                for k in range(0, b.num_rows, 256):
+                    piece = b.slice(k, 256)
+                    held.append(piece)
+                    words, rows = words + len(piece.column(1).flatten()), rows + piece.num_rows
+                    if words >= PENDING or rows >= SHARDS * block:
+                        yield from blocks_of(held, buckets, block, f"{part}-{flushed}")
+                        held, words, rows, flushed = [], 0, 0, flushed + 1
+            if held:
+                yield from blocks_of(held, buckets, block, f"{part}-{flushed}")
+
+        self._write(number, given.select("id", tokens(F.col("text")).alias("words")).mapInArrow(run, ROWS))
+        mine = self._docs([dict(segment=number, n=n, dead=0)])
+        told, ids, n_text, total = mine.agg(F.count("*"), F.count_distinct("id"), F.count("length"), F.coalesce(F.sum("length"), F.lit(0))).first()
+        if ids < told:
+            raise ValueError("documents need identifiers, each its own")
+        self._append(segments, dict(segment=number, buckets=buckets, n=n, n_text=n_text, total=total), mine.select("id"))
 
     def remove(self, ids: DataFrame) -> None:
         """Takes out the documents of `ids` (id)."""
         segments = self._manifest()
-        number = max((s["segment"] for s in segments), default=0) + 1
-        self.spark.createDataFrame([], "id string, length int").write.mode("overwrite").parquet(f"{self.path}/segment={number}/docs")
-        self._append(segments, number, ids.select(F.col("id").cast("string").alias("id")).distinct(), 0, 0, 0)
+        self._append(segments, dict(segment=self._number(segments), buckets=BUCKETS, n=0, n_text=0, total=0), ids.select(F.col("id").cast("string").alias("id")))
 
-    def _append(self, segments: list[dict], number: int, ids: DataFrame, n: int, n_text: int, total: int) -> None:
+    def _append(self, segments: list[dict], new: dict, ids: DataFrame) -> None:
         """Commits a segment; `ids` are the documents that no longer count in earlier ones."""
-        old = self._live(self._part(segments, "docs", "id string, length int"), segments)
-        dead = cut(old.join(ids, "id", "left_semi").select("id", "length"))
-        gone, dead_text, dead_total = dead.agg(F.count("*"), F.count("length"), F.coalesce(F.sum("length"), F.lit(0))).first()
-        if not n and not gone:
-            return
-        dead.select("id").write.mode("overwrite").parquet(f"{self.path}/segment={number}/gone")
-        self._commit([*segments, dict(segment=number, buckets=self._buckets(total), n=n, n_text=n_text, total=total, dead=gone, dead_text=dead_text, dead_total=dead_total, gone=gone)])
-        if len(segments) + 1 > SEGMENTS:
-            self.compact()
+        dead = cut(self._docs(segments).join(ids, "id", "left_semi"))
+        new |= self._take_out(new["segment"], dead)
+        if new["n"] or new["dead"]:
+            self._commit([*segments, new])
+            if len(segments) + 1 > SEGMENTS:
+                self.compact()
+
+    def _take_out(self, number: int, dead: DataFrame) -> dict:
+        """Writes what a segment takes out of earlier ones, and its figures."""
+        n, n_text, total = dead.agg(F.count("*"), F.count("length"), F.coalesce(F.sum("length"), F.lit(0))).first()
+        if n:
+            dead.select(F.col("segment").alias("of"), "shard", "place").write.mode("overwrite").parquet(f"{self.path}/segment={number}/gone")
+        return dict(dead=n, dead_text=n_text, dead_total=total)
 
     def compact(self, whole: bool = False) -> None:
         """Merges the newest segments of like size, or all."""
         segments = self._manifest()
         first = len(segments) - 1
-        while first > 0 and (whole or segments[first - 1]["n"] <= TIER * sum(s["n"] + s["gone"] for s in segments[first:])):
+        while first > 0 and (whole or segments[first - 1]["n"] <= TIER * sum(s["n"] + s["dead"] for s in segments[first:])):
             first -= 1
         kept, merged = segments[: max(first, 0)], segments[max(first, 0) :]
-        if not merged or len(merged) == 1 and not (whole and merged[0]["gone"]):
+        if len(merged) < 2:
             return
-        number = segments[-1]["segment"] + 1
-        self._live(self._part(merged, "docs", "id string, length int"), merged).select("id", "length").write.mode("overwrite").parquet(f"{self.path}/segment={number}/docs")
-        earlier = self._live(self._part(kept, "docs", "id string, length int"), kept)  # what the merged segments take out of those before them
-        dead = cut(earlier.join(self._gone(merged), "id", "left_semi").select("id", "length")) if kept else None
-        gone, dead_text, dead_total = dead.agg(F.count("*"), F.count("length"), F.coalesce(F.sum("length"), F.lit(0))).first() if kept else (0, 0, 0)
-        if gone:
-            dead.select("id").write.mode("overwrite").parquet(f"{self.path}/segment={number}/gone")
-        new = self.spark.read.schema("id string, length int").parquet(f"{self.path}/segment={number}/docs")
-        n, n_text, total = new.agg(F.count("*"), F.count("length"), F.coalesce(F.sum("length"), F.lit(0))).first()
-        postings = self._live(exploded(self._blocks(merged)), merged)
-        self._write(number, self._buckets(total), postings.select("id", "length", "term", "tf"))
-        self._commit([*kept, dict(segment=number, buckets=self._buckets(total), n=n, n_text=n_text, total=total, dead=gone, dead_text=dead_text, dead_total=dead_total, gone=gone)])
+        number, names = self._number(segments), [s["segment"] for s in merged]
+        live = self._live(self._docs(merged), segments)
+        wide = F.floor(F.log2(1.0 + F.coalesce("length", F.lit(0))) * CLASSES).cast("int")
+        sizes = live.groupBy(wide.alias("wide")).count().collect()  # a row for each class of lengths
+        parts = F.create_map(*(F.lit(x) for w, n in sizes for x in (w, math.ceil(n / self.block)))) if sizes else F.create_map(F.lit(0), F.lit(1))
+        dealt = live.withColumn("new", F.concat_ws("-", wide, F.pmod(F.xxhash64("id"), parts[wide])))
+        shards = dealt.groupBy("new").agg(F.array_sort(F.collect_list(F.struct("id", "length", *WHERE))).alias("d"))
+        shards = cut(shards)
+        moved = shards.select("new", F.posexplode("d").alias("to", "d")).select("new", "to", *(F.col(f"d.{c}").alias(c) for c in WHERE))
+        postings = self._postings(self._rows(merged).where("bucket >= 0")).join(moved, WHERE)
+        buckets = max(s["buckets"] for s in merged)
+        bucket = F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(buckets)).cast("int")
+        p = F.array_sort(F.collect_list(F.struct(F.col("to").alias("place"), "tf", "length")))
+        blocks = postings.groupBy(bucket.alias("bucket"), "term", F.col("new").alias("shard")).agg(F.count("*").cast("int").alias("n"), F.max("tf").alias("most"), F.min("length").alias("least"), p.alias("p"))
+        blocks = blocks.select("bucket", "term", "shard", "n", "most", "least", F.col("p.place").alias("places"), F.col("p.tf").alias("tfs"), F.col("p.length").alias("lengths"), F.lit(None).cast("array<string>").alias("ids"))
+        none = lambda kind: F.lit(None).cast(kind)
+        listed = shards.select(
+            F.lit(-1).alias("bucket"), none("string").alias("term"), F.col("new").alias("shard"), *(none("int").alias(c) for c in ("n", "most", "least")), *(none("array<int>").alias(c) for c in ("places", "tfs")),
+            F.col("d.length").alias("lengths"), F.col("d.id").alias("ids"),
+        )
+        self._write(number, blocks.unionByName(listed))
+        n, n_text, total = shards.select(F.explode("d").alias("d")).agg(F.count("*"), F.count("d.length"), F.coalesce(F.sum("d.length"), F.lit(0))).first()
+        gone = [self.spark.read.schema(GONE).parquet(f"{self.path}/segment={s['segment']}/gone") for s in merged if s["dead"]]
+        earlier = self._all(gone, GONE).where(~F.col("of").isin(*names)).withColumnRenamed("of", "segment")  # what they take out of those that stay
+        dead = cut(self._docs([s | dict(dead=0) for s in kept]).join(earlier, WHERE, "left_semi"))
+        self._commit([*kept, dict(segment=number, buckets=buckets, n=n, n_text=n_text, total=total) | self._take_out(number, dead)])
 
     def heal(self, docs: DataFrame, doc_id: str = "id", text: str = "text") -> tuple[int, int]:
         """Makes the index hold the documents of `docs`: adds what lacks and removes what is too much; how many of each."""
@@ -192,33 +259,33 @@ class KeywordIndex:
 
     # Questions
 
-    def _blocks(self, segments: list[dict], terms: Sequence[str] | None = None) -> DataFrame:
-        """The blocks of some terms, or all: only the folders of their hashes are read."""
-        schema = "bucket int, term string, shard string, n int, most int, least int, ids array<string>, tfs array<int>, lengths array<int>"
-        some = [s for s in segments if s["n"]]
-        if terms is None:
-            return self._part(some, "postings", schema)
+    def _blocks(self, segments: list[dict], terms: Sequence[str]) -> DataFrame:
+        """The blocks of some terms: only the folders of their hashes are read."""
         found = []
-        for buckets in {s["buckets"] for s in some}:
-            asked = self.spark.range(1).select(*(F.pmod(F.xxhash64(F.lit(t)), F.lit(buckets)).cast("int") for t in terms)).first()
-            rows = self._part([s for s in some if s["buckets"] == buckets], "postings", schema)
-            found.append(rows.where(F.col("bucket").isin(*set(asked)) & F.col("term").isin(*terms)))
-        return self._all(found, schema)
+        for buckets in {s["buckets"] for s in segments if s["n"]}:
+            asked = {crc32(t.encode()) % buckets for t in terms}
+            rows = self._rows([s for s in segments if s["buckets"] == buckets and s["n"]])
+            found.append(rows.where(F.col("bucket").isin(*asked) & F.col("term").isin(*terms)))
+        return self._all(found, f"{ROWS}, segment long")
+
+    def _postings(self, blocks: DataFrame, *others: str) -> DataFrame:
+        """segment, shard, place, term, tf, length and other columns of every posting of some blocks."""
+        each = blocks.select("segment", "shard", "term", *others, F.explode(F.arrays_zip("places", "tfs", "lengths")).alias("p"))
+        return each.select("segment", "shard", "term", *others, F.col("p.places").alias("place"), F.col("p.tfs").alias("tf"), F.col("p.lengths").alias("length"))
 
     def search(self, query: str, limit: int, compat: bool = False) -> DataFrame:
         """id and score of the best `limit` documents that have a term of the query, as `keyword.bm25` scores them."""
         terms = query_terms(query, compat)
         distinct = list(dict.fromkeys(terms))
         segments = self._manifest()
-        none = self.spark.range(0).select(F.lit("").alias("id"), F.lit(0.0).alias("score"))
         if not terms or not segments or limit < 1:
-            return none
-        n, mean = self._figures(segments)
+            return self.spark.range(0).select(F.lit("").alias("id"), F.lit(0.0).alias("score"))
+        n, n_text, total = (sum(s[c] - s[d] for s in segments) for c, d in (("n", "dead"), ("n_text", "dead_text"), ("total", "dead_total")))
+        mean = total / n_text if n_text else 0.0
         blocks = self._blocks(segments, distinct)
         heads = blocks.groupBy("term").agg(F.sum("n").alias("n"), F.count("*").alias("blocks"))
-        if any(s["gone"] for s in segments):
-            live = self._live(exploded(blocks), segments).groupBy("term").agg(F.count("*").alias("n"))
-            heads = heads.drop("n").join(live, "term")
+        if any(s["dead"] for s in segments):
+            heads = heads.drop("n").join(self._live(self._postings(blocks), segments).groupBy("term").agg(F.count("*").alias("n")), "term")
         heads = heads.select("term", "n", "blocks").collect()  # a row for each term of the query
         having = {r["term"]: r["n"] for r in heads}
         idf = [max(math.log((n - having.get(t, 0) + 0.5) / (having.get(t, 0) + 0.5)), 0.0) or LEAST_IDF for t in distinct]
@@ -232,24 +299,19 @@ class KeywordIndex:
         asked = blocks.withColumn("k", place)
 
         def scored(rows: DataFrame) -> DataFrame:
-            """The best of some blocks; a document's parts add up in the order of the query's terms."""
-            each = self._live(exploded(rows, "k"), segments).select("id", F.struct("k", part(F.col("tf"), F.col("length")).alias("part")).alias("p"))
+            """WHERE and score of the documents of some blocks; a document's parts add up in the order of the query's terms."""
+            each = self._live(self._postings(rows, "k"), segments).select(*WHERE, F.struct("k", part(F.col("tf"), F.col("length")).alias("part")).alias("p"))
             parts = F.transform(F.array_sort(F.collect_list("p")), lambda p: p["part"])
-            found = each.groupBy("id").agg(F.aggregate(parts, F.lit(0.0), lambda s, x: s + x).alias("score"))
-            return found.orderBy(F.desc("score"), "id").limit(limit)
-
-        most = sum(r["blocks"] for r in heads)  # shards at most
-        if most <= 2 * PROBED:
-            return scored(asked)
-        bounds = asked.groupBy("segment", "shard").agg(F.sum(part(F.col("most"), F.col("least"))).alias("bound"))
-        first = bounds.orderBy(F.desc("bound"), "segment", "shard").limit(PROBED)
-        probed = scored(asked.join(F.broadcast(first.select("segment", "shard")), ["segment", "shard"], "left_semi")).collect()  # `limit` rows at most
-        floor = probed[-1]["score"] if len(probed) == limit else 0.0
-        worth = bounds.where(F.col("bound") * (1 + ROUNDING) >= floor).select("segment", "shard")
-        return scored(asked.join(small(worth, most), ["segment", "shard"], "left_semi"))
-
-
-def exploded(blocks: DataFrame, *others: str) -> DataFrame:
-    """segment, term, id, tf and length of every posting of some blocks, and other columns."""
-    each = F.explode(F.arrays_zip("ids", "tfs", "lengths")).alias("p")
-    return blocks.select("segment", "term", *others, each).select("segment", "term", *others, F.col("p.ids").alias("id"), F.col("p.tfs").alias("tf"), F.col("p.lengths").alias("length"))
+            return each.groupBy(*WHERE).agg(F.aggregate(parts, F.lit(0.0), lambda s, x: s + x).alias("score"))
+
+        most, floor = sum(r["blocks"] for r in heads), 0.0  # shards at most
+        if most > 2 * PROBED:
+            bounds = asked.groupBy("segment", "shard").agg(F.sum(part(F.col("most"), F.col("least"))).alias("bound"))
+            first = bounds.orderBy(F.desc("bound"), "segment", "shard").limit(PROBED).select("segment", "shard")
+            probed = scored(asked.join(F.broadcast(first), ["segment", "shard"], "left_semi")).orderBy(F.desc("score")).limit(limit).collect()
+            floor = probed[-1]["score"] if len(probed) == limit else 0.0
+            worth = bounds.where(F.col("bound") * (1 + ROUNDING) >= floor).select("segment", "shard")
+            asked = asked.join(small(worth, most), ["segment", "shard"], "left_semi")
+        good = scored(asked).where(F.col("score") >= floor)
+        shards = self._rows(segments).where("bucket = -1").select("segment", "shard", "ids")
+        return good.join(shards, ["segment", "shard"]).select(F.get("ids", F.col("place")).alias("id"), "score").orderBy(F.desc("score"), "id").limit(limit)
