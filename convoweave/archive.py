@@ -9,6 +9,7 @@ fails on the way is made again, from the same logs or snapshot.
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -29,6 +30,7 @@ TABLES = {
     "turns": "id string, session_id string, uuid string, parent_uuid string, timestamp string, project string, question string, answer string, actions string, source string, source_file string, queued boolean, parser_version int, summary string, tags array<string>",
     "chunks": "chunk_key string, turn_id string, idx int, text string",
     "vectors": "chunk_key string, embed_hash string, embedding array<float>",
+    "quarantine": "path string, length long, modified timestamp, cause string, tries int",
     "cursors": "path string, offset long, hold_offset long",
     "hidden": "turn_id string, hidden_at double",
     "titles": "session_id string, title string, at double",
@@ -83,8 +85,13 @@ class Archive:
         sub = F.col("path").rlike(SUBAGENTS)
         files = files.where(sub if adapter == "subagent" else ~sub)
         cursors = self.table("cursors")
-        new = incremental.changed(files, cursors)
-        read = cut(ranged.lines(new, F.col("start")) if ranged.readable(root) else tr.lines(new, F.col("start")))
+        quarantine = self.table("quarantine")
+        new = incremental.changed(files, cursors).join(quarantine.select("path", "length", "modified"), ["path", "length", "modified"], "left_anti")
+        if ranged.readable(root):
+            read = cut(ranged.lines(new, F.col("start"), failures=True))
+            read = self.isolated(new, read, quarantine)
+        else:
+            read = cut(tr.lines(new, F.col("start")))
         found = cut(tr.turns(read_records(tr.sound(read), skip_automation=skip_automation), source))
         done, moved = incremental.advanced(new, read, found, idle)
         done = done.withColumn("actions", F.to_json("actions")).withColumn("parser_version", F.lit(PARSER_VERSION)).withColumn("arrival", F.col("offset"))
@@ -95,6 +102,17 @@ class Archive:
         self.save("cursors", cursors.join(moved, "path", "left_anti").unionByName(moved))
         return n
 
+    def isolated(self, files: DataFrame, read: DataFrame, quarantine: DataFrame) -> DataFrame:
+        """`read` without the files that could not be read whole. These go into quarantine, with the cause, until they change; their
+        cursors stay, so nothing of them is lost. A file that has been read leaves it."""
+        broken = cut(read.where("error IS NOT NULL").groupBy(F.col("file").alias("path")).agg(F.min("error").alias("cause")))
+        n, before = broken.count(), quarantine.count()
+        if n or before:
+            now = files.select("path", "length", "modified").join(broken, "path").join(quarantine.select("path", "tries"), "path", "left")
+            now = now.select("path", "length", "modified", "cause", (F.coalesce("tries", F.lit(0)) + 1).cast("int").alias("tries"))
+            self.save("quarantine", cut(quarantine.join(files.select("path"), "path", "left_anti").select(*now.columns).unionByName(now)))
+        return read.drop("error").join(broken.select(F.col("path").alias("file")), "file", "left_anti") if n else read.drop("error")
+
     def take_in(self, fresh: DataFrame, strict: bool = False, given: DataFrame | None = None) -> int:
         """Upserts turns, and makes their chunks and vectors; the number of turns that came in.
 
@@ -160,11 +178,14 @@ class Archive:
         told = around.select("id", "session_id", "timestamp", "project", "question", "answer", source_or_default(F.col("source")).alias("source"), "summary", "tags", "thread")
         return F.broadcast(hits.withColumnRenamed("sources", "found_by")).join(told, "id").orderBy("place")
 
-    def related(self, turn_id: str, k: int = 5) -> DataFrame:
-        """Turns of other sessions that are like a turn."""
+    def related(self, target: str, k: int = 5) -> DataFrame:
+        """Turns of other sessions that are like a turn, or like the first turns of the session whose id begins with `target`."""
         turns = self._searchable()
-        row = turns.where(F.col("id") == turn_id).select("session_id", F.concat_ws("\n", "question", "answer").alias("q")).first()
+        row = turns.where(F.col("id") == target).select("session_id", F.concat_ws("\n", "question", "answer").alias("q")).first()
         if row is None:
+            some = turns.where(F.startswith("session_id", F.lit(target)))
+            row = finding.example_texts(some).orderBy("session_id").withColumnRenamed("example", "q").first()
+        if row is None or not row["q"]:
             return turns.select("id").limit(0)
         hits = finding.search(turns, self.table("vectors"), row["q"], query_vector(row["q"], self.embedder), 4 * k, index=self.keyword)
         return finding.related(hits, turns, row["session_id"], k)
@@ -200,6 +221,19 @@ class Archive:
         merged = merge.last_writer(old.withColumnRenamed("title", "value"), new.withColumnRenamed("title", "value"), "session_id", at)
         self.save("titles", cut(merged.withColumnRenamed("value", "title")))
 
+    def create_folder(self, name: str, parent_id: int | None = None, at: float | None = None) -> int:
+        """A new folder; its id."""
+        made = cut(folders.created(self.table("folders"), name, parent_id, uuid.uuid4().hex[:16], time.time() if at is None else at))
+        self.save("folders", made)
+        return made.agg(F.max("id")).first()[0]
+
+    def move_folder(self, folder_id: int, into: int | None, before: int | None = None, at: float | None = None) -> bool:
+        """Whether the folder may lie there; if so, it does, right before a sibling or behind all."""
+        moved = folders.moved(self.table("folders"), folder_id, into, before, time.time() if at is None else at)
+        if moved is not None:
+            self.save("folders", cut(moved))
+        return moved is not None
+
     def delete(self, turn_ids: Sequence[str]) -> None:
         gone = self.spark.createDataFrame([(t,) for t in turn_ids], "id string")
         touched = self.buckets["turns"].touched(gone)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from convoweave.functions.ordering import running_sum
 from convoweave.functions.text import filled
 from convoweave.operators.sessions import headline
 from convoweave.session import cut
@@ -80,13 +81,18 @@ def flattened(folders: DataFrame) -> DataFrame:
     nth = placed.join(known, F.col("parent_id") == F.col("_known"), "left").select(F.col("id").alias("of"), F.struct(orphan, F.col("_nth"), F.col("id")).alias("key"))
     each = paths(folders).select("id", "depth", F.posexplode("path").alias("level", "of")).join(nth, "of")
     keys = each.groupBy("id", "depth").agg(F.transform(F.array_sort(F.collect_list(F.struct("level", "key"))), lambda x: x["key"]).alias("keys"))
-    return keys.select("id", "depth", F.row_number().over(Window.orderBy("keys")).alias("place"))
+    return placed_in(keys, [F.col("keys")], "place").select("id", "depth", "place")
+
+
+def placed_in(rows: DataFrame, order: list, name: str) -> DataFrame:
+    """`rows` with their place, from 1, in an order over all of them, by one distributed sort."""
+    return running_sum(rows.withColumn("_one", F.lit(1)), order, "_one", name).drop("_one")
 
 
 def reordered(rows: DataFrame, given: DataFrame) -> DataFrame:
     """`rows` (id, position) with dense positions from 0: the ids of `given` (id, given) first, the rest as they were."""
-    order = Window.orderBy(F.col("given").asc_nulls_last(), F.col("position").asc_nulls_last(), F.col("id"))
-    return rows.join(given, "id", "left").select("id", (F.row_number().over(order) - 1).cast("double").alias("position"))
+    order = [F.col("given").asc_nulls_last(), F.col("position").asc_nulls_last(), F.col("id")]
+    return placed_in(rows.join(given, "id", "left"), order, "place").select("id", (F.col("place") - 1).cast("double").alias("position"))
 
 
 def moves(folders: DataFrame) -> DataFrame:
@@ -102,6 +108,34 @@ def may_move(folders: DataFrame, folder_id: int, into: int) -> bool:
     return paths(folders, folders.where(F.col("id") == folder_id)).where(F.col("id") == into).isEmpty()
 
 
+def created(folders: DataFrame, name: str, parent_id: int | None, uid: str, at: float) -> DataFrame:
+    """`folders` with a new one, without a position, whose id is the next."""
+    last = folders.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last"))
+    new = last.select((F.col("last") + 1).cast("long").alias("id"), F.lit(name).alias("name"), F.lit(parent_id).cast("long").alias("parent_id"), F.lit(None).cast("double").alias("position"))
+    return folders.unionByName(new.withColumn("uid", F.lit(uid)).withColumn("at", F.lit(at)), allowMissingColumns=True).select(*folders.columns)
+
+
+def moved(folders: DataFrame, folder_id: int, into: int | None, before: int | None = None, at: float | None = None) -> DataFrame | None:
+    """`folders` after one moved into another (None: the root), right before a sibling or behind all; None if it may not move there.
+
+    The folders of the new parent get positions from 1, by one distributed rank of them alone, and `at` as their time of change.
+    """
+    if into is not None and not may_move(folders, folder_id, into):
+        return None
+    there = F.col("parent_id").eqNullSafe(F.lit(into).cast("long")) & (F.col("id") != folder_id)
+    placed = placed_in(folders.where(there).select("id", "position", "name"), sibling_order(), "place").select("id", "place")
+    first = placed.agg(F.max(F.when(F.col("id") == F.lit(before).cast("long"), F.col("place"))).alias("found"), (F.coalesce(F.max("place"), F.lit(0)) + 1).alias("behind"))
+    row = first.select(F.coalesce("found", "behind").alias("_to")).first()
+    place = row["_to"]
+    rows = folders.join(placed, "id", "left")
+    mine = F.col("id") == folder_id
+    position = F.when(mine, F.lit(float(place))).when(F.col("place").isNotNull(), (F.col("place") + (F.col("place") >= place).cast("int")).cast("double")).otherwise(F.col("position"))
+    told = {"position": position, "parent_id": F.when(mine, F.lit(into).cast("long")).otherwise(F.col("parent_id"))}
+    if "at" in folders.columns and at is not None:
+        told["at"] = F.when(mine | F.col("place").isNotNull(), F.lit(at)).otherwise(F.col("at"))
+    return rows.select(*(told.get(c, F.col(c)).alias(c) for c in folders.columns))
+
+
 def deleted(folders: DataFrame, items: DataFrame, folder_id: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """folders and items without a folder and all below it, and the tombstones (id) of what went."""
     gone = cut(paths(folders, folders.where(F.col("id") == folder_id)).select("id"))

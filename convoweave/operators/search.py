@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from convoweave.functions.text import question_key, source_or_default
+from convoweave.functions.text import question_key, source_or_default, strip
 from convoweave.functions.times import within
 from convoweave.functions.vectors import dot, int8, norm, normalised
 from convoweave.operators.keyword import bm25
@@ -194,6 +194,18 @@ def related(hits: DataFrame, turns: DataFrame, session_id: str, k: int) -> DataF
     return rows.orderBy("place").limit(min(k, 10))
 
 
+EXAMPLE_TURNS = 12
+
+
+def example_texts(turns: DataFrame, most: int = EXAMPLE_TURNS) -> DataFrame:
+    """session_id and example: the text that a search by a session's example asks, of the summaries (else questions) of its first turns."""
+    nth = F.row_number().over(Window.partitionBy("session_id").orderBy("timestamp", "id"))
+    said = F.coalesce(F.nullif("summary", F.lit("")), F.nullif("question", F.lit("")))
+    rows = turns.select("session_id", said.alias("said"), nth.alias("nth")).where((F.col("nth") <= most) & F.col("said").isNotNull())
+    told = rows.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("nth", "said"))).alias("t"))
+    return told.select("session_id", strip(F.array_join(F.col("t.said"), " ")).alias("example"))
+
+
 def in_cluster(hits: DataFrame, points: DataFrame, cluster: int) -> DataFrame:
     """`hits` on turns that have a point in a cluster of the map. points: cluster, turn_id."""
     return hits.join(points.where(F.col("cluster") == cluster).select(F.col("turn_id").alias("id")), "id", "left_semi")

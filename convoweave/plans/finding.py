@@ -303,6 +303,32 @@ def schema_fingerprint(spark, sf):
     return qu.fingerprint(lines(spark, sf).where(F.try_parse_json("line").isNotNull()))
 
 
+REPORT = """l AS (SELECT user_id % 10 AS source, user_id AS file, event_id AS e, event_id % 11 > 0 AND user_id % 13 <> 5 AS sound,
+  CASE WHEN event_id % 5 = 0 THEN 'session_meta' ELSE event_type END AS t FROM events),
+f AS (SELECT source, bool_or(sound) AS readable, bool_or(sound AND t = 'purchase') AS with_turns FROM l GROUP BY source, file)"""
+
+
+@query(
+    "schema_report",
+    sql(REPORT, """SELECT source, 'type' AS level, t AS name, count(*) AS n FROM l WHERE sound GROUP BY 1, 3
+UNION ALL SELECT source, 'payload', 'p' || (e % 3), count(*) FROM l WHERE sound GROUP BY 1, 3
+UNION ALL SELECT source, 'item', 'i', count(*) FROM l WHERE sound AND e % 2 = 0 GROUP BY 1
+UNION ALL SELECT source, 'version', 'v' || (e % 4), count(*) FROM l WHERE sound AND t = 'session_meta' GROUP BY 1, 3
+UNION ALL SELECT source, 'file', 'scanned', count(*) FROM f GROUP BY 1
+UNION ALL SELECT source, 'file', 'with_turns', count(*) FROM f WHERE with_turns GROUP BY 1
+UNION ALL SELECT source, 'file', 'without_turns', count(*) FROM f WHERE readable AND NOT with_turns GROUP BY 1
+UNION ALL SELECT source, 'file', 'unreadable', count(*) FROM f WHERE NOT readable GROUP BY 1"""),
+)
+def schema_report(spark, sf):
+    """Files of ten sources, with session records that tell a version and files without a sound line."""
+    e = F.col("event_id")
+    payload = F.struct(F.concat(F.lit("p"), e % 3).alias("type"), F.concat(F.lit("v"), e % 4).alias("cli_version"), F.struct(F.when(e % 2 == 0, "i").otherwise("").alias("type")).alias("item"))
+    line = F.to_json(F.struct(F.when(e % 5 == 0, "session_meta").otherwise(F.col("event_type")).alias("type"), payload.alias("payload")))
+    line = F.when((e % 11 == 0) | (F.col("user_id") % 13 == 5), F.concat(F.lit("{"), line)).otherwise(line)
+    rows = table(spark, sf, "events").select((F.col("user_id") % 10).alias("source"), F.col("user_id").alias("file"), line.alias("line"))
+    return qu.report(rows, qu.at("$.type") == "purchase")
+
+
 @query("corrupt_lines", "SELECT user_id AS file, count(*) AS bad_lines, min(event_id) AS first_offset FROM events WHERE event_id % 11 = 0 GROUP BY user_id")
 def corrupt_lines(spark, sf):
     return qu.corrupt(lines(spark, sf))

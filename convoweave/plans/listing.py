@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from convoweave.functions import text
-from convoweave.operators import chunking, folders as fo, sessions as se, turns as tu
+from convoweave.operators import chunking, folders as fo, search, sessions as se, turns as tu
 from convoweave.plans.model import FOLDERS, HIDDEN, ITEMS, TITLES, TURNS, folders, hidden, items, sql, titles, turns
 from convoweave.session import table
 from convoweave.sources import archive_io
@@ -272,6 +272,27 @@ def folder_reorder(spark, sf):
     return fo.reordered(f.select("id", "position"), f.where("id % 3 = 0").select("id", (-F.col("id")).alias("given")))
 
 
+MOVED = """sib AS (SELECT id, row_number() OVER (ORDER BY position NULLS LAST, name, id) AS place FROM folders WHERE parent_id = 2 AND id <> 105),
+target AS (SELECT coalesce(max(place) FILTER (id = 118), count(*) + 1) AS t FROM sib)"""
+
+
+@query(
+    "folder_move",
+    sql(FOLDERS, MOVED, """SELECT f.id, name, CASE WHEN f.id = 105 THEN 2 ELSE parent_id END AS parent_id,
+  CASE WHEN f.id = 105 THEN t WHEN place IS NOT NULL THEN place + (place >= t)::INT ELSE position END::DOUBLE AS position FROM folders f LEFT JOIN sib USING (id), target"""),
+)
+def folder_move(spark, sf):
+    return fo.moved(folders(spark, sf), 105, 2, before=118)
+
+
+EXAMPLES = """said AS (SELECT session_id, timestamp, id, coalesce(nullif(summary, ''), nullif(question, '')) AS said, row_number() OVER (PARTITION BY session_id ORDER BY timestamp, id) AS nth FROM turns)"""
+
+
+@query("session_examples", sql(TURNS, EXAMPLES, "SELECT session_id, trim(string_agg(said, ' ' ORDER BY nth)) AS example FROM said WHERE nth <= 12 AND said IS NOT NULL GROUP BY session_id"))
+def session_examples(spark, sf):
+    return search.example_texts(turns(spark, sf))
+
+
 @query("folder_moves", sql(FOLDERS, "w AS (SELECT id, parent_id, lag(id) OVER o AS up, lead(id) OVER o AS down FROM folders WINDOW o AS (PARTITION BY parent_id ORDER BY position NULLS LAST, name, id))", "SELECT w.id, up, down, up AS indent_into, p.parent_id AS outdent_to FROM w LEFT JOIN folders p ON p.id = w.parent_id"))
 def folder_moves(spark, sf):
     return fo.moves(folders(spark, sf))

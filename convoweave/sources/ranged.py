@@ -85,15 +85,25 @@ def ranges(found: DataFrame, start: Column | None = None, size: int = RANGE) ->
     return each.select("path", "begin", F.least(F.col("begin") + size, F.col("length")).alias("end"), (F.col("begin") == F.col("start")).alias("first"))
 
 
-def lines(found: DataFrame, start: Column | None = None, size: int = RANGE) -> DataFrame:
-    """file, offset, end_offset and line, for the complete lines of `found` (path, length) that are not blank."""
+def lines(found: DataFrame, start: Column | None = None, size: int = RANGE, failures: bool = False) -> DataFrame:
+    """file, offset, end_offset and line, for the complete lines of `found` (path, length) that are not blank.
+
+    failures: with error, null but for a row without a line for each range that cannot be read; without, such a range fails.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
-                yield from batches_of(r["path"], r["begin"], r["end"], r["first"])
+                try:
+                    for read in batches_of(r["path"], r["begin"], r["end"], r["first"]):
+                        yield read.append_column("error", pa.nulls(read.num_rows, pa.string())) if failures else read
+                except OSError as e:
+                    if not failures:
+                        raise
+                    row = {"file": r["path"], "offset": r["begin"], "end_offset": None, "line": None, "error": f"{type(e).__name__}: {e}"[:500]}
+                    yield pa.RecordBatch.from_pylist([row], pa.schema([("file", pa.string()), ("offset", pa.int64()), ("end_offset", pa.int64()), ("line", pa.string()), ("error", pa.string())]))
 
     # Ranges are dealt one by one, however few files they come from; a number keeps adaptive execution from joining them again.
     cut = ranges(found, start, size)
     dealt = cut.repartition(max(1, min(cut.count(), TASKS)))
-    return dealt.mapInArrow(run, LINES)
+    return dealt.mapInArrow(run, f"{LINES}, error string" if failures else LINES)

@@ -2,10 +2,12 @@
 
 import json
 
+from pyspark.sql import functions as F
 from test_transcripts import CHAT, assistant, user, write
 
 from convoweave.__main__ import main
 from convoweave.archive import Archive
+from convoweave.sources import transcripts as tr
 
 
 def test_life_of_an_archive(spark, tmp_path, capsys):
@@ -83,3 +85,56 @@ def test_settings_between_devices(spark, tmp_path):
     before = {n: sorted(map(tuple, b.table(n).collect()), key=repr) for n in ("titles", "hidden", "folders", "items")}
     b.import_from(str(tmp_path / "snap"), now=10.0)
     assert before == {n: sorted(map(tuple, b.table(n).collect()), key=repr) for n in before}
+
+
+def test_a_broken_file_stops_nothing_and_is_tried_when_it_changes(spark, tmp_path, monkeypatch):
+    logs = tmp_path / "logs"
+    for k in range(3):
+        write(logs / f"s{k}.jsonl", [user(f"question number {k} about things", "u", sessionId=f"s{k}"), assistant({"type": "text", "text": f"a long enough answer {k}"}, sessionId=f"s{k}")])
+    (logs / "s1.jsonl").chmod(0o644)
+    target = logs / "s1.jsonl"
+    data = target.read_bytes()
+    a = Archive(spark, str(tmp_path / "a"))
+    real = tr.files
+
+    def listed(session, root, pattern="*.jsonl"):  # a file that is gone when the tasks come to it
+        found = real(session, root, pattern)
+        return found.withColumn("path", F.when(F.col("path").endswith("s1.jsonl"), F.concat("path", F.lit(".gone"))).otherwise(F.col("path")))
+
+    monkeypatch.setattr(tr, "files", listed)
+    assert a.index(str(logs), "claude-code", now=2e9) == 2
+    row = a.table("quarantine").first()
+    assert row["path"].endswith("s1.jsonl.gone") and row["tries"] == 1 and "FileNotFoundError" in row["cause"]
+    assert a.index(str(logs), "claude-code", now=2e9) == 0  # unchanged: not tried again
+    assert a.table("quarantine").first()["tries"] == 1
+    target.write_bytes(data + data[:0] + b"{}\n")
+    assert a.index(str(logs), "claude-code", now=2e9) == 0
+    assert a.table("quarantine").first()["tries"] == 2
+    (logs / "s1.jsonl.gone").write_bytes(data)  # it can be read now
+    target.write_bytes(data + b"{}\n{}\n")
+    assert a.index(str(logs), "claude-code", now=2e9) == 1
+    assert a.table("quarantine").count() == 0 and a.table("turns").count() == 3
+
+
+def test_folders_are_made_and_moved(spark, tmp_path):
+    a = Archive(spark, str(tmp_path / "a"))
+    one, two = a.create_folder("one", at=1.0), a.create_folder("two", at=1.0)
+    sub, other = a.create_folder("sub", one, at=1.0), a.create_folder("other", two, at=1.0)
+    assert not a.move_folder(one, sub) and not a.move_folder(one, one)
+    assert a.move_folder(sub, two, before=other, at=2.0)
+    rows = {r["name"]: r for r in a.table("folders").collect()}
+    assert (rows["sub"]["parent_id"], rows["sub"]["position"], rows["other"]["position"], rows["other"]["at"]) == (two, 1.0, 2.0, 2.0)
+    assert rows["one"]["at"] == 1.0 and len({r["uid"] for r in rows.values()}) == 4
+    assert a.move_folder(other, None, at=3.0)
+    assert {r["name"]: r["position"] for r in a.table("folders").where("parent_id IS NULL").collect()} == {"one": 1.0, "two": 2.0, "other": 3.0}
+
+
+def test_related_to_the_example_of_a_session(spark, tmp_path):
+    logs = tmp_path / "logs"
+    for k, topic in enumerate(("sourdough bread with a starter", "sourdough bread and rye", "spark joins and shuffles")):
+        write(logs / f"s{k}.jsonl", [user(f"tell me about {topic}", "u", sessionId=f"s{k}"), assistant({"type": "text", "text": f"{topic}, explained"}, sessionId=f"s{k}")])
+    a = Archive(spark, str(tmp_path / "a"))
+    a.index(str(logs), "claude-code", now=2e9)
+    found = [r["id"] for r in a.related("s0").collect()]
+    assert found[0] == "s1:u" and "s0:u" not in found
+    assert a.related("nothing").count() == 0
