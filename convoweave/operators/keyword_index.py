@@ -34,10 +34,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from convoweave.functions.text import tokens
 from convoweave.operators.keyword import B, K1, LEAST_IDF, query_terms
-from convoweave.session import cut, last_version
+from convoweave.session import cut, last_version, settings
 
 BUCKETS, BYTES = 4, 64 << 20  # folders of terms at least, and bytes of text for each folder
-BLOCK, SHARDS, PENDING = 4096, 4, 4 << 20
+BLOCK, SHARDS, PENDING = 4096, 4, 1 << 20
+ROWS_AT_ONCE = 256  # documents that come to a task's Python at once
 CLASSES = 4  # of length, for each doubling
 PROBED = 8  # shards that give the floor
 SEGMENTS, TIER = 8, 2.0
@@ -171,17 +172,16 @@ class KeywordIndex:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part, held, words, rows, flushed = TaskContext.get().partitionId(), [], 0, 0, 0
             for b in batches:
-                for k in range(0, b.num_rows, 256):
-                    piece = b.slice(k, 256)
-                    held.append(piece)
-                    words, rows = words + len(piece.column(1).flatten()), rows + piece.num_rows
-                    if words >= PENDING or rows >= SHARDS * block:
-                        yield from blocks_of(held, buckets, block, f"{part}-{flushed}")
-                        held, words, rows, flushed = [], 0, 0, flushed + 1
+                held.append(b)
+                words, rows = words + len(b.column(1).flatten()), rows + b.num_rows
+                if words >= PENDING or rows >= SHARDS * block:
+                    yield from blocks_of(held, buckets, block, f"{part}-{flushed}")
+                    held, words, rows, flushed = [], 0, 0, flushed + 1
             if held:
                 yield from blocks_of(held, buckets, block, f"{part}-{flushed}")
 
-        self._write(number, given.select("id", tokens(F.col("text")).alias("words")).mapInArrow(run, ROWS))
+        with settings(self.spark, spark__sql__execution__arrow__maxRecordsPerBatch=str(ROWS_AT_ONCE)):
+            self._write(number, given.select("id", tokens(F.col("text")).alias("words")).mapInArrow(run, ROWS))
         mine = self._docs([dict(segment=number, n=n, dead=0)])
         told, ids, n_text, total = mine.agg(F.count("*"), F.count_distinct("id"), F.count("length"), F.coalesce(F.sum("length"), F.lit(0))).first()
         if ids < told:
