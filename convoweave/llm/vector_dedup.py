@@ -5,7 +5,8 @@ random projections of the normalised vector, quantised with WIDTH, so vectors at
 share all of them. Buckets of one class, and of the classes of which another bucket consists, are dropped before any
 vector moves; the classes of the other buckets meet with their vectors, and every pair's cosine is computed in double precision. A pair that shares several buckets counts in the
 first table that both share, so links need no removal of doubles and no list of pairs: tasks give sums of links and a
-star for each tree of a spanning forest.
+star for each tree of a spanning forest. With a vector go its buckets that others share, not all of its hashes, and
+its components in single precision where that holds them exactly.
 
 Buckets of over TILE classes are dealt over parts by hash, and each pair of parts meets in a cell of its own; nothing is
 capped. At cosine 0.95 a pair shares a bucket with probability 0.995 (22 hashes, width 6 times the distance at the
@@ -30,6 +31,7 @@ from convoweave.session import cut, table
 
 THRESHOLD = 0.95
 TABLES, HASHES, WIDTH = 120, 22, 6.0
+SINGLE, DOUBLE = b"s", b"d"
 TILE = 512
 SEED = 20240229
 
@@ -49,12 +51,12 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 def digests(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
-    """vec_id, digest (null for vectors that link with nothing) and vec, the float64 components as bytes."""
+    """vec_id, digest (null for vectors that link with nothing) and vec, the components as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 2048):
             found = [sound(v) for v in b.column(1).to_pylist()]
-            raw = [None if x is None else (x + 0.0).tobytes() for x in found]
+            raw = [None if x is None else packed(x + 0.0) for x in found]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([r and hashlib.blake2b(r, digest_size=16).digest() for r in raw], pa.binary()), pa.array(raw, pa.binary())], ["vec_id", "digest", "vec"]
             )
@@ -63,14 +65,14 @@ def digests(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
 
 
 def signed(classes: DataFrame, threshold: float, tables: int, hashes: int, width: float) -> DataFrame:
-    """`classes` (id, n, vec) with keys: their bucket in each table."""
+    """id of `classes` (id, vec), and keys: their bucket in each table."""
     quantum = width * np.sqrt(2 - 2 * threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for b in slices(batches, 512):
             keys: list = [None] * b.num_rows
-            vectors = [np.frombuffer(v) for v in b.column("vec").to_pylist()]
+            vectors = [numbers(v) for v in b.column("vec").to_pylist()]
             for d in {len(v) for v in vectors}:
                 if d not in known:
                     rng = np.random.default_rng([SEED, d])
@@ -82,9 +84,9 @@ def signed(classes: DataFrame, threshold: float, tables: int, hashes: int, width
                 sums ^= sums >> np.uint64(29)
                 for k, row in zip(rows, (sums * np.uint64(0x9E3779B97F4A7C15)).view(np.int64), strict=True):
                     keys[k] = row
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("n"), b.column("vec"), pa.array(keys, pa.list_(pa.int64()))], ["id", "n", "vec", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(keys, pa.list_(pa.int64()))], ["id", "keys"])
 
-    return classes.select("id", "n", "vec").mapInArrow(run, "id long, n long, vec binary, keys array<long>")
+    return classes.select("id", "vec").mapInArrow(run, "id long, keys array<long>")
 
 
 def meet(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
@@ -104,17 +106,19 @@ def meet(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.Rec
 def compared(b: pa.RecordBatch, starts: np.ndarray, threshold: float) -> Iterator[pa.RecordBatch]:
     """The cells of `b` between `starts`; vectors of other lengths whose hashes happen to be equal are told apart."""
     part, first, last, at, ids, n = (b.column(k).to_numpy(zero_copy_only=False) for k in ("part", "a", "b", "at", "id", "n"))
-    vec, keys = b.column("vec"), b.column("keys")
+    vec, keys, tables = b.column("vec"), b.column("buckets"), b.column("tables")
     out_a, out_b, out_n = [], [], []
     for s, e in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
         raw = vec.slice(s, e - s).to_pylist()
-        k = keys.slice(s, e - s).flatten().to_numpy().reshape(e - s, -1)
+        k, live = dense(keys.slice(s, e - s), tables.slice(s, e - s))
+        raw = same_precision(raw)
         for size in sorted({len(r) for r in raw}):
             here = np.array([j for j, r in enumerate(raw) if len(r) == size])
             if len(here) < 2:
                 continue
-            x = unit(np.frombuffer(b"".join(raw[j] for j in here)).reshape(len(here), -1))
-            found = cell_links(x, k[here], part[s + here], first[s], last[s], at[s], ids[s + here], n[s + here], threshold)
+            kind = np.float32 if raw[here[0]][:1] == SINGLE else np.float64
+            x = unit(np.frombuffer(b"".join(raw[j][1:] for j in here), kind).reshape(len(here), -1).astype(np.float64))
+            found = cell_links(x, k[here], live[here], part[s + here], first[s], last[s], at[s], ids[s + here], n[s + here], threshold)
             for out, new in zip((out_a, out_b, out_n), found, strict=True):
                 out += new
     if out_a:
@@ -122,8 +126,36 @@ def compared(b: pa.RecordBatch, starts: np.ndarray, threshold: float) -> Iterato
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(z, mask=count >= 0), pa.array(count, mask=count < 0)], ["a", "b", "links"])
 
 
+def dense(buckets: pa.ListArray, tables: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """By row and table the bucket, and whether it is a shared one."""
+    at, bucket = tables.flatten().to_numpy(), buckets.flatten().to_numpy()
+    row = np.repeat(np.arange(len(tables)), tables.value_lengths().to_numpy())
+    k = np.zeros((len(tables), int(at.max()) + 1), np.int64)
+    live = np.zeros(k.shape, bool)
+    k[row, at], live[row, at] = bucket, True
+    return k, live
+
+
+def packed(x: np.ndarray) -> bytes:
+    """The components in single precision if it holds them exactly, else in double; the first byte says which."""
+    with np.errstate(over="ignore"):
+        single = x.astype(np.float32)
+    return SINGLE + single.tobytes() if (single == x).all() else DOUBLE + x.tobytes()
+
+
+def same_precision(raw: list[bytes]) -> list[bytes]:
+    """`raw` in double precision, if any vector is."""
+    if all(r[:1] == SINGLE for r in raw):
+        return raw
+    return [DOUBLE + np.frombuffer(r[1:], np.float32).astype(np.float64).tobytes() if r[:1] == SINGLE else r for r in raw]
+
+
+def numbers(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw[1:], np.float32 if raw[:1] == SINGLE else np.float64).astype(np.float64)
+
+
 def cell_links(
-    x: np.ndarray, k: np.ndarray, part: np.ndarray, first: int, last: int, at: int, ids: np.ndarray, n: np.ndarray, threshold: float
+    x: np.ndarray, k: np.ndarray, live: np.ndarray, part: np.ndarray, first: int, last: int, at: int, ids: np.ndarray, n: np.ndarray, threshold: float
 ) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
     """Of vectors of one length in a cell: ids with sums of links (other -1), and stars (sum -1)."""
     rows = np.flatnonzero(part == first)
@@ -136,7 +168,7 @@ def cell_links(
     counts = np.zeros((2, len(x)), np.int64)
     for c in range(0, len(i), 1 << 14):
         p, q = rows[i[c : c + (1 << 14)]], columns[j[c : c + (1 << 14)]]
-        here = (k[p] == k[q]).argmax(axis=1) == at
+        here = ((k[p] == k[q]) & live[p] & live[q]).argmax(axis=1) == at
         np.add.at(counts[0], p[here], n[q[here]])
         np.add.at(counts[1], q[here], n[p[here]])
     total = counts[0] if first == last else counts[0] + counts[1]
@@ -167,9 +199,12 @@ def near_vectors(
     shared = entries.groupBy("bucket").agg(F.count("*").alias("m"), F.min("at").alias("at"), *members).where("m > 1")
     first = F.min(F.struct("at", "bucket"))  # a pair counts in the first table that it shares, so of buckets with the same members the first does
     shared = cut(shared.groupBy("m", "_0", "_1").agg(first.alias("x")).select("x.bucket", "m"))
-    live = entries.join(shared, "bucket").withColumn("parts", F.ceil(F.col("m") / tile))
+    live = cut(entries.join(shared, "bucket"))
+    told = live.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", "bucket"))).alias("x")).select(F.col("id").alias("_id"), F.col("x.at").alias("tables"), F.col("x.bucket").alias("buckets"))
+    vectors_of = classes.select("id", "n", "vec").join(told, F.col("id") == F.col("_id")).drop("_id")  # a row a class, with its shared buckets
+    live = live.withColumn("parts", F.ceil(F.col("m") / tile))
     live = live.withColumn("part", F.pmod(F.xxhash64("id"), "parts")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    cells = live.select("bucket", "at", "part", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"), "id").join(marked, "id").where(F.element_at("keys", F.col("at") + 1) == F.col("bucket"))
+    cells = live.select("bucket", "at", "part", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"), "id").join(vectors_of, "id")
     met = cells.repartition("bucket", "a", "b").sortWithinPartitions("bucket", "a", "b").mapInArrow(lambda batches: meet(batches, threshold), "a long, b long, links long")
     met = cut(met)
     links = met.where("links IS NOT NULL").groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("links"))

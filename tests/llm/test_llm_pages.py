@@ -306,8 +306,8 @@ def test_lengths_that_collide_are_told_apart():
     rows = [(1, rng.normal(size=8)), (2, None), (3, rng.normal(size=4)), (4, None)]
     rows = [(1, rows[0][1]), (2, rows[0][1] * 1.001), (3, rows[2][1]), (4, rows[2][1] * 2)]
     batch = pa.RecordBatch.from_pylist(
-        [{"bucket": 5, "part": 0, "a": 0, "b": 0, "at": 0, "id": i, "n": 1, "vec": v.tobytes(), "keys": [5]} for i, v in rows],
-        pa.schema([*((k, pa.int64()) for k in ("bucket", "part", "a", "b", "at", "id", "n")), ("vec", pa.binary()), ("keys", pa.list_(pa.int64()))]),
+        [{"bucket": 5, "part": 0, "a": 0, "b": 0, "at": 0, "id": i, "n": 1, "vec": vd.packed(v), "buckets": [5], "tables": [0]} for i, v in rows],
+        pa.schema([*((k, pa.int64()) for k in ("bucket", "part", "a", "b", "at", "id", "n")), ("vec", pa.binary()), ("buckets", pa.list_(pa.int64())), ("tables", pa.list_(pa.int32()))]),
     )
     found = [r for b in vd.meet(iter([batch]), 0.95) for r in b.to_pylist()]
     assert {(r["a"], r["links"]) for r in found if r["links"]} == {(1, 1), (2, 1), (3, 1), (4, 1)}
