@@ -15,7 +15,7 @@ score of the block follows. A search
 3. scores the shards that can reach the floor; the others are skipped unread. The result is exact.
 
 `compact` merges the newest segments of like size (each at most TIER times all newer ones), so that a document is rewritten a
-logarithmic number of times; that drops what is gone. Postings are regrouped from blocks; no text is read again.
+logarithmic number of times; that drops what is gone. Small shards are put together; blocks move as they are, and no text is read again.
 
 Identifiers are strings, not null, and distinct in one change (else the change fails). A null text counts as a document without a length.
 """
@@ -30,8 +30,9 @@ from zlib import crc32
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from convoweave.functions.ordering import running_sum
 from convoweave.functions.text import tokens
 from convoweave.operators.keyword import B, K1, LEAST_IDF, query_terms
 from convoweave.session import cut, last_version, settings
@@ -39,7 +40,6 @@ from convoweave.session import cut, last_version, settings
 BUCKETS, BYTES = 4, 64 << 20  # folders of terms at least, and bytes of text for each folder
 BLOCK, SHARDS, PENDING = 4096, 4, 1 << 20
 ROWS_AT_ONCE = 256  # documents that come to a task's Python at once
-CLASSES = 4  # of length, for each doubling
 PROBED = 8  # shards that give the floor
 SEGMENTS, TIER = 8, 2.0
 BROADCAST_ROWS = 500_000
@@ -219,32 +219,65 @@ class KeywordIndex:
         if len(merged) < 2:
             return
         number, names = self._number(segments), [s["segment"] for s in merged]
-        live = self._live(self._docs(merged), segments)
-        wide = F.floor(F.log2(1.0 + F.coalesce("length", F.lit(0))) * CLASSES).cast("int")
-        sizes = live.groupBy(wide.alias("wide")).count().collect()  # a row for each class of lengths
-        parts = F.create_map(*(F.lit(x) for w, n in sizes for x in (w, math.ceil(n / self.block)))) if sizes else F.create_map(F.lit(0), F.lit(1))
-        dealt = live.withColumn("new", F.concat_ws("-", wide, F.pmod(F.xxhash64("id"), parts[wide])))
-        shards = dealt.groupBy("new").agg(F.array_sort(F.collect_list(F.struct("id", "length", *WHERE))).alias("d"))
-        shards = cut(shards)
-        moved = shards.select("new", F.posexplode("d").alias("to", "d")).select("new", "to", *(F.col(f"d.{c}").alias(c) for c in WHERE))
-        postings = self._postings(self._rows(merged).where("bucket >= 0")).join(moved, WHERE)
+        rows, shards = self._rows(merged), self._merged_shards(segments, merged)
+        n, n_text, total, docs = shards.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum("with_text"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0)), F.coalesce(F.sum(F.size("to")), F.lit(0))).first()
+        moves = small(shards.select("segment", "shard", "new", "start", "to"), docs)
         buckets = max(s["buckets"] for s in merged)
         bucket = F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(buckets)).cast("int")
-        p = F.array_sort(F.collect_list(F.struct(F.col("to").alias("place"), "tf", "length")))
-        blocks = postings.groupBy(bucket.alias("bucket"), "term", F.col("new").alias("shard")).agg(F.count("*").cast("int").alias("n"), F.max("tf").alias("most"), F.min("length").alias("least"), p.alias("p"))
-        blocks = blocks.select("bucket", "term", "shard", "n", "most", "least", F.col("p.place").alias("places"), F.col("p.tf").alias("tfs"), F.col("p.length").alias("lengths"), F.lit(None).cast("array<string>").alias("ids"))
+        kept_ones = F.filter(F.arrays_zip("places", "tfs", "lengths"), lambda p: F.get("to", p["places"]).isNotNull())
+        each = rows.where("bucket >= 0").join(moves, ["segment", "shard"]).select(bucket.alias("bucket"), "term", "new", "start", "to", kept_ones.alias("p")).where(F.size("p") > 0)
+        parts = F.struct(F.transform("p", lambda p: F.col("start") + F.get("to", p["places"])).alias("places"), F.col("p.tfs").alias("tfs"), F.col("p.lengths").alias("lengths"))
+        blocks = each.select("bucket", "term", "new", parts.alias("p")).groupBy("bucket", "term", "new").agg(F.collect_list("p").alias("p"))
+        lists = {c: F.flatten(F.col(f"p.{c}")) for c in ("places", "tfs", "lengths")}
         none = lambda kind: F.lit(None).cast(kind)
-        listed = shards.select(
-            F.lit(-1).alias("bucket"), none("string").alias("term"), F.col("new").alias("shard"), *(none("int").alias(c) for c in ("n", "most", "least")), *(none("array<int>").alias(c) for c in ("places", "tfs")),
-            F.col("d.length").alias("lengths"), F.col("d.id").alias("ids"),
+        blocks = blocks.select("bucket", "term", F.col("new").alias("shard"), *(v.alias(c) for c, v in lists.items()))
+        blocks = blocks.select("bucket", "term", "shard", F.size("places").alias("n"), F.array_max("tfs").alias("most"), F.array_min("lengths").alias("least"), "places", "tfs", "lengths", none("array<string>").alias("ids"))
+        listed = shards.where("size > 0").groupBy(F.col("new").alias("shard")).agg(F.array_sort(F.collect_list(F.struct("start", "lengths", "ids"))).alias("d"))
+        listed = listed.select(
+            F.lit(-1).alias("bucket"), none("string").alias("term"), "shard", *(none("int").alias(c) for c in ("n", "most", "least")), *(none("array<int>").alias(c) for c in ("places", "tfs")),
+            F.flatten("d.lengths").alias("lengths"), F.flatten("d.ids").alias("ids"),
         )
         self._write(number, blocks.unionByName(listed))
-        n, n_text, total = shards.select(F.explode("d").alias("d")).agg(F.count("*"), F.count("d.length"), F.coalesce(F.sum("d.length"), F.lit(0))).first()
         gone = [self.spark.read.schema(GONE).parquet(f"{self.path}/segment={s['segment']}/gone") for s in merged if s["dead"]]
         earlier = self._all(gone, GONE).where(~F.col("of").isin(*names)).withColumnRenamed("of", "segment")  # what they take out of those that stay
         dead = cut(self._docs([s | dict(dead=0) for s in kept]).join(earlier, WHERE, "left_semi"))
         self._commit([*kept, dict(segment=number, buckets=buckets, n=n, n_text=n_text, total=total) | self._take_out(number, dead)])
 
+    def _merged_shards(self, segments: list[dict], merged: list[dict]) -> DataFrame:
+        """The shards of `merged`: segment, shard, new (the shard that takes them in), start (their first place there), to (the place of
+        each document behind that, null if it no longer counts), and of those that count the ids, lengths, number and figures.
+
+        Shards go by their length, as many into a new one as fit into a block; they move as arrays, and no posting for itself.
+        """
+        columns = "segment long, shard string, to array<int>, ids array<string>, lengths array<int>, size long, with_text long, words long"
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                out = []
+                for r in b.to_pylist():
+                    gone = set(r["gone"] or ())
+                    alive = [k for k in range(len(r["ids"])) if k not in gone]
+                    to = [None] * len(r["ids"])
+                    for place, k in enumerate(alive):
+                        to[k] = place
+                    lengths = [r["lengths"][k] for k in alive]
+                    told = [x for x in lengths if x is not None]
+                    out.append({"segment": r["segment"], "shard": r["shard"], "to": to, "ids": [r["ids"][k] for k in alive], "lengths": lengths, "size": len(alive), "with_text": len(told), "words": sum(told)})
+                kinds = [pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.int32()), pa.int64(), pa.int64(), pa.int64()]
+                yield pa.RecordBatch.from_pylist(out, pa.schema(list(zip((c.split()[0] for c in columns.split(", ")), kinds, strict=True))))
+
+        parts = [self.spark.read.schema(GONE).parquet(f"{self.path}/segment={s['segment']}/gone") for s in segments if s["dead"]]
+        gone = self._all(parts, GONE).groupBy(F.col("of").alias("segment"), "shard").agg(F.collect_set("place").alias("gone"))
+        rows = self._rows(merged).where("bucket = -1").select("segment", "shard", "ids", "lengths").join(gone, ["segment", "shard"], "left")
+        with settings(self.spark, spark__sql__execution__arrow__maxRecordsPerBatch="16"):
+            found = cut(rows.mapInArrow(run, columns))
+        order = [F.coalesce(F.get("lengths", F.lit(0)), F.lit(0)), F.col("segment"), F.col("shard")]
+        placed = running_sum(found.select("segment", "shard", "lengths", "size"), order, "size", "total")
+        placed = placed.withColumn("before", F.col("total") - F.col("size")).withColumn("nth", F.floor(F.col("before") / self.block))
+        start = F.col("before") - F.min("before").over(Window.partitionBy("nth"))
+        places = placed.select("segment", "shard", F.concat(F.lit("m"), "nth").alias("new"), start.cast("int").alias("start"))
+        return cut(found.join(places, ["segment", "shard"]))
+
     def heal(self, docs: DataFrame, doc_id: str = "id", text: str = "text") -> tuple[int, int]:
         """Makes the index hold the documents of `docs`: adds what lacks and removes what is too much; how many of each."""
         ids = docs.select(F.col(doc_id).cast("string").alias("id"))
