@@ -17,6 +17,8 @@ import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import Column, DataFrame, functions as F
 
+from convoweave.session import cut
+
 RANGE, READ, ROWS = 16 << 20, 1 << 20, 4096
 TASKS = 100_000  # at most; beyond, a task reads several ranges
 SCHEMES = ("", "file", "s3", "s3a", "gs", "abfs", "abfss", "hdfs")
@@ -103,7 +105,8 @@ def lines(found: DataFrame, start: Column | None = None, size: int = RANGE, fail
                     row = {"file": r["path"], "offset": r["begin"], "end_offset": None, "line": None, "error": f"{type(e).__name__}: {e}"[:500]}
                     yield pa.RecordBatch.from_pylist([row], pa.schema([("file", pa.string()), ("offset", pa.int64()), ("end_offset", pa.int64()), ("line", pa.string()), ("error", pa.string())]))
 
-    # Ranges are dealt one by one, however few files they come from; a number keeps adaptive execution from joining them again.
-    cut = ranges(found, start, size)
-    dealt = cut.repartition(max(1, min(cut.count(), TASKS)))
+    # Ranges are dealt one by one, however few files they come from; a number keeps adaptive execution from joining them again. They are
+    # checkpointed, so that lines are taken to be as large as their files and not, after a shuffle, as their ranges: those would be broadcast.
+    asked = ranges(found, start, size)
+    dealt = cut(asked.repartition(max(1, min(asked.count(), TASKS))))
     return dealt.mapInArrow(run, f"{LINES}, error string" if failures else LINES)
