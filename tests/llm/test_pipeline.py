@@ -1,6 +1,8 @@
 """The pipeline on the driver tables and on planted documents."""
 
 import corpus_pipeline as cp
+from pyspark.sql import functions as F
+
 from convoweave.llm import exact_dedup, mixing, simhash
 
 SF = "/root/testdata/sf0.01"
@@ -57,3 +59,24 @@ def test_reruns_agree(spark):
     one, two = (sorted(map(tuple, cp.run(spark, "/root/testdata/sf0.001").collect())) for _ in range(2))
     assert one == two
     assert len(one) > 0
+
+
+def test_empty_tables(spark, tmp_path):
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert cp.run(spark, str(tmp_path)).count() == 0
+
+
+def test_columns_whose_names_clash(spark, tmp_path):
+    """Columns named like those that the stages make for themselves stay as they are."""
+    names = ("fp", "size", "target", "taken", "kept", "keep_id", "component_id", "source_size", "n", "part", "_row_digest")
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    for k, name in enumerate(names):
+        docs = docs.withColumn(name, F.concat(F.lit(f"{k}:"), "doc_id"))
+    for k, (name, stage) in enumerate(cp.STAGES[:-1]):
+        columns = docs.columns
+        stage(spark, docs, "/root/testdata/sf0.001").write.parquet(str(tmp_path / str(k)))
+        docs = spark.read.parquet(str(tmp_path / str(k)))
+        assert docs.columns == columns, name
+        assert docs.where(" OR ".join(f"`{c}` <> '{j}:' || doc_id" for j, c in enumerate(names))).count() == 0, name
+    assert docs.count() > 0
