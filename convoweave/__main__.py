@@ -1,4 +1,4 @@
-"""Command line: python -m convoweave ARCHIVE index ROOT ADAPTER | search TEXT | related ID | session ID | recent | sessions | stats | export DIR | import DIR | reconcile."""
+"""Command line: python -m convoweave ARCHIVE index ROOT ADAPTER | search TEXT | related ID | session ID | recent | sessions | stats | export DIR | import DIR | reconcile | map."""
 
 from __future__ import annotations
 
@@ -22,7 +22,7 @@ def main(arguments: list[str] | None = None) -> None:
     find.add_argument("-k", type=int, default=5)
     for name, argument in (("related", "id"), ("session", "id"), ("export", "dir"), ("import", "dir")):
         commands.add_parser(name).add_argument(argument)
-    for name in ("recent", "sessions", "stats", "reconcile"):
+    for name in ("recent", "sessions", "stats", "reconcile", "map"):
         commands.add_parser(name)
     a = parser.parse_args(arguments)
     archive = Archive(get_session(), a.archive)
@@ -34,6 +34,9 @@ def main(arguments: list[str] | None = None) -> None:
         archive.export(a.dir)
     elif a.command == "import":
         print(archive.import_from(a.dir))
+    elif a.command == "map":
+        archive.build_map()
+        archive.table("clusters").drop("centroid").orderBy("cluster").show(truncate=80)
     elif a.command == "reconcile":
         print(archive.reconcile())
     else:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from convoweave.functions.embedding import Embedder, embedded, hashed, query_vector
 from convoweave.functions.ordering import running_sum
 from convoweave.functions.text import embed_text, filled, keyword_text, source_or_default, worth_embedding
-from convoweave.operators import chunking, folders, merge, search as finding, sessions, turns as turn_ops
+from convoweave.operators import chunking, folders, merge, search as finding, semantic_map, sessions, turns as turn_ops
 from convoweave.operators.keyword_index import KeywordIndex
 from convoweave.operators.turns import ACTIONS
 from convoweave.session import cut, last_version
@@ -30,6 +30,8 @@ TABLES = {
     "turns": "id string, session_id string, uuid string, parent_uuid string, timestamp string, project string, question string, answer string, actions string, source string, source_file string, queued boolean, parser_version int, summary string, tags array<string>",
     "chunks": "chunk_key string, turn_id string, idx int, text string",
     "vectors": "chunk_key string, embed_hash string, embedding array<float>",
+    "points": "chunk_key string, turn_id string, coords array<double>, cluster int",
+    "clusters": "cluster int, name string, points long, turns long, centroid array<double>",
     "quarantine": "path string, length long, modified timestamp, cause string, tries int",
     "cursors": "path string, offset long, hold_offset long",
     "hidden": "turn_id string, hidden_at double",
@@ -190,6 +192,52 @@ class Archive:
         hits = finding.search(turns, self.table("vectors"), row["q"], query_vector(row["q"], self.embedder), 4 * k, index=self.keyword)
         return finding.related(hits, turns, row["session_id"], k)
 
+    # The map
+
+    def build_map(self, marked: bool = False) -> bool:
+        """Makes the map of all vectors of turns that are not hidden: points with two coordinates and a cluster, and clusters with a
+        name; whether that was due (marked, or the vectors have changed enough). Clusters keep the ids of those they succeed."""
+        old = self.table("points")
+        vectors = cut(semantic_map.visible(self.table("vectors"), self.table("hidden")).select("chunk_key", "turn_id", "embedding"))
+        now, then = vectors.count(), old.count()
+        if not semantic_map.stale(then, now, marked or not then):
+            return False
+        if now > 1:
+            coords = semantic_map.projected(vectors).select("chunk_key", "coords")
+        else:
+            coords = vectors.select("chunk_key", F.array(F.lit(0.0), F.lit(0.0)).alias("coords"))
+        points = cut(semantic_map.clustered(vectors).select("chunk_key", "turn_id", "cluster").join(coords, "chunk_key"))
+        key = F.col("chunk_key").alias("key")
+        ids = semantic_map.succession(points.select("cluster", key), old.select("cluster", key))
+        if ids:
+            renamed = F.create_map(*(F.lit(x) for pair in ids.items() for x in pair))
+            points = cut(points.withColumn("cluster", renamed[F.col("cluster")].cast("int")))
+        self.save("points", points)
+        self.save("clusters", cut(self._named(points)))
+        return True
+
+    def _named(self, points: DataFrame) -> DataFrame:
+        """The clusters of `points`, tens of them, with names from their turns' tags, else from the turn in their middle."""
+        turns = self.table("turns").select(F.col("id").alias("turn_id"), "question", "tags")
+        told = cut(points.withColumnRenamed("chunk_key", "key").join(turns, "turn_id").withColumn("headline", F.col("question")))
+        summary = cut(semantic_map.summary(points))
+        counts = cut(semantic_map.tag_counts(told.select("cluster", F.col("key").alias("point"), F.explode_outer("tags").alias("tag"))))
+        sizes = {r["cluster"]: r["points"] for r in summary.collect()}
+        lists = []
+        for tags in (semantic_map.distinctive_tags(counts, len(sizes)), semantic_map.common_tags(counts)):
+            found: dict[int, list[str]] = {}
+            for r in tags.orderBy("cluster", "place").collect():
+                found.setdefault(r["cluster"], []).append(r["tag"])
+            lists.append(found)
+        headlines = dict(semantic_map.medoids(told, summary).collect())
+        names = semantic_map.names(sizes, *lists, headlines)
+        named = self.spark.createDataFrame(list(names.items()), "cluster int, name string")
+        return summary.join(F.broadcast(named), "cluster")
+
+    def in_cluster(self, query: str, cluster: int, k: int = 5) -> DataFrame:
+        """The hits of a search that lie in a cluster of the map."""
+        return finding.in_cluster(self.search(query, k), self.table("points"), cluster)
+
     def session(self, session_id: str, limit: int = 50) -> DataFrame:
         return sessions.by_prefix(self.table("turns"), session_id, limit)
 

@@ -22,6 +22,12 @@ def centred(vectors: DataFrame, embedding: str = "embedding") -> DataFrame:
     return vectors.withColumn(embedding, off)
 
 
+def visible(vectors: DataFrame, hidden: DataFrame) -> DataFrame:
+    """`vectors` (chunk_key) with turn_id, without those of hidden turns (turn_id), which would else shift all other points."""
+    rows = vectors.withColumn("turn_id", F.regexp_replace("chunk_key", r"#[^#]*$", ""))
+    return rows.join(hidden.select("turn_id"), "turn_id", "left_anti")
+
+
 def projected(vectors: DataFrame, dims: int = 2, embedding: str = "embedding") -> DataFrame:
     """`vectors` with coords: the first principal components of the centred vectors; signs are arbitrary."""
     rows = centred(vectors, embedding).withColumn("_v", array_to_vector(embedding))

@@ -138,3 +138,25 @@ def test_related_to_the_example_of_a_session(spark, tmp_path):
     found = [r["id"] for r in a.related("s0").collect()]
     assert found[0] == "s1:u" and "s0:u" not in found
     assert a.related("nothing").count() == 0
+
+
+def test_the_map_leaves_hidden_turns_out_and_keeps_its_clusters(spark, tmp_path):
+    logs = tmp_path / "logs"
+    for k in range(24):
+        topic = ("sourdough bread starter flour", "spark shuffle join partition", "garden tomato seeds water")[k % 3]
+        write(logs / f"s{k}.jsonl", [user(f"{topic} question {k}", "u", sessionId=f"s{k}"), assistant({"type": "text", "text": f"{topic} answer"}, sessionId=f"s{k}")])
+    a = Archive(spark, str(tmp_path / "a"))
+    a.index(str(logs), "claude-code", now=2e9)
+    a.hide("s0", 1.0)
+    assert a.build_map() and not a.build_map()
+    points = a.table("points").collect()
+    assert len(points) == 23 and "s0:u" not in {r["turn_id"] for r in points} and all(len(r["coords"]) == 2 for r in points)
+    clusters = {r["cluster"]: r for r in a.table("clusters").collect()}
+    assert sum(r["points"] for r in clusters.values()) == 23 and len({r["name"] for r in clusters.values()}) == len(clusters) == 3
+    before = {r["chunk_key"]: r["cluster"] for r in points}
+    assert a.build_map(marked=True)
+    assert {r["chunk_key"]: r["cluster"] for r in a.table("points").collect()} == before
+    mine = a.in_cluster("sourdough starter", before["s3:u#0"]).collect()
+    assert mine and {before[f"{r['id']}#0"] for r in mine} == {before["s3:u#0"]}
+    empty = Archive(spark, str(tmp_path / "b"))
+    assert empty.build_map() and empty.table("points").count() == empty.table("clusters").count() == 0
