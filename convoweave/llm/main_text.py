@@ -11,7 +11,7 @@ varies in its nodes that the region is matched with, without repeated nodes that
 
 Tags and marks (class, id, role) serve where varying slots alone cannot tell. Inside the region elements that hold no text
 (scripts, styles) go, forms, menus, asides and footers by their tags, and boxes whose class, id or role is a mark, like
-`comments`, or begins with one of a few plain words, like `ad-slot`; headings, paragraphs and boxes with other compound names
+`comments`, or has one of a few plain words at its begin or end, like `ad-slot`; headings, paragraphs and boxes with other compound names
 stay, as do formulas and drawings' texts. `<article>` or `<main>` is the region where no frame holds SHARE of the varying
 text, or no wrapper is known; without these the whole page is, and every word of a compound mark counts.
 
@@ -67,13 +67,15 @@ MARKS = set("""ad ads adv advert adverts advertisement advertising adsense banne
 notice notices alert popup modal overlay newsletter subscribe subscription signup login sidebar aside widget menu nav navbar navigation
 breadcrumb breadcrumbs header masthead topbar toolbar footer bottombar share sharing social related recommended comment comments commentlist
 disqus reply replies search form pagination pager skip complementary contentinfo dialog""".split())
-#: First words of compound marks (ad-slot, comments_list) that no heading or part of an article has.
+#: Words of compound marks (ad-slot, reader_comments) that say what a box is, and what stands with them in ids.
 STRONG = set("ad ads advert adverts advertisement adsense sponsored cookie cookies newsletter comment comments disqus share sharing social sidebar breadcrumb breadcrumbs".split())
+PARTS = set("area banner bar block box buttons container form links list section slot thread unit widget wrapper".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: A token never reaches over the next `<` outside quotes, and never goes back, so broken markup costs no more than sound.
 INSIDE = r"""((?:[^<>"']|"[^"]*+"|'[^']*+')*+)"""
 TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})(?=[\s/>]){INSIDE}>(?:.*?</\1\s*>|.*\Z)|<(/?)([a-zA-Z][^\s/<>]*+){INSIDE}>|<[!?][^<>]*+>|[^<]+|<", re.S | re.I)
 ATTRIBUTE = re.compile(r"""(?:\A|\s)(class|id|role|hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=\s|/|\Z)""", re.I)
+MARKED = re.compile(r"(class|id|role)=(.*?)(?=\s(?:class|id|role|hidden)=|\Z)", re.S)
 LAYOUT = "<(div|section|article|main|header|nav|aside|footer)[\\s/>]"
 
 
@@ -331,13 +333,25 @@ def unwanted(node: Node) -> bool:
 
 
 def unwanted_inside(node: Node) -> bool:
-    """The same inside a region: boxes alone, by a whole class, id or role, or by a compound one that begins with a STRONG word."""
+    """The same inside a region: boxes alone, by a whole class, id or role that is a mark, or by a compound one.
+
+    A compound class of up to three words counts if it begins or ends with a STRONG word; a compound id, which may be a heading's words,
+    only if a STRONG word and PARTS or digits are all it has.
+    """
     if node.tag in SILENT or node.tag in ASIDE or "hidden=" in node.marks:
         return True
     if not node.marks or node.tag not in BOXES:
         return False
-    names = {x.strip("-_") for x in re.split(r"[\s=]+", node.marks.lower())}
-    return not MARKS.isdisjoint(names) or not STRONG.isdisjoint({re.split(r"[^a-z0-9]+", x)[0] for x in names})
+    for kind, value in MARKED.findall(node.marks.lower()):
+        for name in value.split():
+            words = [w for w in re.split(r"[^a-z0-9]+", name) if w]
+            if len(words) == 1 and words[0] in MARKS:
+                return True
+            if kind == "class" and 1 < len(words) < 4 and (words[0] in STRONG or words[-1] in STRONG):
+                return True
+            if kind == "id" and len(words) > 1 and words[0] in STRONG and all(w in PARTS or w.isdigit() for w in words[1:]):
+                return True
+    return False
 
 
 def packed(html: str | None) -> str:

@@ -134,8 +134,9 @@ def test_wide_and_broken_pages_take_seconds():
 def test_only_marks_of_boxes_go_from_an_article():
     html = """<body><article><h2 class="section-header">Title</h2><div class="section-header"><h3>Part</h3></div><p class="search">How to search</p>E <math><mi>mc</mi></math> z
     <svg><text>drawn</text></svg><p id="related-work">Work</p><table class="menu-card"><tr><td>Soup</table><div class="ad-slot">Buy</div><div class="comment-list">Nice</div>
-    <section class="comments">Great</section><ul class="share"><li>Tell</ul><form>Name</form><footer>By</footer><header><b>Head</b></header></article></body>"""
-    want = ["Title", "Part", "How to search", "E mc z drawn", "Work", "Soup", "Head"]
+    <section class="comments">Great</section><ul class="share"><li>Tell</ul><div class="reader-comments">Wow</div><div id="comments-section" role="x">Hm</div>
+    <section id="sharing-data-between-threads">Threads</section><div class="all-about-the-ads">Ads</div><form>Name</form><footer>By</footer><header><b>Head</b></header></article></body>"""
+    want = ["Title", "Part", "How to search", "E mc z drawn", "Work", "Soup", "Threads", "Ads", "Head"]
     assert mt.main_text(html).split("\n\n") == want
     pages = [html.replace("Work", f"Work {k}").replace("Part", f"Part {k} {'x' * k}") for k in range(5)]
     assert "Title" not in mt.main_text(pages[1], rule_of(pages))  # the same on all pages: template
