@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from convoweave.functions.embedding import Embedder, embedded, hashed, query_vector
 from convoweave.functions.ordering import running_sum
 from convoweave.functions.text import embed_text, filled, keyword_text, source_or_default, worth_embedding
-from convoweave.operators import chunking, folders, merge, search as finding, semantic_map, sessions, turns as turn_ops
+from convoweave.operators import chunking, density, folders, merge, search as finding, semantic_map, sessions, turns as turn_ops
 from convoweave.operators.keyword_index import KeywordIndex
 from convoweave.operators.turns import ACTIONS
 from convoweave.session import cut, last_version
@@ -206,7 +206,9 @@ class Archive:
             coords = semantic_map.projected(vectors).select("chunk_key", "coords")
         else:
             coords = vectors.select("chunk_key", F.array(F.lit(0.0), F.lit(0.0)).alias("coords"))
-        points = cut(semantic_map.clustered(vectors).select("chunk_key", "turn_id", "cluster").join(coords, "chunk_key"))
+        found = density.clustered(vectors) or semantic_map.clustered(vectors)
+        # vectors outside of the space of all others have no cluster and are no points
+        points = cut(found.where("cluster IS NOT NULL").select("chunk_key", "turn_id", "cluster").join(coords, "chunk_key"))
         key = F.col("chunk_key").alias("key")
         ids = semantic_map.succession(points.select("cluster", key), old.select("cluster", key))
         if ids:

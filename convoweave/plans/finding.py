@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from convoweave.functions import times
-from convoweave.operators import enrich, keyword as kw, merge as me, quality as qu, search as sr, semantic_map as sm
+from convoweave.operators import density, enrich, keyword as kw, merge as me, quality as qu, search as sr, semantic_map as sm
 from convoweave.operators.keyword_index import KeywordIndex
 from convoweave.plans.listing import HARD_CHUNKS, folders, hard_chunks, items
 from convoweave.plans.model import FOLDERS, ITEMS, TURNS, sql, stamp, turns
@@ -418,6 +418,15 @@ def kmeans_clusters(spark, sf):
     return sm.clustered(table(spark, sf, "embeddings")).select("vec_id", "cluster")
 
 
+@query("density_clusters")
+def density_clusters(spark, sf):
+    vectors = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    found = density.clustered(vectors)
+    if found is None:  # too few vectors, or none in heaps
+        found = sm.clustered(vectors).withColumn("dense", F.lit(False))
+    return found.select("vec_id", "cluster", "dense")
+
+
 @query("idle_sessions", "WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 86400 SECOND THEN 0 ELSE 1 END AS s FROM events), g AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts) AS g FROM e) SELECT user_id, min(ts)::VARCHAR AS started, max(ts)::VARCHAR AS ended, count(*) AS n FROM g GROUP BY user_id, g")
 def idle_sessions(spark, sf):
     rows = inc.activity(table(spark, sf, "events"), "user_id", "ts", 86_400)
