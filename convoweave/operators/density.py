@@ -19,8 +19,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from convoweave.functions.ordering import running_sum
 from convoweave.functions.vectors import norm, normalised
-from convoweave.operators.graphs import CELLS, WITHIN, components, merges_of_heavy, spanning_forest, spread_join
-from convoweave.session import cut
+from convoweave.operators.graphs import CELLS, WITHIN, components, cut, merges_of_heavy, spanning_forest, spread_join
 
 SAMPLES, LEAST, SHARE = 3, 15, 150  # rows within a core distance, least cluster, clusters at most
 NEIGHBOURS, TABLES, BLOCK, BITS, SEED, ROUNDS, HUB = 15, 8, 2048, 24, 42, 2, 1000

@@ -1,6 +1,6 @@
 """Graphs too large for one task: components and minimum spanning forests of edge tables.
 
-Both contract the graph in rounds, each cut by a reliable checkpoint; once what is left has `within` edges at most, one task ends it,
+Both contract the graph in rounds, each cut by a table in the shared folder; once what is left has `within` edges at most, one task ends it,
 with the same result. Nodes that very many edges touch are no hot keys: what is counted is counted before it moves, and
 joins copy their unique side to CELLS cells.
 """
@@ -12,11 +12,21 @@ from collections.abc import Iterable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from convoweave.session import cut
+from convoweave.session import new_path
 
 CELLS, WITHIN = 16, 1_000_000
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """`df` as a written table in the shared folder.
+
+    A checkpoint keeps what its plan knows of constraints and partitions, which multiply with each round; a table does not.
+    """
+    path = new_path(df.sparkSession, "graph")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
     """`left` joined with `right`, which holds a key once; the rows of one key of `left` are dealt to CELLS cells."""
     hashed = [F.col(f"`{f.name}`") for f in left.schema if "map<" not in f.dataType.simpleString()]  # maps have no hash
