@@ -2,13 +2,14 @@
 
 Both contract the graph in rounds, each cut by a table in the shared folder; once what is left has `within` edges at most, one task ends it,
 with the same result. Nodes that very many edges touch are no hot keys: what is counted is counted before it moves, and
-joins copy their unique side to CELLS cells.
+joins copy their unique side to CELLS cells, unless the other side holds a key once too.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
@@ -86,24 +87,44 @@ def components(edges: DataFrame, by: Sequence[str] = (), within: int = WITHIN) -
             break
     else:
         live = _in_one_task(live, keys)
-    rows = spread_join(nodes, live.select(*keys, F.col("a").alias("node"), F.col("b").alias("root")), [*keys, "node"], "left")
+    rows = nodes.join(live.select(*keys, F.col("a").alias("node"), F.col("b").alias("root")), [*keys, "node"], "left")
     return rows.select(*keys, "node", F.coalesce("root", "node").alias("root"))
 
 
 def _in_one_task(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
     def solved(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sets = Sets()
-        for frame in frames:
-            *graph, a, b = (frame[c].tolist() for c in (*keys, "a", "b"))
-            graph = list(zip(*graph)) if keys else [()] * len(a)
-            for g, x, y in zip(graph, a, b):
-                sets.join((*g, x), (*g, y))
-        rows = [(*x, sets.top(x)[-1]) for x in list(sets.above)]
-        yield pd.DataFrame([r for r in rows if r[-1] != r[-2]], columns=[*keys, "a", "b"])
-
+        rows = pd.concat([start, *frames])
+        graph = rows.groupby(keys, sort=False).ngroup().to_numpy() if keys else np.zeros(len(rows), "int64")
+        names, place = np.unique(np.concatenate([rows["a"], rows["b"]]).astype("int64"), return_inverse=True)
+        # by graph and node, so that the least number of a component is its smallest node
+        codes, ends = np.unique(np.concatenate([graph, graph]) * len(names) + place, return_inverse=True)
+        top = tops(len(codes), ends[: len(rows)], ends[len(rows) :])
+        moved = np.flatnonzero(top != np.arange(len(codes)))
+        some = np.zeros(len(codes), "int64")
+        some[ends] = np.tile(np.arange(len(rows)), 2)  # an edge of each node, for its keys
+        found = {c: rows[c].to_numpy()[some[moved]] for c in keys}
+        yield pd.DataFrame(found | {"a": names[codes[moved] % max(1, len(names))], "b": names[codes[top[moved]] % max(1, len(names))]})
+
+    start = pd.DataFrame({c: pd.Series(dtype="int64" if c in ("a", "b") else "object") for c in (*keys, "a", "b")})
     return edges.coalesce(1).mapInPandas(solved, edges.schema)
 
 
+def tops(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least node of each node's component, of nodes below `n` and edges `a`, `b`.
+
+    All edges at once hang the higher top below the lower one, and paths are halved to the end, until no edge joins two tops.
+    """
+    top = np.arange(n)
+    while len(a):
+        a, b = top[a], top[b]
+        two = a != b
+        a, b = np.maximum(a, b)[two], np.minimum(a, b)[two]
+        np.minimum.at(top, a, b)
+        while not np.array_equal(above := top[top], top):
+            top = above
+    return top
+
+
 def spanning_forest(edges: DataFrame, within: int = WITHIN) -> DataFrame:
     """a, b and w of the minimum spanning forest of `edges` (a, b, w double); ties go by (w, a, b) with a < b.
 
@@ -168,7 +189,7 @@ def merges_of_heavy(forest: DataFrame, sizes: DataFrame, least: int, within: int
         low, high = big.where("rank <= _middle"), big.where("rank > _middle")
         root = cut(components(low, ["g"], within))
         ends = low.select("g", F.col("a").alias("node"), F.col("na").alias("n")).union(low.select("g", "b", "nb")).distinct()
-        total = spread_join(root, ends, ["g", "node"]).groupBy("g", "root").agg(F.sum("n").alias("total"))
+        total = root.join(ends, ["g", "node"]).groupBy("g", "root").agg(F.sum("n").alias("total"))
         root = cut(spread_join(root, total, ["g", "root"]))
         new = lambda end: root.select("g", F.col("node").alias(end), F.col("root").alias("_root"), F.col("total").alias("_total"))
         parts = spread_join(low, new("a"), ["g", "a"]).where(F.col("_total") >= 2 * least)

@@ -5,6 +5,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
+from convoweave.functions.vectors import normalised
 from convoweave.operators import density, graphs
 
 
@@ -126,3 +127,45 @@ def test_neighbours_found_in_blocks(spark):
     _, points = density.nodes(rows)
     lists = [dict(density.neighbours(points, block=b).select("a", F.col("near.b")).collect()) for b in (2048, 100)]
     assert np.mean([len(set(lists[0][a]) & set(lists[1][a])) / len(lists[0][a]) for a in lists[0]]) >= 0.9
+
+
+def test_lengths_are_worked_out_once(spark):
+    vectors = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],), ([1.0, None],), (None,)], "v array<float>").select(normalised(F.col("v")).alias("v"))
+    assert vectors._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 1  # not once for each component
+    assert [r["v"] for r in vectors.collect()] == [[0.6, 0.8], [0.0, 0.0], [None, None], None]
+
+
+def test_descent_moves_lists_and_equals_plain_descent(spark, monkeypatch):
+    v = heaps(6, 4, 60, noise=10)
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, embedding array<double>")
+    _, points = density.nodes(rows)
+    best, given, lists = density.best, [], []
+
+    def kept(rows, *rest):
+        given.append(rows.count())
+        lists.append(best(rows, *rest))
+        return lists[-1]
+
+    monkeypatch.setattr(density, "best", kept)
+    monkeypatch.setattr(density, "HUB", 12)  # so that some nodes are copied
+    density.neighbours(points, k=5, tables=2, block=60, rounds=1)
+    assert given[0] <= 2 * len(v) and given[-1] <= 7 * len(v)  # lists of nodes, not pairs
+    before, after = ({r["a"]: [(x["d"], x["b"]) for x in r["near"]] for r in x.collect()} for x in (lists[0], lists[-1]))
+    at = dict(points.select("node", "v").collect())
+    found = {a: set(near) for a, near in before.items()}
+    for owner, near in before.items():
+        group = [owner, *(b for _, b in near)]
+        for a in group:
+            found[a] |= {(float(np.sqrt(((np.array(at[a]) - np.array(at[b])) ** 2).sum())), b) for b in group if b != a}
+    assert after == {a: sorted(x)[:5] for a, x in found.items()} and after != before
+
+
+def test_components_of_arrays():
+    for seed in range(50):
+        rng = np.random.default_rng(seed)
+        n, m = int(rng.integers(1, 60)), int(rng.integers(0, 80))
+        a, b = rng.integers(0, n, m), rng.integers(0, n, m)
+        sets = graphs.Sets()
+        for x, y in zip(a.tolist(), b.tolist()):
+            sets.join(x, y)
+        assert graphs.tops(n, a, b).tolist() == [sets.top(i) for i in range(n)]
